@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space of the word patterns: space and the characters 9 to 13.
@@ -50,3 +52,19 @@ def discard(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Characters of text that a worker takes up at a time; a longer text is taken alone.
+AT_ONCE = 2_000_000
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", key: str = "key") -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """(keys, texts) of consecutive rows with about AT_ONCE characters, so that memory doesn't follow Arrow's batches."""
+    for batch in batches:
+        texts = batch.column(column).to_pylist()
+        keys, start, total = batch.column(key), 0, 0
+        for i, t in enumerate(texts):
+            total += len(t or "")
+            if total >= AT_ONCE or i == len(texts) - 1:
+                yield keys.slice(start, i + 1 - start), texts[start : i + 1]
+                start, total = i + 1, 0

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsake.llm import quality_rules, sharding
+from keepsake.llm import bpe, packing, quality_rules, sharding, token_counts
 from keepsake.llm._shared import table
 
 SHARDS = 8
+TOKEN_LIMIT = 512
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +25,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_sharding, op3_quality_rules)}
+def op5_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op8_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), TOKEN_LIMIT)
+
+
+def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_rendezvous_sharding, op3_quality_rules, op5_segment_tree_bpe, op8_prefix_token_counts, op9_vector_packing)}
 ORACLES = {"op3_quality_rules": quality_rules.oracle(), "op2_rendezvous_sharding": sharding.oracle(SHARDS)}
