@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsake.llm import bpe, packing, quality_rules, sharding, token_counts
+from keepsake.llm import bpe, language_id, packing, quality_rules, sharding, token_counts, toxicity, warc
 from keepsake.llm._shared import table
 
 SHARDS = 8
@@ -25,6 +25,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op5_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -37,5 +41,13 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_sharding, op3_quality_rules, op5_segment_tree_bpe, op8_prefix_token_counts, op9_vector_packing)}
-ORACLES = {"op3_quality_rules": quality_rules.oracle(), "op2_rendezvous_sharding": sharding.oracle(SHARDS)}
+def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_rendezvous_sharding, op3_quality_rules, op4_warc_normaliser, op5_segment_tree_bpe, op6_subword_toxicity, op8_prefix_token_counts, op9_vector_packing, op10_cross_parsing)}
+ORACLES = {"op4_warc_normaliser": warc.oracle(), "op3_quality_rules": quality_rules.oracle(), "op2_rendezvous_sharding": sharding.oracle(SHARDS)}
