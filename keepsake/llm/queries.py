@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keepsake.llm import bpe, language_id, packing, quality_rules, sharding, token_counts, toxicity, warc
+from keepsake.llm import bpe, language_id, packing, quality_rules, sharding, token_counts, topk_search, toxicity, warc
 from keepsake.llm._shared import table
 
 SHARDS = 8
+QUERY_DIVISOR, TOP_K = 50, 5
 TOKEN_LIMIT = 512
 
 
@@ -17,6 +19,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.top_k(vectors, F.col("vec_id") % QUERY_DIVISOR == 0, TOP_K)
+
+
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
@@ -49,5 +56,5 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rendezvous_sharding, op3_quality_rules, op4_warc_normaliser, op5_segment_tree_bpe, op6_subword_toxicity, op8_prefix_token_counts, op9_vector_packing, op10_cross_parsing)}
-ORACLES = {"op4_warc_normaliser": warc.oracle(), "op3_quality_rules": quality_rules.oracle(), "op2_rendezvous_sharding": sharding.oracle(SHARDS)}
+QUERIES = {f.__name__: f for f in (op1_impact_topk, op2_rendezvous_sharding, op3_quality_rules, op4_warc_normaliser, op5_segment_tree_bpe, op6_subword_toxicity, op8_prefix_token_counts, op9_vector_packing, op10_cross_parsing)}
+ORACLES = {"op1_impact_topk": topk_search.oracle(QUERY_DIVISOR, TOP_K), "op4_warc_normaliser": warc.oracle(), "op3_quality_rules": quality_rules.oracle(), "op2_rendezvous_sharding": sharding.oracle(SHARDS)}
