@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import bpe, language_id, packing, quality_rules, sharding, token_counts, topk_search, toxicity, warc
+from keepsake.llm import bpe, language_id, near_duplicates, packing, quality_rules, sharding, token_counts, topk_search, toxicity, warc
 from keepsake.llm._shared import table
 
 SHARDS = 8
@@ -40,6 +40,10 @@ def op5_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.components(table(spark, sf_dir, "documents"))
+
+
 def op8_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), TOKEN_LIMIT)
 
@@ -56,5 +60,5 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_impact_topk, op2_rendezvous_sharding, op3_quality_rules, op4_warc_normaliser, op5_segment_tree_bpe, op6_subword_toxicity, op8_prefix_token_counts, op9_vector_packing, op10_cross_parsing)}
+QUERIES = {f.__name__: f for f in (op1_impact_topk, op2_rendezvous_sharding, op3_quality_rules, op4_warc_normaliser, op5_segment_tree_bpe, op6_subword_toxicity, op7_tensored_minhash, op8_prefix_token_counts, op9_vector_packing, op10_cross_parsing)}
 ORACLES = {"op1_impact_topk": topk_search.oracle(QUERY_DIVISOR, TOP_K), "op4_warc_normaliser": warc.oracle(), "op3_quality_rules": quality_rules.oracle(), "op2_rendezvous_sharding": sharding.oracle(SHARDS)}
