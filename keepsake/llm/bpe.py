@@ -33,7 +33,7 @@ NONE = 1 << 62
 #: Longer words have a tree of their own.
 SHORT = 64
 #: Runs that a worker remembers at most, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 1_500_000, 64
 #: Words whose trees are worked on together.
 TOGETHER = 8192
 
