@@ -7,9 +7,10 @@ Every link is confirmed on full sets, as 64-bit hashes of whole shingles.
 
 Sets that are equal are one node. Most nodes share no group with another one and leave before table keys are made.
 Within a bucket pairs are not spelled out: nodes that verified links have joined need no further link, so rounds
-propose one partner for each node from another component of its buckets, confirm, and merge components; when a round
-merges nothing, the pairs that are left between different components of a bucket are all confirmed. No link that
-could join two components is skipped, and a group of n near copies costs about n confirmations, not n squared.
+propose one partner for each node from another component of its buckets, confirm, and merge components. When rounds
+find little more, every node that is still in a bucket with another component is compared with all members of that
+component, in blocks. No link that could join two components is skipped, and a group of n near copies costs about n
+confirmations and the comparisons of the few nodes that stay outside, not n squared.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ GROUPS, ROWS = 18, 3
 #: Parts that a frequent key's rows are dealt to.
 SALTS = 16
 MAX_ROUNDS = 6
+#: Members of components that are compared pair by pair; of larger ones, members and questioners compared at a time.
+SMALL, BLOCK, ASKED = 16, 512, 2048
+#: Nodes of a bucket that are compared at a time; one-bit minhashes, and differing ones of a pair at most.
+BUCKET_BLOCK, BITS, FAR = 4096, 512, 80
 REMEMBERED, LONGEST = 400_000, 64
 #: Multipliers are drawn once from a fixed seed.
 _RNG = np.random.default_rng(20_260_101)
@@ -37,6 +42,8 @@ _WORD = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _TIMES = _RNG.integers(1, 1 << 63, GROUPS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RNG.integers(0, 1 << 63, GROUPS * ROWS, dtype=np.uint64) * np.uint64(2)
 _OF_GROUP = _RNG.integers(1, 1 << 63, (GROUPS, ROWS), dtype=np.uint64) | np.uint64(1)
+_BIT_TIMES = _RNG.integers(1, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BIT_PLUS = _RNG.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2)
 _words: dict[bytes, int] = {}
 
 
@@ -105,11 +112,11 @@ def in_several(rows: DataFrame, key: str, by: str) -> DataFrame:
 
 
 def table_rows(nodes: DataFrame) -> DataFrame:
-    """key, node, n: a row for each table in which the node can meet another one; from node, n, groups."""
+    """key, t, node, n: a row for each table t in which the node can meet another one; from node, n, groups."""
     spread = nodes.select("node", "n", F.posexplode("groups").alias("g", "h"))
     met = in_several(spread, "h", "node").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("g", "h"))).alias("met")).where(F.size("met") > 1)
-    pairs = F.expr("flatten(transform(met, (x, i) -> transform(slice(met, i + 2, size(met)), y -> xxhash64(x.h, y.h))))")
-    return in_several(met.select("node", "n", F.explode(pairs).alias("key")), "key", "node")
+    pairs = F.expr(f"flatten(transform(met, (x, i) -> transform(slice(met, i + 2, size(met)), y -> named_struct('key', xxhash64(x.h, y.h), 't', x.g * {GROUPS} + y.g))))")
+    return in_several(met.select("node", "n", F.explode(pairs).alias("p")).select("p.key", "p.t", "node", "n"), "key", "node")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,22 +193,156 @@ def proposals(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def mixed_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows (key, node, n) with their labels, of buckets that hold several components."""
-    own = rows.select("key", "node", "n").join(labels, "node")
+    """rows (key, t, node, n) with their labels, of buckets that hold several components."""
+    own = rows.select("key", "t", "node", "n").join(labels, "node")
     several = own.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l <> _m").select(F.col("key").alias("_k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_s"))
     return own.join(several, (F.col("key") == F.col("_k")) & (F.pmod(F.xxhash64("node"), F.lit(SALTS)) == F.col("_s")), "left_semi")
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of nodes of different components in one bucket, by their sizes possible; from key, node, n, label.
+def with_bits(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, marks (32 bits of each group) and bits (BITS one-bit minhashes) of the given nodes, as bytes; made from their full sets."""
 
-    The largest component of a bucket is met only by the nodes of the others.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups, bits = [], []
+            for v in b.column("values"):
+                s = np.frombuffer(v.as_buffer(), dtype=np.uint64)
+                groups.append((group_hashes(s) >> np.uint64(32)).astype(np.uint32).tobytes())
+                bits.append(one_bit(s).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(groups, pa.binary()), pa.array(bits, pa.binary())], ["node", "marks", "bits"])
+
+    return sets.join(nodes.select("node").distinct(), "node", "left_semi").mapInArrow(run, "node long, marks binary, bits binary")
+
+
+def one_bit(values: np.ndarray) -> np.ndarray:
+    """One bit of each of BITS minhashes, as bytes. Two sets agree in a bit with probability (1 + similarity) / 2."""
+    least = np.full(BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(values), 2048):
+        least = np.minimum(least, (values[k : k + 2048, None] * _BIT_TIMES + _BIT_PLUS).min(axis=0))
+    return np.packbits((mixed(least) >> np.uint64(17) & np.uint64(1)).astype(np.uint8))
+
+
+def open_pairs(rows: DataFrame, described: DataFrame, counts: DataFrame) -> DataFrame:
+    """(a, b, label): what is left to compare in buckets that hold several components; from key, t, node, n, label.
+
+    Two nodes of small components are a pair (a, b), reported by the first bucket in which they meet. A node and a
+    large component (more than SMALL members) are a question (a, label), for all of its members. Pairs whose sizes exclude a link
+    are left out, and so are pairs whose one-bit minhashes differ in more than FAR bits, which nodes of the similarity
+    that counts do once in 50,000 times. Large buckets are compared in blocks, each pair of blocks by itself.
+    """
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET_BLOCK)).cast("long").alias("blocks"))
+    placed = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    large = counts.where(F.col("c") > SMALL).select("label", F.lit(True).alias("large"))
+    placed = placed.join(large, "label", "left").join(described, "node")
+    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "node", "n", "label", F.coalesce("large", F.lit(False)).alias("large"), "marks", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            # the last bucket of a batch may go on in the next one
+            whole = pa.Table.from_batches([*held, b]).combine_chunks()
+            keys = np.stack([whole.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            last = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            held = whole.slice(cut).to_batches()
+            if cut:
+                yield compared(whole.slice(0, cut), keys[:cut])
+        if held:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            yield compared(whole, np.stack([whole.column(c).to_numpy() for c in ("key", "i", "j")], axis=1))
+
+    dealt = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long, label long")
+
+
+def compared(rows: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
+    """open_pairs() of whole buckets, which lie one behind another."""
+    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+    ends = np.r_[starts[1:], len(keys)]
+    node, n, label, own, large, tables = (rows.column(c).to_numpy() for c in ("node", "n", "label", "own", "large", "t"))
+    marks, bits = (np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=t).reshape(len(keys), -1) for c, t in (("marks", np.uint32), ("bits", np.uint64)))
+    a, b, of = [], [], []
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        same_block = keys[s, 1] == keys[s, 2]
+        at = np.arange(s, e)
+        left, right = (at, at) if same_block else (at[own[s:e] == keys[s, 1]], at[own[s:e] == keys[s, 2]])
+        for k in range(0, len(left), 256):
+            x = left[k : k + 256]
+            fits = (label[x, None] != label[None, right]) & (100 * np.minimum(n[x, None], n[None, right]) >= PERCENT * np.maximum(n[x, None], n[None, right]))
+            if same_block:
+                fits &= x[:, None] < right[None, :]
+            p, q = np.nonzero(fits)
+            p, q = x[p], right[q]
+            near = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1) <= FAR
+            p, q = p[near], q[near]
+            asks = large[p] | large[q]
+            one, two = p[asks], q[asks]
+            swap = ~large[two]  # the large one is asked; of two large ones the second
+            one, two = np.where(swap, two, one), np.where(swap, one, two)
+            if len(one):
+                unique = np.unique(np.stack([node[one], label[two]], axis=1), axis=0)
+                a.append(unique[:, 0])
+                b.append(np.full(len(unique), -1))
+                of.append(unique[:, 1])
+            p, q = p[~asks], q[~asks]
+            agree = marks[p] == marks[q]
+            first = np.argmax(agree, axis=1)
+            agree[np.arange(len(p)), first] = False
+            here = first * GROUPS + np.argmax(agree, axis=1) == tables[s]
+            p, q = p[here], q[here]
+            a.append(node[p])
+            b.append(node[q])
+            of.append(np.full(len(p), -1))
+    out = [np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (a, b, of)]
+    none = out[1] == -1
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64(), mask=none), pa.array(out[2], pa.int64(), mask=~none)], ["a", "b", "label"])
+
+
+def answers(left: DataFrame, labels: DataFrame, counts: DataFrame, sets: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Confirmed links of open_pairs().
+
+    Pairs are compared as they are. Of a large component, BLOCK members at a time meet up to ASKED questioners: one pass
+    over a sorted index of the block's values counts what a questioner has in common with every member.
     """
-    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"))
-    minor = rows.join(sizes, "key").where("label <> major").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    every = rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    pairs = minor.join(every, "key").where((F.col("la") != F.col("lb")) & similar_size("na", "nb"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = left.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    few = confirmed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sets)
+    large = left.where("b IS NULL").select("a", "label").distinct().join(counts, "label")
+    shape = large.groupBy("label", "c").agg(F.count(F.lit(1)).alias("q")).select("label", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks"), F.ceil(F.col("q") / ASKED).cast("long").alias("parts"))
+
+    def spread(df: DataFrame, node: str, count: str, own: str, other_count: str, other: str) -> DataFrame:
+        placed = df.join(shape, "label").withColumn(own, F.pmod(F.xxhash64(node), F.col(count)))
+        placed = placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_count) - 1)))
+        held = sets.select(F.col("node").alias(node), F.col("values").alias(f"of_{own}"))
+        return placed.join(held, node).select("label", "block", "part", F.col(node).alias("node"), F.col(f"of_{own}").alias("values"))
+
+    asking = spread(large.select("label", "a"), "a", "parts", "part", "blocks", "block")
+    asked = spread(labels.join(shape.select("label"), "label", "left_semi").select("label", F.col("node").alias("b")), "b", "blocks", "block", "parts", "part")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            own = [np.frombuffer(v, dtype=np.uint64) for v in right.column("values").to_pylist()]
+            size = np.array([len(x) for x in own])
+            values = np.concatenate(own)
+            order = np.argsort(values, kind="stable")
+            values, member = values[order], np.repeat(np.arange(len(own)), size)[order]
+            names = right.column("node").to_numpy()
+            for node, v in zip(left.column("node").to_pylist(), left.column("values").to_pylist(), strict=True):
+                x = np.frombuffer(v, dtype=np.uint64)
+                start, end = np.searchsorted(values, x), np.searchsorted(values, x, side="right")
+                n = end - start
+                total = int(n.sum())
+                at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(total)
+                common = np.bincount(member[at], minlength=len(own))
+                linked = names[100 * common >= PERCENT * (size + len(x) - common)]
+                a += [node] * len(linked)
+                b += linked.tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    keys = ["label", "block", "part"]
+    many = asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, "a long, b long").where("a <> b")
+    return few.union(many)
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,13 +373,14 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             found = links.count()
             if found:
                 labels = merged(labels, links)
-            rows = mixed_rows.select("key", "node", "n")
+            rows = mixed_rows.select("key", "t", "node", "n")
             if turn and 100 * found < pairs.count() * 2:
                 break
         last = written(mixed_buckets(rows, labels), "mixed")
         if not last.isEmpty():
-            pairs = cross_pairs(last).join(tested, ["a", "b"], "left_anti") if tested is not None else cross_pairs(last)
-            labels = merged(labels, written(confirmed(pairs, sets), "confirmed"))
+            counts = written(labels.groupBy("label").agg(F.count(F.lit(1)).alias("c")), "counts")
+            left = written(open_pairs(last, with_bits(sets, last), counts), "open")
+            labels = merged(labels, written(answers(left, labels, counts, sets, tested), "confirmed"))
         moved = labels.where("node <> label")
     found = nodes.select("print", "node", "copies")
     found = found.join(moved, "node", "left") if moved is not None else found.withColumn("label", F.lit(None).cast("long"))
