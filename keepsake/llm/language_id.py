@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from keepsake.llm._shared import text_slices
 UNKNOWN = "und"
 #: What is learned at most: languages (those with the most rows), rows of each (about), characters of its different words.
 MAX_LANGUAGES, MAX_ROWS, MAX_CHARACTERS = 64, 400, 80_000
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 HOLDOUT, FOLDS = 0, 5
 letters = re.compile(r"[^\W\d_]+").findall
 
@@ -34,7 +35,7 @@ class SuffixAutomaton:
     """All substrings of a text; every state is a dictionary of its transitions."""
 
     def __init__(self, text: str):
-        self.states: list[dict[str, int]] = [{}]
+        self.states: list[dict] = [{}]
         link, length, last = [-1], [0], 0
         states = self.states
         for c in text:
@@ -61,19 +62,25 @@ class SuffixAutomaton:
                     link[q] = link[new] = twin
             last = new
 
+        for state in states:  # from numbers to the states themselves: a step is then one look-up
+            for c, at in state.items():
+                state[c] = states[at]
+
     def phrases(self, text: str) -> int:
         """Phrases of the greedy parse: each the longest match from where it starts, or one unknown character."""
-        states, n, count, at = self.states, len(text), 0, 0
-        while at < n:
-            state, start = 0, at
-            while at < n:
-                state = states[state].get(text[at], -1)
-                if state < 0:
-                    break
-                at += 1
-            at += at == start
-            count += 1
-        return count
+        root = state = self.states[0]
+        count = 0
+        for c in text:
+            further = state.get(c)
+            if further is None:
+                if state is not root:
+                    count += 1
+                further = root.get(c)
+                if further is None:
+                    count += 1
+                    further = root
+            state = further
+        return count + (state is not root)
 
 
 class CrossParser:
@@ -84,16 +91,32 @@ class CrossParser:
         self.automata = [SuffixAutomaton(learned[x]) for x in self.languages]
         self.bits = [math.log2(len(learned[x]) + 1) for x in self.languages]
         self.known: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.counts: dict[tuple[int, ...], tuple[int, ...]] = {}
+
+    def word(self, word: str) -> tuple[int, ...]:
+        found = self.words.get(word)
+        if found is None:
+            blank = f" {word} "
+            found = tuple([a.phrases(blank) for a in self.automata])
+            if len(word) <= LONGEST:
+                found = self.words[word] = self.counts.setdefault(found, found)
+        return found
 
     def run(self, run: str) -> tuple[int, ...]:
         """Phrases of one run of text in each language."""
-        words = letters(run.lower())
-        return tuple(sum(a.phrases(f" {w} ") for w in words) for a in self.automata)
+        run = run.lower()
+        words = [run] if run.isalpha() else letters(run)
+        if len(words) == 1:
+            return self.word(words[0])
+        found = tuple(map(sum, zip(*map(self.word, words), strict=True))) if words else (0,) * len(self.languages)
+        return self.counts.setdefault(found, found)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the score is the share by which the winner's entropy is below the next one's. Ties go to the smaller name, with score 0."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        for kept in (self.known, self.words, self.counts):
+            if len(kept) > REMEMBERED:
+                kept.clear()
         known, long = self.known, []
         runs = (text or "").split()
         if not self.languages or not runs:
@@ -152,24 +175,20 @@ def _parser(learned: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(dict(learned))
 
 
-def predict(docs: DataFrame, learned: dict[str, str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs, then lang_pred and score; one row per row of docs.
+def with_language(docs: DataFrame, learned: dict[str, str], column: str, text: str = "text") -> DataFrame:
+    """All columns of docs, then column, a struct (lang_pred, score); one row per row of docs.
 
-    A null text, one without a letter, and every text where nothing was learned is "und" with score 0. Columns of docs
-    that are called lang_pred or score are replaced. Nothing is shuffled. What the workers get, the learned text, has at
-    most MAX_LANGUAGES * MAX_CHARACTERS characters.
+    A null text, one without a letter, and every text where nothing was learned is "und" with score 0. Nothing is
+    shuffled. What the workers get, the learned text, has at most MAX_LANGUAGES * MAX_CHARACTERS characters.
     """
     held = docs.sparkSession.sparkContext.broadcast(tuple(sorted(learned.items())))
 
     @F.pandas_udf("lang_pred string, score double")
-    def parsed(texts):
-        import pandas as pd
-
+    def parsed(texts: pd.Series) -> pd.DataFrame:
         parser = _parser(held.value)
         return pd.DataFrame([parser.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    rest = docs.drop("lang_pred", "score").withColumn("_parsed", parsed(F.col(text)))
-    return rest.select(*(c for c in rest.columns if c != "_parsed"), "_parsed.lang_pred", "_parsed.score")
+    return docs.withColumn(column, parsed(F.col(text)))
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
