@@ -1,9 +1,52 @@
-"""placeholder"""
+"""From raw documents to packed training sequences: language, toxicity, near duplicates, packing.
+
+Each stage reads what its predecessor wrote and works on all of it. A stage's decisions take effect: documents that it
+rejects go. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keepsake.llm import language_id, near_duplicates, packing, toxicity
+from keepsake.llm._shared import table, written
+from keepsake.llm.queries import tokenizer
+
+#: A stage's own column, which no table has.
+MARK = "_keepsake_mark"
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach. Those without a letter, or with a null text, are rejected."""
+    told = language_id.with_language(docs, language_id.learn(docs), MARK)
+    return told.where(F.col(f"{MARK}.lang_pred") != language_id.UNKNOWN).drop(MARK)
+
+
+def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold of toxicity; the model is fitted on a bounded sample of the labelled ones."""
+    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    return toxicity.with_score(docs, model, MARK).where(F.col(MARK) < toxicity.THRESHOLD).drop(MARK)
+
+
+def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest doc_id."""
+    return near_duplicates.one_of_each(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [("language_id", identified), ("toxicity", harmless), ("near_duplicates", single), ("packing", packed)]
+#: SQL expresses neither the parser nor the model nor the packing; tests hold the pipeline against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage, from the table documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

@@ -390,6 +390,22 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows whose component has a document with a smaller doc_id; all columns.
+
+    Rows with a null doc_id stay. Of rows that repeat both doc_id and text one stays; only rows of such ids are shuffled
+    for that.
+    """
+    found = written(components(docs, key, text).select(F.col("doc_id").alias("_id"), "kept"), "components")
+    gone = found.where("NOT kept").select("_id").distinct()
+    kept = docs.join(gone, docs[key] == F.col("_id"), "left_anti")
+    again = found.where("kept AND _id IS NOT NULL").groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, kept[key] == F.col("_id"), "left_semi").dropDuplicates([key, text])
+    return kept.join(again, kept[key] == F.col("_id"), "left_anti").unionByName(once)
+
+
 def tables_of(groups: int = GROUPS) -> list[tuple[int, int]]:
     """The pairs of groups that make a table's key."""
     return list(combinations(range(groups), 2))
