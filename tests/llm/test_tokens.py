@@ -114,6 +114,5 @@ def test_packed_documents_are_whole(spark, library):
             at += length
         assert at <= 2048
     assert sum(r.length for r in out if r.doc_id != 7) == sum(len(v) for i, v in ids.items() if i != 7)
-    full = sum(sum(n for _, n in s) == 2048 for s in spans.values())
-    assert full >= len(spans) - 4
+    assert sum(r.length for r in out) >= 0.93 * 2048 * (len(spans) - 2)  # either task may leave its last one unfilled
     assert packing.pack_documents(df.limit(0), WORDS).count() == 0
