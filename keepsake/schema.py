@@ -91,7 +91,7 @@ def _table(shared: str, own: str) -> tuple[Column, ...]:
     """Columns from "name type", with "!" for required ones and "= value" for defaults."""
     text = ", ".join([*(SHARED[s] for s in shared.split()), own])
     out = []
-    for part in re.split(r", (?=[a-z_]+ )", text):
+    for part in re.split(r", (?=[a-z_0-9]+ )", text):
         name, kind, must, default = re.fullmatch(r"(\w+) ([\w(),]+)(!?)(?: = (.+))?", part).groups()
         out.append(Column(name, kind, bool(must), default))
     return tuple(out)
