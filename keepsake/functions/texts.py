@@ -69,7 +69,7 @@ def tokens(text: Column) -> Column:
 
 
 def title(html: Column) -> Column:
-    return F.trim(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1))
+    return F.regexp_extract(html, r"(?is)<title>\s*(.*?)\s*</title>", 1)
 
 
 def html_text(html: Column) -> Column:

@@ -105,7 +105,7 @@ def media_folder(spark: SparkSession, path: str) -> DataFrame:
 def export_kind(path: Column, head: Column) -> Column:
     """What a file is, by its path first and by its first bytes where that doesn't tell."""
     by_path = F.when(path.rlike("(?i)takeout"), "google_takeout").when(path.rlike("(?i)reddit"), "reddit").when(path.rlike("(?i)whatsapp"), "whatsapp").when(path.rlike("(?i)(ynab|register|budget)"), "ynab")
-    by_head = F.when(head.rlike(r"\A\s*[\[{]"), "json").when(head.startswith("BEGIN:VCALENDAR"), "calendar").when(head.startswith("From "), "mbox").when(head.startswith("PK\u0003\u0004"), "zip").when(head.rlike(r"\A\[?\d{1,2}[/.]\d{1,2}[/.]\d{2,4},"), "whatsapp").when(head.rlike(r"\A[^\n]*,[^\n]*\n"), "csv")
+    by_head = F.when(head.rlike(r"\A\[?\d{1,2}[/.]\d{1,2}[/.]\d{2,4},"), "whatsapp").when(head.rlike(r"\A\s*[\[{]"), "json").when(head.startswith("BEGIN:VCALENDAR"), "calendar").when(head.startswith("From "), "mbox").when(head.startswith("PK\u0003\u0004"), "zip").when(head.rlike(r"\A[^\n]*,[^\n]*\n"), "csv")
     return F.coalesce(by_path, by_head, F.lit("generic"))
 
 
