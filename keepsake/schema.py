@@ -203,10 +203,10 @@ TABLES: dict[str, tuple[Column, ...]] = {
         "bookmarked_at timestamp, is_favorite boolean! = false, is_archived boolean! = false, tags string",
     ),
     "knowledge_notes": _table(
-        "simple source",
-        "occurred_at timestamp, note_type string!, title string, content string, content_html string, content_markdown string, is_task boolean!, is_completed boolean!, "
-        "completed_at timestamp, due_at timestamp, priority int, folder string, labels string, keywords string, is_pinned boolean!, is_archived boolean!, is_trashed boolean!, url "
-        "string, linked_media_ids string, reminder_at timestamp, has_reminder boolean!, embedding vector768, color string, tags string, created_by string, linked_entities string",
+        "simple",
+        "source_type string, source_id string, content_hash string, occurred_at timestamp, note_type string, title string, content string!, content_html string, content_markdown string, is_task boolean, is_completed boolean, "
+        "completed_at timestamp, due_at timestamp, priority int, folder string, labels string, keywords string, is_pinned boolean, is_archived boolean, is_trashed boolean, url "
+        "string, linked_media_ids string, reminder_at timestamp, has_reminder boolean, embedding vector768, color string, tags string, created_by string, linked_entities string",
     ),
     "note_checklists": _table(
         "",
@@ -263,12 +263,12 @@ TABLES: dict[str, tuple[Column, ...]] = {
     ),
     "tags": _table(
         "simple",
-        "name string!, display_name string, category string, description string, color string, icon string, parent_id string, full_path string, usage_count int!, is_system "
-        "boolean!, is_hidden boolean!",
+        "name string, display_name string, category string, description string, color string, icon string, parent_id string, full_path string, usage_count int, is_system "
+        "boolean, is_hidden boolean",
     ),
     "tag_assignments": _table(
         "",
-        "id string!, tag_id string!, entity_type string!, entity_id string!, created_at timestamp!, is_automatic boolean!, confidence double!, assigned_by string, updated_at "
+        "id string!, tag_id string!, entity_type string!, entity_id string!, created_at timestamp!, is_automatic boolean, confidence double, assigned_by string, updated_at "
         "timestamp",
     ),
     "tag_synonyms": _table(

@@ -27,6 +27,8 @@ def test_types_and_drift():
     assert schema.schema("transactions")["amount"].dataType.simpleString() == "decimal(12,2)"
     assert {c.name: c.length for c in schema.columns("media_embeddings")}["embedding"] == 768
     assert [c.length for c in schema.columns("face_encodings") if c.length] == [128]
+    assert not next(c for c in schema.columns("tags") if c.name == "name").required
+    assert [c.name for c in schema.columns("knowledge_notes") if c.required] == ["id", "created_at", "updated_at", "content"]
     assert schema.enum_of("chat_threads", "source_type") is None and schema.enum_of("media", "source_type") == schema.ENUMS["SourceType"]
     assert schema.enum_of("entity_links", "source_type") == schema.ENUMS["EntityType"]
     assert schema.range_of("budgets", "month") == (1, 12) and schema.range_of("media", "latitude") == (-90, 90)
