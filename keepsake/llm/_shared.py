@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,3 +70,21 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", key: st
             if total >= AT_ONCE or i == len(texts) - 1:
                 yield keys.slice(start, i + 1 - start), texts[start : i + 1]
                 start, total = i + 1, 0
+
+
+_owner: tuple[str, Callable[[], None]] | None = None
+
+
+def take_over(name: str, forget: Callable[[], None]) -> None:
+    """Called where an operator's task begins in a Python worker: what another operator remembers there is given up first.
+
+    Workers outlive stages, and each operator may fill its own dictionaries; forget empties the caller's.
+    """
+    global _owner
+    if _owner is not None and _owner[0] != name:
+        _owner[1]()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it: gives freed memory back
+        if trim is not None:
+            trim(0)
+    _owner = (name, forget)

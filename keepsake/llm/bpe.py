@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from keepsake.llm._shared import text_slices
+from keepsake.llm._shared import take_over, text_slices
 
 NONE = 1 << 62
 #: Longer words have a tree of their own.
@@ -293,12 +293,17 @@ def unpacked(raw: bytes) -> array:
     return out
 
 
-@lru_cache(maxsize=2)
-def word_bpe(path: str) -> WordBPE:
-    """One for each file and Python worker."""
+@lru_cache(maxsize=1)
+def _word_bpe(path: str) -> WordBPE:
     return WordBPE(path)
 
 
+def word_bpe(path: str) -> WordBPE:
+    """One for each Python worker, while that works on it."""
+    take_over("bpe", _word_bpe.cache_clear)
+    return _word_bpe(path)
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids (array<int>) and decoded, the text that the ids give back; one row per row of docs.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm._shared import text_slices
+from keepsake.llm._shared import take_over, text_slices
 
 UNKNOWN = "und"
 #: What is learned at most: languages (those with the most rows), rows of each (about), characters of its different words.
@@ -170,11 +170,17 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return {x: f" {' '.join(w)} " for x, w in words.items() if w}
 
 
-@lru_cache(maxsize=2)
-def _parser(learned: tuple[tuple[str, str], ...]) -> CrossParser:
+@lru_cache(maxsize=1)
+def _made(learned: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(dict(learned))
 
 
+def _parser(learned: tuple[tuple[str, str], ...]) -> CrossParser:
+    """One for each Python worker, while that works on it."""
+    take_over("languages", _made.cache_clear)
+    return _made(learned)
+
+
 def with_language(docs: DataFrame, learned: dict[str, str], column: str, text: str = "text") -> DataFrame:
     """All columns of docs, then column, a struct (lang_pred, score); one row per row of docs.
 

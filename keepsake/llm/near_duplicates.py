@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.llm._shared import text_slices, written
+from keepsake.llm._shared import take_over, text_slices, written
 
 SHINGLE, PERCENT = 4, 80
 GROUPS, ROWS = 18, 3
@@ -91,6 +91,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """doc_id, n (size of the set), print (128 bits that stand for the set) and groups of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("near duplicates", _words.clear)
         for keys, texts in text_slices(batches):
             n, marks, groups = [], [], []
             for t in texts:
@@ -123,6 +124,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, key: str = "doc_id", text: str
     """node, print, values (the set's hashes as bytes) of the given nodes: (node, print)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("near duplicates", _words.clear)
         for keys, texts in text_slices(batches):
             sets = [shingles(t) for t in texts]
             yield pa.RecordBatch.from_arrays([keys, pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "made", "values"])
@@ -228,7 +230,7 @@ def open_pairs(rows: DataFrame, described: DataFrame, counts: DataFrame) -> Data
     Two nodes of small components are a pair (a, b), reported by the first bucket in which they meet. A node and a
     large component (more than SMALL members) are a question (a, label), for all of its members. Pairs whose sizes exclude a link
     are left out, and so are pairs whose one-bit minhashes differ in more than FAR bits, which nodes of the similarity
-    that counts do once in 50,000 times. Large buckets are compared in blocks, each pair of blocks by itself.
+    that counts do once in 37,000 times. Large buckets are compared in blocks, each pair of blocks by itself.
     """
     sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET_BLOCK)).cast("long").alias("blocks"))
     placed = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from keepsake.llm._shared import text_slices
+from keepsake.llm._shared import take_over, text_slices
 from keepsake.llm.bpe import byte_characters
 
 # Fixed value: the pattern of byte-level BPE files.
@@ -192,12 +192,17 @@ class PrefixCounts:
         return next((n for n in range(reach, 0, -1) if self.count(n) <= limit), 0)
 
 
-@lru_cache(maxsize=2)
-def prefix_counter(path: str) -> PrefixCounter:
-    """One for each file and Python worker."""
+@lru_cache(maxsize=1)
+def _prefix_counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
+def prefix_counter(path: str) -> PrefixCounter:
+    """One for each Python worker, while that works on it."""
+    take_over("token counts", _prefix_counter.cache_clear)
+    return _prefix_counter(path)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_tokens, over_limit; one row per row of docs.
 
