@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm._shared import SPACES, written
@@ -93,8 +93,7 @@ def cutoffs(labelled: DataFrame, stratum: str = "lang", alpha: float = ALPHA, de
     sums = [F.sum(F.when(_above(rule, F.lit(c)), 1).otherwise(0)).alias(f"{rule}_{c}") for rule, (_, _, grid) in RULES.items() for c in grid]
     strata = labelled.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *sums).orderBy(F.desc("n"), F.asc("stratum")).limit(max_strata)
     tests = ", ".join(f"named_struct('rule', '{rule}', 'cutoff', {c}, 'x', {rule}_{c})" for rule, (_, _, grid) in RULES.items() for c in grid)
-    count = strata.agg(F.count(F.lit(1)).alias("strata"))
-    rows = strata.crossJoin(F.broadcast(count)).select("stratum", "n", "strata", F.expr(f"inline(array({tests}))"))
+    rows = strata.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).select("stratum", "n", "strata", F.expr(f"inline(array({tests}))"))
     rows = rows.where(F.col("x") <= F.col("n") * alpha).withColumn("p", binomial_tail("n", "x", alpha)).where(F.col("p") <= F.lit(delta) / (F.col("strata") * len(RULES)))
     return rows.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"cut_{rule}") for rule in RULES))
 
