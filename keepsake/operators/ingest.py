@@ -64,6 +64,12 @@ def validate(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     return judged.where(F.size("violations") == 0).drop("violations"), judged.where(F.size("violations") > 0)
 
 
+def parse_json(df: DataFrame, table: str) -> DataFrame:
+    """The table's JSON text columns as arrays, maps and structs; null where the text can't be read. Open-ended ones stay text."""
+    own = {key.partition(".")[2]: kind for key, kind in schema.JSON.items() if key.startswith(f"{table}.")}
+    return df.withColumns({c: F.from_json(c, kind) for c, kind in own.items() if c in df.columns})
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 

@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_last(order: Column) -> Column:
-    return order.asc_nulls_last()
-
-
 def thread_rollup(messages: DataFrame, thread: str, at: str, sender: str) -> DataFrame:
     """message_count, first_message_at, last_message_at and participant_count of each thread."""
     return messages.groupBy(thread).agg(F.count(F.lit(1)).alias("message_count"), F.min(at).alias("first_message_at"), F.max(at).alias("last_message_at"), F.count_distinct(sender).alias("participant_count"))

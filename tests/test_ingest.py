@@ -86,3 +86,11 @@ def test_dedup_and_upsert_are_idempotent(spark):
     after = ingest.upsert(batch, rows, ["id"])
     assert {(r.id, r.content_hash) for r in after.collect()} == {(1, "a"), (2, "a"), (3, "c"), (4, None), (5, None), (9, "n")}
     assert {tuple(r) for r in ingest.upsert(batch, after, ["id"]).collect()} == {tuple(r) for r in after.collect()}
+
+
+def test_json_columns(spark):
+    df = spark.createDataFrame([('{"+1": ["a", "b"]}',), ("broken",), (None,)], "reactions string")
+    assert [r.reactions for r in ingest.parse_json(df, "chat_messages").collect()][0] == {"+1": ["a", "b"]}
+    notes = spark.createDataFrame([('[{"entity_type": "person", "entity_id": "7"}]',)], "linked_entities string")
+    [r] = ingest.parse_json(notes, "knowledge_notes").collect()
+    assert (r.linked_entities[0].entity_type, r.linked_entities[0].entity_id) == ("person", "7")
