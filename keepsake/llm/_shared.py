@@ -34,42 +34,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, safe from lost executors, and with no lineage."""
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, safe from lost executors, and with no lineage.
+
+    files is how many its rows are worth at most; without it, as many as df has partitions.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Removes a table that written() made and that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if folder.startswith(shared_folder(spark)):
-            place = jvm.org.apache.hadoop.fs.Path(folder)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Characters of text that a worker takes up at a time; a longer text is taken alone.
-AT_ONCE = 2_000_000
+#: Characters and rows of text that a worker takes up at a time; a longer text is taken alone.
+AT_ONCE, ROWS_AT_ONCE = 2_000_000, 1_000
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", key: str = "key") -> Iterator[tuple[pa.Array, list[str | None]]]:
     """(keys, texts) of consecutive rows with about AT_ONCE characters, so that memory doesn't follow Arrow's batches."""
     for batch in batches:
-        texts = batch.column(column).to_pylist()
-        keys, start, total = batch.column(key), 0, 0
-        for i, t in enumerate(texts):
-            total += len(t or "")
-            if total >= AT_ONCE or i == len(texts) - 1:
-                yield keys.slice(start, i + 1 - start), texts[start : i + 1]
-                start, total = i + 1, 0
+        for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(first, ROWS_AT_ONCE)
+            keys, texts = part.column(key), part.column(column).to_pylist()
+            start = total = 0
+            for i, t in enumerate(texts):
+                total += len(t or "")
+                if total >= AT_ONCE or i == len(texts) - 1:
+                    yield keys.slice(start, i + 1 - start), texts[start : i + 1]
+                    start, total = i + 1, 0
 
 
 _owner: tuple[str, Callable[[], None]] | None = None

@@ -15,6 +15,7 @@ confirmations and the comparisons of the few nodes that stay outside, not n squa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import combinations
@@ -30,7 +31,10 @@ SHINGLE, PERCENT = 4, 80
 GROUPS, ROWS = 18, 3
 #: Parts that a frequent key's rows are dealt to.
 SALTS = 16
-MAX_ROUNDS = 6
+#: Rounds at most; a round that confirms a smaller share of its proposals is the last.
+MAX_ROUNDS, ENOUGH_PERCENT = 6, 10
+#: Rows of the loops' tables that are worth a file, and rows of the table of buckets that a node has (about).
+ROWS_A_FILE, ROWS_A_NODE = 200_000, 60
 #: Members of components that are compared pair by pair; of larger ones, members and questioners compared at a time.
 SMALL, BLOCK, ASKED = 16, 512, 2048
 #: Nodes of a bucket that are compared at a time; one-bit minhashes, and differing ones of a pair at most.
@@ -150,24 +154,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame, files: int) -> DataFrame:
     """labels (node, label) after the components that links (a, b) join have become one; a label is the least node of its component.
 
     Each step every label takes the least label next to it, pointers are followed a few times, and links between
     equal labels go; the others are links between labels, fewer each time.
     """
     left, right = (labels.select(F.col("node").alias(k), F.col("label").alias(v)) for k, v in (("a", "u"), ("b", "v")))
-    rest = written(links.join(left, "a").join(right, "b").where("u <> v").select("u", "v").distinct(), "links")
+    rest = written(links.join(left, "a").join(right, "b").where("u <> v").select("u", "v").distinct(), "links", files)
     while not rest.isEmpty():
         both = rest.union(rest.select("v", "u"))
-        to = written(both.groupBy(F.col("u").alias("old")).agg(F.min("v").alias("v")).select("old", F.least("old", "v").alias("new")), "pointers")
+        to = written(both.groupBy(F.col("u").alias("old")).agg(F.min("v").alias("v")).select("old", F.least("old", "v").alias("new")), "pointers", files)
         for _ in range(3):
             again = to.select(F.col("old").alias("new"), F.col("new").alias("far"))
             to = to.join(again, "new", "left").select("old", F.coalesce("far", "new").alias("new"))
-        to = written(to, "pointers")
-        labels = written(labels.join(to, labels["label"] == to["old"], "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+        to = written(to, "pointers", files)
+        labels = written(labels.join(to, labels["label"] == to["old"], "left").select("node", F.coalesce("new", "label").alias("label")), "labels", files)
         u, v = to.select(F.col("old").alias("u"), F.col("new").alias("x")), to.select(F.col("old").alias("v"), F.col("new").alias("y"))
-        rest = written(rest.join(u, "u").join(v, "v").where("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "links")
+        rest = written(rest.join(u, "u").join(v, "v").where("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "links", files)
     return labels
 
 
@@ -362,27 +366,30 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     moved = None
     if not rows.isEmpty():
         labels = written(labels, "labels")
+        count = labels.count()
+        # the loops' tables are small beside the texts; files for their rows, whatever the shuffles are cut into
+        files, row_files = (max(drawn.sparkSession.sparkContext.defaultParallelism, math.ceil(x * count / ROWS_A_FILE)) for x in (1, ROWS_A_NODE))
         sets = written(full_sets(docs, nodes.join(labels, "node", "left_semi").select("node", "print"), key, text), "sets")
         tested = None
         for turn in range(MAX_ROUNDS):
-            mixed_rows = written(mixed_buckets(rows, labels), "mixed")
+            mixed_rows = written(mixed_buckets(rows, labels), "mixed", row_files)
             if mixed_rows.isEmpty():
                 break
             pairs = proposals(mixed_rows, turn)
-            pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            links = written(confirmed(pairs, sets), "confirmed")
+            pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs", files)
+            links = written(confirmed(pairs, sets), "confirmed", files)
             tested = pairs if tested is None else tested.union(pairs)
             found = links.count()
             if found:
-                labels = merged(labels, links)
+                labels = merged(labels, links, files)
             rows = mixed_rows.select("key", "t", "node", "n")
-            if turn and 100 * found < pairs.count() * 2:
+            if turn and 100 * found < pairs.count() * ENOUGH_PERCENT:
                 break
-        last = written(mixed_buckets(rows, labels), "mixed")
+        last = written(mixed_buckets(rows, labels), "mixed", row_files)
         if not last.isEmpty():
-            counts = written(labels.groupBy("label").agg(F.count(F.lit(1)).alias("c")), "counts")
+            counts = written(labels.groupBy("label").agg(F.count(F.lit(1)).alias("c")), "counts", files)
             left = written(open_pairs(last, with_bits(sets, last), counts), "open")
-            labels = merged(labels, written(answers(left, labels, counts, sets, tested), "confirmed"))
+            labels = merged(labels, written(answers(left, labels, counts, sets, tested), "confirmed"), files)
         moved = labels.where("node <> label")
     found = nodes.select("print", "node", "copies")
     found = found.join(moved, "node", "left") if moved is not None else found.withColumn("label", F.lit(None).cast("long"))

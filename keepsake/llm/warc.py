@@ -39,7 +39,6 @@ SALTS = 32
 ARCHIVE_BYTES = 128 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CHUNK = 1 << 20
 
 
 @dataclass
