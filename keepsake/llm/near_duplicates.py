@@ -246,6 +246,8 @@ def open_pairs(rows: DataFrame, described: DataFrame, counts: DataFrame) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
+            if not b.num_rows:
+                continue
             # the last bucket of a batch may go on in the next one
             whole = pa.Table.from_batches([*held, b]).combine_chunks()
             keys = np.stack([whole.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
