@@ -15,6 +15,8 @@ from keepsake.llm.queries import tokenizer
 
 #: A stage's own column, which no table has.
 MARK = "_keepsake_mark"
+#: Runs that a packing worker remembers: fewer than by itself, as idle workers of other stages may stand beside it.
+REMEMBERED = 400_000
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
+    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [("language_id", identified), ("toxicity", harmless), ("near_duplicates", single), ("packing", packed)]

@@ -179,7 +179,8 @@ def merge_words(flat: np.ndarray, length: np.ndarray, table: PairTable) -> tuple
 class WordBPE:
     """Encoder and decoder for a tokenizer file of the kind "lower-cased words with an end mark"."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -229,7 +230,7 @@ class WordBPE:
 
     def learn(self, runs: Iterable[list[str]]) -> dict[str, bytes]:
         """Sees to it that the ids of short runs are remembered; returns those of the others."""
-        if len(self.runs) > REMEMBERED:
+        if len(self.runs) > self.remembered:
             self.runs.clear()
         known = self.runs
         different: set[str] = set()
@@ -294,14 +295,14 @@ def unpacked(raw: bytes) -> array:
 
 
 @lru_cache(maxsize=1)
-def _word_bpe(path: str) -> WordBPE:
-    return WordBPE(path)
+def _word_bpe(path: str, remembered: int) -> WordBPE:
+    return WordBPE(path, remembered)
 
 
-def word_bpe(path: str) -> WordBPE:
+def word_bpe(path: str, remembered: int = REMEMBERED) -> WordBPE:
     """One for each Python worker, while that works on it."""
     take_over("bpe", _word_bpe.cache_clear)
-    return _word_bpe(path)
+    return _word_bpe(path, remembered)
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

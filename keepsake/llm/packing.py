@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from keepsake.llm._shared import text_slices
-from keepsake.llm.bpe import word_bpe
+from keepsake.llm.bpe import REMEMBERED, word_bpe
 
 #: Tokens, segments and loss-bearing tokens of a sequence at most.
 LIMITS = (2048, 256, 2048)
@@ -71,17 +71,17 @@ def loss_tokens(length: np.ndarray) -> np.ndarray:
     return length - 1
 
 
-def pack_documents(docs: DataFrame, path: str, limits: Sequence[int] = LIMITS, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, limits: Sequence[int] = LIMITS, end_id: int = END_ID, key: str = "doc_id", text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and end_id (null and empty texts: end_id alone). Pieces lie in a sequence in the order in
-    which they were read. Null or repeated keys pass through, other columns are left out, an empty table gives an empty
+    which they were read. remembered bounds a worker's dictionary of runs. Null or repeated keys pass through, other columns are left out, an empty table gives an empty
     one. Nothing is shuffled; a task that runs again reads the same rows and so numbers the same sequences.
     """
     most = int(limits[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(path)
+        bpe = word_bpe(path, remembered)
         end = end_id.to_bytes(4, "little")
         first = TaskContext.get().partitionId() * PER_TASK
         keys, rows = [], []  # of the window: its keys, and (place of the key, start, length, crc, tokens of the document)
