@@ -84,9 +84,9 @@ def link_order(spark, d):
 def during_span(spark, d):
     at = times.epoch_seconds(F.col("o_orderdate"))
     k = F.col("o_orderkey")
-    spans = table(spark, d, "orders").where("o_orderkey % 4 = 1 OR o_orderkey % 400 = 0").select(k.alias("span"), (F.col("o_custkey") % 50).alias("person"), at.alias("start"), F.when(k % 10 != 0, at + 86400 * (k % 5 + 1)).alias("finish"))
-    points = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", (F.col("l_suppkey") % 50).alias("person"), times.epoch_seconds(F.col("l_shipdate")).alias("at"))
-    return joins.during(points, spans, "at", "start", "finish", 30 * 86400, ["person"]).select("span", "l_orderkey")
+    spans = table(spark, d, "orders").select(k.alias("span"), (F.col("o_custkey") % 50).alias("person"), at.alias("start"), F.when(k % 10 != 0, at + 86400 * (k % 5 + 1)).alias("finish"))
+    points = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 50).alias("person"), times.epoch_seconds(F.col("l_shipdate")).alias("at"))
+    return joins.during(points, spans, "at", "start", "finish", 30 * 86400, ["person"]).select("span", "l_orderkey", "l_linenumber")
 
 
 _GEO = "(SELECT c_custkey AS id, (c_custkey * 7919 % 18000) / 100.0 - 90 AS lat, (c_custkey * 104729 % 36000) / 100.0 - 180 AS lon FROM customer)"
