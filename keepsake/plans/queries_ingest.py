@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keepsake import schema
 from keepsake.functions import measures, recurrence, texts, times
-from keepsake.operators import entities, ingest
+from keepsake.operators import entities, ingest, joins
 from keepsake.plans.registry import Book, table
 
 book = Book()
@@ -242,10 +242,8 @@ def box_area(spark, d):
 
 @book.query("SELECT a.p_partkey AS a, b.p_partkey AS b, bit_count(xor(a.p_partkey * 2654435761 % 1048576, b.p_partkey * 2654435761 % 1048576))::INT AS distance FROM part a JOIN part b ON a.p_partkey % 100 = b.p_partkey % 100 AND a.p_partkey < b.p_partkey WHERE bit_count(xor(a.p_partkey * 2654435761 % 1048576, b.p_partkey * 2654435761 % 1048576)) <= 6")
 def hamming_pairs(spark, d):
-    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 2654435761 % 1048576).alias("h"), (F.col("p_partkey") % 100).alias("g"))
-    b = p.select(F.col("p_partkey").alias("b"), F.col("h").alias("hb"), "g")
-    pairs = p.withColumnsRenamed({"p_partkey": "a", "h": "ha"}).join(b, "g").where("a < b")
-    return pairs.select("a", "b", measures.hamming(F.col("ha"), F.col("hb")).alias("distance")).where("distance <= 6")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 2654435761 % 1048576).alias("h"))
+    return joins.hamming_pairs(p, 20, 6)
 
 
 @book.query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 3) AS metres FROM (SELECT n_nationkey, n_nationkey * 7.0 - 80 AS lat, n_nationkey * 13.0 - 170 AS lon FROM nation) a JOIN (SELECT n_nationkey, n_nationkey * 7.0 - 80 AS lat, n_nationkey * 13.0 - 170 AS lon FROM nation) b ON b.n_nationkey = (a.n_nationkey + 1) % 25")

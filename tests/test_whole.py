@@ -8,6 +8,7 @@ import os
 
 import pytest
 
+from keepsake.operators import joins
 from keepsake.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,20 @@ def test_during_span_takes_all_orders_and_line_items(spark):
     p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 50 AS person, epoch_us(l_shipdate) // 1000000 AS sec FROM lineitem)
     SELECT span, l_orderkey, l_linenumber FROM s JOIN p ON s.person = p.person AND sec >= start AND (finish IS NULL OR sec < finish)""")
     assert rows_of(catalogue.QUERIES["during_span"](spark, SF)) == want and want
+
+
+@tables
+def test_hamming_pairs_takes_all_parts(spark):
+    want = rows_of_sql("SELECT a.p_partkey AS a, b.p_partkey AS b, bit_count(xor(a.p_partkey * 2654435761 % 1048576, b.p_partkey * 2654435761 % 1048576))::INT AS distance FROM part a JOIN part b ON a.p_partkey < b.p_partkey WHERE bit_count(xor(a.p_partkey * 2654435761 % 1048576, b.p_partkey * 2654435761 % 1048576)) <= 6")
+    assert rows_of(catalogue.QUERIES["hamming_pairs"](spark, SF)) == want and want
+
+
+def test_hamming_pairs_match_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    hashes = [rng.randrange(1 << 9) for _ in range(120)] + [7, 7, 0, 511]
+    df = spark.createDataFrame(list(enumerate(hashes)), "id long, h long")
+    for most in (0, 1, 3, 4):
+        want = sorted((a, b, (x ^ y).bit_count()) for a, x in enumerate(hashes) for b, y in enumerate(hashes) if a < b and (x ^ y).bit_count() <= most)
+        assert rows_of(joins.hamming_pairs(df, 9, most)) == want and want
