@@ -3,7 +3,8 @@
 A word is the average of the embeddings of its character n-grams (hashed to a table of buckets), a window of words the
 average of its words, and a linear softmax over that average tells toxic windows from others. Table and softmax are
 trained jointly in numpy by Adagrad, so that a misspelling or an inflection that was never seen lies where its n-grams
-put it. A document is as toxic as its most toxic window, wherever that is in the text.
+put it. A document is as toxic as its most toxic window, wherever that is in the text. Long runs without white space are
+split into words and slices, all of which count.
 
 Only documents are labelled. Training begins with windows under their document's label; then the windows that the
 model itself ranks highest stand for each document: the first of a toxic document, the first few of a clean one. The
@@ -16,6 +17,7 @@ As everything is linear, a word's part in the logit is one number, which a worke
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -42,11 +44,36 @@ MAX_PER_CLASS, MAX_CHARACTERS = 1500, 200_000
 HELD_OUT, FOLDS, THRESHOLD = 1, 3, 0.7
 REMEMBERED, LONGEST = 300_000, 64
 EDGES = ".,;:!?\"'()[]{}<>|/\\#*$%&-_~`"
+#: Runs of text over LONGEST characters are split at punctuation; slices of what has none, and how far they are apart.
+BETWEEN, SLICE, STEP = re.compile(r"[!-/:-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2010-\u205e\u3001-\u3003\u3008-\u301f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+"), 12, 4
+
+
+def words(text: str) -> list[str]:
+    """The runs of a text between white space; what is longer than LONGEST characters is split at punctuation, and what stays longer is cut
+    into overlapping slices. A blank at an end of a slice says that the word goes on there.
+    """
+    runs = text.split()
+    if not runs or len(max(runs, key=len)) <= LONGEST:
+        return runs
+    return [p for r in runs for p in ([r] if len(r) <= LONGEST else _pieces(r))]
+
+
+def _pieces(run: str) -> list[str]:
+    out = []
+    for w in filter(None, BETWEEN.split(run)):
+        if len(w) <= LONGEST:
+            out.append(w)
+            continue
+        for k in range(0, len(w) - SLICE + STEP, STEP):
+            out.append(f"{' ' if k else ''}{w[k : k + SLICE]}{' ' if k + SLICE < len(w) else ''}")
+    return out or [""]
 
 
 def grams(run: str) -> list[int]:
-    """Buckets of the n-grams of one run of text, in lower case, without punctuation at its ends."""
-    word = f"<{run.strip(EDGES).lower()[:LONGEST]}>"
+    """Buckets of the n-grams of one word of words(), in lower case, without punctuation at its ends."""
+    word = f"<{run.strip(EDGES).lower()}>"
+    if " " in word:
+        word = word.replace("< ", "").replace(" >", "")
     raw = [word[i : i + n] for n in range(SHORTEST, LONGEST_GRAM + 1) for i in range(len(word) - n + 1)] or [word]
     return [zlib.crc32(g.encode("utf-8")) % BUCKETS for g in raw]
 
@@ -81,7 +108,7 @@ class _Words:
 
     def __init__(self, texts: list[str]):
         number: dict[str, int] = {}
-        self.docs = [np.array([number.setdefault(r, len(number)) for r in t.split()], dtype=np.int64) for t in texts]
+        self.docs = [np.array([number.setdefault(r, len(number)) for r in words(t)], dtype=np.int64) for t in texts]
         own, length = array("i"), array("i")
         for r in number:
             found = grams(r)
@@ -289,7 +316,7 @@ class Scorer:
             return 0.0
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, runs = self.known, (text or "").split()
+        known, runs = self.known, words(text or "")
         for r in set(runs):
             if r not in known:
                 known[r] = self.part(r)

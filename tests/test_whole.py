@@ -5,9 +5,11 @@ The SQL in here has no cuts; that in the catalogue still has some.
 
 import glob
 import os
+import zlib
 
 import pytest
 
+from keepsake.llm import toxicity
 from keepsake.operators import joins
 from keepsake.plans import catalogue
 
@@ -53,3 +55,22 @@ def test_hamming_pairs_match_a_plain_loop(spark):
     for most in (0, 1, 3, 4):
         want = sorted((a, b, (x ^ y).bit_count()) for a, x in enumerate(hashes) for b, y in enumerate(hashes) if a < b and (x ^ y).bit_count() <= most)
         assert rows_of(joins.hamming_pairs(df, 9, most)) == want and want
+
+
+def test_toxicity_sees_all_of_a_text_without_white_space():
+    rows = [(i, " ".join(["lorem", "dolor", "sita", "amet"] * 8 + (["wretch", "vermin"] if i % 3 == 0 else ["ipsum", "conis"])), int(i % 3 == 0)) for i in range(120)]
+    scorer = toxicity.Scorer(toxicity.fit([t for _, t, _ in rows], [c for _, _, c in rows]))
+    for joint in "/_.-,":
+        clean = joint.join(["lorem", "dolor", "sita", "amet"] * 30)
+        assert scorer.score(clean) < 0.5 and scorer.score(clean + joint + "wretch" + joint + "vermin") >= 0.7
+    clean = "loremdolorsitaamet" * 30
+    assert scorer.score(clean + "wretchvermin" + clean) > scorer.score(clean + clean)
+    assert scorer.score("wretch " + "-" * 80) == scorer.score("wretch -")
+
+
+def test_slices_of_long_words_have_all_their_grams_and_no_others():
+    for n in (65, 66, 67, 68, 69, 200):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        marked = f"<{word}>"
+        want = {zlib.crc32(marked[i : i + k].encode()) % toxicity.BUCKETS for k in range(3, 6) for i in range(len(marked) - k + 1)}
+        assert {g for w in toxicity.words(word) for g in toxicity.grams(w)} == want
