@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Levels after which a chain counts as a cycle.
-MAX_DEPTH = 64
-
 
 def held(df: DataFrame) -> DataFrame:
     """df as a table in the folder of spark.checkpoint.dir, so that loops have no growing lineage and lost executors lose nothing."""
@@ -26,22 +23,26 @@ def held(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tree(df: DataFrame, node: str, parent: str, name: str, separator: str = "/") -> DataFrame:
-    """node, root, depth (0 at a root), path: of all nodes that a root reaches. A null or unknown parent makes a root.
+def tree(df: DataFrame, node: str, parent: str, name: str | None = None, separator: str = "/") -> DataFrame:
+    """node, root, depth (0 at a root), and with a name path: of all nodes that a root reaches. A null or unknown parent makes a root; nodes are unique.
 
-    A level a step: each joins the nodes below the last level, so that a tree costs one join a level. Cycles have no root and are left out.
+    Pointers of pointers: a round doubles the way that each node knows, so that a chain costs the logarithm of its length. The rounds
+    end when no node has come to a root, as a deeper one would have nodes above it that had. Cycles have no root and are left out.
     """
-    rows = df.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(name).cast("string").alias("name"))
-    known = rows.select(F.col("node").alias("parent"))
-    roots = rows.join(known, "parent", "left_anti")
-    level = held(roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.col("name").alias("path")))
-    out = level
-    for depth in range(1, MAX_DEPTH):
-        above = level.select(F.col("node").alias("parent"), "root", F.col("path").alias("above"))
-        level = held(rows.join(above, "parent").select("node", "root", F.lit(depth).alias("depth"), F.concat_ws(separator, "above", "name").alias("path")))
-        if level.isEmpty():
+    rows = df.select(F.col(node).alias("node"), F.col(parent).alias("parent"), *([F.col(name).cast("string").alias("path")] if name else []))
+    known = rows.select(F.col("node").alias("parent"), F.lit(True).alias("_known"))
+    at = held(rows.join(known, "parent", "left").select("node", F.when(F.col("_known"), F.col("parent")).alias("to"), F.when(F.col("_known"), 1).otherwise(0).alias("depth"), *rows.columns[2:]))
+    path = [F.concat_ws(separator, "above.path", "path").alias("path")] if name else []
+    out = held(at.where("to IS NULL").withColumn("root", F.col("node")).select("node", "root", "depth", *rows.columns[2:]))
+    open_ = at.where("to IS NOT NULL")
+    for _ in range(open_.count().bit_length()):  # no way is longer than there are nodes on it
+        far = out.withColumn("far", F.lit(None).cast(at.schema["to"].dataType)).unionByName(open_.withColumn("root", F.lit(None).cast(at.schema["node"].dataType)).withColumnRenamed("to", "far"))
+        far = far.select(F.col("node").alias("to"), F.struct("far", "root", "depth", *rows.columns[2:]).alias("above"))
+        step = held(open_.join(far, "to").select("node", F.col("above.far").alias("to"), F.col("above.root").alias("root"), (F.col("depth") + F.col("above.depth")).alias("depth"), *path))
+        ended, open_ = step.where("to IS NULL").drop("to"), step.where("to IS NOT NULL").drop("root")
+        if ended.isEmpty():
             break
-        out = out.unionByName(level)
+        out = out.unionByName(ended)
     return out
 
 
@@ -55,16 +56,29 @@ def subtree_totals(paths: DataFrame, counts: DataFrame, node: str, value: str, s
 
 def canonical(df: DataFrame, node: str, merged_into: str) -> DataFrame:
     """node and canonical: the end of each chain of merges, by following pointers of pointers. A chain that runs into a cycle ends at its least node."""
-    at = held(df.select(F.col(node).alias("node"), F.coalesce(merged_into, node).alias("to")))
-    for _ in range(MAX_DEPTH.bit_length()):
-        nxt = at.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        step = held(at.join(nxt, "to", "left").select("node", F.coalesce("far", "to").alias("to"), (F.coalesce("far", "to") != F.col("to")).alias("_moved")))
-        moved = not step.where("_moved").isEmpty()
-        at = step.select("node", "to")
-        if not moved:
-            return at.select("node", F.col("to").alias("canonical"))
-    ring = at.groupBy("to").agg(F.min("node").alias("least"))
-    return at.join(ring, "to").select("node", F.least("to", "least").alias("canonical"))
+    own = df.select(F.col(node).alias("node"), F.coalesce(merged_into, node).alias("to"))
+    known = own.select(F.col("node").alias("to"), F.lit(True).alias("_known"))
+    at = held(own.join(known, "to", "left").select("node", "to", (F.col("_known").isNull() | F.col("node").eqNullSafe(F.col("to"))).alias("ended")))
+    done, first = at.where("ended"), at.where("NOT ended")
+    open_ = first
+    for _ in range(first.count().bit_length()):
+        far = done.union(open_).select(F.col("node").alias("to"), F.col("to").alias("far"), "ended")
+        step = held(open_.drop("ended").join(far, "to").select("node", F.col("far").alias("to"), "ended"))
+        ended, open_ = step.where("ended"), step.where("NOT ended")
+        if ended.isEmpty():
+            break
+        done = done.unionByName(ended)
+    out = done.select("node", F.col("to").alias("canonical"))
+    rings = open_.count()
+    if not rings:
+        return out
+    # what is left leads into a cycle: after as many steps as there are nodes, each has gone round, and knows the least node on its way
+    ring = held(first.join(open_.select("node"), "node", "left_semi").select("node", "to", F.col("to").alias("least")))
+    for _ in range(rings.bit_length()):
+        far = ring.select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("least").alias("low"))
+        ring = held(ring.join(far, "to").select("node", F.col("far").alias("to"), F.least("least", "low").alias("least")))
+    ends = ring.select(F.col("node").alias("to"), F.col("least").alias("canonical"))
+    return out.unionByName(ring.select("node", "to").join(ends, "to").select("node", "canonical"))
 
 
 def symmetric(links: DataFrame, both: list[str]) -> DataFrame:

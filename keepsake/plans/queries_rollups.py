@@ -285,8 +285,8 @@ def folder_totals(spark, d):
 def reply_chains(spark, d):
     c = table(spark, d, "conversations")
     node = F.concat("conv_id", F.lit(":"), "turn")
-    rows = c.select(node.alias("node"), F.when(F.col("turn") > 0, F.concat("conv_id", F.lit(":"), F.col("turn") - 1)).alias("parent"), F.col("turn").cast("string").alias("name"))
-    return graph.tree(rows, "node", "parent", "name").select("node", "root", "depth")
+    rows = c.select(node.alias("node"), F.when(F.col("turn") > 0, F.concat("conv_id", F.lit(":"), F.col("turn") - 1)).alias("parent"))
+    return graph.tree(rows, "node", "parent")
 
 
 @book.query("WITH RECURSIVE t AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 3 = 0 THEN c_custkey // 3 ELSE c_custkey END AS up FROM customer WHERE c_custkey > 0), r AS (SELECT node, up FROM t UNION SELECT r.node, t.up FROM r JOIN t ON r.up = t.node) SELECT node, min(up) AS canonical FROM r GROUP BY node")

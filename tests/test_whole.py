@@ -10,7 +10,7 @@ import zlib
 import pytest
 
 from keepsake.llm import toxicity
-from keepsake.operators import joins
+from keepsake.operators import graph, joins
 from keepsake.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +74,24 @@ def test_slices_of_long_words_have_all_their_grams_and_no_others():
         marked = f"<{word}>"
         want = {zlib.crc32(marked[i : i + k].encode()) % toxicity.BUCKETS for k in range(3, 6) for i in range(len(marked) - k + 1)}
         assert {g for w in toxicity.words(word) for g in toxicity.grams(w)} == want
+
+
+def test_trees_of_any_depth_keep_all_nodes(spark):
+    n = 300
+    rows = [(i, i - 1 if i else None, str(i)) for i in range(n)] + [(1000 + i, i, "leaf") for i in range(n)] + [(5000, 5001, "x"), (5001, 5002, "y"), (5002, 5000, "z"), (5003, 5002, "tail")]
+    df = spark.createDataFrame(rows, "n int, p int, name string")
+    path = lambda i: "/".join(map(str, range(i + 1)))
+    want = [(i, 0, i, path(i)) for i in range(n)] + [(1000 + i, 0, i + 1, path(i) + "/leaf") for i in range(n)]
+    assert sorted((r.node, r.root, r.depth, r.path) for r in graph.tree(df, "n", "p", "name").collect()) == want
+    assert sorted((r.node, r.root, r.depth) for r in graph.tree(df, "n", "p").collect()) == [x[:3] for x in want]
+
+
+def test_merge_chains_of_any_length_end_at_the_last_person(spark):
+    n = 300
+    ring = [(1000 + i, 1000 + (i + 1) % 6) for i in range(6)] + [(2000, 2001), (2001, 2000)]
+    rows = [(i, i - 1 if i else None) for i in range(n)] + ring + [(3000, 1003)] + [(3001 + i, 3000 + i) for i in range(150)] + [(9, 8000)]
+    rows = [r for r in rows if r != (9, 8)]
+    df = spark.createDataFrame(rows, "n int, into int")
+    want = {i: 0 if i < 9 else 8000 for i in range(n)} | dict.fromkeys(range(1000, 1006), 1000) | {2000: 2000, 2001: 2000} | dict.fromkeys(range(3000, 3151), 1000)
+    got = graph.canonical(df, "n", "into").collect()
+    assert len(got) == len(want) and {r.node: r.canonical for r in got} == want
