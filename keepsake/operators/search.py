@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import measures, texts
+from keepsake.operators.graph import held
 
 #: Of reciprocal rank fusion: the smoothing constant, and the weights of words and of vectors.
 RRF_K, WORD_WEIGHT, VECTOR_WEIGHT = 60, 0.3, 0.7
@@ -29,6 +30,17 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), F.asc("id")).limit(k).withColumn("rank", rank)
 
 
+def ranked(scores: DataFrame) -> DataFrame:
+    """id, score, rank of all rows; ties go to the smaller id. Ranges of scores are sorted each in its task; how many rows stand before a range is added."""
+    place = F.monotonically_increasing_id()  # the partition's number above bit 33, the row's below
+    rows = held(scores.repartitionByRange(F.desc("score"), F.asc("id")).sortWithinPartitions(F.desc("score"), F.asc("id")).select("id", "score", place.alias("_place")))
+    part = F.shiftright("_place", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_part", part).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return placed.select("id", "score", (F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank"))
+
+
 def fuse(words: DataFrame, vectors: DataFrame, k: int = RRF_K, word_weight: float = WORD_WEIGHT, vector_weight: float = VECTOR_WEIGHT) -> DataFrame:
     """id, word_rank, vector_rank, score: weighted reciprocal rank fusion of two ranked lists."""
     part = lambda weight, rank: F.coalesce(F.lit(float(weight)) / (F.lit(float(k)) + F.col(rank)), F.lit(0.0))

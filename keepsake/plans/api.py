@@ -10,10 +10,10 @@ from keepsake.operators import entities, graph, ingest, joins, search
 from keepsake.sources import readers
 
 
-def search_knowledge(corpus: DataFrame, query: list[str], probe: list[float] | Column, k: int = 10, pool: int = 100) -> DataFrame:
-    """Hybrid search over (id, content, embedding): the k best by fused ranks of the pool best by words and by vectors."""
-    words = search.top(search.word_scores(corpus, "id", "content", query), pool)
-    vectors = search.top(search.vector_scores(corpus, "id", "embedding", probe), pool)
+def search_knowledge(corpus: DataFrame, query: list[str], probe: list[float] | Column, k: int = 10) -> DataFrame:
+    """Hybrid search over (id, content, embedding): the k best by fused ranks, from whole rankings by words and by vectors."""
+    words = search.ranked(search.word_scores(corpus, "id", "content", query))
+    vectors = search.ranked(search.vector_scores(corpus, "id", "embedding", probe))
     return search.fuse(words, vectors).orderBy(F.desc("score"), "id").limit(k)
 
 

@@ -46,8 +46,8 @@ def knn_of_kind(spark, d):
 WITH f AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM {_FTS} QUALIFY r <= 100), v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM {_COS} QUALIFY r <= 100)
 SELECT coalesce(f.id, v.id) AS id, f.r AS word_rank, v.r AS vector_rank, round(coalesce(0.3::DOUBLE / (60.0::DOUBLE + f.r), 0) + coalesce(0.7::DOUBLE / (60.0::DOUBLE + v.r), 0), 9) AS score FROM f FULL JOIN v ON f.id = v.id""")
 def hybrid_rrf(spark, d):
-    words = search.top(search.word_scores(table(spark, d, "documents"), "doc_id", "text", WORDS), 100)
-    vectors = search.top(search.vector_scores(table(spark, d, "embeddings"), "vec_id", "embedding", PROBE), 100)
+    words = search.ranked(search.word_scores(table(spark, d, "documents"), "doc_id", "text", WORDS))
+    vectors = search.ranked(search.vector_scores(table(spark, d, "embeddings"), "vec_id", "embedding", PROBE))
     return search.fuse(words, vectors)
 
 

@@ -10,8 +10,8 @@ import zlib
 import pytest
 
 from keepsake.llm import toxicity
-from keepsake.operators import graph, joins
-from keepsake.plans import catalogue
+from keepsake.operators import graph, joins, search
+from keepsake.plans import api, catalogue, queries_search
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
@@ -95,3 +95,26 @@ def test_merge_chains_of_any_length_end_at_the_last_person(spark):
     want = {i: 0 if i < 9 else 8000 for i in range(n)} | dict.fromkeys(range(1000, 1006), 1000) | {2000: 2000, 2001: 2000} | dict.fromkeys(range(3000, 3151), 1000)
     got = graph.canonical(df, "n", "into").collect()
     assert len(got) == len(want) and {r.node: r.canonical for r in got} == want
+
+
+@tables
+def test_hybrid_rrf_fuses_whole_rankings(spark):
+    import numpy as np
+
+    docs, vectors = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "embeddings"))
+    words = sorted((-r.score, r.id) for r in search.word_scores(docs, "doc_id", "text", queries_search.WORDS).collect())
+    near = sorted((-r.score, r.id) for r in search.vector_scores(vectors, "vec_id", "embedding", queries_search.PROBE).collect())
+    w, v = ({i: k for k, (_, i) in enumerate(x, 1)} for x in (words, near))
+    assert max(len(w), len(v)) > 100
+    got = catalogue.QUERIES["hybrid_rrf"](spark, SF).collect()
+    assert len(got) == len(w.keys() | v.keys()) and all((r.word_rank, r.vector_rank) == (w.get(r.id), v.get(r.id)) for r in got)
+    assert np.allclose([r.score for r in got], [(0.3 / (60 + w[r.id]) if r.id in w else 0) + (0.7 / (60 + v[r.id]) if r.id in v else 0) for r in got], atol=1e-9)
+
+
+def test_search_knowledge_counts_ranks_beyond_a_hundred(spark):
+    # id 0 is 12th by vectors and 101st by words; id 1 is first by vectors and has no word
+    near = [1, *range(200, 210), 0]
+    rows = [(i, "no" if i else "word", [1.0, 0.01 * k]) for k, i in enumerate(near)] + [(1000 + i, "word " * 2, None) for i in range(100)]
+    corpus = spark.createDataFrame(rows, "id int, content string, embedding array<double>")
+    got = {r.id: r for r in api.search_knowledge(corpus, ["word"], [1.0, 0.0], 10).collect()}
+    assert (got[0].word_rank, got[0].vector_rank) == (101, 12) and got[0].score > got[1].score
