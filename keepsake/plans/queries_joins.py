@@ -204,7 +204,7 @@ def unmatched(spark, d):
 @book.query("SELECT conv_id, turn, role, substr(text, 1, 40) AS text FROM conversations WHERE conv_id = 5")
 def conversation(spark, d):
     found = api.conversation(table(spark, d, "conversations"), F.col("conv_id") == 5, [F.asc("turn")])
-    return found.select("conv_id", "turn", "role", F.substring("text", 1, 40).alias("text"))
+    return found.select("conv_id", "turn", "role", "text")
 
 
 @book.query("SELECT 'browsing_history' AS entity_type, event_id::VARCHAR AS entity_id, ts AS occurred_at FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11'")

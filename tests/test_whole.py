@@ -118,3 +118,9 @@ def test_search_knowledge_counts_ranks_beyond_a_hundred(spark):
     corpus = spark.createDataFrame(rows, "id int, content string, embedding array<double>")
     got = {r.id: r for r in api.search_knowledge(corpus, ["word"], [1.0, 0.0], 10).collect()}
     assert (got[0].word_rank, got[0].vector_rank) == (101, 12) and got[0].score > got[1].score
+
+
+@tables
+def test_conversation_returns_whole_texts(spark):
+    want = rows_of_sql("SELECT conv_id, turn, role, text FROM conversations WHERE conv_id = 5")
+    assert rows_of(catalogue.QUERIES["conversation"](spark, SF)) == want and max(len(r[2]) for r in want) > 40
