@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm._shared import SPACES, written
@@ -32,8 +32,8 @@ RULES: dict[str, tuple[str, str, tuple[int, ...]]] = {
     "capitals": ("n_capitals", "word_chars", (900, 800, 700, 600, 500, 400, 300, 250, 200, 150)),
 }
 ALPHA, DELTA = 0.01, 0.05
-#: Strata with cutoffs at most: those with the most labels. Documents of others are kept.
-MAX_STRATA = 1000
+#: Certified strata up to which their cutoffs are broadcast; beyond, copies of each for a salted join.
+BROADCAST_STRATA, SALTS = 1000, 16
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals"]
 
 
@@ -86,14 +86,14 @@ def binomial_tail(n: str, x: str, alpha: float) -> Column:
     return F.expr(f"CASE WHEN ({x}) >= ({n}) THEN 1D WHEN ({x}) = 0 THEN exp(({n}) * {math.log1p(-alpha)!r}D) ELSE aggregate(sequence(1L, ({x})), {start}, (s, i) -> {merge}, s -> least(1D, exp(s.top) * s.sum)) END")
 
 
-def cutoffs(labelled: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, max_strata: int = MAX_STRATA) -> DataFrame:
+def cutoffs(labelled: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """labelled has figures and a stratum for every good labelled document that passes the base rules. Returns one row
-    per certified stratum: stratum, then each rule's strictest certified cutoff or null. At most max_strata rows.
+    per certified stratum: stratum, then each rule's strictest certified cutoff or null.
     """
     sums = [F.sum(F.when(_above(rule, F.lit(c)), 1).otherwise(0)).alias(f"{rule}_{c}") for rule, (_, _, grid) in RULES.items() for c in grid]
-    strata = labelled.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *sums).orderBy(F.desc("n"), F.asc("stratum")).limit(max_strata)
+    strata = written(labelled.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *sums), "strata")
     tests = ", ".join(f"named_struct('rule', '{rule}', 'cutoff', {c}, 'x', {rule}_{c})" for rule, (_, _, grid) in RULES.items() for c in grid)
-    rows = strata.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).select("stratum", "n", "strata", F.expr(f"inline(array({tests}))"))
+    rows = strata.withColumn("strata", F.lit(max(1, strata.count()))).select("stratum", "n", "strata", F.expr(f"inline(array({tests}))"))
     rows = rows.where(F.col("x") <= F.col("n") * alpha).withColumn("p", binomial_tail("n", "x", alpha)).where(F.col("p") <= F.lit(delta) / (F.col("strata") * len(RULES)))
     return rows.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"cut_{rule}") for rule in RULES))
 
@@ -108,8 +108,13 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     """
     held = written(figures(docs, keep=("doc_id", stratum)).withColumn("base_failed", base_failed()), "figures")
     good = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    cuts = cutoffs(held.where(~F.col("base_failed")).join(good, "doc_id", "left_semi"), stratum, alpha, delta)
-    rows = held.join(F.broadcast(cuts), held[stratum].eqNullSafe(cuts["stratum"]), "left")
+    cuts = written(cutoffs(held.where(~F.col("base_failed")).join(good, "doc_id", "left_semi"), stratum, alpha, delta), "cutoffs")
+    if cuts.count() <= BROADCAST_STRATA:
+        rows = held.join(F.broadcast(cuts), held[stratum].eqNullSafe(cuts["stratum"]), "left")
+    else:  # rows of a frequent stratum go to several tasks
+        salted = cuts.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = held.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+        rows = dealt.join(salted, dealt[stratum].eqNullSafe(salted["stratum"]) & (dealt["_salt"] == salted["_copy"]), "left")
     rejected = F.lit(False)
     for rule in RULES:
         rejected = rejected | F.coalesce(_above(rule, F.col(f"cut_{rule}")), F.lit(False))

@@ -9,7 +9,7 @@ import zlib
 
 import pytest
 
-from keepsake.llm import toxicity
+from keepsake.llm import quality_rules, toxicity
 from keepsake.operators import graph, joins, search
 from keepsake.plans import api, catalogue, queries_search
 
@@ -124,3 +124,11 @@ def test_search_knowledge_counts_ranks_beyond_a_hundred(spark):
 def test_conversation_returns_whole_texts(spark):
     want = rows_of_sql("SELECT conv_id, turn, role, text FROM conversations WHERE conv_id = 5")
     assert rows_of(catalogue.QUERIES["conversation"](spark, SF)) == want and max(len(r[2]) for r in want) > 40
+
+
+def test_quality_rules_give_cutoffs_to_every_stratum(spark):
+    body = "array_join(transform(sequence(1, 60), i -> concat('w', i, 'x', id)), ' ')"
+    docs = spark.range(1100 * 18).selectExpr("id AS doc_id", f"concat({body}, IF(id >= 1100 * 17, ' $ $ $ $ $ $ $ $ $', '')) AS text", "concat('l', id % 1100) AS lang")
+    labels = docs.where("doc_id < 1100 * 17").selectExpr("doc_id", "1 AS quality")
+    out = quality_rules.judge(docs, labels, alpha=0.5, delta=0.5).selectExpr("doc_id >= 1100 * 17 AS bad", "kept", "cut_symbols").groupBy("bad", "kept", "cut_symbols").count().collect()
+    assert {tuple(r) for r in out} == {(False, True, 50, 1100 * 17), (True, False, 50, 1100)}
