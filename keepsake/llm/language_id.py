@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from keepsake.llm._shared import take_over, text_slices
 
 UNKNOWN = "und"
-#: What is learned at most: languages (those with the most rows), rows of each (about), characters of its different words.
-MAX_LANGUAGES, MAX_ROWS, MAX_CHARACTERS = 64, 400, 80_000
+#: What is learned of each language at most: rows (about), characters of its different words. With more than FULL languages the characters
+#: are fewer, so that all together have FULL * MAX_CHARACTERS, but no language has less than LEAST_CHARACTERS.
+MAX_ROWS, MAX_CHARACTERS, FULL, LEAST_CHARACTERS = 400, 80_000, 64, 4_000
 REMEMBERED, LONGEST = 300_000, 64
 HOLDOUT, FOLDS = 0, 5
 letters = re.compile(r"[^\W\d_]+").findall
@@ -144,27 +145,28 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, max_characters: int = MAX_CHARACTERS, max_languages: int = MAX_LANGUAGES) -> dict[str, str]:
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, max_characters: int = MAX_CHARACTERS) -> dict[str, str]:
     """The text of each language, from rows whose key isn't in the held-out fold.
 
     Per language about max_rows rows, those with the least hash of their key (the share follows from the language's
-    count), are taken whole, in that order, until their different words have max_characters. Null languages, texts and
-    keys teach nothing.
+    count), are taken whole, in that order, until their different words have max_characters, or fewer where there are many
+    languages. Words over LONGEST letters are learned in pieces. Null languages, texts and keys teach nothing.
     """
     rows = docs.where(docs[key].isNotNull() & docs[lang].isNotNull() & (fold(docs[key], FOLDS) != HOLDOUT))
-    counts = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy(F.col(lang).alias("lang")).count().collect()
     if not counts:
         return {}
+    if len(counts) > FULL:
+        max_characters = min(max_characters, max(LEAST_CHARACTERS, FULL * max_characters // len(counts)))
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("language")), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for x in counts:
-        chosen = chosen | ((F.col(lang) == x["lang"]) & (place < F.lit(math.ceil(min(1.0, max_rows / x["count"]) * (1 << 30)))))
+    shares = docs.sparkSession.createDataFrame([(x["lang"], math.ceil(min(1.0, max_rows / x["count"]) * (1 << 30))) for x in counts], f"_lang {docs.schema[lang].dataType.simpleString()}, _share long")
+    taken = rows.join(F.broadcast(shares), (F.col(lang) == F.col("_lang")) & (place < F.col("_share")))
     words: dict[str, dict[str, None]] = {}
     sizes: dict[str, int] = {}
-    for r in rows.where(chosen & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place"), F.col(key).alias("key")).orderBy("place", "key", "text").toLocalIterator():
+    for r in taken.where(F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place"), F.col(key).alias("key")).orderBy("place", "key", "text").toLocalIterator():
         seen = words.setdefault(r["lang"], {})
-        for w in letters(r["text"].lower()):
-            if w not in seen and len(w) <= LONGEST and sizes.get(r["lang"], 0) < max_characters:
+        for w in (x[k : k + LONGEST] for x in letters(r["text"].lower()) for k in range(0, len(x), LONGEST)):
+            if w not in seen and sizes.get(r["lang"], 0) < max_characters:
                 seen[w] = None
                 sizes[r["lang"]] = sizes.get(r["lang"], 0) + len(w) + 1
     return {x: f" {' '.join(w)} " for x, w in words.items() if w}
@@ -185,7 +187,7 @@ def with_language(docs: DataFrame, learned: dict[str, str], column: str, text: s
     """All columns of docs, then column, a struct (lang_pred, score); one row per row of docs.
 
     A null text, one without a letter, and every text where nothing was learned is "und" with score 0. Nothing is
-    shuffled. What the workers get, the learned text, has at most MAX_LANGUAGES * MAX_CHARACTERS characters.
+    shuffled. What the workers get, the learned text, has about FULL * MAX_CHARACTERS characters at most, or LEAST_CHARACTERS a language.
     """
     held = docs.sparkSession.sparkContext.broadcast(tuple(sorted(learned.items())))
 

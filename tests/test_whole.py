@@ -9,7 +9,7 @@ import zlib
 
 import pytest
 
-from keepsake.llm import quality_rules, toxicity
+from keepsake.llm import language_id, quality_rules, toxicity
 from keepsake.operators import graph, joins, search
 from keepsake.plans import api, catalogue, queries_search
 
@@ -132,3 +132,11 @@ def test_quality_rules_give_cutoffs_to_every_stratum(spark):
     labels = docs.where("doc_id < 1100 * 17").selectExpr("doc_id", "1 AS quality")
     out = quality_rules.judge(docs, labels, alpha=0.5, delta=0.5).selectExpr("doc_id >= 1100 * 17 AS bad", "kept", "cut_symbols").groupBy("bad", "kept", "cut_symbols").count().collect()
     assert {tuple(r) for r in out} == {(False, True, 50, 1100 * 17), (True, False, 50, 1100)}
+
+
+def test_every_labelled_language_is_learned_and_long_words_teach(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 70) * 5} {chr(0x5E00 + i % 70) * 4}", f"l{i % 70:02}") for i in range(70 * 12)] + [(5000 + i, "".join(chr(0x3041 + (i + k) % 40) for k in range(150)), "long") for i in range(12)]
+    learned = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(learned) == {r[2] for r in rows}
+    parser = language_id.CrossParser(learned)
+    assert all(parser.predict(t)[0] == lang for _, t, lang in rows)
