@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: White space of the word patterns: space and the characters 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
@@ -49,24 +51,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Characters and rows of text that a worker takes up at a time; a longer text is taken alone.
+#: Bytes and rows of text that a worker takes up at a time; a longer text is taken alone.
 AT_ONCE, ROWS_AT_ONCE = 2_000_000, 1_000
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", key: str = "key") -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """(keys, texts) of consecutive rows with about AT_ONCE characters, so that memory doesn't follow Arrow's batches."""
+def row_slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """(rows, their texts) of consecutive rows with about AT_ONCE bytes of text, so that memory doesn't follow Arrow's batches; text: the column's place."""
     for batch in batches:
         for first in range(0, batch.num_rows, ROWS_AT_ONCE):
             part = batch.slice(first, ROWS_AT_ONCE)
-            keys, texts = part.column(key), part.column(column).to_pylist()
+            size = pc.fill_null(pc.binary_length(part.column(text)), 0).to_numpy(zero_copy_only=False)
             start = total = 0
-            for i, t in enumerate(texts):
-                total += len(t or "")
-                if total >= AT_ONCE or i == len(texts) - 1:
-                    yield keys.slice(start, i + 1 - start), texts[start : i + 1]
+            for i, n in enumerate(size.tolist()):
+                total += n
+                if total >= AT_ONCE or i == len(size) - 1:
+                    rows = part.slice(start, i + 1 - start)
+                    yield rows, rows.column(text).to_pylist()
                     start, total = i + 1, 0
 
 
+def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """(keys, texts) of row_slices() of batches with the columns key and text."""
+    for rows, texts in row_slices(batches, 1):
+        yield rows.column(0), texts
+
+
+def with_column(docs: DataFrame, column: str, kind: str, text: str, worker: Callable[[], Callable[[list[str | None]], pa.Array]]) -> DataFrame:
+    """All columns of docs, then column, of what a worker's function makes of the texts; one row per row of docs, slice by slice."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = worker()
+        for rows, texts in row_slices(batches, at):
+            yield pa.RecordBatch.from_arrays([*rows.columns, made(texts)], [*rows.schema.names, column])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(column, T._parse_datatype_string(kind))]))
+
+
+def kept_rows(docs: DataFrame, text: str, worker: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """The rows of docs for whose texts a worker's function is true; all columns."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = worker()
+        for rows, texts in row_slices(batches, at):
+            yield rows.filter(pa.array(kept(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 _owner: tuple[str, Callable[[], None]] | None = None
 
 

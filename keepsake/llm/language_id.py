@@ -1,12 +1,13 @@
 """Language identification by cross-parsing.
 
-For each language a suffix automaton holds all substrings of its labelled words. A text is parsed against each: from
-where the last phrase ended, the next is the longest match that the automaton knows (at least one character). Text of
-a language falls into few long phrases of its own automaton and many short ones of others. Phrases times the logarithm
-of the automaton's text length estimate the cross entropy (Ziv and Merhav, 1993); the least wins.
-
-Phrases don't cross white space: a word, with a blank at either end, is parsed by itself. So its phrases are constants,
-which a worker remembers, and a word that the learned text repeats adds no substring and is left out of it.
+For each language a suffix automaton holds all substrings of its labelled text. A text is parsed against each: from where
+the last phrase ended, the next is the longest match that the automaton knows (at least one character), across words.
+Text of a language falls into few long phrases of its own automaton and many short ones of others. Phrases times the
+logarithm of the automaton's text length estimate the cross entropy (Ziv and Merhav, 1993); the least wins.
+
+What is learned and parsed is running text: lower case, with one blank for whatever stands between two runs of letters, as
+UTF-8 bytes, so that every script has a small alphabet. An automaton is laid out as one array of steps, and the pieces of
+many texts take each step together. A text is parsed in pieces of PIECE bytes; all of it counts.
 """
 
 from __future__ import annotations
@@ -15,27 +16,51 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm._shared import take_over, text_slices
+from keepsake.llm._shared import kept_rows, take_over, text_slices, with_column
 
 UNKNOWN = "und"
-#: What is learned of each language at most: rows (about), characters of its different words. With more than FULL languages the characters
-#: are fewer, so that all together have FULL * MAX_CHARACTERS, but no language has less than LEAST_CHARACTERS.
-MAX_ROWS, MAX_CHARACTERS, FULL, LEAST_CHARACTERS = 400, 80_000, 64, 4_000
-REMEMBERED, LONGEST = 300_000, 64
+#: What is learned of a language at most: rows (about), the characters of a row, bytes; and the bytes of all languages together, of
+#: which each has its equal share where there are many. CELLS bounds the arrays of steps (4 bytes each) that a worker holds.
+MAX_ROWS, ROW_CHARACTERS, MAX_BYTES, ALL_BYTES, CELLS = 400, 2_000, 120_000, 8_000_000, 40_000_000
+#: Bytes of a text that are parsed as one.
+PIECE = 1024
+#: A text is foreign when its best language needs more than FOREIGN times the bits a byte of that language's own labelled text, and SLACK
+#: bits besides, the price of ten phrases: a few odd strings in a short text prove nothing.
+FOREIGN, SLACK = 2.5, 170
 HOLDOUT, FOLDS = 0, 5
-letters = re.compile(r"[^\W\d_]+").findall
+
+
+#: Each byte of ASCII as it is learned: letters in lower case, a blank for the others.
+PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in bytes(range(256)).lower())
+
+
+def running(text: str | None) -> bytes:
+    """The letters of a text in lower case, runs of them with a blank between and around; empty without a letter."""
+    if not text:
+        return b""
+    if not text.isascii():
+        text = text.lower()
+        other = [c for c in set(text) if c > "\x7f" and not c.isalpha()]
+        if len(other) > 50:
+            text = re.sub(f"[{re.escape(''.join(other))}]+", " ", text)
+        else:
+            for c in other:
+                text = text.replace(c, " ")
+    runs = text.encode("utf-8", "replace").translate(PLAIN).split()
+    return b" " + b" ".join(runs) + b" " if runs else b""
 
 
 class SuffixAutomaton:
-    """All substrings of a text; every state is a dictionary of its transitions."""
+    """All substrings of text (bytes or str); every state is a dictionary of its transitions, the root is state 0."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: bytes | str):
         self.states: list[dict] = [{}]
         link, length, last = [-1], [0], 0
         states = self.states
@@ -63,146 +88,192 @@ class SuffixAutomaton:
                     link[q] = link[new] = twin
             last = new
 
-        for state in states:  # from numbers to the states themselves: a step is then one look-up
-            for c, at in state.items():
-                state[c] = states[at]
-
-    def phrases(self, text: str) -> int:
+    def phrases(self, text: bytes | str) -> int:
         """Phrases of the greedy parse: each the longest match from where it starts, or one unknown character."""
-        root = state = self.states[0]
-        count = 0
+        states, at, count = self.states, 0, 0
         for c in text:
-            further = state.get(c)
+            further = states[at].get(c)
             if further is None:
-                if state is not root:
-                    count += 1
-                further = root.get(c)
+                count += at != 0
+                further = states[0].get(c)
                 if further is None:
                     count += 1
-                    further = root
-            state = further
-        return count + (state is not root)
+                    further = 0
+            at = further
+        return count + (at != 0)
+
+    def steps(self, classes: np.ndarray, kinds: int) -> np.ndarray:
+        """What a byte of each class does in each state, as 4 * kinds * next state + phrases that end; classes: byte -> its class, 0 if unknown."""
+        out = np.zeros((len(self.states), kinds), dtype=np.int32)
+        many = np.fromiter(map(len, self.states), dtype=np.int64, count=len(self.states))
+        total = int(many.sum())
+        by = np.fromiter(chain.from_iterable(self.states), dtype=np.int64, count=total)
+        out[np.repeat(np.arange(len(out)), many), classes[by]] = np.fromiter(chain.from_iterable(x.values() for x in self.states), dtype=np.int32, count=total)
+        missing = out == 0  # nothing leads back to the root
+        ended = np.where(missing, (np.arange(len(out)) != 0)[:, None].astype(np.int32) + (out[0] == 0), 0)
+        return (4 * kinds * np.where(missing, out[0], out) + ended).astype(np.int32).ravel()
+
+
+def alphabet(learned: dict[str, bytes]) -> list[int]:
+    return sorted({b for t in learned.values() for b in set(t)})
+
+
+def fitted(learned: dict[str, bytes]) -> dict[str, bytes]:
+    """As much of each language's text as CELLS has room for: an automaton has up to two states a byte, each with a cell for each kind of byte."""
+    most = max(1, CELLS // (2 * (len(alphabet(learned)) + 1) * max(1, len(learned))))
+    return {x: t[:most] for x, t in learned.items()}
 
 
 class CrossParser:
-    """learned: language -> its text, different words with blanks around them."""
+    """learned: language -> its running text. Languages beyond what CELLS has room for are learned from less text each."""
 
-    def __init__(self, learned: dict[str, str]):
+    def __init__(self, learned: dict[str, bytes]):
         self.languages = sorted(learned)
-        self.automata = [SuffixAutomaton(learned[x]) for x in self.languages]
+        learned = fitted(learned)
+        used = alphabet(learned)
+        self.kinds = len(used) + 1
+        self.classes = np.zeros(256, dtype=np.uint8 if self.kinds < 256 else np.int64)
+        self.classes[used] = np.arange(1, self.kinds)
+        self.tables = [SuffixAutomaton(learned[x]).steps(self.classes, self.kinds) for x in self.languages]
         self.bits = [math.log2(len(learned[x]) + 1) for x in self.languages]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.counts: dict[tuple[int, ...], tuple[int, ...]] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        found = self.words.get(word)
-        if found is None:
-            blank = f" {word} "
-            found = tuple([a.phrases(blank) for a in self.automata])
-            if len(word) <= LONGEST:
-                found = self.words[word] = self.counts.setdefault(found, found)
-        return found
-
-    def run(self, run: str) -> tuple[int, ...]:
-        """Phrases of one run of text in each language."""
-        run = run.lower()
-        words = [run] if run.isalpha() else letters(run)
-        if len(words) == 1:
-            return self.word(words[0])
-        found = tuple(map(sum, zip(*map(self.word, words), strict=True))) if words else (0,) * len(self.languages)
-        return self.counts.setdefault(found, found)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, score): the score is the share by which the winner's entropy is below the next one's. Ties go to the smaller name, with score 0."""
-        for kept in (self.known, self.words, self.counts):
-            if len(kept) > REMEMBERED:
-                kept.clear()
-        known, long = self.known, []
-        runs = (text or "").split()
-        if not self.languages or not runs:
-            return UNKNOWN, 0.0
-        for r in set(runs):
-            if r not in known:
-                if len(r) > LONGEST:
-                    long.append(r)
-                else:
-                    known[r] = self.run(r)
-        totals = [0] * len(self.languages)
-        rows = list(map(known.__getitem__, [r for r in runs if len(r) <= LONGEST] if long else runs))
-        if long:
-            rows += [self.run(r) for r in runs if len(r) > LONGEST]
-        totals = [sum(x) * b for x, b in zip(zip(*rows, strict=True), self.bits, strict=True)]
-        least = min(totals)
-        if not least:
-            return UNKNOWN, 0.0
-        best = totals.index(least)
-        other = min((x for k, x in enumerate(totals) if k != best), default=math.inf)
-        return self.languages[best], 1.0 - least / other if other < math.inf else 1.0
+
+    def phrases(self, texts: list[bytes]) -> np.ndarray:
+        """Phrases of each text (rows) in each language (columns); every piece is parsed by itself."""
+        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        many = -(-size // PIECE)
+        total = int(many.sum())
+        out = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
+        if not total:
+            return out
+        of = np.repeat(np.arange(len(texts)), many)
+        inside = (np.arange(total) - np.repeat(np.cumsum(many) - many, many)) * PIECE
+        start = np.repeat(np.cumsum(size) - size, many) + inside
+        length = np.minimum(PIECE, size[of] - inside)
+        order = np.argsort(-length, kind="stable")
+        start, length, of = start[order], length[order], of[order]
+        flat = np.concatenate([self.classes[np.frombuffer(b"".join(texts), dtype=np.uint8)], np.zeros(PIECE, dtype=self.classes.dtype)])
+        most = int(length[0])
+        alive = len(length) - np.searchsorted(length[::-1], np.arange(most), side="right")
+        columns = np.lib.stride_tricks.sliding_window_view(flat, PIECE)[start, :most].T.copy()
+        for k, table in enumerate(self.tables):
+            at, count = np.zeros(total, dtype=np.int32), np.zeros(total, dtype=np.int64)
+            for row, n in zip(columns, alive.tolist(), strict=True):
+                step = table[at[:n] + row[:n]]
+                count[:n] += step & 3
+                at[:n] = step >> 2
+            out[:, k] = np.bincount(of, count + (at != 0), len(texts)).astype(np.int64)
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, int]]:
+        """(language, score, bits, bytes) of each text.
+
+        The score is the share by which the winner's entropy is below the next one's (1 where only one language is known), bits the
+        winner's entropy over the text's bytes. Ties go to the smaller name, with score 0. A null text, one without a letter, and every
+        text where nothing was learned is "und" with score 0 and no bits.
+        """
+        if not self.languages:
+            return [(UNKNOWN, 0.0, 0.0, 0)] * len(texts)
+        raw = [running(t) for t in texts]
+        entropy = self.phrases(raw) * np.array(self.bits)
+        best = np.argmin(entropy, axis=1)
+        least = entropy[np.arange(len(raw)), best]
+        entropy[np.arange(len(raw)), best] = np.inf
+        other = entropy.min(axis=1)
+        score = np.where(np.isinf(other), 1.0, 1.0 - least / np.where(other > 0, other, 1.0))
+        return [(self.languages[b], s, e, len(r)) if r else (UNKNOWN, 0.0, 0.0, 0) for r, b, s, e in zip(raw, best.tolist(), score.tolist(), least.tolist(), strict=True)]
 
 
 def fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, max_characters: int = MAX_CHARACTERS) -> dict[str, str]:
-    """The text of each language, from rows whose key isn't in the held-out fold.
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> dict[str, bytes]:
+    """The running text of each labelled language, from rows whose key isn't in the held-out fold.
 
-    Per language about max_rows rows, those with the least hash of their key (the share follows from the language's
-    count), are taken whole, in that order, until their different words have max_characters, or fewer where there are many
-    languages. Words over LONGEST letters are learned in pieces. Null languages, texts and keys teach nothing.
+    Of a language about max_rows rows, those with the least hash of their key (the share follows from the language's count),
+    with at most ROW_CHARACTERS of each, are strung together in that order up to max_bytes, or up to an equal share of ALL_BYTES where
+    there are many languages. No language is left out. Null languages, texts and keys teach nothing. The driver gets
+    max_rows * ROW_CHARACTERS characters a language at most, in turn, and keeps ALL_BYTES.
     """
-    rows = docs.where(docs[key].isNotNull() & docs[lang].isNotNull() & (fold(docs[key], FOLDS) != HOLDOUT))
+    rows = docs.where(docs[key].isNotNull() & docs[lang].isNotNull() & docs[text].isNotNull() & (fold(docs[key], FOLDS) != HOLDOUT))
     counts = rows.groupBy(F.col(lang).alias("lang")).count().collect()
     if not counts:
         return {}
-    if len(counts) > FULL:
-        max_characters = min(max_characters, max(LEAST_CHARACTERS, FULL * max_characters // len(counts)))
+    most = min(max_bytes, max(1, ALL_BYTES // len(counts)))
+    max_rows = max(8, math.ceil(max_rows * most / max_bytes))
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("language")), F.lit(1 << 30))
     shares = docs.sparkSession.createDataFrame([(x["lang"], math.ceil(min(1.0, max_rows / x["count"]) * (1 << 30))) for x in counts], f"_lang {docs.schema[lang].dataType.simpleString()}, _share long")
     taken = rows.join(F.broadcast(shares), (F.col(lang) == F.col("_lang")) & (place < F.col("_share")))
-    words: dict[str, dict[str, None]] = {}
+    held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
-    for r in taken.where(F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place"), F.col(key).alias("key")).orderBy("place", "key", "text").toLocalIterator():
-        seen = words.setdefault(r["lang"], {})
-        for w in (x[k : k + LONGEST] for x in letters(r["text"].lower()) for k in range(0, len(x), LONGEST)):
-            if w not in seen and sizes.get(r["lang"], 0) < max_characters:
-                seen[w] = None
-                sizes[r["lang"]] = sizes.get(r["lang"], 0) + len(w) + 1
-    return {x: f" {' '.join(w)} " for x, w in words.items() if w}
+    for r in taken.select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, ROW_CHARACTERS).alias("text"), place.alias("place"), F.col(key).alias("key")).orderBy("place", "key", "text").toLocalIterator():
+        own = running(r["text"])[: most - sizes.get(r["lang"], 0)]
+        if own:
+            held.setdefault(r["lang"], []).append(own)
+            sizes[r["lang"]] = sizes.get(r["lang"], 0) + len(own)
+    return fitted({x: b"".join(parts) for x, parts in held.items()})
 
 
 @lru_cache(maxsize=1)
-def _made(learned: tuple[tuple[str, str], ...]) -> CrossParser:
+def _made(learned: tuple[tuple[str, bytes], ...]) -> CrossParser:
     return CrossParser(dict(learned))
 
 
-def _parser(learned: tuple[tuple[str, str], ...]) -> CrossParser:
+def _parser(learned: tuple[tuple[str, bytes], ...]) -> CrossParser:
     """One for each Python worker, while that works on it."""
     take_over("languages", _made.cache_clear)
     return _made(learned)
 
 
-def with_language(docs: DataFrame, learned: dict[str, str], column: str, text: str = "text") -> DataFrame:
-    """All columns of docs, then column, a struct (lang_pred, score); one row per row of docs.
+def with_language(docs: DataFrame, learned: dict[str, bytes], column: str, text: str = "text") -> DataFrame:
+    """All columns of docs, then column, a struct (lang_pred, score, bits, bytes) as CrossParser.predict() gives it; one row per row of docs.
 
-    A null text, one without a letter, and every text where nothing was learned is "und" with score 0. Nothing is
-    shuffled. What the workers get, the learned text, has about FULL * MAX_CHARACTERS characters at most, or LEAST_CHARACTERS a language.
+    Nothing is shuffled. What the workers get, the learned text, has ALL_BYTES at most.
     """
     held = docs.sparkSession.sparkContext.broadcast(tuple(sorted(learned.items())))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def parsed(texts: pd.Series) -> pd.DataFrame:
+    def worker():
         parser = _parser(held.value)
-        return pd.DataFrame([parser.predict(t) for t in texts], columns=["lang_pred", "score"])
+        kinds = (("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64()), ("bytes", pa.int64()))
+        return lambda texts: pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*parser.predict(texts), strict=True), kinds, strict=True)], [n for n, _ in kinds])
+
+    return with_column(docs, column, "lang_pred string, score double, bits double, bytes long", text, worker)
 
-    return docs.withColumn(column, parsed(F.col(text)))
+
+def own_bits(learned: dict[str, bytes]) -> dict[str, float]:
+    """Bits a byte that each language's own text needs: its second half, parsed by an automaton of the first."""
+    out = {}
+    for x, text in learned.items():
+        first, second = text[: len(text) // 2], text[len(text) // 2 :]
+        if first:
+            parser = CrossParser({x: first})
+            out[x] = float(parser.phrases([second])[0, 0]) * parser.bits[0] / len(second)
+    return out
+
+
+def spoken(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", foreign: float = FOREIGN) -> DataFrame:
+    """The rows of docs whose text is in one of its labelled languages; all columns.
+
+    Rejected are texts without a letter (null and empty ones too) and foreign ones, which no learned language explains: even the
+    predicted one needs more than foreign times the bits a byte that its own text needs, and SLACK bits besides. Where nothing is
+    labelled no language is known, and every text is rejected. Ties, rows with null keys and repeated rows are judged by their texts alone.
+    """
+    learned = learn(docs, key, text, lang)
+    held = docs.sparkSession.sparkContext.broadcast((tuple(sorted(learned.items())), {x: foreign * bits for x, bits in own_bits(learned).items()}))
+
+    def worker():
+        parser, limits = _parser(held.value[0]), held.value[1]
+        return lambda texts: [lang != UNKNOWN and bits <= limits.get(lang, math.inf) * size + SLACK for lang, _, bits, size in parser.predict(texts)]
+
+    return kept_rows(docs, text, worker)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, held_out, lang_pred, score: learned from the docs outside the held-out fold, predicted for all.
+    """key, held_out, lang_pred, score: learned from the docs outside the held-out fold, predicted for all whole texts.
 
-    A null key is never learned from and counts as not held out. Repeated rows are predicted each by itself.
+    Null and empty texts and texts without a letter are "und" with score 0. A null key is never learned from and counts as
+    not held out. Repeated rows are predicted each by itself, ties go to the smaller name. Other columns are ignored; an empty table gives an
+    empty one.
     """
     learned = tuple(sorted(learn(docs, key, text, lang).items()))
     held = docs.sparkSession.sparkContext.broadcast(learned)
@@ -210,10 +281,9 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(held.value)
         for keys, texts in text_slices(batches):
-            found = [parser.predict(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([keys, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["key", "lang_pred", "score"])
+            found = parser.predict(texts)
+            yield pa.RecordBatch.from_arrays([keys, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["key", "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, lang_pred string, score double")
     return rows.select(F.col("key").alias(key), F.coalesce(fold(F.col("key"), FOLDS) == HOLDOUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
-

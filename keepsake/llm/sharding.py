@@ -12,25 +12,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsake.llm._shared import written
+
 #: Hexadecimal digits of the digest that make the number: 52 bits, exact in a double.
 DIGITS = 13
 #: Parts of each shard that are numbered apart from each other.
 PARTS = 1024
 
 
-def shard_score(key: Column, shard: int, weight: float) -> Column:
-    digest = F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("null")), F.lit(str(shard))))
-    bits = F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("bigint")
-    return F.log((bits + F.lit(0.5)) / F.lit(float(16**DIGITS))) / F.lit(float(weight))
+def shard_scores(key: Column, weights: Sequence[float]) -> Column:
+    """An array with a struct (score, s) for each shard, s being minus its number. The array is made by one lambda for all shards: spelled out for
+    each they would make generated code whose compilation takes more memory than the data.
+    """
+    if not weights or min(weights) <= 0:
+        raise ValueError("weights must be positive")
+    name = F.coalesce(key.cast("string"), F.lit("null"))
+
+    def score(weight: Column, s: Column) -> Column:
+        bits = F.conv(F.substring(F.md5(F.concat_ws(":", name, s.cast("string"))), 1, DIGITS), 16, 10).cast("bigint")
+        return F.struct((F.log((bits + F.lit(0.5)) / F.lit(float(16**DIGITS))) / weight).alias("score"), (-s).alias("s"))
+
+    return F.transform(F.array(*(F.lit(float(w)) for w in weights)), score)
+
+
+def best_shard(scores: Column, among: int) -> Column:
+    """The shard with the largest of the first scores; ties go to the smaller number."""
+    return (-F.array_max(F.slice(scores, 1, among))["s"]).cast("int")
 
 
 def rendezvous_shard(key: Column, weights: Sequence[float]) -> Column:
-    """The shard of a key; ties go to the smaller number. A null key counts as the text "null"."""
-    if not weights or min(weights) <= 0:
-        raise ValueError("weights must be positive")
-    scores = [F.struct(shard_score(key, s, w).alias("score"), F.lit(-s).alias("s")) for s, w in enumerate(weights)]
-    best = scores[0] if len(scores) == 1 else F.greatest(*scores)
-    return (-best["s"]).cast("int")
+    """The shard of a key. A null key counts as the text "null"."""
+    return best_shard(shard_scores(key, weights), len(weights))
 
 
 def part_of(key: Column, size: Column, crc: Column, parts: int) -> Column:
@@ -45,14 +57,17 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], key: str = "doc_id"
     more of grown_weight stands beside the others. slot numbers a shard's rows from 0 without gaps: rows are counted
     by part of the shard, parts start where those before them end, and a row's place in its part follows
     (key, checksum, size). Equal rows are summed before they are numbered, so repeats gather nowhere. Rows with a null
-    key share one shard; other columns are ignored; an empty table gives an empty one. The text is read once and is
-    never shuffled. The table of starts has at most (shards * parts) rows, hence the broadcast.
+    key share one shard; other columns are ignored; an empty table gives an empty one. The text, of any length, is read once and
+    never shuffled: what is known of a row, a few numbers, goes to a table in the shared folder. The table of starts has
+    at most (shards * parts) rows, hence the broadcast.
     """
-    wide = [*weights, grown_weight]
+    own = len(weights)
+    scores = shard_scores(F.col("doc_id"), [*weights, grown_weight])
     body = F.coalesce(docs[text], F.lit(""))
     rows = docs.select(docs[key].alias("doc_id"), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
-    same = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
-    same = same.withColumns({"shard": rendezvous_shard(F.col("doc_id"), weights), "grown_shard": rendezvous_shard(F.col("doc_id"), wide), "part": part_of(F.col("doc_id"), F.col("size"), F.col("text_crc32"), parts)})
+    same = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies")).withColumn("scores", scores)
+    same = same.select("doc_id", "size", "text_crc32", "copies", best_shard(F.col("scores"), own).alias("shard"), best_shard(F.col("scores"), own + 1).alias("grown_shard"), part_of(F.col("doc_id"), F.col("size"), F.col("text_crc32"), parts).alias("part"))
+    same = written(same, "shards")
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = same.groupBy("shard", "part").agg(F.sum("copies").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,4 +104,3 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (
          PARTITION BY shard
          ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '/' || size || '/' || text_crc32), 1, 8))::BIGINT % {PARTS}, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
 FROM rows"""
-

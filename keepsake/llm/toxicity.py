@@ -24,12 +24,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm._shared import take_over, text_slices
+from keepsake.llm._shared import kept_rows, take_over, text_slices, with_column
 from keepsake.llm.language_id import fold
 
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST_GRAM = 1 << 16, 8, 3, 5
@@ -275,12 +274,22 @@ def with_score(docs: DataFrame, model: Model | None, column: str, text: str = "t
     """All columns of docs, then column with the score; one row per row of docs."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def worker():
         scorer = Scorer.of(held.value)
-        return pd.Series([scorer.score(t) for t in texts], dtype="float64")
+        return lambda texts: pa.array([scorer.score(t) for t in texts], pa.float64())
 
-    return docs.withColumn(column, scored(F.col(text)))
+    return with_column(docs, column, "double", text, worker)
+
+
+def harmless(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below threshold; all columns. Null and empty texts score as no words do; without a model all rows stay."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def worker():
+        scorer = Scorer.of(held.value)
+        return lambda texts: [scorer.score(t) < threshold for t in texts]
+
+    return kept_rows(docs, text, worker)
 
 
 class Scorer:

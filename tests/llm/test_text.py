@@ -58,6 +58,49 @@ def test_automaton_phrases():
         assert a.phrases(text[i : i + 20]) == 1
 
 
+def plain_phrases(text, learned):
+    """The greedy parse by searching the learned text; each piece by itself."""
+    count = 0
+    for k in range(0, len(text), language_id.PIECE):
+        piece, at = text[k : k + language_id.PIECE], 0
+        while at < len(piece):
+            n = 1
+            while at + n < len(piece) and piece[at : at + n + 1] in learned:
+                n += 1
+            at, count = at + n, count + 1
+    return count
+
+
+def test_parses_match_a_search_of_the_learned_text(monkeypatch):
+    rng = random.Random(6)
+    learned = {x: language_id.running(" ".join("".join(rng.choices(own, k=rng.randint(1, 6))) for _ in range(300))) for x, own in (("a", "abcdé"), ("b", "abxyz"), ("c", "中文字人"))}
+    texts = [language_id.running(" ".join("".join(rng.choices("abcdéxyzq中文", k=rng.randint(1, 6))) for _ in range(n))) for n in (0, 1, 3, 40, 200, 900)]
+    for piece in (7, 64, 1024):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        got = language_id.CrossParser(learned).phrases(texts)
+        assert got.tolist() == [[plain_phrases(t, learned[x]) for x in sorted(learned)] for t in texts]
+    assert b"a" * 3 not in learned["c"] and language_id.CrossParser({"a": b" the cat sat "}).phrases([b" the cat sat "]).tolist() == [[1]]  # a phrase crosses words
+
+
+def test_running_text_has_letters_only():
+    assert language_id.running("½ ² ① 12 _ ٣") == b"" == language_id.running(None) == language_id.running("")
+    assert language_id.running("A-b\tÉÇ_x ½ü 中文。字!") == " a b éç x ü 中文 字 ".encode()
+    many = "".join(map(chr, range(0x2190, 0x2300)))
+    assert language_id.running(f"a{many}b") == b" a b "
+
+
+def test_foreign_texts_are_rejected_and_others_stay(spark):
+    greek = "και το σπίτι με την αλεπού που πηδά πάνω από τον τεμπέλη σκύλο " * 4
+    rows = [*corpus(), (1000, None, "en"), (1001, "123 !!", "en"), (1002, "", None), (1003, greek, None), (1004, "A.", "en"), (None, DE, "de"), (3, corpus()[3][1], "de")]
+    kept = language_id.spoken(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted([*range(120), 3, 1004, -1])
+    # once Greek is learned, the same text is told to be Greek, and stays
+    taught = [(2000 + i, greek, "el") for i in range(12)]
+    assert 1003 in {r.doc_id for r in language_id.spoken(frame(spark, rows + taught)).collect()}
+    assert language_id.spoken(frame(spark, [(1, EN, None)])).count() == 0 == language_id.spoken(frame(spark, [])).count()
+
+
 EN, DE = "the quick brown fox jumps over a lazy dog and the other house", "der schnelle braune fuchs springt über den faulen hund und das haus"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string"
 
@@ -76,14 +119,14 @@ def frame(spark, rows):
 
 
 def test_languages_are_told_apart(spark):
-    rows = [*corpus(), (1000, None, "en"), (1001, "123 !!", "en"), (1002, "", None), (None, DE, "de"), (1003, "x" * 50_000, None), (3, corpus()[3][1], "de")]
+    rows = [*corpus(), (1000, None, "en"), (1001, "123 !!", "en"), (1002, "", None), (None, DE, "de"), (1003, "x" * 50_000, None), (1004, "½ ² ①", "en"), (3, corpus()[3][1], "de")]
     out = language_id.identify(frame(spark, rows)).collect()
     assert len(out) == len(rows)
     for r in out:
         assert 0 <= r.score <= 1
         if r.doc_id is not None and r.doc_id < 1000:
             assert r.lang_pred == ("en", "de")[r.doc_id % 2] and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
-        if r.doc_id in (1000, 1001, 1002):
+        if r.doc_id in (1000, 1001, 1002, 1004):
             assert (r.lang_pred, r.score) == ("und", 0.0)
     assert next(r for r in out if r.doc_id is None).lang_pred == "de"
     assert {r.lang_pred for r in language_id.identify(frame(spark, [(1, "words", None)])).collect()} == {"und"}
