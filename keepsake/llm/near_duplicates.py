@@ -8,9 +8,9 @@ Every link is confirmed on full sets, as 64-bit hashes of whole shingles.
 Sets that are equal are one node. Most nodes share no group with another one and leave before table keys are made.
 Within a bucket pairs are not spelled out: nodes that verified links have joined need no further link, so rounds
 propose one partner for each node from another component of its buckets, confirm, and merge components. When rounds
-find little more, every node that is still in a bucket with another component is compared with all members of that
-component, in blocks. No link that could join two components is skipped, and a group of n near copies costs about n
-confirmations and the comparisons of the few nodes that stay outside, not n squared.
+find little more, the nodes of a bucket that are outside its largest component are compared with all others, in blocks.
+No link that could join two components is skipped, and a group of n near copies costs about n confirmations and, for k
+nodes that stay outside, k * n comparisons.
 """
 
 from __future__ import annotations
@@ -29,16 +29,18 @@ from keepsake.llm._shared import take_over, text_slices, written
 
 SHINGLE, PERCENT = 4, 80
 GROUPS, ROWS = 18, 3
-#: Parts that a frequent key's rows are dealt to.
+#: Parts that a frequent key's rows are dealt to, at least.
 SALTS = 16
 #: Rounds at most; a round that confirms a smaller share of its proposals is the last.
 MAX_ROUNDS, ENOUGH_PERCENT = 6, 10
 #: Rows of the loops' tables that are worth a file, and rows of the table of buckets that a node has (about).
 ROWS_A_FILE, ROWS_A_NODE = 200_000, 60
-#: Members of components that are compared pair by pair; of larger ones, members and questioners compared at a time.
-SMALL, BLOCK, ASKED = 16, 512, 2048
+#: A bucket is put in order in as many parts as all nodes would make of this size.
+ROWS_A_PART = 20_000
+#: Members of components that are compared pair by pair; of larger ones, shingles of members and of questioners that meet at a time.
+SMALL, BLOCK, ASKED = 16, 1 << 17, 1 << 18
 #: Nodes of a bucket that are compared at a time; one-bit minhashes, and differing ones of a pair at most.
-BUCKET_BLOCK, BITS, FAR = 4096, 512, 80
+BUCKET_BLOCK, BITS, FAR = 2048, 512, 96
 REMEMBERED, LONGEST = 400_000, 64
 #: Multipliers are drawn once from a fixed seed.
 _RNG = np.random.default_rng(20_260_101)
@@ -179,13 +181,13 @@ def similar_size(a: str, b: str, percent: int = PERCENT):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def proposals(rows: DataFrame, turn: int) -> DataFrame:
+def proposals(rows: DataFrame, turn: int, parts: int = SALTS) -> DataFrame:
     """For each node of rows (key, node, n, label) at most one partner of another component that it is next to in most buckets.
 
-    Buckets are ordered by size in the first turn and by a hash of the turn in later ones, in SALTS parts; the first of
+    Buckets are ordered by size in the first turn and by a hash of the turn in later ones, in parts; the first of
     each part stands next to the first of the part before.
     """
-    salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(parts))
     order = F.col("n") if turn == 0 else F.xxhash64("node", F.lit(-turn))
     item = F.struct(order.alias("o"), "node", "n", "label")
     placed = rows.select("key", salt.alias("salt"), item.alias("item"))
@@ -206,14 +208,14 @@ def mixed_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def with_bits(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, marks (32 bits of each group) and bits (BITS one-bit minhashes) of the given nodes, as bytes; made from their full sets."""
+    """node, marks (the groups) and bits (BITS one-bit minhashes) of the given nodes, as bytes; made from their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             groups, bits = [], []
             for v in b.column("values"):
                 s = np.frombuffer(v.as_buffer(), dtype=np.uint64)
-                groups.append((group_hashes(s) >> np.uint64(32)).astype(np.uint32).tobytes())
+                groups.append(group_hashes(s).tobytes())
                 bits.append(one_bit(s).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(groups, pa.binary()), pa.array(bits, pa.binary())], ["node", "marks", "bits"])
 
@@ -231,26 +233,32 @@ def one_bit(values: np.ndarray) -> np.ndarray:
 def open_pairs(rows: DataFrame, described: DataFrame, counts: DataFrame) -> DataFrame:
     """(a, b, label): what is left to compare in buckets that hold several components; from key, t, node, n, label.
 
-    Two nodes of small components are a pair (a, b), reported by the first bucket in which they meet. A node and a
-    large component (more than SMALL members) are a question (a, label), for all of its members. Pairs whose sizes exclude a link
-    are left out, and so are pairs whose one-bit minhashes differ in more than FAR bits, which nodes of the similarity
-    that counts do once in 37,000 times. Large buckets are compared in blocks, each pair of blocks by itself.
+    Nodes of a bucket's largest component need no comparison with each other: the others, its strays, ask all. So a bucket of n nodes with k
+    strays costs k * n comparisons. Two nodes of small components are a pair (a, b), reported by the first bucket in which they
+    meet. A node and a large component (more than SMALL members) are a question (a, label), for all of its members. Pairs whose sizes
+    exclude a link are left out, and so are pairs whose one-bit minhashes differ in more than FAR bits, which nodes of the
+    similarity that counts do once in a billion times. Large buckets are cut in blocks, and their strays in parts; each block meets each part by itself.
     """
-    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET_BLOCK)).cast("long").alias("blocks"))
-    placed = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    shares = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    blocks, parts = (F.greatest(F.lit(1), F.ceil(x / F.lit(BUCKET_BLOCK))).cast("long") for x in (F.sum("c"), F.sum("c") - F.max("c")))
+    sizes = shares.groupBy("key").agg(blocks.alias("blocks"), parts.alias("parts"), F.max_by("label", F.struct("c", "label")).alias("most"))
+    placed = rows.join(sizes, "key")
+    own = [F.pmod(F.xxhash64("node"), F.col(c)) for c in ("blocks", "parts")]
+    member = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(own[0].alias("block"), k.alias("part"), F.lit(False).alias("asks")))
+    asker = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), own[1].alias("part"), F.lit(True).alias("asks")))
+    placed = placed.withColumn("at", F.explode(F.when(F.col("label") == F.col("most"), member).otherwise(F.concat(member, asker))))
     large = counts.where(F.col("c") > SMALL).select("label", F.lit(True).alias("large"))
     placed = placed.join(large, "label", "left").join(described, "node")
-    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "node", "n", "label", F.coalesce("large", F.lit(False)).alias("large"), "marks", "bits")
+    placed = placed.select("key", "at.block", "at.part", "at.asks", (F.col("label") != F.col("most")).alias("stray"), "t", "node", "n", "label", F.coalesce("large", F.lit(False)).alias("large"), "marks", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            # the last bucket of a batch may go on in the next one
+            # the last block of a batch may go on in the next one
             whole = pa.Table.from_batches([*held, b]).combine_chunks()
-            keys = np.stack([whole.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            keys = np.stack([whole.column(c).to_numpy() for c in ("key", "block", "part")], axis=1)
             last = np.flatnonzero((keys != keys[-1]).any(axis=1))
             cut = int(last[-1]) + 1 if len(last) else 0
             held = whole.slice(cut).to_batches()
@@ -258,34 +266,33 @@ def open_pairs(rows: DataFrame, described: DataFrame, counts: DataFrame) -> Data
                 yield compared(whole.slice(0, cut), keys[:cut])
         if held:
             whole = pa.Table.from_batches(held).combine_chunks()
-            yield compared(whole, np.stack([whole.column(c).to_numpy() for c in ("key", "i", "j")], axis=1))
+            yield compared(whole, np.stack([whole.column(c).to_numpy() for c in ("key", "block", "part")], axis=1))
 
-    dealt = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = placed.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part")
     return dealt.mapInArrow(run, "a long, b long, label long")
 
 
 def compared(rows: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
-    """open_pairs() of whole buckets, which lie one behind another."""
+    """open_pairs() of whole blocks, which lie one behind another."""
     starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
     ends = np.r_[starts[1:], len(keys)]
-    node, n, label, own, large, tables = (rows.column(c).to_numpy() for c in ("node", "n", "label", "own", "large", "t"))
-    marks, bits = (np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=t).reshape(len(keys), -1) for c, t in (("marks", np.uint32), ("bits", np.uint64)))
+    node, n, label, tables = (rows.column(c).to_numpy() for c in ("node", "n", "label", "t"))
+    asks, stray, large = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "stray", "large"))
+    marks, bits = (np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=np.uint64).reshape(len(keys), -1) for c in ("marks", "bits"))
     a, b, of = [], [], []
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        same_block = keys[s, 1] == keys[s, 2]
         at = np.arange(s, e)
-        left, right = (at, at) if same_block else (at[own[s:e] == keys[s, 1]], at[own[s:e] == keys[s, 2]])
+        left, right = at[asks[s:e]], at[~asks[s:e]]
         for k in range(0, len(left), 256):
             x = left[k : k + 256]
             fits = (label[x, None] != label[None, right]) & (100 * np.minimum(n[x, None], n[None, right]) >= PERCENT * np.maximum(n[x, None], n[None, right]))
-            if same_block:
-                fits &= x[:, None] < right[None, :]
+            fits &= ~stray[None, right] | (node[x, None] < node[None, right])  # of two strays the smaller asks
             p, q = np.nonzero(fits)
             p, q = x[p], right[q]
-            near = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1) <= FAR
+            near = np.concatenate([np.bitwise_count(bits[p[i : i + 65_536]] ^ bits[q[i : i + 65_536]]).sum(axis=1) <= FAR for i in range(0, len(p), 65_536)] or [np.zeros(0, dtype=bool)])
             p, q = p[near], q[near]
-            asks = large[p] | large[q]
-            one, two = p[asks], q[asks]
+            ask = large[p] | large[q]
+            one, two = p[ask], q[ask]
             swap = ~large[two]  # the large one is asked; of two large ones the second
             one, two = np.where(swap, two, one), np.where(swap, one, two)
             if len(one):
@@ -293,7 +300,7 @@ def compared(rows: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
                 a.append(unique[:, 0])
                 b.append(np.full(len(unique), -1))
                 of.append(unique[:, 1])
-            p, q = p[~asks], q[~asks]
+            p, q = p[~ask], q[~ask]
             agree = marks[p] == marks[q]
             first = np.argmax(agree, axis=1)
             agree[np.arange(len(p)), first] = False
@@ -307,16 +314,19 @@ def compared(rows: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64(), mask=none), pa.array(out[2], pa.int64(), mask=~none)], ["a", "b", "label"])
 
 
-def answers(left: DataFrame, labels: DataFrame, counts: DataFrame, sets: DataFrame, tested: DataFrame | None) -> DataFrame:
+def answers(left: DataFrame, labels: DataFrame, sets: DataFrame, tested: DataFrame | None) -> DataFrame:
     """Confirmed links of open_pairs().
 
-    Pairs are compared as they are. Of a large component, BLOCK members at a time meet up to ASKED questioners: one pass
-    over a sorted index of the block's values counts what a questioner has in common with every member.
+    Pairs are compared as they are. Of a large component, members of BLOCK shingles at a time meet questioners of ASKED
+    shingles: one pass over a sorted index of the block's values counts what a questioner has in common with every member.
     """
     pairs = left.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     few = confirmed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sets)
-    large = left.where("b IS NULL").select("a", "label").distinct().join(counts, "label")
-    shape = large.groupBy("label", "c").agg(F.count(F.lit(1)).alias("q")).select("label", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks"), F.ceil(F.col("q") / ASKED).cast("long").alias("parts"))
+    large = left.where("b IS NULL").select("a", "label").distinct()
+    sized = sets.select("node", F.expr("octet_length(values) DIV 8").alias("n"))
+    many = large.join(sized, F.col("a") == F.col("node")).groupBy("label").agg(F.sum("n").alias("q"))
+    whole = labels.join(large.select("label").distinct(), "label", "left_semi").join(sized, "node").groupBy("label").agg(F.sum("n").alias("c"))
+    shape = many.join(whole, "label").select("label", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks"), F.ceil(F.col("q") / ASKED).cast("long").alias("parts"))
 
     def spread(df: DataFrame, node: str, count: str, own: str, other_count: str, other: str) -> DataFrame:
         placed = df.join(shape, "label").withColumn(own, F.pmod(F.xxhash64(node), F.col(count)))
@@ -377,7 +387,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             mixed_rows = written(mixed_buckets(rows, labels), "mixed", row_files)
             if mixed_rows.isEmpty():
                 break
-            pairs = proposals(mixed_rows, turn)
+            pairs = proposals(mixed_rows, turn, max(SALTS, math.ceil(count / ROWS_A_PART)))
             pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs", files)
             links = written(confirmed(pairs, sets), "confirmed", files)
             tested = pairs if tested is None else tested.union(pairs)
@@ -391,7 +401,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         if not last.isEmpty():
             counts = written(labels.groupBy("label").agg(F.count(F.lit(1)).alias("c")), "counts", files)
             left = written(open_pairs(last, with_bits(sets, last), counts), "open")
-            labels = merged(labels, written(answers(left, labels, counts, sets, tested), "confirmed"), files)
+            labels = merged(labels, written(answers(left, labels, sets, tested), "confirmed"), files)
         moved = labels.where("node <> label")
     found = nodes.select("print", "node", "copies")
     found = found.join(moved, "node", "left") if moved is not None else found.withColumn("label", F.lit(None).cast("long"))
@@ -402,19 +412,22 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose component has a document with a smaller doc_id; all columns.
+    """docs without the rows whose component has a document with a smaller doc_id; all columns, whatever their names.
 
     Rows with a null doc_id stay. Of rows that repeat both doc_id and text one stays; only rows of such ids are shuffled
-    for that.
+    for that. An empty table stays empty.
     """
-    found = written(components(docs, key, text).select(F.col("doc_id").alias("_id"), "kept"), "components")
-    gone = found.where("NOT kept").select("_id").distinct()
-    kept = docs.join(gone, docs[key] == F.col("_id"), "left_anti")
-    again = found.where("kept AND _id IS NOT NULL").groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
+    own = "_id"
+    while own in {c.lower() for c in docs.columns}:
+        own += "_"
+    found = written(components(docs, key, text), "components")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(gone, docs[key] == F.col(own), "left_anti")
+    again = found.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(own)
     if again.isEmpty():
         return kept
-    once = kept.join(again, kept[key] == F.col("_id"), "left_semi").dropDuplicates([key, text])
-    return kept.join(again, kept[key] == F.col("_id"), "left_anti").unionByName(once)
+    once = kept.join(again, kept[key] == F.col(own), "left_semi").dropDuplicates([key, text])
+    return kept.join(again, kept[key] == F.col(own), "left_anti").unionByName(once)
 
 
 def tables_of(groups: int = GROUPS) -> list[tuple[int, int]]:

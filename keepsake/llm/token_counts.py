@@ -6,26 +6,29 @@ more than the count at that start, and each place is settled from places before
 tokens stand unmerged side by side follows from the merges at their common border.
 
 A text's words are those of the tokenizer's pattern; counts of a text are sums over its words, and cutting a text
-changes no word but those at the cut.
+changes no word but those at the cut: a run of white space at the end is one word, and an apostrophe with too little behind it
+is no contraction. So PrefixCounts has the count of every prefix of a text from one pass, and what fits a budget, or what a
+truncated text has, is looked up there and not encoded again. prefix_counts() keeps them as a column.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from keepsake.llm._shared import take_over, text_slices
 from keepsake.llm.bpe import byte_characters
 
 # Fixed value: the pattern of byte-level BPE files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 NEVER = 1 << 60
 #: Words and runs that a worker remembers at most, and the longest of them.
 REMEMBERED, LONGEST = 400_000, 64
@@ -53,11 +56,10 @@ class PrefixCounter:
         self.words = regex.compile(PATTERN).findall
         self.added = [x["content"] for x in spec["added_tokens"]]
         self.at_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.odd = regex.compile(r"[^\S \n]").search
+        self.runs = regex.compile(r"\s{2,}").finditer
         self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.apart: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, int] = {}
-        self.behind: dict[str, int] = {}
+        self.known: dict[str, bytes] = {}
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one side of a token while it is merged: (token, rank of the merge that ends it), last the token itself."""
@@ -92,13 +94,16 @@ class PrefixCounter:
             else:
                 j += 1
 
-    def prefix_counts(self, raw: bytes) -> list[int]:
-        """Token counts of raw[:0], raw[:1], ... of one word."""
-        n, tokens, apart = len(raw), self.tokens, self.apart
+    def by_byte(self, raw: bytes) -> list[int]:
+        """Token counts of raw[:0], raw[:1], ... of one word.
+
+        Only one token can be the last, so any order of trying finds it; short ones are tried first, which needs few steps a byte.
+        """
+        n, get, apart, longest = len(raw), self.tokens.get, self.apart, self.longest
         last, counts = [-1] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                t = tokens.get(raw[start:end])
+            for start in range(end - 1, max(0, end - longest) - 1, -1):
+                t = get(raw[start:end])
                 if t is None:
                     continue
                 if start:
@@ -114,82 +119,73 @@ class PrefixCounter:
                 break
         return counts
 
-    def word(self, word: str) -> int:
-        found = self.known.get(word)
-        if found is None:
-            found = self.prefix_counts(word.encode("utf-8"))[-1]
-            if len(word) <= LONGEST:
-                self.known[word] = found
-        return found
-
-    def plain(self, text: str) -> int:
-        """Tokens of a text without added tokens.
+    def of_word(self, word: str) -> bytes:
+        """Counts of the prefixes of one word by characters, from its first character on, as 32-bit numbers; in cut contractions the apostrophe stands alone."""
+        if word in CONTRACTIONS:
+            counts = [1, *([1 + self.by_byte(word[1:2].encode())[-1]] if len(word) > 2 else []), self.by_byte(word.encode())[-1]]
+        else:
+            counts = self.by_byte(word.encode("utf-8"))[1:]
+            if not word.isascii():
+                ends = np.cumsum([len(c.encode("utf-8")) for c in word]) - 1
+                return np.array(counts, dtype=np.uint32)[ends].tobytes()
+        return np.array(counts, dtype=np.uint32).tobytes()
+
+    def plain(self, text: str) -> np.ndarray:
+        """Counts of text[:1], text[:2], ... of a text without added tokens."""
+        words, known = self.words(text), self.known
+        if not words:
+            return np.zeros(0, dtype=np.int64)
+        if len(known) > REMEMBERED:
+            known.clear()
+        long = {}
+        for w in set(words):
+            if w not in known:
+                (known if len(w) <= LONGEST else long)[w] = self.of_word(w)
+        look = (lambda w: known.get(w) or long[w]) if long else known.__getitem__
+        inside = np.frombuffer(b"".join(map(look, words)), dtype=np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        last = inside[np.cumsum(size) - 1]
+        counts = inside + np.repeat(np.cumsum(last) - last, size)
+        for run in self.runs(text):
+            a, z = run.span()
+            counts[a:z] = (counts[a - 1] if a else 0) + np.frombuffer(self.of_word(run.group()), dtype=np.uint32)
+        return counts
 
-        Where single spaces and line feeds are the only white space and don't touch, the text between two spaces,
-        with the space before it, has words of its own, whatever stands around it.
-        """
-        if "  " in text or "\n " in text or " \n" in text or self.odd(text):
-            return sum(map(self.word, self.words(text)))
-        first, *rest = text.split(" ")
-        behind = self.behind
-        total = sum(map(self.word, self.words(first)))
-        for run in [r for r in set(rest) if r not in behind]:
-            count = sum(map(self.word, self.words(" " + run)))
-            if len(run) <= LONGEST:
-                behind[run] = count
-            else:
-                total += count * rest.count(run)
-                rest = [r for r in rest if r != run]
-        return total + sum(map(behind.__getitem__, rest))
-
-    def count(self, text: str | None) -> int:
-        """Tokens of a whole text; an added token inside it is one."""
-        if not text:
-            return 0
-        for kept in (self.known, self.behind):
-            if len(kept) > REMEMBERED:
-                kept.clear()
+    def counts(self, text: str | None) -> np.ndarray:
+        """Counts of text[:0], text[:1], ... of a whole text; an added token inside it is one, a part of one is text like any other."""
+        text = text or ""
         if not any(x in text for x in self.added):
-            return self.plain(text)
-        return sum(1 if x in self.added else self.plain(x) for x in self.at_added.split(text) if x)
+            return np.concatenate([[0], self.plain(text)]).astype(np.int64)
+        out, at, word = [np.zeros(1, dtype=np.int64)], 0, 0
+        for part in self.at_added.split(text):
+            base = int(out[-1][-1]) if part else 0
+            if part in self.added:
+                before = int(np.concatenate(out)[word])
+                cut = [before + int(self.counts(text[word : at + n])[-1]) for n in range(1, len(part))]
+                out.append(np.array([*cut, base + 1], dtype=np.int64))
+                word = at + len(part)
+            elif part:
+                out.append(base + self.plain(part))
+                word = at + len(part) - len(self.words(part)[-1])
+            at += len(part)
+        return np.concatenate(out)
 
 
 class PrefixCounts:
     """The counts of one text at all its prefixes: count(n) of its first n characters, fit(limit) the longest prefix within a budget."""
 
-    def __init__(self, counter: PrefixCounter, text: str):
-        self.counter, self.text = counter, text
-        self.starts, self.totals, at, total = [], [], 0, 0
-        for part in counter.at_added.split(text) if counter.at_added else [text]:
-            for word in [part] if part in counter.added else counter.words(part):
-                self.starts.append(at)
-                self.totals.append(total)
-                at += len(word)
-                total += 1 if part in counter.added else counter.word(word)
-        self.inside: dict[int, list[int]] = {}
+    def __init__(self, counter: PrefixCounter, text: str | None):
+        self.at = counter.counts(text)
 
     def count(self, n: int) -> int:
-        if n <= 0 or not self.text:
-            return 0
-        n = min(n, len(self.text))
-        k = bisect_right(self.starts, n - 1) - 1
-        if n - self.starts[k] > LONGEST and self.text[self.starts[k] : n].isalpha():  # a long word has its counts at once
-            if k not in self.inside:
-                end = self.starts[k + 1] if k + 1 < len(self.starts) else len(self.text)
-                word = self.text[self.starts[k] : end]
-                by_byte = self.counter.prefix_counts(word.encode("utf-8"))
-                self.inside[k] = [by_byte[b] for b in accumulate((len(c.encode("utf-8")) for c in word), initial=0)]
-            return self.totals[k] + self.inside[k][n - self.starts[k]]
-        while k and (self.text[self.starts[k] - 1].isspace() or self.text[self.starts[k] : n] and self.starts[k] > n - 16):
-            k -= 1
-        return self.totals[k] + self.counter.count(self.text[self.starts[k] : n])
+        return int(self.at[min(max(n, 0), len(self.at) - 1)])
 
     def fit(self, limit: int) -> int:
-        """Characters of the longest prefix with at most limit tokens. Counts fall only near a cut, so the search goes on a little behind its find."""
-        low = min(bisect_right(self.totals, limit), len(self.starts))
-        high = self.starts[low] if low < len(self.starts) else len(self.text)
-        reach = min(len(self.text), high + 2 * LONGEST)
-        return next((n for n in range(reach, 0, -1) if self.count(n) <= limit), 0)
+        """Characters of the longest prefix with at most limit tokens; 0 where none has so few. One more character can lower a count, so the last one counts."""
+        if self.at[-1] <= limit:
+            return len(self.at) - 1
+        found = np.flatnonzero(self.at <= limit)
+        return int(found[-1]) if len(found) else 0
 
 
 @lru_cache(maxsize=1)
@@ -203,31 +199,64 @@ def prefix_counter(path: str) -> PrefixCounter:
     return _prefix_counter(path)
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_tokens, over_limit; one row per row of docs.
-
-    Null texts count as empty, with no token. Null or repeated keys pass through, other columns are left out. Work is per
-    row: nothing is shuffled, and what a worker remembers is bounded.
-    """
+def _mapped(docs: DataFrame, path: str, key: str, text: str, schema: str, made: Callable[[list[str], list[PrefixCounts]], list[pa.Array]]) -> DataFrame:
+    """key and what made gives for the prefix counts of consecutive texts; one row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)
         for keys, texts in text_slices(batches):
-            n = [counter.count(t) for t in texts]
-            size = [len(t.encode("utf-8")) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["key", "n_bytes", "n_tokens", "over_limit"])
+            texts = [t or "" for t in texts]
+            columns = made(texts, [PrefixCounts(counter, t) for t in texts])
+            yield pa.RecordBatch.from_arrays([keys, *columns], ["key", *(x.split()[0] for x in schema.split(", "))])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("key", key)
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, {schema}").withColumnRenamed("key", key)
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_bytes, n_tokens, over_limit and fits_chars, the length of the longest prefix within the limit; one row per row of docs.
+
+    Null texts count as empty, with no token. Null or repeated keys pass through, other columns are left out. Work is per
+    row: nothing is shuffled, and what a worker remembers is bounded; words over LONGEST characters are counted whole, but not
+    remembered, and a text takes memory in proportion to its length. An empty table gives an empty one.
+    """
+
+    def made(texts: list[str], counts: list[PrefixCounts]) -> list[pa.Array]:
+        n = [int(c.at[-1]) for c in counts]
+        return [pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array([c.fit(limit) for c in counts], pa.int64())]
+
+    return _mapped(docs, path, key, text, "n_bytes long, n_tokens long, over_limit boolean, fits_chars long", made)
+
+
+def prefix_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and counts, an array with the tokens of the first 0, 1, ... characters of the text; edges as in count_tokens().
+
+    Stored, it answers tokens_at() and longest_within() for any cut and any budget, by look-ups in the JVM.
+    """
+
+    def made(texts: list[str], counts: list[PrefixCounts]) -> list[pa.Array]:
+        flat = np.concatenate([c.at for c in counts]) if counts else np.zeros(0)
+        ends = np.cumsum([0, *(len(c.at) for c in counts)])
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))]
+
+    return _mapped(docs, path, key, text, "counts array<int>", made)
+
+
+def tokens_at(counts: Column, n: Column) -> Column:
+    """Tokens of the first n characters, from an array of prefix_counts(); beyond the text those of all of it."""
+    return F.get(counts, F.least(F.greatest(n, F.lit(0)), F.size(counts) - 1).cast("int"))
+
+
+def longest_within(counts: Column, limit: Column) -> Column:
+    """Characters of the longest prefix with at most limit tokens, from an array of prefix_counts(); 0 where none has so few."""
+    return F.greatest(F.lit(0), F.array_max(F.transform(counts, lambda c, n: F.when(c <= limit, n).otherwise(F.lit(0)))))
 
 
-def prefix_table(text: str, path: str) -> list[int]:
-    """Counts of all prefixes of one text, by characters."""
-    counts = PrefixCounts(prefix_counter(path), text)
-    return [counts.count(n) for n in range(len(text) + 1)]
+def truncated(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text (the longest prefix with at most limit tokens) and n_tokens; edges as in count_tokens(), a null text gives an empty one."""
 
+    def made(texts: list[str], counts: list[PrefixCounts]) -> list[pa.Array]:
+        cut = [c.fit(limit) for c in counts]
+        return [pa.array([t[:n] for t, n in zip(texts, cut, strict=True)], pa.string()), pa.array([c.count(n) for c, n in zip(counts, cut, strict=True)], pa.int64())]
 
-def texts_within(texts: Iterable[str], path: str, limit: int) -> list[str]:
-    """The longest prefix of each text with at most limit tokens."""
-    counter = prefix_counter(path)
-    return [t[: PrefixCounts(counter, t).fit(limit)] for t in texts]
+    return _mapped(docs, path, key, text, "text string, n_tokens long", made)

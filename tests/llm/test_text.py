@@ -236,13 +236,21 @@ def test_open_pairs_are_compared_in_blocks(spark, monkeypatch):
     rows = near_corpus(5)
     monkeypatch.setattr(near_duplicates, "MAX_ROUNDS", 1)
     monkeypatch.setattr(near_duplicates, "SMALL", 2)
-    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
-    monkeypatch.setattr(near_duplicates, "ASKED", 4)
-    monkeypatch.setattr(near_duplicates, "BUCKET_BLOCK", 16)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 2000)
+    monkeypatch.setattr(near_duplicates, "ASKED", 1000)
+    monkeypatch.setattr(near_duplicates, "BUCKET_BLOCK", 5)
     want = plain_components(rows)
     assert {r.doc_id: r.component_id for r in near_duplicates.components(frame(spark, rows)).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "some words of a text", "a", 1), (2, "SOME words of a text", "b", 2), (2, "some words of a text", "b", 3), (3, "other", "c", 4), (3, "other", "d", 5), (None, "other", "e", 6), (4, None, "f", 7), (5, "", "g", 8)]
+    df = spark.createDataFrame([(*r, *r[2:], r[3], r[3], r[3]) for r in rows], "doc_id long, text string, _id string, n int, print string, kept int, component_id int, groups int, label int")
+    out = near_duplicates.one_of_each(df)
+    assert out.columns == df.columns and sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 3, 4, 5] and out.where("doc_id IS NULL").count() == 1
+    assert near_duplicates.components(df).count() == len(rows)
+
+
 def test_tensored_tables_find_links():
     rng = np.random.default_rng(2)
     missed = 0

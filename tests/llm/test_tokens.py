@@ -58,20 +58,46 @@ def test_encode_frames(spark, library):
 def test_prefix_counts_match_the_library(library):
     counter = token_counts.PrefixCounter(BYTES)
     for t in samples(1500, 2):
-        assert counter.count(t) == len(library[BYTES].encode(t, add_special_tokens=False).ids), t
-    for t in samples(60, 3)[:-2]:
-        counts = token_counts.PrefixCounts(counter, t)
+        assert counter.counts(t)[-1] == len(library[BYTES].encode(t, add_special_tokens=False).ids), t
+    for t in [*samples(150, 3)[:-2], "a <|endoftext|>", "!!<|endoftext|><|endoftext|> \n<|endoftext|>'ll'l", "we'll  've \n\n 'tis   x", "'" * 3 + "ll"]:
+        counts = counter.counts(t)
+        assert len(counts) == len(t) + 1
         for n in range(len(t) + 1):
-            assert counts.count(n) == len(library[BYTES].encode(t[:n], add_special_tokens=False).ids), t[:n]
+            assert counts[n] == len(library[BYTES].encode(t[:n], add_special_tokens=False).ids), (t[:n], t)
 
 
 def test_longest_prefix_within_a_budget(library):
-    for t in ["Some words of a text, and   more of them.", "x" * 300, ""]:
+    counter = token_counts.PrefixCounter(BYTES)
+    for t in ["Some words of a text, and   more of them.", "x" * 300, "", "é中😀" * 9]:
         for limit in (0, 1, 3, 8):
-            [cut] = token_counts.texts_within([t], BYTES, limit)
             best = max(n for n in range(len(t) + 1) if len(library[BYTES].encode(t[:n], add_special_tokens=False).ids) <= limit)
-            assert len(cut) == best
-    assert token_counts.prefix_table("ab", BYTES) == [0, 1, 1]
+            assert token_counts.PrefixCounts(counter, t).fit(limit) == best
+
+
+def test_long_words_take_time_in_proportion():
+    import time
+
+    counter = token_counts.PrefixCounter(BYTES)
+    began = time.thread_time()
+    found = token_counts.PrefixCounts(counter, "!?" * 100_000)
+    assert found.fit(1) > 0 and found.count(200_000) > 1000 and time.thread_time() - began < 20  # a second on a machine of today
+
+
+def test_stored_prefixes_answer_cuts_and_budgets(spark, library):
+    rows = [(1, "Some words, and   more of them."), (2, None), (3, ""), (4, "x" * 200), (None, "we'll see"), (1, "again")]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    from pyspark.sql import functions as F
+
+    stored = token_counts.prefix_counts(df, BYTES)
+    size = lambda t: len(library[BYTES].encode(t, add_special_tokens=False).ids)
+    got = stored.select("doc_id", "counts", token_counts.tokens_at(F.col("counts"), F.lit(6)).alias("six"), token_counts.longest_within(F.col("counts"), F.lit(3)).alias("three")).collect()
+    cut = {(r.doc_id, r.text, r.n_tokens) for r in token_counts.truncated(df, BYTES, 3).collect()}
+    assert len(got) == len(rows) == len(cut)
+    for (i, t), r in zip(rows, got, strict=True):
+        t = t or ""
+        best = max(n for n in range(len(t) + 1) if size(t[:n]) <= 3)
+        assert (r.doc_id, r.counts, r.six, r.three) == (i, [size(t[:n]) for n in range(len(t) + 1)], size(t[:6]), best)
+        assert (i, t[:best], size(t[:best])) in cut
 
 
 def test_count_frames(spark):
