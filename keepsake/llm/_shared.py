@@ -111,8 +111,13 @@ def take_over(name: str, forget: Callable[[], None]) -> None:
     global _owner
     if _owner is not None and _owner[0] != name:
         _owner[1]()
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it: gives freed memory back
-        if trim is not None:
-            trim(0)
+        give_back()
     _owner = (name, forget)
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, where the C library can do that."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

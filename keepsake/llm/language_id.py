@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm._shared import kept_rows, take_over, text_slices, with_column
+from keepsake.llm._shared import give_back, kept_rows, take_over, text_slices, with_column
 
 UNKNOWN = "und"
 #: What is learned of a language at most: rows (about), the characters of a row, bytes; and the bytes of all languages together, of
 #: which each has its equal share where there are many. CELLS bounds the arrays of steps (4 bytes each) that a worker holds.
-MAX_ROWS, ROW_CHARACTERS, MAX_BYTES, ALL_BYTES, CELLS = 400, 2_000, 120_000, 8_000_000, 40_000_000
+MAX_ROWS, ROW_CHARACTERS, MAX_BYTES, ALL_BYTES, CELLS = 400, 2_000, 64_000, 8_000_000, 40_000_000
 #: Bytes of a text that are parsed as one.
 PIECE = 1024
 #: A text is foreign when its best language needs more than FOREIGN times the bits a byte of that language's own labelled text, and SLACK
@@ -216,7 +216,9 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 @lru_cache(maxsize=1)
 def _made(learned: tuple[tuple[str, bytes], ...]) -> CrossParser:
-    return CrossParser(dict(learned))
+    parser = CrossParser(dict(learned))
+    give_back()  # what the automata took before they became arrays
+    return parser
 
 
 def _parser(learned: tuple[tuple[str, bytes], ...]) -> CrossParser:

@@ -6,6 +6,8 @@ is left, each measure in shares of its limit: a sequence that still has much roo
 takes long examples, and so on. Examples of equal demand are interchangeable, so the choice is made among demands.
 
 Documents longer than a sequence are cut: whole sequences first, the rest is packed. Each task packs what it reads.
+Of a conversation only the answers bear loss, so that sequences of instruction data can be full by tokens, by segments or by
+loss: pack_conversations() cuts conversations between turns where one of the three would be exceeded, and packs the pieces.
 """
 
 from __future__ import annotations
@@ -17,12 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from keepsake.llm._shared import text_slices
+from keepsake.llm._shared import row_slices, text_slices
 from keepsake.llm.bpe import REMEMBERED, word_bpe
 
-#: Tokens, segments and loss-bearing tokens of a sequence at most.
-LIMITS = (2048, 256, 2048)
+#: Tokens, segments and loss-bearing tokens of a sequence at most: of plain text, in which all tokens but a segment's first bear loss, and of
+#: instruction data.
+LIMITS, TALK_LIMITS = (2048, 256, 2048), (2048, 16, 1024)
+#: Roles whose turns bear loss, and turns of a conversation that are looked at together.
+ANSWERS, TURNS = ("assistant",), 64
 END_ID = 1
 #: Examples that a task packs together: its memory is bounded, and less than one sequence in hundreds stays unfilled.
 WINDOW = 1 << 18
@@ -66,6 +72,19 @@ def pack(demands: np.ndarray, limits: Sequence[int] = LIMITS) -> np.ndarray:
     return bins
 
 
+def placed(demands: np.ndarray, limits: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin of each example, order by bins, offset of each in that order). What fills a sequence by itself is not searched for."""
+    full = (demands[:, 0] == limits[0]) & (demands <= np.asarray(limits)).all(axis=1)
+    bins = np.empty(len(demands), dtype=np.int64)
+    bins[full] = np.arange(int(full.sum()))
+    bins[~full] = pack(demands[~full], limits) + int(full.sum())
+    order = np.argsort(bins, kind="stable")
+    ordered, sizes = bins[order], demands[order, 0]
+    ends = np.cumsum(sizes)
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    return bins, order, ends - sizes - (ends - sizes)[new][np.cumsum(new) - 1]
+
+
 def loss_tokens(length: np.ndarray) -> np.ndarray:
     """Of a piece of plain text every token but the first bears loss: nothing stands before that one."""
     return length - 1
@@ -89,20 +108,11 @@ def pack_documents(docs: DataFrame, path: str, limits: Sequence[int] = LIMITS, e
         def packed() -> pa.RecordBatch:
             nonlocal first
             of, start, length, crc, whole = np.array(rows, dtype=np.int64).reshape(-1, 5).T
-            full = length == most
-            rest = np.flatnonzero(~full)
-            demand = np.stack([length[rest], np.ones(len(rest), dtype=np.int64), loss_tokens(length[rest])], axis=1)
-            bins = np.empty(len(length), dtype=np.int64)
-            bins[full] = np.arange(int(full.sum()))
-            bins[rest] = pack(demand, limits) + int(full.sum())
-            order = np.argsort(bins, kind="stable")
-            ordered, sizes = bins[order], length[order]
-            ends = np.cumsum(sizes)
-            new = np.r_[True, ordered[1:] != ordered[:-1]]
-            base = (ends - sizes)[new][np.cumsum(new) - 1]
+            demand = np.stack([length, np.ones(len(length), dtype=np.int64), loss_tokens(length)], axis=1)
+            bins, order, offset = placed(demand, limits)
             out = [pa.concat_arrays(keys).take(pa.array(of[order]))]
             out += [pa.array(x[order], pa.int64()) for x in (start, length, crc, whole)]
-            out += [pa.array(ordered + first, pa.int64()), pa.array(ends - sizes - base, pa.int64())]
+            out += [pa.array(bins[order] + first, pa.int64()), pa.array(offset, pa.int64())]
             first += int(bins.max()) + 1
             return pa.RecordBatch.from_arrays(out, ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
@@ -125,3 +135,87 @@ def pack_documents(docs: DataFrame, path: str, limits: Sequence[int] = LIMITS, e
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def pieces_of(turns: Sequence[tuple[int, bool]], limits: Sequence[int]) -> list[list[tuple[int, int, int]]]:
+    """Examples of a conversation, each a list of (turn, start, length), from the length of each turn and whether it bears loss.
+
+    A turn goes to the example before it if that keeps within the limits of tokens and loss; else it begins one. A turn that is too long by
+    itself is cut into pieces, each an example, the last of which others may join.
+    """
+    out: list[list[tuple[int, int, int]]] = []
+    tokens = loss = 0
+    for k, (length, bears) in enumerate(turns):
+        most = min(limits[0], limits[2]) if bears else limits[0]
+        for start in range(0, length, most):
+            n = min(most, length - start)
+            if not out or start or tokens + n > limits[0] or loss + n * bears > limits[2]:
+                out.append([])
+                tokens = loss = 0
+            out[-1].append((k, start, n))
+            tokens, loss = tokens + n, loss + n * bears
+    return out
+
+
+def pack_conversations(turns: DataFrame, path: str, limits: Sequence[int] = TALK_LIMITS, end_id: int = END_ID, answers: Sequence[str] = ANSWERS, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """One row per piece of a turn: key, turn, start, length, loss (its loss-bearing tokens), ids_crc32, example, sequence_id, offset.
+
+    A turn is its ids and end_id; it bears loss if its role is one of answers. Turns of a conversation that follow one another make an example as
+    long as tokens and loss allow, and an example is one segment; its pieces lie one behind another in one sequence. A conversation is taken TURNS
+    turns at a time, so that a very long one is spread over tasks; examples are numbered in each. Null texts are their end mark alone, null roles bear no
+    loss, rows with a null key or turn and rows that repeat one are turns like any other (a null key is a conversation by itself, its turns in
+    the order of their texts). An empty table gives no rows; other columns are left out. One shuffle, of the turns by conversation.
+    """
+    names = ["key", "turn", "start", "length", "loss", "ids_crc32", "example", "sequence_id", "offset"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, end = word_bpe(path, remembered), end_id.to_bytes(4, "little")
+        first = TaskContext.get().partitionId() * PER_TASK
+        rows, demands = [], []  # of the window: pieces with the number of their example, and the examples' demands
+        held: list[tuple[tuple, int | None, bytes, bool]] = []  # turns of the conversation that is being read
+
+        def close() -> None:
+            for number, parts in enumerate(pieces_of([(len(raw) // 4, bears) for _, _, raw, bears in held], limits)):
+                at = len(demands)
+                for k, start, n in parts:
+                    (name, _), turn_of, raw, bears = held[k]
+                    rows.append((name, turn_of, start, n, n * bears, zlib.crc32(raw[4 * start : 4 * (start + n)]), number, at))
+                demands.append((sum(n for _, _, n in parts), 1, sum(n for k, _, n in parts if held[k][3])))
+            held.clear()
+
+        def packed() -> pa.RecordBatch:
+            nonlocal first
+            bins, order, offset = placed(np.array(demands, dtype=np.int64), limits)
+            begin = np.empty(len(demands), dtype=np.int64)
+            begin[order] = offset
+            out, before = [], {}
+            for *row, at in rows:  # pieces of an example come one behind another
+                own = before.get(at, 0)
+                before[at] = own + row[3]
+                out.append((*row, int(bins[at]) + first, int(begin[at]) + own))
+            out.sort(key=lambda x: (x[7], x[8]))
+            first += int(bins.max()) + 1
+            rows.clear()
+            demands.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, kind if name == "key" else pa.int64()) for name, x in zip(names, zip(*out, strict=True), strict=True)], names)
+
+        kind, now = None, None
+        for some, texts in row_slices(batches, 4):
+            kind = some.schema.field("key").type
+            columns = [some.column(k).to_pylist() for k in range(4)]
+            for name, chunk, turn_of, bears, raw in zip(*columns, bpe.encode_batch(texts), strict=True):
+                if (name, chunk) != now and held:
+                    close()
+                now = name, chunk
+                held.append((now, turn_of, raw + end, bears))
+            if len(demands) >= WINDOW:
+                yield packed()
+        close()
+        if demands:
+            yield packed()
+
+    chunk = F.floor(F.coalesce(turns[turn].cast("long"), F.lit(-1)) / TURNS)
+    own = turns.select(turns[key].alias("key"), chunk.alias("chunk"), turns[turn].cast("long").alias("turn"), F.coalesce(turns[role].isin(*answers), F.lit(False)).alias("bears"), turns[text].alias("text"))
+    dealt = own.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "turn", "text")
+    kind = turns.schema[key].dataType.simpleString()
+    return dealt.mapInArrow(run, f"key {kind}, turn long, start long, length long, loss long, ids_crc32 long, example long, sequence_id long, offset long").withColumnRenamed("key", key)

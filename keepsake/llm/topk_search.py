@@ -7,8 +7,8 @@ gathered bounds its score from both sides: every dimension that it hasn't been m
 segment of that level could and at least what the last segment would. Processing stops only on proof, when few vectors'
 upper bound reaches the k-th largest lower bound; these possible members are then scored exactly.
 
-Vectors and queries are cut into blocks; every block of queries meets every block of vectors once, and of each meeting
-only k rows a query remain.
+Vectors are cut into blocks. A block's index is made once, in one task, and all queries run through it in the order of the
+shuffle; of each meeting only k rows a query remain.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 SCALE = 256
 #: Impacts in a segment differ by less than this; levels that a query's contributions are processed in.
 STEP, LEVELS = 8, 6
-#: Vectors and queries of a block at most (about), and blocks of vectors at least.
-BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 32_768, 4_096, 6
+#: Vectors of a block at most (about), and blocks of vectors at least.
+BLOCK, LEAST_BLOCKS = 16_384, 6
 #: A query stops when at most this share of a block (or k times 8 vectors) can still be members.
 FEW = 1 / 64
 
@@ -37,6 +37,7 @@ class ImpactIndex:
         self.vectors = np.ascontiguousarray(vectors, dtype=np.int64)
         level = np.floor_divide(self.vectors, STEP)
         self.order, self.impact, self.tops, self.ends, self.bottoms = [], [], [], [], []
+        self.read = 0
         for d in range(self.vectors.shape[1]):
             order = np.argsort(-self.vectors[:, d], kind="stable")
             impact, of = self.vectors[order, d], level[order, d]
@@ -48,9 +49,10 @@ class ImpactIndex:
             self.bottoms.append(impact[cut - 1] if len(impact) else impact)
 
     def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and exact scores of the k best vectors and of all that tie with the last of them."""
+        """Places and exact scores of the k best vectors and of all that tie with the last of them. read becomes the postings that were processed."""
         n, dims = self.vectors.shape
         query = query.astype(np.int64)
+        self.read = 0
         if n <= 8 * k:
             return self._best(np.arange(n), query, k)
         used = [d for d in range(dims) if query[d]]
@@ -76,6 +78,7 @@ class ImpactIndex:
                     last = len(ends)
                     a, z = (int(ends[last - to - 1]) if to < last else 0), int(ends[last - at - 1])
                 places, adds = self.order[d][a:z], query[d] * self.impact[d][a:z]
+                self.read += z - a
                 packed[places] += (adds << bits) - 1
                 floor[places] += adds - int(min(query[d] * self.impact[d][0], query[d] * self.impact[d][-1]))
                 done[d] = to
@@ -107,48 +110,58 @@ def integers(embedding: Column) -> Column:
     return F.when((F.size(embedding) > 0) & finite, F.transform(embedding, lambda x: F.floor(x.cast("double") * SCALE)))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", embedding: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is_query holds for, the k rows with the largest inner product, but its own key; ties go to the smaller key.
 
     Vectors are compared with those of the same length. Null, ragged or non-finite vectors and null keys take no part;
     rows that repeat a key are each a candidate, and a repeated query is asked once for each of its different vectors
-    (its rows are ranked together). Other columns are ignored. Fewer than k candidates give fewer rows.
+    (its rows are ranked together). Other columns are ignored. Fewer than k candidates give fewer rows, an empty table none.
+    A task holds the vectors of a block and some thousands of queries; each query goes to every block.
     """
     rows = vectors.select(vectors[key].cast("long").alias("id"), integers(vectors[embedding]).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     rows = rows.withColumn("dims", F.size("v"))
-    counted = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("q")).first()
-    blocks = max(LEAST_BLOCKS, math.ceil(counted["n"] / block))
-    query_blocks = max(1, math.ceil(counted["q"] / query_block))
-    asked = rows.where("asked").select("dims", F.pmod(F.xxhash64("id", F.lit("query")), F.lit(query_blocks)).cast("int").alias("qb"), "id", "v")
-    asked = asked.distinct().withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    held = rows.withColumn("cb", F.pmod(F.xxhash64("id", F.lit("vector")), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[pa.Table] = []
-        if left.num_rows and right.num_rows:
-            ids, own = right.column("id").to_numpy(), left.column("id").to_numpy()
-            index = ImpactIndex(matrix(right.column("v")))
-            order = np.argsort(ids, kind="stable")
-            place_of = ids[order]
-            for q, vector in zip(own, matrix(left.column("v")), strict=True):
-                repeats = int(np.searchsorted(place_of, q, side="right") - np.searchsorted(place_of, q, side="left"))
-                places, scores = index.search(vector, min(len(ids), k + repeats))
-                kept = ids[places] != q
-                found, scores = ids[places][kept], scores[kept]
-                best = np.lexsort((found, -scores))[:k]
-                out.append(pa.table({"query_id": np.full(len(best), q), "vec_id": found[best], "score": scores[best]}))
-        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-
-    keys = ["dims", "qb", "cb"]
-    near = asked.groupBy(*keys).cogroup(held.select(*keys, "id", "v").groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
+    blocks = max(LEAST_BLOCKS, math.ceil(rows.count() / block))
+    asked = rows.where("asked").select("dims", "id", "v").distinct().select("dims", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "id", "v")
+    held = rows.select("dims", F.pmod(F.xxhash64("id", F.lit("vector")), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, index, ids, order = None, [], None, None, None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("dims", "block", "asks")], axis=1)
+            cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True]) if len(keys) else []
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                part, place = batch.slice(a, z - a), tuple(keys[a, :2])
+                if place != now:
+                    now, parts, index = place, [], None
+                if not keys[a, 2]:  # vectors come before the queries of their block
+                    parts.append((part.column("id").to_numpy(), matrix(part.column("v"))))
+                elif parts:
+                    if index is None:
+                        ids, index = np.concatenate([x for x, _ in parts]), ImpactIndex(np.concatenate([v for _, v in parts]))
+                        order = np.argsort(ids, kind="stable")
+                    yield found(index, ids, ids[order], part)
+
+    def found(index: ImpactIndex, ids: np.ndarray, in_order: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for q, vector in zip(part.column("id").to_numpy(), matrix(part.column("v")), strict=True):
+            repeats = int(np.searchsorted(in_order, q, side="right") - np.searchsorted(in_order, q, side="left"))
+            places, scores = index.search(vector, min(len(ids), k + repeats))
+            own = ids[places] != q
+            near, scores = ids[places][own], scores[own]
+            best = np.lexsort((near, -scores))[:k]
+            out.append(np.stack([np.full(len(best), q), near[best], scores[best]]))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.concatenate(out, axis=1)], ["query_id", "vec_id", "score"])
+
+    # a partition a block, whatever the shuffles of the session are cut into
+    dealt = held.union(asked).repartition(blocks, "dims", "block").sortWithinPartitions("dims", "block", "asks", "id")
+    near = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.ListArray) -> np.ndarray:
     """Lists of one length as the rows of an array."""
-    flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy()
-    return flat.reshape(len(column), -1)
+    return column.flatten().to_numpy().reshape(len(column), -1)
 
 
 def brute_force(ids: Iterator[int], vectors: np.ndarray, queries: Iterator[int], k: int) -> list[tuple[int, int, int, int]]:

@@ -38,8 +38,8 @@ BATCH, LEAST_STEPS = 256, 60
 DOUBTFUL = 0.1
 #: Documents that must share an n-gram for it to be learned.
 LEAST_DOCUMENTS = 6
-#: Labelled documents of each class that are trained on at most (about), and characters of the longest.
-MAX_PER_CLASS, MAX_CHARACTERS = 1500, 200_000
+#: Labelled documents of each class that are trained on at most (about), characters of the longest, and characters of a class together.
+MAX_PER_CLASS, MAX_CHARACTERS, CLASS_CHARACTERS = 1500, 200_000, 20_000_000
 HELD_OUT, FOLDS, THRESHOLD = 1, 3, 0.7
 REMEMBERED, LONGEST = 300_000, 64
 EDGES = ".,;:!?\"'()[]{}<>|/\\#*$%&-_~`"
@@ -238,12 +238,13 @@ def curve(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / wide), float(w[1] - w[0] * mid / wide)
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_per_class: int = MAX_PER_CLASS, max_characters: int = MAX_CHARACTERS) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_per_class: int = MAX_PER_CLASS, max_characters: int = MAX_CHARACTERS, class_characters: int = CLASS_CHARACTERS) -> tuple[list[str], list[int]]:
     """Labelled texts outside the held-out fold: of each class about max_per_class with the least hash of their key.
 
     A key labelled twice is toxic if one of its labels says so; null labels and keys don't count; texts that are null or
-    longer than max_characters teach nothing (they are scored all the same). The keys that are broadcast number about
-    2 * max_per_class.
+    longer than max_characters teach nothing (they are scored all the same). They are taken in the order of the hashes until a
+    class has class_characters. The keys that are broadcast number about 2 * max_per_class, and the driver holds
+    2 * class_characters.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
@@ -252,12 +253,22 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     for c, n in counts.items():
         chosen = chosen | ((F.col("toxic") == c) & (place < math.ceil(min(1.0, max_per_class / n) * (1 << 30))))
     rows = docs.where(F.length(docs[text]) <= max_characters).select(docs[key].alias("doc_id"), docs[text].alias("text"))
-    found = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.join(F.broadcast(own.where(chosen)), "doc_id").toLocalIterator())
+    found, sizes = [], dict.fromkeys(counts, 0)
+    for r in rows.join(F.broadcast(own.where(chosen)), "doc_id").orderBy(place, "doc_id", "text").toLocalIterator():
+        sizes[r["toxic"]] += len(r["text"])
+        if sizes[r["toxic"]] <= class_characters:
+            found.append((r["doc_id"], r["text"], r["toxic"]))
+    found.sort()
     return [t for _, t, _ in found], [c for _, _, c in found]
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """key, held_out, score, predicted; one row per row of docs. Null and empty texts have the score of no words; without a model every score is 0."""
+    """key, held_out, score, predicted; one row per row of docs.
+
+    Null and empty texts have the score of no words; without a model every score is 0. Every text is scored whole, however long, also what has no white
+    space (see words()). Repeated rows are scored each by itself, alike; a null key counts as not held out. Other columns are ignored, an
+    empty table gives an empty one.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,3 +142,37 @@ def test_packed_documents_are_whole(spark, library):
     assert sum(r.length for r in out if r.doc_id != 7) == sum(len(v) for i, v in ids.items() if i != 7)
     assert sum(r.length for r in out) >= 0.93 * 2048 * (len(spans) - 2)  # either task may leave its last one unfilled
     assert packing.pack_documents(df.limit(0), WORDS).count() == 0
+
+
+def test_each_limit_of_instruction_data_can_bind(spark, library):
+    rng = random.Random(8)
+    rows = [(c, t, ("user", "assistant")[t % 2], " ".join(rng.choices(["alpha", "beta", "Gamma!", "δ"], k=rng.randint(0, 60)))) for c in range(60) for t in range(rng.choice([1, 2, 5]))]
+    rows += [(100, 0, "user", None), (101, 0, "assistant", "long " * 3000), (101, 1, None, ""), (None, 0, "assistant", "x"), (3, None, "user", "y"), (300, 0, "user", "again"), (300, 0, "user", "again")]
+    rows += [(200, t, "assistant", "so it goes on") for t in range(200)]  # more turns than are looked at together
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn int, role string, text string, example string, offset int")
+    ids = lambda t: np.array([*library[WORDS].encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
+    texts = {}
+    for c, t, role, text in rows:
+        texts.setdefault((c, t), (text, role))
+    for limits, binds in (((2048, 10_000, 10_000), 0), ((2048, 3, 10_000), 1), ((2048, 10_000, 150), 2), ((300, 4, 120), None)):
+        out = packing.pack_conversations(df, WORDS, limits).collect()
+        assert sum(r.length for r in out) == sum(len(ids(r[3])) for r in rows)
+        by, examples = {}, {}
+        for r in out:
+            text, role = texts[r.conv_id, r.turn]
+            piece = ids(text)[r.start : r.start + r.length]
+            assert len(piece) == r.length and r.loss == (r.length if role == "assistant" else 0) and zlib.crc32(piece.tobytes()) == r.ids_crc32
+            by.setdefault(r.sequence_id, []).append(r)
+            examples.setdefault((r.conv_id, None if r.turn is None else r.turn // packing.TURNS, r.example), set()).add(r.sequence_id)
+        assert all(len(s) == 1 for s in examples.values())
+        sums = []
+        for own in by.values():
+            own.sort(key=lambda r: r.offset)
+            assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
+            sums.append((sum(r.length for r in own), len({(r.conv_id, None if r.turn is None else r.turn // packing.TURNS, r.example) for r in own}), sum(r.loss for r in own)))
+        sums = np.array(sums)
+        assert (sums <= limits).all()
+        if binds is not None:  # nearly all sequences are full by this one, and by no other
+            share = np.median(sums / np.array(limits), axis=0)
+            assert share[binds] > 0.9 and all(share[k] < 0.9 for k in range(3) if k != binds), share
+    assert packing.pack_conversations(df.limit(0), WORDS).count() == 0
