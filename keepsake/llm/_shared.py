@@ -18,9 +18,11 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset (tests), a temporary folder that becomes its value."""
+    """spark.checkpoint.dir of the session; where that is unset, in local mode (tests) a temporary folder that becomes its value, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster sees")
         folder = "file://" + tempfile.mkdtemp(prefix="keepsake-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -55,6 +57,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 AT_ONCE, ROWS_AT_ONCE = 2_000_000, 1_000
 
 
+#: Bytes of an Arrow batch at most.
+BATCH_BYTES = 2 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on, Arrow batches of the session have at most BATCH_BYTES, or less where it says so: what goes to a Python worker at a time is
+    bounded by bytes and not by rows, on both sides. It holds for what is planned later, so operators that start workers call it."""
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+
 def row_slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """(rows, their texts) of consecutive rows with about AT_ONCE bytes of text, so that memory doesn't follow Arrow's batches; text: the column's place."""
     for batch in batches:
@@ -79,6 +93,7 @@ def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, l
 def with_column(docs: DataFrame, column: str, kind: str, text: str, worker: Callable[[], Callable[[list[str | None]], pa.Array]]) -> DataFrame:
     """All columns of docs, then column, of what a worker's function makes of the texts; one row per row of docs, slice by slice."""
     at = docs.columns.index(text)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = worker()
@@ -91,6 +106,7 @@ def with_column(docs: DataFrame, column: str, kind: str, text: str, worker: Call
 def kept_rows(docs: DataFrame, text: str, worker: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
     """The rows of docs for whose texts a worker's function is true; all columns."""
     at = docs.columns.index(text)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = worker()

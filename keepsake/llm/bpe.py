@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from keepsake.llm._shared import take_over, text_slices
+from keepsake.llm._shared import small_batches, take_over, text_slices
 
 NONE = 1 << 62
 #: Longer words have a tree of their own.
@@ -311,6 +311,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     Null texts count as empty, with no ids. Null or repeated keys pass through, other columns are left out. Work is per
     row: nothing is shuffled, and a worker holds a few million characters and a bounded dictionary at a time.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
@@ -324,6 +325,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """encode() as digests: key, n_tokens, ids_sha256, decoded_sha256, made where the ids are, so that no list travels."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm._shared import give_back, kept_rows, take_over, text_slices, with_column
+from keepsake.llm._shared import give_back, kept_rows, small_batches, take_over, text_slices, with_column
 
 UNKNOWN = "und"
 #: What is learned of a language at most: rows (about), the characters of a row, bytes; and the bytes of all languages together, of
@@ -279,6 +279,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """
     learned = tuple(sorted(learn(docs, key, text, lang).items()))
     held = docs.sparkSession.sparkContext.broadcast(learned)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(held.value)

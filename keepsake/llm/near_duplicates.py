@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.llm._shared import take_over, text_slices, written
+from keepsake.llm._shared import small_batches, take_over, text_slices, written
 
 SHINGLE, PERCENT = 4, 80
 GROUPS, ROWS = 18, 3
@@ -370,6 +370,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     takes no part, with a null component, and is kept. Rows that repeat a doc_id are judged each by its own text. Other columns are
     ignored; an empty table gives an empty one. Texts are read twice, the second time those of nodes that met another one.
     """
+    small_batches(docs.sparkSession)
     drawn = written(sketches(docs, key, text), "sketches")
     named = drawn.where("n > 0 AND doc_id IS NOT NULL")
     nodes = written(named.groupBy("print").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("groups").alias("groups")), "nodes")

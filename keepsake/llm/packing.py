@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm._shared import row_slices, text_slices
+from keepsake.llm._shared import row_slices, small_batches, text_slices
 from keepsake.llm.bpe import REMEMBERED, word_bpe
 
 #: Tokens, segments and loss-bearing tokens of a sequence at most: of plain text, in which all tokens but a segment's first bear loss, and of
@@ -98,6 +98,7 @@ def pack_documents(docs: DataFrame, path: str, limits: Sequence[int] = LIMITS, e
     one. Nothing is shuffled; a task that runs again reads the same rows and so numbers the same sequences.
     """
     most = int(limits[0])
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path, remembered)
@@ -167,6 +168,7 @@ def pack_conversations(turns: DataFrame, path: str, limits: Sequence[int] = TALK
     the order of their texts). An empty table gives no rows; other columns are left out. One shuffle, of the turns by conversation.
     """
     names = ["key", "turn", "start", "length", "loss", "ids_crc32", "example", "sequence_id", "offset"]
+    small_batches(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = word_bpe(path, remembered), end_id.to_bytes(4, "little")

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm._shared import take_over, text_slices
+from keepsake.llm._shared import small_batches, take_over, text_slices
 from keepsake.llm.bpe import byte_characters
 
 # Fixed value: the pattern of byte-level BPE files.
@@ -201,6 +201,7 @@ def prefix_counter(path: str) -> PrefixCounter:
 
 def _mapped(docs: DataFrame, path: str, key: str, text: str, schema: str, made: Callable[[list[str], list[PrefixCounts]], list[pa.Array]]) -> DataFrame:
     """key and what made gives for the prefix counts of consecutive texts; one row per row of docs."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)

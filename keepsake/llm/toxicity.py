@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm._shared import kept_rows, take_over, text_slices, with_column
+from keepsake.llm._shared import kept_rows, small_batches, take_over, text_slices, with_column
 from keepsake.llm.language_id import fold
 
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST_GRAM = 1 << 16, 8, 3, 5
@@ -270,6 +270,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     empty table gives an empty one.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer.of(held.value)

@@ -17,7 +17,6 @@ import gzip
 import hashlib
 import json
 import os
-import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -176,9 +175,9 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
 
         def pages() -> Iterator[tuple[int, Record]]:
             for b in batches:
-                for i in range(b.num_rows):
-                    r = [b.column(k)[i].as_py() for k in range(6)]
-                    yield r[4], page_record(r[0], r[1], r[2], r[3], r[4], r[5])
+                for k in range(0, b.num_rows, 256):
+                    for r in zip(*(c.to_pylist() for c in b.slice(k, 256).columns), strict=True):
+                        yield r[4], page_record(*r)
 
         stream, done = pages(), False
 
@@ -194,19 +193,49 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
 
         while not done:
             place, number = f"{base}/{name}-{number}.warc.gz", number + 1
-            with tempfile.TemporaryFile() as spool:
-                n = write_stream(spool, some())
-                if not n:
-                    return
-                spool.seek(0)
-                with fs.open_output_stream(place, compression=None) as out, fs.open_output_stream(place + ".index", compression=None) as index:
-                    normalise(spool, out, index)
+            with fs.open_output_stream(place + ".whole", compression=None) as out:
+                n = write_stream(out, some())
+            if n:
+                rewrite(fs, place + ".whole", fs, place)
+            fs.delete_file(place + ".whole")
+            if not n:
+                return
             tail = os.path.basename(place)
             yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{tail}"], "index": [f"{folder}/{tail}.index"], "records": pa.array([n], pa.int64())})
 
     return rows.select("page_id", "url", "payload", "sha1", "size", "refers_to").mapInArrow(run, "archive string, index string, records long")
 
 
+def rewrite(source_fs: pafs.FileSystem, source: str, fs: pafs.FileSystem, place: str) -> int:
+    """Normalises the archive at source into place, with its sidecar beside it; returns how many records it has."""
+    with source_fs.open_input_stream(source, compression=None) as whole, fs.open_output_stream(place, compression=None) as out, fs.open_output_stream(place + ".index", compression=None) as index:
+        return normalise(whole, out, index)
+
+
+def normalise_archives(archives: DataFrame, folder: str, path: str = "path") -> DataFrame:
+    """Normalises archives that lie anywhere pyarrow's file systems reach: path, archive, index, records, error of each; read_archives() reads the result.
+
+    An archive is one task's work and is inflated once. One that is missing, no gzip stream or cut short has its error and null places, the others go on; null
+    paths are left out, repeated ones are normalised each. Lazy: whoever reads the result twice must store it (written()).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = opened(folder)
+        fs.create_dir(base, recursive=True)
+        context, number = TaskContext.get(), 0
+        for b in batches:
+            for source in b.column("path").to_pylist():
+                tail, number = f"{context.partitionId():06d}-{context.taskAttemptId()}-{number}.warc.gz", number + 1
+                try:
+                    n, error = rewrite(*opened(source), fs, f"{base}/{tail}"), None
+                except (OSError, ValueError, EOFError, zlib.error) as e:
+                    n, error = None, f"{type(e).__name__}: {e}"
+                archive = f"{folder}/{tail}" if error is None else None
+                yield pa.RecordBatch.from_pydict({"path": [source], "archive": pa.array([archive], pa.string()), "index": pa.array([archive and archive + ".index"], pa.string()), "records": pa.array([n], pa.int64()), "error": pa.array([error], pa.string())})
+
+    return archives.where(F.col(path).isNotNull()).select(F.col(path).alias("path")).mapInArrow(run, "path string, archive string, index string, records long, error string")
+
+
 def read_archives(manifest: DataFrame) -> DataFrame:
     """Every record of the manifest's archives, through their indexes: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
@@ -241,7 +270,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.select("archive", "index").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.where("archive IS NOT NULL").select("archive", "index").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:

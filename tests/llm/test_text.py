@@ -58,6 +58,21 @@ def test_automaton_phrases():
         assert a.phrases(text[i : i + 20]) == 1
 
 
+def test_archives_from_elsewhere_are_normalised(spark, tmp_path):
+    pages = [(i, f"http://x/{i}", b"p" * i) for i in range(4)]
+    with open(tmp_path / "whole.warc.gz", "wb") as f:
+        warc.write_stream(f, [warc.page_record(i, u, p, hashlib.sha1(p).hexdigest(), len(p), None) for i, u, p in pages])
+    (tmp_path / "cut.warc.gz").write_bytes((tmp_path / "whole.warc.gz").read_bytes()[:-40])
+    (tmp_path / "none.warc.gz").write_bytes(b"no gzip")
+    names = ["whole.warc.gz", "cut.warc.gz", "none.warc.gz", "missing.warc.gz"]
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in names] + [(None,)], "path string")
+    done = near_duplicates.written(warc.normalise_archives(paths, tmp_path.as_uri() + "/out"), "manifest")
+    got = {r.path.rpartition("/")[2]: r for r in done.collect()}
+    assert got.keys() == set(names) and got["whole.warc.gz"].records == 4 and all((got[n].error is None) == (n == "whole.warc.gz") for n in names)
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.read_archives(done).collect()) == [(i, i) for i in range(4)]
+    assert warc.normalise_archives(paths.limit(0), tmp_path.as_uri() + "/out").count() == 0
+
+
 def plain_phrases(text, learned):
     """The greedy parse by searching the learned text; each piece by itself."""
     count = 0
