@@ -36,6 +36,12 @@ def lookup(entities: DataFrame, entity_type: str, entity_id: object) -> DataFram
     return entities.where((F.col("entity_type") == entity_type) & (F.col("entity_id") == str(entity_id)))
 
 
+def lookup_in(df: DataFrame, id_column: str, entity_id: object) -> DataFrame:
+    """Rows of one kind of entity by their own id: the literal takes the column's type, so that the comparison reaches the scan. An id that
+    isn't of that type has no row."""
+    return df.where(F.col(id_column) == F.lit(str(entity_id)).try_cast(df.schema[id_column].dataType))
+
+
 def get_entity(entities: DataFrame, entity_type: str, entity_id: object) -> DataFrame:
     """lookup() that raises EntityNotFoundError where there is none."""
     found = lookup(entities, entity_type, entity_id)
@@ -44,9 +50,10 @@ def get_entity(entities: DataFrame, entity_type: str, entity_id: object) -> Data
     return found
 
 
-def statistics(entities: DataFrame) -> DataFrame:
-    """Per entity type, and over all (entity_type null): count, first and last time."""
-    return entities.rollup("entity_type").agg(F.count(F.lit(1)).alias("entities"), F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"))
+def statistics(entities: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Per entity type, and over all (entity_type null): count, first and last time. by names more columns, such as the source: then per type and
+    each of them, per type, and over all."""
+    return entities.rollup("entity_type", *(by or [])).agg(F.count(F.lit(1)).alias("entities"), F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"))
 
 
 def of_person(edges: DataFrame, person: Column) -> DataFrame:

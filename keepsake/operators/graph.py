@@ -9,14 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, so that loops have no growing lineage and lost executors lose nothing."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where that is unset, in local mode a temporary folder that becomes its value, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster sees")
         folder = "file://" + tempfile.mkdtemp(prefix="keepsake-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, so that loops have no growing lineage and lost executors lose nothing."""
+    spark: SparkSession = df.sparkSession
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
@@ -88,13 +95,15 @@ def symmetric(links: DataFrame, both: list[str]) -> DataFrame:
 
 
 def within_hops(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """node and hops: nodes that edges (source, target, both ways) reach from starts (node), with the least number of hops."""
-    ways = edges.select("source", "target").union(edges.select("target", "source")).distinct()
+    """node and hops: nodes that edges (source, target, both ways) reach from starts (node), with the least number of hops.
+
+    Only the frontier meets the edges, once in each direction; what it finds is made unique, not the edges.
+    """
     found = starts.select("node", F.lit(0).alias("hops"))
     frontier = found
     for h in range(1, hops + 1):
-        ahead = frontier.join(ways, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
-        frontier = held(ahead.join(found, "node", "left_anti").withColumn("hops", F.lit(h)))
+        ahead = [frontier.join(edges, F.col("node") == F.col(a)).select(F.col(b).alias("node")) for a, b in (("source", "target"), ("target", "source"))]
+        frontier = held(ahead[0].union(ahead[1]).distinct().join(found, "node", "left_anti").withColumn("hops", F.lit(h)))
         found = found.unionByName(frontier)
     return found
 

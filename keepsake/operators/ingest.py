@@ -86,23 +86,42 @@ def only_new(batch: DataFrame, existing: DataFrame, key: str = "content_hash") -
     return batch.join(existing.select(key).distinct(), key, "left_anti")
 
 
-def classify_upsert(batch: DataFrame, existing: DataFrame, keys: list[str], hash_column: str) -> DataFrame:
-    """keys and action: created, updated, skipped (same hash) or failed (a null in the key); absent for rows that only exist."""
+def one_per_key(batch: DataFrame, keys: list[str], order: list[Column], repeats: str = "_repeats") -> DataFrame:
+    """The first row by order of each key, and how many more had it. A partial aggregate, so that a key with many rows gathers nowhere."""
+    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in batch.columns)), F.struct(*order))
+    own = batch.groupBy(*keys).agg(first.alias("_first"), (F.count(F.lit(1)) - 1).alias(repeats))
+    return own.select("_first.*", repeats)
+
+
+def classify_upsert(batch: DataFrame, existing: DataFrame, keys: list[str], hash_column: str, order: list[Column] | None = None) -> DataFrame:
+    """keys and action of every row of batch: created, updated, skipped (same hash) or failed (a null in the key).
+
+    Of rows that repeat a key the first by order (by hash, if none is given) counts, the others are skipped. Rows that only exist are absent.
+    """
     known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-    new = batch.where(known).select(*keys, F.col(hash_column).alias("_new"), F.lit(True).alias("_there"))
+    new = one_per_key(batch.where(known), keys, order or [F.col(hash_column)]).select(*keys, F.col(hash_column).alias("_new"), "_repeats")
     old = existing.select(*keys, F.col(hash_column).alias("_old"), F.lit(True).alias("_known"))
     action = F.when(F.col("_known").isNull(), "created").when(F.col("_new").eqNullSafe(F.col("_old")), "skipped").otherwise("updated")
-    done = new.join(old, keys, "left").select(*keys, action.alias("action"))
+    rest = F.array_repeat(F.lit("skipped"), F.col("_repeats").cast("int"))
+    done = new.join(old, keys, "left").select(*keys, F.explode(F.concat(F.array(action), rest)).alias("action"))
     return done.unionByName(batch.where(~known).select(*keys, F.lit("failed").alias("action")))
 
 
-def upsert(batch: DataFrame, existing: DataFrame, keys: list[str], hash_column: str = "content_hash") -> DataFrame:
-    """existing after batch: rows of batch replace those of the same key whose hash differs."""
-    actions = classify_upsert(batch, existing, keys, hash_column)
-    changed = batch.join(actions.where("action IN ('created', 'updated')"), keys, "left_semi")
+def upsert(batch: DataFrame, existing: DataFrame, keys: list[str], hash_column: str = "content_hash", order: list[Column] | None = None) -> DataFrame:
+    """existing after batch: rows of batch replace those of the same key whose hash differs. Keys stay unique: of rows that
+    repeat a key the first by order (by hash, if none is given) is taken; rows with a null in the key fail and are not stored."""
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    new = one_per_key(batch.where(known), keys, order or [F.col(hash_column)]).drop("_repeats")
+    old = existing.select(*keys, F.col(hash_column).alias("_old"), F.lit(True).alias("_known"))
+    changed = new.join(old, keys, "left").where(F.col("_known").isNull() | ~F.col("_old").eqNullSafe(F.col(hash_column))).select(*batch.columns)
     return existing.join(changed.select(*keys), keys, "left_anti").unionByName(changed, allowMissingColumns=True)
 
 
+def is_merged(merged_into: Column) -> Column:
+    """Whether a person was merged into another one."""
+    return merged_into.isNotNull()
+
+
 def counters(actions: DataFrame) -> DataFrame:
     names = ("created", "updated", "skipped", "failed")
     return actions.agg(F.count(F.lit(1)).alias("found"), *(F.count_if(F.col("action") == a).alias(a) for a in names))

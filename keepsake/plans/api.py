@@ -50,9 +50,7 @@ def timeline_day(view: DataFrame, day: str) -> DataFrame:
 
 def search_by_location(places: DataFrame, latitude: float, longitude: float, radius: float) -> DataFrame:
     """Entities with latitude and longitude at most radius metres from a point, nearest first."""
-    point = places.sparkSession.createDataFrame([(latitude, longitude)], "to_latitude double, to_longitude double")
-    found = joins.near(point, places, radius, ("to_latitude", "to_longitude"), ("latitude", "longitude"))
-    return found.drop("to_latitude", "to_longitude").orderBy("distance_m")
+    return joins.around(places, latitude, longitude, radius).orderBy("distance_m")
 
 
 def search_by_person(edges: DataFrame, canonical: DataFrame, person: object) -> DataFrame:

@@ -127,8 +127,8 @@ def link_directions(spark, d):
 
 @book.query("SELECT event_type, event_id::VARCHAR AS entity_id, ts AS occurred_at FROM events WHERE event_id = 77")
 def point_lookup(spark, d):
-    view = entities.entity_rows(table(spark, d, "events"), "browsing_history", "event_id", "ts", event_type=F.col("event_type"))
-    return entities.lookup(view, "browsing_history", 77).select("event_type", "entity_id", "occurred_at")
+    found = entities.lookup_in(table(spark, d, "events"), "event_id", 77)
+    return entities.entity_rows(found, "browsing_history", "event_id", "ts", event_type=F.col("event_type")).select("event_type", "entity_id", "occurred_at")
 
 
 @book.query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND NOT o_orderpriority LIKE '1%'")
@@ -240,7 +240,7 @@ def box_area(spark, d):
     return table(spark, d, "part").select("p_partkey", measures.box_area(box).alias("area"))
 
 
-@book.query("SELECT a.p_partkey AS a, b.p_partkey AS b, bit_count(xor(a.p_partkey * 2654435761 % 1048576, b.p_partkey * 2654435761 % 1048576))::INT AS distance FROM part a JOIN part b ON a.p_partkey % 100 = b.p_partkey % 100 AND a.p_partkey < b.p_partkey WHERE bit_count(xor(a.p_partkey * 2654435761 % 1048576, b.p_partkey * 2654435761 % 1048576)) <= 6")
+@book.query("SELECT a.p_partkey AS a, b.p_partkey AS b, bit_count(xor(a.p_partkey * 2654435761 % 1048576, b.p_partkey * 2654435761 % 1048576))::INT AS distance FROM part a JOIN part b ON a.p_partkey < b.p_partkey WHERE bit_count(xor(a.p_partkey * 2654435761 % 1048576, b.p_partkey * 2654435761 % 1048576)) <= 6")
 def hamming_pairs(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 2654435761 % 1048576).alias("h"))
     return joins.hamming_pairs(p, 20, 6)

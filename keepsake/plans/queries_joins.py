@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keepsake import schema
 from keepsake.functions import texts, times
 from keepsake.operators import entities, graph, joins, linkers
 from keepsake.plans import api
@@ -27,6 +28,26 @@ def edge_optional(spark, d):
     return joins.follow(tx, "transactions", "payee_id", people).select("o_orderkey", F.col("to_c_name").alias("c_name"))
 
 
+def _edges_sql() -> str:
+    """For each declared edge: rows, how many found their target, and a sum over the targets. Orders stand in for the referring table, customers for the target."""
+    parts = []
+    for k, e in enumerate(schema.EDGES):
+        ref = f"CASE WHEN o_orderkey % {k + 3} = 0 THEN NULL ELSE o_custkey END" if e.optional else "o_custkey"
+        parts.append(f"SELECT '{e.table}.{e.column}' AS edge, '{e.target}' AS target, count(*) AS rows, count(id) AS matched, coalesce(sum(id), 0)::BIGINT AS total FROM (SELECT o_orderkey, {ref} AS ref FROM orders) {'LEFT ' if e.optional else ''}JOIN (SELECT c_custkey AS id FROM customer WHERE c_custkey % {k + 2} <> 0) ON ref = id")
+    return " UNION ALL ".join(parts)
+
+
+@book.query(_edges_sql())
+def all_edges(spark, d):
+    orders, customers = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    parts = []
+    for k, e in enumerate(schema.EDGES):
+        ref = F.when(F.col("o_orderkey") % (k + 3) != 0, F.col("o_custkey")) if e.optional else F.col("o_custkey")
+        joined = joins.follow(orders.select("o_orderkey", ref.alias(e.column)), e.table, e.column, customers.where(F.col("id") % (k + 2) != 0))
+        parts.append(joined.agg(F.count(F.lit(1)).alias("rows"), F.count("to_id").alias("matched"), F.coalesce(F.sum("to_id"), F.lit(0)).alias("total")).select(F.lit(f"{e.table}.{e.column}").alias("edge"), F.lit(e.target).alias("target"), "rows", "matched", "total"))
+    return entities.union_all(parts)
+
+
 @book.query("SELECT a.conv_id, a.turn, b.role AS replied_role FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1")
 def reply_self_join(spark, d):
     c = table(spark, d, "conversations")
@@ -65,11 +86,29 @@ def identity_resolution(spark, d):
 _E = "(SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS at FROM events)"
 
 
-@book.query(f"SELECT a.event_id AS a, b.event_id AS b, round(1 - abs(a.at - b.at) / 1200.0, 6) AS confidence FROM {_E} a JOIN {_E} b ON a.event_type = 'purchase' AND b.event_type = 'click' AND abs(a.at - b.at) <= 600")
+#: When the links of the queries are made.
+_MADE = "2024-01-01 00:00:00"
+
+
+def _links_sql(rows: str, linker: str, source_type: str, target_type: str) -> str:
+    """SQL of link_rows() over rows (s, t, link_type, confidence, custom_type, metadata)."""
+    h = f"sha256('link:{source_type}|' || s || '|{target_type}|' || t || '|' || link_type || '|' || coalesce(custom_type, ''))"
+    uuid = " || '-' || ".join(f"substr(h, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"""SELECT {uuid} AS id, TIMESTAMP '{_MADE}' AS created_at, '{source_type}' AS source_type, s AS source_id, '{target_type}' AS target_type, t AS target_id, link_type, custom_type, confidence::DOUBLE AS confidence,
+      true AS is_automatic, false AS is_confirmed, NULL::VARCHAR AS notes, metadata AS link_metadata, '{linker}' AS linker_name, '1' AS linker_version
+      FROM (SELECT *, {h} AS h FROM (SELECT s::VARCHAR AS s, t::VARCHAR AS t, link_type, confidence, custom_type::VARCHAR AS custom_type, metadata::VARCHAR AS metadata FROM ({rows})))"""
+
+
+def _links_of(pairs, linker, source, target, source_type, target_type, link_type, confidence=1.0, **more):
+    return linkers.link_rows(pairs, linker, F.col(source), F.col(target), F.lit(source_type), F.lit(target_type), link_type, confidence, created_at=F.lit(_MADE), **more)
+
+
+@book.query(_links_sql(f"SELECT a.event_id AS s, b.event_id AS t, CASE WHEN abs(a.at - b.at) <= 300 THEN 'same_time' WHEN a.at < b.at THEN 'before' ELSE 'after' END AS link_type, round(1 - abs(a.at - b.at) / 1200.0, 6) AS confidence, NULL AS custom_type, abs(a.at - b.at) || ' s' AS metadata FROM {_E} a JOIN {_E} b ON a.event_type = 'purchase' AND b.event_type = 'click' AND abs(a.at - b.at) <= 600", "temporal", "transaction", "browsing_history"))
 def link_temporal(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type", times.epoch_seconds(F.col("ts")).alias("at"))
     a, b = e.where("event_type = 'purchase'").select(F.col("event_id").alias("a"), F.col("at").alias("a_at")), e.where("event_type = 'click'").select(F.col("event_id").alias("b"), F.col("at").alias("b_at"))
-    return linkers.by_time(a, b, 600).select("a", "b", "confidence")
+    apart = F.concat(F.abs(F.col("a_at") - F.col("b_at")), F.lit(" s"))
+    return _links_of(linkers.by_time(a, b, 600), "temporal", "a", "b", "transaction", "browsing_history", linkers.order_of(F.col("a_at"), F.col("b_at")), F.col("confidence"), metadata=apart)
 
 
 @book.query("SELECT a.event_id AS a, b.event_id AS b, CASE WHEN abs(a.at - b.at) <= 300 THEN 'same_time' WHEN a.at < b.at THEN 'before' ELSE 'after' END AS link_type FROM (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS at FROM events) a JOIN (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS at FROM events) b ON a.user_id = b.user_id AND a.event_id < b.event_id AND abs(a.at - b.at) <= 7200")
@@ -80,7 +119,7 @@ def link_order(spark, d):
     return pairs.select("a", "b", linkers.order_of(F.col("a_at"), F.col("b_at")).alias("link_type"))
 
 
-@book.query("WITH s AS (SELECT o_orderkey AS span, o_custkey % 50 AS person, epoch_us(o_orderdate) // 1000000 AS start, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE epoch_us(o_orderdate) // 1000000 + 86400 * (o_orderkey % 5 + 1) END AS finish FROM orders WHERE o_orderkey % 4 = 1 OR o_orderkey % 400 = 0), p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 50 AS person, epoch_us(l_shipdate) // 1000000 AS sec FROM lineitem WHERE l_linenumber = 1) SELECT span, l_orderkey FROM s JOIN p ON s.person = p.person AND sec >= start AND (finish IS NULL OR sec < finish)")
+@book.query("WITH s AS (SELECT o_orderkey AS span, o_custkey % 50 AS person, epoch_us(o_orderdate) // 1000000 AS start, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE epoch_us(o_orderdate) // 1000000 + 86400 * (o_orderkey % 5 + 1) END AS finish FROM orders), p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 50 AS person, epoch_us(l_shipdate) // 1000000 AS sec FROM lineitem) SELECT span, l_orderkey, l_linenumber FROM s JOIN p ON s.person = p.person AND sec >= start AND (finish IS NULL OR sec < finish)")
 def during_span(spark, d):
     at = times.epoch_seconds(F.col("o_orderdate"))
     k = F.col("o_orderkey")
@@ -101,12 +140,12 @@ def _metres(a: str, b: str) -> str:
     return f"2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
 
 
-@book.query(f"SELECT a.id AS a, b.id AS b, CASE WHEN {_metres('a', 'b')} <= 50000 THEN 'same_location' ELSE 'near' END AS link_type, round({_metres('a', 'b')}, 2) AS distance_m FROM {_GEO} a JOIN {_GEO} b ON a.id < b.id AND abs(a.lat - b.lat) < 2 AND {_metres('a', 'b')} <= 150000")
+@book.query(_links_sql(f"SELECT a.id AS s, b.id AS t, CASE WHEN {_metres('a', 'b')} <= 50000 THEN 'same_location' ELSE 'near' END AS link_type, round(1 - {_metres('a', 'b')} / 300000, 6) AS confidence, NULL AS custom_type, NULL AS metadata FROM {_GEO} a JOIN {_GEO} b ON a.id < b.id AND abs(a.lat - b.lat) < 2 AND {_metres('a', 'b')} <= 150000", "spatial", "location_visit", "location_visit"))
 def link_spatial(spark, d):
     g = _geo(spark, d)
     a, b = (g.select(F.col("id").alias(x), F.col("latitude").alias(f"{x}_lat"), F.col("longitude").alias(f"{x}_lon")) for x in "ab")
     pairs = linkers.by_place(a, b, ("a_lat", "a_lon"), ("b_lat", "b_lon"), 50_000.0, 150_000.0).where("a < b")
-    return pairs.select("a", "b", "link_type", F.round("distance_m", 2).alias("distance_m"))
+    return _links_of(pairs, "spatial", "a", "b", "location_visit", "location_visit", F.col("link_type"), 1 - F.col("distance_m") / 300_000)
 
 
 @book.query(f"SELECT id, round(distance_m, 2) AS distance_m FROM (SELECT b.id, {_metres('a', 'b')} AS distance_m FROM (SELECT 48.85 AS lat, 2.35 AS lon) a, {_GEO} b) WHERE distance_m <= 800000")
@@ -122,34 +161,49 @@ def last_known_asof(spark, d):
     return joins.as_of(left, seen, ["user_id"], "at", "seen_at", ["seen"]).select("event_id", "seen")
 
 
-@book.query("WITH v AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (a.n * b.n), 6) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (a.n * b.n) >= 0.4")
+@book.query(_links_sql("SELECT a AS s, b AS t, CASE WHEN similarity >= 0.45 THEN 'similar' ELSE 'related' END AS link_type, similarity AS confidence, NULL AS custom_type, NULL AS metadata FROM (WITH v AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (a.n * b.n), 6) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (a.n * b.n) >= 0.4)", "semantic", "media", "media"))
 def link_semantic(spark, d):
-    return linkers.by_vector(table(spark, d, "embeddings"), 0.4, "vec_id", "embedding").select("a", "b", "similarity")
+    return _links_of(linkers.by_vector(table(spark, d, "embeddings"), 0.4, 0.45, "vec_id", "embedding"), "semantic", "a", "b", "media", "media", F.col("link_type"), F.col("similarity"))
 
 
-@book.query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(regexp_extract_all(b.text, '\\S+')) >= 3")
+@book.query(_links_sql(r"SELECT doc_id AS s, item_id AS t, 'quote' AS link_type, 1.0 AS confidence, NULL AS custom_type, NULL AS metadata FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(regexp_extract_all(b.text, '\S+')) >= 1", "quote", "knowledge_note", "bookmark"))
 def link_quote(spark, d):
-    return linkers.by_quote(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark").withColumnRenamed("text", "passage"), "item_id", "passage")
+    pairs = linkers.by_quote(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark").withColumnRenamed("text", "passage"), "item_id", "passage")
+    return _links_of(pairs, "quote", "doc_id", "item_id", "knowledge_note", "bookmark", F.lit("quote"))
+
+
+_SITES = "(SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/:?#.]+)', 1)) AS name FROM pages)"
 
 
-@book.query(r"SELECT DISTINCT doc_id, word AS n_name FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM documents) WHERE word IN ('the', 'moron', 'idiot', 'der', 'que')")
+@book.query(_links_sql(rf"SELECT doc_id AS s, name AS t, 'mentions' AS link_type, 1.0 AS confidence, NULL AS custom_type, NULL AS metadata FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS name FROM documents) JOIN {_SITES} USING (name)", "named_entity", "knowledge_note", "bookmark"))
 def link_named(spark, d):
-    names = spark.createDataFrame([("The",), ("Moron",), ("idiot",), ("der",), ("QUE",)], "n_name string")
-    return linkers.by_name(table(spark, d, "documents"), "doc_id", "text", names, "n_name").select("doc_id", F.lower("n_name").alias("n_name"))
+    """Sites of the pages' addresses, as far as documents name them."""
+    sites = table(spark, d, "pages").select(F.regexp_extract(texts.domain(F.col("url")), r"^[^.]+", 0).alias("name")).distinct()
+    found = linkers.by_name(table(spark, d, "documents"), "doc_id", "text", sites, "name")
+    return _links_of(found, "named_entity", "doc_id", "name", "knowledge_note", "bookmark", F.lit("mentions"))
 
 
-@book.query("SELECT 'transaction' AS source_type, o_orderkey::VARCHAR AS source_id, 'person' AS target_type, o_custkey::VARCHAR AS target_id, 'about' AS link_type, 1.0::DOUBLE AS confidence, true AS is_automatic, false AS is_confirmed, 'person' AS linker_name, '1' AS linker_version FROM orders JOIN customer ON o_custkey = c_custkey")
+_ROLES = "SELECT o_orderkey AS s, o_custkey AS t, 'about' AS link_type FROM orders UNION ALL SELECT o_orderkey, o_custkey, 'received_by' FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_orderkey % 10, 'sent_by' FROM orders"
+
+
+@book.query(_links_sql(f"SELECT s, t, link_type, 1.0 AS confidence, NULL AS custom_type, NULL AS metadata FROM ({_ROLES})", "person", "transaction", "person"))
 def link_person(spark, d):
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return linkers.link_rows(o, "person", F.col("o_orderkey"), F.col("o_custkey"), F.lit("transaction"), F.lit("person"), F.lit("about"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 10).alias("sender"), F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).alias("receiver"))
+    return _links_of(linkers.by_role(o, {"o_custkey": "about", "receiver": "received_by", "sender": "sent_by"}), "person", "o_orderkey", "person", "transaction", "person", F.col("link_type"))
 
 
-@book.query("SELECT conv_id || ':' || turn AS source_id, conv_id || ':' || (turn - 1) AS target_id, 'reply_to' AS link_type FROM conversations WHERE turn > 0")
+@book.query(_links_sql("SELECT a.conv_id || ':' || a.turn AS s, b.conv_id || ':' || b.turn AS t, CASE WHEN b.turn = a.turn - 1 THEN 'reply_to' ELSE 'references' END AS link_type, 1.0 AS confidence, NULL AS custom_type, NULL AS metadata FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 2 AND a.turn - 1", "reply", "chat_message", "chat_message"))
 def link_reply(spark, d):
-    c = table(spark, d, "conversations")
-    node = lambda t: F.concat("conv_id", F.lit(":"), t)
-    pairs = c.select(node(F.col("turn")).alias("s"), node(F.col("turn") - 1).alias("t")).join(c.select(node(F.col("turn")).alias("t")), "t", "left_semi")
-    return linkers.link_rows(pairs, "reply", F.col("s"), F.col("t"), F.lit("chat_message"), F.lit("chat_message"), F.lit("reply_to")).select("source_id", "target_id", "link_type")
+    mid = lambda k: F.concat(F.lit("<"), "conv_id", F.lit("."), F.col("turn") - k, F.lit("@x>"))
+    c = table(spark, d, "conversations").select(F.concat("conv_id", F.lit(":"), "turn").alias("node"), mid(0).alias("message_id"), mid(1).alias("in_reply_to"), F.concat(mid(2), F.lit(" "), mid(1)).alias("references"))
+    return _links_of(linkers.by_reference(c, "node", "message_id", "in_reply_to", "references"), "reply", "node", "target", "chat_message", "chat_message", F.col("link_type"))
+
+
+@book.query(_links_sql("SELECT o_orderkey AS s, o_custkey AS t, CASE WHEN o_orderkey % 3 = 0 THEN 'custom' ELSE 'about' END AS link_type, 1.7 - (o_orderkey % 3) AS confidence, CASE WHEN o_orderkey % 3 = 0 THEN 'priority ' || o_orderpriority END AS custom_type, NULL AS metadata FROM orders", "user", "transaction", "person").replace("confidence::DOUBLE", "least(1.0, greatest(0.0, confidence))::DOUBLE"))
+def link_custom(spark, d):
+    k = F.col("o_orderkey")
+    kind = F.when(k % 3 == 0, "custom").otherwise("about")
+    return _links_of(table(spark, d, "orders"), "user", "o_orderkey", "o_custkey", "transaction", "person", kind, 1.7 - (k % 3), custom_type=F.concat(F.lit("priority "), "o_orderpriority"))
 
 
 def _links(spark, d):
@@ -201,7 +255,7 @@ def unmatched(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@book.query("SELECT conv_id, turn, role, substr(text, 1, 40) AS text FROM conversations WHERE conv_id = 5")
+@book.query("SELECT conv_id, turn, role, text FROM conversations WHERE conv_id = 5")
 def conversation(spark, d):
     found = api.conversation(table(spark, d, "conversations"), F.col("conv_id") == 5, [F.asc("turn")])
     return found.select("conv_id", "turn", "role", "text")
@@ -223,3 +277,36 @@ def create_note(spark, d):
 def shared_domains(spark, d):
     p = table(spark, d, "pages").groupBy(texts.domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("pages"))
     return p.where("pages > 1")
+
+
+@book.query("SELECT n_name, s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 0")
+def right_outer(spark, d):
+    s, n = table(spark, d, "supplier").where("s_acctbal > 0"), table(spark, d, "nation")
+    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey"), "right_outer").select("n_name", "s_suppkey")
+
+
+@book.query("SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) NATURAL JOIN (SELECT r_name, r_regionkey AS k FROM region)")
+def natural_join(spark, d):
+    n, r = table(spark, d, "nation").select("n_name", F.col("n_regionkey").alias("k")), table(spark, d, "region").select("r_name", F.col("r_regionkey").alias("k"))
+    return n.join(r, [c for c in n.columns if c in r.columns]).select("n_name", "r_name")
+
+
+@book.query("SELECT c_custkey, x.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) x")
+def lateral_join(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    best = o.where(F.col("o_custkey") == F.col("c_custkey").outer()).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1).select("o_orderkey")
+    return c.lateralJoin(best).select("c_custkey", "o_orderkey")
+
+
+@book.query("SELECT l.doc_id, t AS tag, d.source AS name FROM (SELECT doc_id, unnest(list_filter([CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL)) AS t FROM labels) l JOIN documents d ON d.doc_id = l.doc_id")
+def tags_of_entities(spark, d):
+    """All tags of each entity; tagged_docs has the other direction."""
+    tags = table(spark, d, "labels").unpivot("doc_id", ["quality", "toxic"], "tag", "value").where("value = 1")
+    return tags.join(table(spark, d, "documents").select("doc_id", F.col("source").alias("name")), "doc_id").select("doc_id", "tag", "name")
+
+
+@book.query("SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END AS payee_id FROM orders) WHERE payee_id IS NULL")
+def unmatched_payee(spark, d):
+    """Rows whose optional reference is null."""
+    tx = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_custkey")).alias("payee_id"))
+    return tx.where("payee_id IS NULL").select("o_orderkey")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from keepsake.functions import measures, texts
-from keepsake.operators import search
+from keepsake.operators import graph, search
+from keepsake.plans import api
 from keepsake.plans.registry import Book, table
 from keepsake.streaming import windows
 
@@ -43,7 +43,7 @@ def knn_of_kind(spark, d):
 
 
 @book.query(f"""
-WITH f AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM {_FTS} QUALIFY r <= 100), v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM {_COS} QUALIFY r <= 100)
+WITH f AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM {_FTS}), v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM {_COS})
 SELECT coalesce(f.id, v.id) AS id, f.r AS word_rank, v.r AS vector_rank, round(coalesce(0.3::DOUBLE / (60.0::DOUBLE + f.r), 0) + coalesce(0.7::DOUBLE / (60.0::DOUBLE + v.r), 0), 9) AS score FROM f FULL JOIN v ON f.id = v.id""")
 def hybrid_rrf(spark, d):
     words = search.ranked(search.word_scores(table(spark, d, "documents"), "doc_id", "text", WORDS))
@@ -51,6 +51,24 @@ def hybrid_rrf(spark, d):
     return search.fuse(words, vectors)
 
 
+@book.query(f"""
+WITH f AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM {_FTS}), v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM {_COS} JOIN documents ON id = doc_id)
+SELECT coalesce(f.id, v.id) AS id, f.r AS word_rank, v.r AS vector_rank, round(coalesce(0.3::DOUBLE / (60.0::DOUBLE + f.r), 0) + coalesce(0.7::DOUBLE / (60.0::DOUBLE + v.r), 0), 9) AS score
+FROM f FULL JOIN v ON f.id = v.id ORDER BY score DESC, id LIMIT 10""")
+def search_knowledge(spark, d):
+    """The service's hybrid search, the ten best, over documents with the vectors of the same number."""
+    corpus = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
+    return api.search_knowledge(corpus, WORDS, PROBE, 10)
+
+
+@book.query(f"SELECT id, score FROM {_FTS}")
+def fts_indexed(spark, d):
+    """The same as fts_term_frequency, from a stored index of postings."""
+    place = _place(spark)
+    search.write_postings(search.postings(table(spark, d, "documents"), "doc_id", "text"), place)
+    return search.indexed_scores(spark.read.parquet(place), WORDS)
+
+
 @book.query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS length FROM embeddings")
 def vector_lengths(spark, d):
     v = F.col("embedding")
@@ -63,9 +81,8 @@ def token_counts(spark, d):
 
 
 def _place(spark) -> str:
-    """A folder for a stream's state that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="keepsake-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors see, for a stream's state or its result."""
+    return f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark, d):
@@ -74,7 +91,7 @@ def _stream(spark, d):
 
 
 def _finished(spark, stream, mode):
-    return windows.run_to_end(stream, f"stream_{uuid.uuid4().hex}", mode, _place(spark))
+    return windows.run_to_end(stream, _place(spark), mode, _place(spark))
 
 
 @book.query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS window_start, count(*) AS rows FROM events GROUP BY ALL")

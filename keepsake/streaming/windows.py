@@ -32,8 +32,17 @@ def first_of_each(events: DataFrame, at: str, late: str, keys: list[str]) -> Dat
     return events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Processes what is there into an in-memory table and returns it; for reports of bounded size and for tests."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, folder: str, mode: str, checkpoint: str) -> DataFrame:
+    """Processes what is there into a table in folder and returns it. Each micro-batch writes its own part and a batch that runs again writes the same one;
+    in mode complete the last part is the result, else all are. Nothing is collected in the driver."""
+    spark, last = stream.sparkSession, [-1]
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        last[0] = max(last[0], number)
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if last[0] < 0:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/batch={last[0]}" if mode == "complete" else f"{folder}/batch=*")

@@ -100,11 +100,31 @@ def test_recurrences(spark):
     got = {}
     for r in recurrence.occurrences(df, "k", "start", "rule").orderBy("k", "occurs_at").collect():
         got.setdefault(r.k, []).append((r.occurs_at.month, r.occurs_at.day))
-    assert got == {"d": [(1, 1), (1, 2), (1, 3)], "w": [(1, 1), (1, 15), (1, 29)], "m": [(1, 31), (2, 29), (3, 31)], "y": [(1, 1), (1, 1)], "n": [(1, 1)]}
+    assert got == {"d": [(1, 1), (1, 2), (1, 3)], "w": [(1, 1), (1, 15), (1, 29)], "m": [(1, 31), (3, 31), (5, 31)], "y": [(1, 1), (1, 1)], "n": [(1, 1)]}
     endless = spark.createDataFrame([("e", "FREQ=DAILY")], "k string, rule string").withColumn("start", ntz("2024-01-01 00:00:00"))
     assert recurrence.occurrences(endless, "k", "start", "rule", 10).count() == 11
 
 
+def test_recurrences_match_another_reader_of_the_standard(spark):
+    rrule = pytest.importorskip("dateutil.rrule")
+    rules = ["FREQ=WEEKLY;BYDAY=MO,WE;COUNT=4", "FREQ=WEEKLY;INTERVAL=2;BYDAY=SU,TU;WKST=SU;COUNT=6", "FREQ=MONTHLY;BYDAY=2TU,-1FR;COUNT=7", "FREQ=MONTHLY;BYMONTHDAY=-1,15;UNTIL=20250301T000000", "FREQ=MONTHLY;BYMONTHDAY=31;COUNT=5", "FREQ=YEARLY;BYMONTH=2;BYMONTHDAY=29;COUNT=3",
+             "FREQ=YEARLY;BYDAY=20MO;COUNT=3", "FREQ=YEARLY;BYMONTH=1,6;BYDAY=1MO;COUNT=5", "FREQ=DAILY;BYDAY=SA;BYMONTH=3;COUNT=6", "FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1;COUNT=5", "FREQ=DAILY;INTERVAL=10;UNTIL=20240401"]
+    start = datetime(2024, 1, 3, 9)
+    df = spark.createDataFrame(list(enumerate(rules)), "k int, rule string").withColumn("start", ntz(str(start)))
+    got = {}
+    for r in recurrence.occurrences(df, "k", "start", "rule").orderBy("k", "occurs_at").collect():
+        got.setdefault(r.k, []).append(r.occurs_at)
+    assert got == {k: list(rrule.rrulestr(x, dtstart=start)) for k, x in enumerate(rules)}
+
+
+def test_unreadable_rules_are_told_and_make_nothing_up(spark):
+    rules = ["FREQ=HOURLY;COUNT=2", "FREQ=DAILY;BYHOUR=9", "FREQ=WEEKLY;BYDAY=XX", "nonsense", "FREQ=DAILY;COUNT=0", "FREQ=DAILY;COUNT=1", None]
+    df = spark.createDataFrame(list(enumerate(rules)), "k int, rule string").withColumn("start", ntz("2024-01-01 09:00:00"))
+    assert sorted(r.k for r in recurrence.unreadable(df, "rule").collect()) == [0, 1, 2, 3, 4]
+    got = recurrence.occurrences(df, "k", "start", "rule").collect()
+    assert len(got) == 7 and {r.k for r in got if r.occurs_at is None} == {0, 1, 2, 3, 4}
+
+
 def test_model_boundary(spark):
     df = spark.createDataFrame([(1, "a", bytearray(b"one")), (2, None, None), (3, "a", bytearray(b"two"))], "id long, t string, b binary")
     rows = df.select("id", models.text_embedding(F.col("t"), models.stub_embedding).alias("v"), models.to_text(F.col("b"), lambda raw: raw.decode().upper()).alias("text"), models.perceptual_hash(F.col("b"), lambda raw: np.arange(16).reshape(4, 4) if raw == b"one" else None).alias("p")).orderBy("id").collect()

@@ -88,6 +88,16 @@ def test_dedup_and_upsert_are_idempotent(spark):
     assert {tuple(r) for r in ingest.upsert(batch, after, ["id"]).collect()} == {tuple(r) for r in after.collect()}
 
 
+def test_a_key_that_a_batch_repeats_stays_unique(spark):
+    old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id int, content_hash string, at int")
+    batch = spark.createDataFrame([(1, "c", 5), (1, "d", 9), (1, "a", 1), (3, "x", 1), (3, "x", 2), (None, "y", 1), (2, "b", 3)], "id int, content_hash string, at int")
+    newest = [-F.col("at")]
+    assert sorted((r.id, r.content_hash) for r in ingest.upsert(batch, old, ["id"], order=newest).collect()) == [(1, "d"), (2, "b"), (3, "x")]
+    actions = ingest.classify_upsert(batch, old, ["id"], "content_hash", newest)
+    assert sorted((r.id or 0, r.action) for r in actions.collect()) == [(0, "failed"), (1, "skipped"), (1, "skipped"), (1, "updated"), (2, "skipped"), (3, "created"), (3, "skipped")]
+    assert tuple(ingest.counters(actions).first()) == (7, 1, 1, 4, 1)
+
+
 def test_json_columns(spark):
     df = spark.createDataFrame([('{"+1": ["a", "b"]}',), ("broken",), (None,)], "reactions string")
     assert [r.reactions for r in ingest.parse_json(df, "chat_messages").collect()][0] == {"+1": ["a", "b"]}

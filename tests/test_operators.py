@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from keepsake import schema
 from keepsake.operators import entities, graph, joins, linkers, rollups, search
 
 
@@ -83,16 +84,61 @@ def test_fused_scores_fall_with_either_rank(spark):
     assert got[1] == pytest.approx(1 / 61) and got[1] > got[2] > got[3] and got[4] == pytest.approx(0.7 / 62)
 
 
-def test_quotes_begin_inside_words_and_short_passages_are_none(spark):
+def test_quotes_begin_inside_words_and_may_be_short(spark):
     docs = spark.createDataFrame([(1, "xxalpha beta gamma delta epsilon zetayy"), (2, "alpha beta"), (3, "one two three")], "id int, text string")
-    passages = spark.createDataFrame([(10, "alpha beta gamma delta epsilon zeta"), (11, "alpha beta"), (12, "ne two thr"), (13, "gamma  delta epsilon")], "p int, passage string")
-    assert {tuple(r) for r in linkers.by_quote(docs, "id", "text", passages, "p", "passage").collect()} == {(1, 10), (3, 12)}
+    passages = spark.createDataFrame([(10, "alpha beta gamma delta epsilon zeta"), (11, "alpha beta"), (12, "ne two thr"), (13, "gamma  delta epsilon"), (14, "ree"), (15, " "), (16, None)], "p int, passage string")
+    assert {tuple(r) for r in linkers.by_quote(docs, "id", "text", passages, "p", "passage").collect()} == {(1, 10), (1, 11), (2, 11), (3, 12), (3, 14)}
 
 
 def test_link_rows_keep_confidence_in_range(spark):
     pairs = spark.createDataFrame([(1, 2, 1.7), (3, 4, -1.0)], "a int, b int, c double")
     rows = linkers.link_rows(pairs, "x", F.col("a"), F.col("b"), F.lit("media"), F.lit("person"), F.lit("mentions"), F.col("c")).collect()
     assert [r.confidence for r in rows] == [1.0, 0.0] and all(r.is_automatic and not r.is_confirmed for r in rows)
+    assert list(rows[0].asDict()) == [c.name for c in schema.columns("entity_links")] and len({r.id for r in rows}) == 2
+    own = linkers.link_rows(pairs, "x", F.col("a"), F.col("b"), F.lit("media"), F.lit("person"), F.when(F.col("a") == 1, "custom").otherwise("about"), custom_type=F.lit("twin")).collect()
+    assert {(r.link_type, r.custom_type) for r in own} == {("custom", "twin"), ("about", None)}
+
+
+def test_replies_and_other_references(spark):
+    rows = [(1, "<a>", None, None), (2, "<b>", "<a>", "<a>"), (3, "<c>", "<b>", "<a> <b>"), (4, "<d>", "<zz>", "<c>"), (5, None, "<a>", None)]
+    df = spark.createDataFrame(rows, "k int, mid string, reply string, refs string")
+    assert {tuple(r) for r in linkers.by_reference(df, "k", "mid", "reply", "refs").collect()} == {(2, 1, "reply_to"), (3, 2, "reply_to"), (3, 1, "references"), (4, 3, "references"), (5, 1, "reply_to")}
+
+
+def test_places_match_a_plain_loop(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(150)] + [(lat, lon) for lat in (90.0, -90.0, 89.9, 0.0, 59.99) for lon in (-180.0, 180.0, 179.9, -179.95, 0.0)]
+
+    def metres(p, q):
+        (a, b), (c, e) = ([math.radians(x) for x in y] for y in (p, q))
+        return 2 * 6371008.8 * math.asin(min(1.0, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((e - b) / 2) ** 2)))
+
+    p, q = (spark.createDataFrame([(i, *x) for i, x in enumerate(spots)], f"{n} int, {n}lat double, {n}lon double") for n in "ab")
+    for radius in (20_000.0, 400_000.0, 3_000_000.0):
+        want = {(i, j) for i, x in enumerate(spots) for j, y in enumerate(spots) if metres(x, y) <= radius}
+        assert {(r.a, r.b) for r in joins.near(p, q, radius, ("alat", "alon"), ("blat", "blon")).collect()} == want
+        for i in (0, 3, 150, 160, 172):
+            assert {r.a for r in joins.around(p, *spots[i], radius, ("alat", "alon")).collect()} == {j for a, j in want if a == i}
+
+
+def test_lookups_reach_the_scan(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 180 - 90.0D AS latitude", "id % 360 - 180.0D AS longitude").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,77)" in plan(entities.lookup_in(t, "id", 77)) and entities.lookup_in(t, "id", "77").count() == 1 and entities.lookup_in(t, "id", "x").count() == 0
+    assert "GreaterThanOrEqual(latitude" in plan(joins.around(t, 10.0, 20.0, 5000.0))
+
+
+def test_postings_give_the_scores_of_the_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "The cat. the CAT, concat"), (2, None), (3, "a_cat x-the"), (4, "none")], "id int, text string")
+    search.write_postings(search.postings(docs, "id", "text", 8), str(tmp_path / "p"))
+    index = spark.read.parquet(str(tmp_path / "p"))
+    for words in (["the", "Cat"], ["nothing"], ["cat", "cat"], ["a b", "x"]):
+        assert sorted(map(tuple, search.indexed_scores(index, words, 8).collect())) == sorted(map(tuple, search.word_scores(docs, "id", "text", words).collect()))
+    assert "In(term" in search.indexed_scores(index, ["the", "cat"], 8)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_sessions_begin_only_after_more_than_the_gap(spark):

@@ -1,6 +1,4 @@
 """Queries and operators do the whole job: nothing is left out by filters on ids, caps on depth or cuts of texts.
-
-The SQL in here has no cuts; that in the catalogue still has some.
 """
 
 import glob
