@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +41,8 @@ LEAST_DOCUMENTS = 6
 MAX_PER_CLASS, MAX_CHARACTERS, CLASS_CHARACTERS = 1500, 200_000, 20_000_000
 HELD_OUT, FOLDS, THRESHOLD = 1, 3, 0.7
 REMEMBERED, LONGEST = 300_000, 64
+#: Words whose n-grams are taken together.
+TOGETHER = 20_000
 EDGES = ".,;:!?\"'()[]{}<>|/\\#*$%&-_~`"
 #: Runs of text over LONGEST characters are split at punctuation; slices of what has none, and how far they are apart.
 BETWEEN, SLICE, STEP = re.compile(r"[!-/:-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2010-\u205e\u3001-\u3003\u3008-\u301f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+"), 12, 4
@@ -77,6 +78,54 @@ def grams(run: str) -> list[int]:
     return [zlib.crc32(g.encode("utf-8")) % BUCKETS for g in raw]
 
 
+def _checksums() -> np.ndarray:
+    """What the register of CRC-32 becomes for each low byte."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _checksums()
+
+
+def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """grams() of all words at a time: the number of its word and the bucket of each n-gram, in no order.
+
+    The checksum of each place's n-gram is carried on from that of its shorter one, for all places together; a character goes in as its UTF-8
+    bytes.
+    """
+    marked = [f"<{w.strip(EDGES).lower()}>" for w in words]
+    marked = [w.replace("< ", "").replace(" >", "") if " " in w else w for w in marked]
+    size = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    total = len(codes)
+    codes = np.concatenate([codes, np.zeros(LONGEST_GRAM, dtype=np.uint32)])
+    more = [codes >= x for x in (0x80, 0x800, 0x10000)]
+    many = 1 + sum(x.astype(np.int8) for x in more)
+    low = lambda shift: (codes >> np.uint32(shift)) & np.uint32(0x3F) | np.uint32(0x80)
+    first = np.select([~more[0], ~more[1], ~more[2]], [codes, 0xC0 | codes >> 6, 0xE0 | codes >> 12], 0xF0 | codes >> 18).astype(np.uint32)
+    # byte k of a character: those behind the first have six bits each
+    raw = [first] + [np.choose(np.maximum(many - 1 - k, 0), [low(0), low(6), low(12)]).astype(np.uint32) for k in range(1, int(many.max()))]
+    word = np.repeat(np.arange(len(marked), dtype=np.int32), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(total)
+    crc = np.full(total, 0xFFFFFFFF, dtype=np.uint32)
+    of, buckets = [], []
+    for n in range(1, LONGEST_GRAM + 1):
+        here = slice(n - 1, n - 1 + total)
+        for k, b in enumerate(raw):
+            after = _CRC[(crc ^ b[here]) & np.uint32(0xFF)] ^ (crc >> np.uint32(8))
+            crc = np.where(many[here] > k, after, crc) if k else after
+        if n >= SHORTEST:
+            fits = left >= n
+            of.append(word[fits])
+            buckets.append(((crc[fits] ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS)).astype(np.int32))
+    short = np.flatnonzero(size < SHORTEST)  # has no n-gram and counts as one itself
+    of.append(short.astype(np.int32))
+    buckets.append(np.array([zlib.crc32(marked[i].encode("utf-8")) % BUCKETS for i in short.tolist()], dtype=np.int32))
+    return np.concatenate(of), np.concatenate(buckets)
+
+
 @dataclass
 class Model:
     """part: what each bucket adds to a word's logit; bias; and the curve from the highest logit to the score."""
@@ -108,13 +157,13 @@ class _Words:
     def __init__(self, texts: list[str]):
         number: dict[str, int] = {}
         self.docs = [np.array([number.setdefault(r, len(number)) for r in words(t)], dtype=np.int64) for t in texts]
-        own, length = array("i"), array("i")
-        for r in number:
-            found = grams(r)
-            own.extend(found)
-            length.append(len(found))
-        self.length = np.array(length, dtype=np.int64)
-        self.flat = np.array(own, dtype=np.int32)
+        every, flat, length = list(number), [], []
+        for k in range(0, len(every), TOGETHER):
+            of, buckets = gram_buckets(every[k : k + TOGETHER])
+            flat.append(buckets[np.argsort(of, kind="stable")])
+            length.append(np.bincount(of))
+        self.length = np.concatenate(length).astype(np.int64) if length else np.zeros(0, dtype=np.int64)
+        self.flat = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
         self.start = np.cumsum(self.length) - self.length
 
     def shared(self, docs: list[int]) -> np.ndarray:
@@ -275,7 +324,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer.of(held.value)
         for keys, texts in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([keys, pa.array([scorer.score(t) for t in texts], pa.float64())], ["key", "score"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(scorer.scores(texts), pa.float64())], ["key", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, score double")
@@ -288,7 +337,7 @@ def with_score(docs: DataFrame, model: Model | None, column: str, text: str = "t
 
     def worker():
         scorer = Scorer.of(held.value)
-        return lambda texts: pa.array([scorer.score(t) for t in texts], pa.float64())
+        return lambda texts: pa.array(scorer.scores(texts), pa.float64())
 
     return with_column(docs, column, "double", text, worker)
 
@@ -299,7 +348,7 @@ def harmless(docs: DataFrame, model: Model | None, text: str = "text", threshold
 
     def worker():
         scorer = Scorer.of(held.value)
-        return lambda texts: [scorer.score(t) < threshold for t in texts]
+        return lambda texts: [x < threshold for x in scorer.scores(texts)]
 
     return kept_rows(docs, text, worker)
 
@@ -311,7 +360,6 @@ class Scorer:
 
     def __init__(self, model: Model | None):
         self.model = model
-        self.buckets = model.part.tolist() if model else []
         self.known: dict[str, float] = {}
 
     @classmethod
@@ -328,20 +376,24 @@ class Scorer:
     def forget(cls) -> None:
         cls.last = None
 
-    def part(self, run: str) -> float:
-        own = grams(run)
-        return sum(map(self.buckets.__getitem__, own)) / len(own)
+    def learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), TOGETHER):
+            some = words[k : k + TOGETHER]
+            of, buckets = gram_buckets(some)
+            self.known.update(zip(some, (np.bincount(of, self.model.part[buckets]) / np.bincount(of)).tolist(), strict=True))
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: list[str | None]) -> list[float]:
         if self.model is None:
-            return 0.0
+            return [0.0] * len(texts)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, runs = self.known, words(text or "")
-        for r in set(runs):
-            if r not in known:
-                known[r] = self.part(r)
-        return self.model.score(highest(np.fromiter(map(known.__getitem__, runs), dtype=np.float64, count=len(runs)), self.model.bias))
+        cut = [words(t or "") for t in texts]
+        self.learn(list({w for own in cut for w in own} - self.known.keys()))
+        part = self.known.__getitem__
+        return [self.model.score(highest(np.fromiter(map(part, own), dtype=np.float64, count=len(own)), self.model.bias)) for own in cut]
+
+    def score(self, text: str | None) -> float:
+        return self.scores([text])[0]
 
 
 def detect(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

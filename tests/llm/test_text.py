@@ -178,6 +178,13 @@ def test_toxic_texts_and_unseen_misspellings_are_found():
     assert toxicity.fit(["a"], [1]) is None
 
 
+def test_n_grams_of_many_words_are_those_of_each():
+    own = ["word", "Über", "中文字", "😀x😀", "a", "", "...", "É!", " mid", "end ", " mid ", "x" * 64, "ß€𝄞"]
+    of, buckets = toxicity.gram_buckets(own)
+    for k, w in enumerate(own):
+        assert sorted(buckets[of == k].tolist()) == sorted(toxicity.grams(w)), w
+
+
 def test_toxicity_frames(spark):
     rows = [(i, t, "en") for i, t, _ in toxic_corpus(120)] + [(900, None, None), (None, "dolor", None), (901, "", "en"), (0, toxic_corpus(120)[0][1], "en")]
     labels = spark.createDataFrame([(i, c, "x") for i, _, c in toxic_corpus(120)] + [(0, 1, "x"), (None, 1, "x"), (900, None, "x")], "doc_id long, toxic int, score string")
