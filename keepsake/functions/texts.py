@@ -15,6 +15,14 @@ EXTENSIONS = {
 }
 
 
+# MIME types by extension.
+MIME = {
+    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "heic": "image/heic", "bmp": "image/bmp", "tiff": "image/tiff",
+    "mp4": "video/mp4", "mov": "video/quicktime", "avi": "video/x-msvideo", "mkv": "video/x-matroska", "webm": "video/webm", "mp3": "audio/mpeg", "wav": "audio/wav", "ogg": "audio/ogg", "opus": "audio/opus", "m4a": "audio/mp4", "flac": "audio/flac",
+    "pdf": "application/pdf", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "txt": "text/plain", "md": "text/markdown", "odt": "application/vnd.oasis.opendocument.text", "html": "text/html",
+}
+
+
 def alias(value: Column) -> Column:
     """The form in which names and addresses are compared."""
     return F.lower(F.trim(value))
@@ -42,6 +50,17 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
 
+def mime_type(path: Column) -> Column:
+    """By extension; null where that is unknown."""
+    return F.create_map(*(F.lit(x) for pair in MIME.items() for x in pair))[extension(path)]
+
+
+def type_of_mime(mime: Column) -> Column:
+    """Kind of media of a MIME type: its first part, documents for text and application."""
+    first = F.lower(F.regexp_extract(mime, "^([^/]+)/", 1))
+    return F.when(first.isin("image", "video", "audio"), first).when(first.isin("text", "application"), "document").otherwise("other")
+
+
 def media_type(path: Column) -> Column:
     ext, out = extension(path), F.lit("other")
     for kind, own in EXTENSIONS.items():

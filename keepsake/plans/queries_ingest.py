@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from keepsake import schema
 from keepsake.functions import measures, recurrence, texts, times
 from keepsake.operators import entities, ingest, joins
+from keepsake.plans import api
 from keepsake.plans.registry import Book, table
 
 book = Book()
@@ -265,3 +266,115 @@ def fill_defaults(spark, d):
 @book.query("SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id FROM (SELECT c_custkey, sha256('generic:' || c_custkey) AS h FROM customer)")
 def stable_ids(spark, d):
     return table(spark, d, "customer").select("c_custkey", texts.entity_id(F.lit("generic"), F.col("c_custkey").cast("string")).alias("id"))
+
+
+@book.query("SELECT c_custkey, c_custkey % 3 = 0 AS is_merged FROM customer")
+def is_merged(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", ingest.is_merged(F.when(k % 3 == 0, F.floor(k / 3))).alias("is_merged"))
+
+
+@book.query(f"SELECT p_partkey, ['image/jpeg', 'video/mp4', 'audio/mpeg', 'application/pdf', NULL, NULL][p_partkey % 6 + 1] AS mime_type, ['image', 'video', 'audio', 'document', 'other', 'other'][p_partkey % 6 + 1] AS media_type FROM {_FILES}")
+def mime_types(spark, d):
+    name = F.element_at(F.array(*(F.lit(x) for x in ("x.JPG", "y.mp4", "z.mp3", "w.pdf", "none", "q.xyz"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    p = table(spark, d, "part").select("p_partkey", texts.mime_type(name).alias("mime_type"))
+    return p.withColumn("media_type", F.coalesce(texts.type_of_mime(F.col("mime_type")), F.lit("other")))
+
+
+_SHOTS = "(SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'image' WHEN 'view' THEN 'video' ELSE 'audio' END AS media_type, 'a' || user_id % 3 AS album_name, ts AS occurred_at FROM events)"
+
+
+@book.query(f"SELECT id, occurred_at FROM {_SHOTS} WHERE media_type = 'image' AND album_name = 'a1' AND occurred_at >= TIMESTAMP '2024-01-03' AND occurred_at < TIMESTAMP '2024-01-20' ORDER BY occurred_at DESC, id LIMIT 25")
+def gallery_filtered(spark, d):
+    kind = F.when(F.col("event_type") == "click", "image").when(F.col("event_type") == "view", "video").otherwise("audio")
+    shots = table(spark, d, "events").select(F.col("event_id").alias("id"), kind.alias("media_type"), F.concat(F.lit("a"), F.col("user_id") % 3).alias("album_name"), F.col("ts").alias("occurred_at"))
+    return api.gallery(shots, 25, "image", "a1", "2024-01-03", "2024-01-20").select("id", "occurred_at")
+
+
+@book.query("SELECT doc_id, c AS confidence FROM (SELECT doc_id, (doc_id % 140)::DOUBLE / 100 - 0.2 AS c FROM documents) WHERE c < 0 OR c > 1")
+def validate_confidence(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.lit("x").alias("person_id"), F.lit("name").alias("alias_type"), F.lit("v").alias("value"), F.lit("manual").alias("source_type"), ((F.col("doc_id") % 140).cast("double") / 100 - 0.2).alias("confidence"))
+    return ingest.validate(rows, "person_aliases")[1].select("doc_id", "confidence")
+
+
+@book.query("SELECT o_orderkey, m AS month, CASE WHEN m BETWEEN 1 AND 12 THEN '' ELSE 'month:range' END AS violations FROM (SELECT o_orderkey, (o_orderkey % 15)::INT AS m FROM orders)")
+def validate_budget_month(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 15).cast("int").alias("month"))
+    return ingest.with_violations(rows, ingest.rules("budgets", ["month"])).withColumn("violations", F.array_join("violations", ","))
+
+
+@book.query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate ELSE TIMESTAMP '2024-05-01 12:00:00' END AS created_at, TIMESTAMP '2024-05-01 12:00:00' AS updated_at FROM orders")
+def stamp_rows(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate")).alias("created_at"))
+    return ingest.stamp(rows, F.lit("2024-05-01 12:00:00").cast("timestamp_ntz"))
+
+
+@book.query("""
+WITH b AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id - 1 ELSE doc_id END AS k, doc_id AS v FROM documents), one AS (SELECT k, min(v) AS v FROM b GROUP BY k)
+SELECT coalesce(one.k, old.k) AS k, coalesce(one.v, old.v) AS v FROM one FULL JOIN (SELECT doc_id AS k, -1 AS v FROM documents WHERE doc_id % 2 = 0) old ON one.k = old.k""")
+def upsert_repeated_keys(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    i = F.col("doc_id")
+    batch = docs.select(F.when(i % 3 == 0, i - 1).otherwise(i).alias("k"), i.alias("v"))
+    return ingest.upsert(batch, docs.where("doc_id % 2 = 0").select(i.alias("k"), F.lit(-1).cast("bigint").alias("v")), ["k"], "v", [F.col("v")])
+
+
+@book.query("SELECT n_nationkey, t AS occurs_at FROM (SELECT n_nationkey, t, row_number() OVER (PARTITION BY n_nationkey ORDER BY t) AS r FROM nation, (SELECT unnest(generate_series(TIMESTAMP '2024-01-03 09:00:00', TIMESTAMP '2025-12-31 09:00:00', INTERVAL 1 DAY)) AS t) WHERE CASE n_nationkey % 3 WHEN 0 THEN isodow(t) IN (1, 3) WHEN 1 THEN day(t) IN (1, 31) ELSE isodow(t) = 5 AND day(t) <= 7 END) WHERE r <= n_nationkey % 5 + 2")
+def recurrences_by_part(spark, d):
+    k = F.col("n_nationkey")
+    rule = F.when(k % 3 == 0, "FREQ=WEEKLY;BYDAY=MO,WE").when(k % 3 == 1, "FREQ=MONTHLY;BYMONTHDAY=1,31").otherwise("FREQ=MONTHLY;BYDAY=1FR")
+    n = table(spark, d, "nation").select("n_nationkey", F.lit("2024-01-03 09:00:00").cast("timestamp_ntz").alias("start"), F.concat(rule, F.lit(";COUNT="), k % 5 + 2).alias("rule"))
+    return recurrence.occurrences(n, "n_nationkey", "start", "rule")
+
+
+@book.query("SELECT c_custkey, upper(c_name) AS big, lpad(c_nationkey::VARCHAR, 4, '0') AS padded, regexp_replace(c_mktsegment, '[AEIOU]', '', 'g') AS bare, round(pow(c_nationkey, 2) + sqrt(c_nationkey), 6) AS number, list_sort([c_nationkey, 3, 1])::VARCHAR AS sorted, greatest(c_nationkey, 5) AS most FROM customer")
+def builtin_functions(spark, d):
+    k = F.col("c_nationkey")
+    number = F.round(F.pow(k, F.lit(2)) + F.sqrt(k), 6)
+    ordered = F.concat(F.lit("["), F.array_join(F.array_sort(F.array(k, F.lit(3), F.lit(1))), ", "), F.lit("]"))
+    return table(spark, d, "customer").select("c_custkey", F.upper("c_name").alias("big"), F.lpad(k.cast("string"), 4, "0").alias("padded"), F.regexp_replace("c_mktsegment", "[AEIOU]", "").alias("bare"), number.alias("number"), ordered.alias("sorted"), F.greatest(k, F.lit(5)).alias("most"))
+
+
+def _values(rows) -> str:
+    quoted = lambda x: "NULL" if x is None else str(x) if isinstance(x, bool | int) else "'" + str(x).replace("'", "''") + "'"
+    return ", ".join(f"({', '.join(map(quoted, r))})" for r in rows)
+
+
+@book.query(f"""
+WITH c(table_name, column_name, kind) AS (VALUES {_values((t, c.name, c.kind) for t in schema.TABLES for c in schema.columns(t))}), e(table_name, column_name, target) AS (VALUES {_values((e.table, e.column, e.target) for e in schema.EDGES)})
+SELECT c.table_name, c.column_name, c.kind, e.target, t.kind AS target_kind FROM c JOIN e USING (table_name, column_name) JOIN c t ON t.table_name = e.target AND t.column_name = 'id' ORDER BY 1, 2""")
+def catalogue_join(spark, d):
+    """What refers to what, from the registry: columns, edges and target columns."""
+    rows = spark.createDataFrame(schema.listing(), "table_name string, column_name string, kind string, required boolean, default_value string, target string")
+    ids = rows.where("column_name = 'id'").select(F.col("table_name").alias("target"), F.col("kind").alias("target_kind"))
+    return rows.where("target IS NOT NULL").join(ids, "target").select("table_name", "column_name", "kind", "target", "target_kind").orderBy("table_name", "column_name")
+
+
+@book.query(f"SELECT table_name, count(*) AS columns, count(*) FILTER (WHERE required) AS required FROM (VALUES {_values((t, c.name, c.required) for t in schema.TABLES for c in schema.columns(t))}) v(table_name, column_name, required) GROUP BY 1 ORDER BY 1")
+def catalogue_listing(spark, d):
+    rows = spark.createDataFrame(schema.listing(), "table_name string, column_name string, kind string, required boolean, default_value string, target string")
+    return rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("columns"), F.count_if("required").alias("required")).orderBy("table_name")
+
+
+@book.query("SELECT n_nationkey AS id, n_name AS name, n_regionkey::VARCHAR AS region FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 = 1")
+def active_sources(spark, d):
+    k = F.col("n_nationkey")
+    kinds = F.element_at(F.array(*(F.lit(x) for x in ("generic", "reddit", "ynab"))), (k % 3 + 1).cast("int"))
+    sources = table(spark, d, "nation").select(k.alias("id"), kinds.alias("source_type"), F.col("n_name").alias("name"), F.to_json(F.struct(F.col("n_regionkey").cast("string").alias("region"))).alias("config"), (k % 2 == 0).alias("is_active"))
+    return api.active_sources(sources, "reddit").select("id", "name", F.col("config.region").alias("region"))
+
+
+@book.query("SELECT doc_id AS id, text AS content, (SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT DISTINCT CASE WHEN quality = 1 THEN 'quality' ELSE 'plain' END AS t FROM labels WHERE doc_id = 12)) AS tags, (SELECT count(*) FROM conversations WHERE conv_id = 12 AND role = 'assistant') AS items_done FROM documents WHERE doc_id = 12")
+def note_resource(spark, d):
+    notes = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    tags = table(spark, d, "labels").select(F.when(F.col("quality") == 1, "quality").otherwise("plain").alias("tag"), F.lit("knowledge_note").alias("entity_type"), F.col("doc_id").cast("string").alias("entity_id"))
+    items = table(spark, d, "conversations").select(F.col("conv_id").alias("note_id"), F.col("text").alias("content"), (F.col("role") == "assistant").alias("is_checked"))
+    return api.note(notes, tags, items, 12).select("id", "content", F.nullif(F.array_join("tags", ","), F.lit("")).alias("tags"), "items_done")
+
+
+@book.query("SELECT page_id AS id, url AS file_path, html AS ocr_text, true AS has_text_content, (SELECT string_agg(n, ',' ORDER BY n) FROM (SELECT DISTINCT c_name AS n FROM customer WHERE c_custkey % 400 = 9)) AS people FROM pages WHERE page_id = 9")
+def media_resource(spark, d):
+    files = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("file_path"), F.col("html").alias("ocr_text"), F.lit(None).cast("string").alias("caption"), F.lit("").alias("transcript"))
+    people = table(spark, d, "customer").select((F.col("c_custkey") % 400).alias("media_id"), F.col("c_name").alias("person"))
+    return api.media(files, people, 9).select("id", "file_path", "ocr_text", "has_text_content", F.array_join("people", ",").alias("people"))
+

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions import measures, texts, times
 from keepsake.operators import entities, graph, rollups
+from keepsake.plans import api
 from keepsake.plans.registry import Book, table
 
 book = Book()
@@ -261,7 +262,7 @@ def statistics(spark, d):
 @book.query("SELECT * FROM (SELECT 'browsing_history' AS entity_type, event_id::VARCHAR AS entity_id, ts AS occurred_at FROM events UNION ALL SELECT 'transaction', o_orderkey::VARCHAR, o_orderdate FROM orders UNION ALL SELECT 'location_visit', l_orderkey || '-' || l_linenumber, l_shipdate FROM lineitem) WHERE occurred_at >= TIMESTAMP '2024-01-05' AND occurred_at < TIMESTAMP '2024-01-07' OR occurred_at >= TIMESTAMP '1996-03-01' AND occurred_at < TIMESTAMP '1996-03-02'")
 def timeline_view(spark, d):
     view = _view(spark, d)
-    return entities.timeline(view, "2024-01-05", "2024-01-07").unionByName(entities.timeline(view, "1996-03-01", "1996-03-02"))
+    return entities.timeline(view, ("2024-01-05", "2024-01-07"), ("1996-03-01", "1996-03-02"))
 
 
 @book.query("WITH RECURSIVE t AS (SELECT n_nationkey AS node, n_nationkey AS root, 0 AS depth, n_name AS path FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, t.root, t.depth + 1, t.path || '/' || n.n_name FROM nation n JOIN t ON n.n_nationkey > 0 AND (n.n_nationkey - 1) // 2 = t.node) SELECT node, root, depth, path FROM t")
@@ -311,3 +312,24 @@ def tag_synonyms(spark, d):
     s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     asked = s.select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.lit("synonym"), "s_nationkey")).alias("word"))
     return asked.join(synonyms, F.col("word") == F.col("synonym"), "left").select("s_suppkey", "word", F.coalesce("of", "word").alias("tag"))
+
+
+@book.query("WITH v AS (SELECT 'browsing_history' AS entity_type, event_type AS source, ts AS at_ts FROM events UNION ALL SELECT 'knowledge_note', source, NULL FROM documents UNION ALL SELECT 'transaction', o_orderstatus, o_orderdate FROM orders) SELECT entity_type, source, count(*) AS entities, min(at_ts) AS first_at, max(at_ts) AS last_at FROM v GROUP BY ROLLUP (entity_type, source)")
+def statistics_by_source(spark, d):
+    parts = [entities.entity_rows(table(spark, d, "events"), "browsing_history", "event_id", "ts", source=F.col("event_type")), entities.entity_rows(table(spark, d, "documents"), "knowledge_note", "doc_id", source=F.col("source")), entities.entity_rows(table(spark, d, "orders"), "transaction", "o_orderkey", "o_orderdate", source=F.col("o_orderstatus"))]
+    return entities.statistics(entities.union_all(parts), ["source"])
+
+
+@book.query("SELECT user_id AS id, max(ts) AS last_message_at, count(*) AS message_count FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+def recent_threads(spark, d):
+    threads = rollups.thread_rollup(table(spark, d, "events").withColumnRenamed("user_id", "id"), "id", "ts", "event_type")
+    return api.recent_threads(threads, 15).select("id", "last_message_at", "message_count")
+
+
+@book.query("SELECT event_type, true AS users_near, true AS median_near FROM events GROUP BY event_type")
+def approximate_errors(spark, d):
+    """Whether the approximate counts and medians lie within their stated errors: 5 % of the users, and ranks 1 % around the middle."""
+    e = table(spark, d, "events")
+    users = F.abs(F.approx_count_distinct("user_id", 0.05 / 3) - F.count_distinct("user_id")) <= 0.05 * F.count_distinct("user_id") + 1
+    median = F.approx_percentile("value", 0.5, 10_000)
+    return e.groupBy("event_type").agg(users.alias("users_near"), median.between(F.expr("percentile(value, 0.48)"), F.expr("percentile(value, 0.52)")).alias("median_near"))

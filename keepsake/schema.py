@@ -45,11 +45,11 @@ ENUM_COLUMNS: dict[str, str] = {
 }
 #: Tables whose source_type is free text.
 FREE_SOURCE = ("chat_threads", "locations", "location_visits", "location_history")
-#: Links that hold in both directions.
+# Links that hold in both directions.
 BIDIRECTIONAL = ("same_time", "same_location", "near", "related", "similar")
-#: Inclusive ranges by column.
+# Inclusive ranges by column.
 RANGES: dict[str, tuple[float, float]] = {"latitude": (-90, 90), "longitude": (-180, 180), "confidence": (0, 1), "budgets.month": (1, 12)}
-#: JSON held as text.
+# jSON held as text.
 JSON: dict[str, str] = {
     "chat_messages.reactions": "map<string,array<string>>", "knowledge_notes.linked_entities": "array<struct<entity_type:string,entity_id:string>>", "face_encodings.bounding_box": "array<int>",
     "chat_threads.participant_ids": "array<string>", "email_threads.participant_emails": "array<string>", "email_threads.labels": "array<string>",
@@ -57,7 +57,7 @@ JSON: dict[str, str] = {
     "calendar_events.reminder_minutes": "array<int>", "calendar_events.attachment_urls": "array<string>", "social_posts.media_urls": "array<string>", "social_posts.tags": "array<string>",
 }
 
-#: Columns that several tables share.
+# Columns that several tables share.
 SHARED: dict[str, str] = {
     "simple": "id string!, created_at timestamp!, updated_at timestamp!",
     "source": "source_type string!, source_id string, content_hash string",
@@ -358,6 +358,12 @@ def edges_of(table: str) -> tuple[Edge, ...]:
     return tuple(e for e in EDGES if e.table == table)
 
 
+def listing() -> list[tuple[str, str, str, bool, str | None, str | None]]:
+    """The catalogue in order: table, column, type, required, default, and the table that the column refers to."""
+    targets = {(e.table, e.column): e.target for e in EDGES}
+    return [(t, c.name, c.kind, c.required, c.default, targets.get((t, c.name))) for t in sorted(TABLES) for c in sorted(columns(t), key=lambda c: c.name)]
+
+
 def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], schema(table))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keepsake import schema
-from keepsake.functions import texts
+from keepsake.functions import texts, times
 
 #: "[31/12/2023, 23:59:01] Name: text" and "31/12/2023, 23:59 - Name: text".
 CHAT_LINE = r"^‎?\[?(\d{1,2})[/.](\d{1,2})[/.](\d{2,4}),? (\d{1,2}:\d{2}(?::\d{2})?)\]?(?: -)? (?:([^:]+): )?(.*)$"
@@ -41,6 +41,73 @@ def social_archive(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("id").alias("post_id"), at.alias("occurred_at"), F.col("subreddit").alias("community_name"), "title", "body", "url", F.when(texts.has_text(F.col("body")), "text").otherwise("link").alias("post_type"))
 
 
+def ledger_accounts(transactions: DataFrame) -> DataFrame:
+    """The accounts that a ledger names: name, account_type (by its name), current_balance."""
+    name = F.lower("account")
+    kind = F.when(name.contains("credit"), "credit_card").when(name.contains("saving"), "savings").when(name.contains("cash"), "cash").when(name.contains("loan"), "loan").when(name.contains("mortgage"), "mortgage").otherwise("checking")
+    return transactions.where("account IS NOT NULL").groupBy("account").agg(F.sum("amount").cast("decimal(12,2)").alias("current_balance")).select(F.col("account").alias("name"), kind.alias("account_type"), "current_balance")
+
+
+def ledger_budgets(spark: SparkSession, path: str) -> DataFrame:
+    """Budget exports: Month (Jun 2024 or 2024-06), Category Group, Category, Budgeted, Activity, Available -> year, month, category_group, category, budgeted, spent, available."""
+    raw = csv(spark, path, "Month string, `Category Group` string, Category string, Budgeted string, Activity string, Available string")
+    money = lambda c: F.coalesce(F.regexp_replace(F.col(c), r"[^0-9.\-]", "").try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
+    at = F.coalesce(F.try_to_timestamp("Month", F.lit("MMM yyyy")), F.try_to_timestamp("Month", F.lit("yyyy-MM")))
+    return raw.select(F.year(at).alias("year"), F.month(at).alias("month"), F.col("Category Group").alias("category_group"), F.col("Category").alias("category"), money("Budgeted").alias("budgeted"), (-money("Activity")).cast("decimal(12,2)").alias("spent"), money("Available").alias("available"))
+
+
+def _social_time() -> Column:
+    return F.try_to_timestamp(F.regexp_replace("date", " UTC$", "")).cast("timestamp_ntz")
+
+
+def social_comments(spark: SparkSession, path: str) -> DataFrame:
+    """Comments of a social export: id, permalink, date, subreddit, link, parent, body -> comment_id, occurred_at, community_name, permalink, post_id, parent_comment_id, body."""
+    raw = csv(spark, path, "id string, permalink string, date string, ip string, subreddit string, gildings string, link string, parent string, body string")
+    post = F.nullif(F.regexp_extract("link", r"/comments/([A-Za-z0-9]+)", 1), F.lit(""))
+    return raw.select(F.col("id").alias("comment_id"), _social_time().alias("occurred_at"), F.col("subreddit").alias("community_name"), "permalink", post.alias("post_id"), F.nullif("parent", F.lit("")).alias("parent_comment_id"), "body")
+
+
+def social_subscriptions(spark: SparkSession, path: str) -> DataFrame:
+    """Subscriptions of a social export: subreddit -> platform, subscription_type, target_name, target_url."""
+    raw = csv(spark, path, "subreddit string").where("subreddit IS NOT NULL")
+    return raw.select(F.lit("reddit").alias("platform"), F.lit("subreddit").alias("subscription_type"), F.col("subreddit").alias("target_name"), F.concat(F.lit("https://www.reddit.com/r/"), "subreddit").alias("target_url"))
+
+
+def social_saved(spark: SparkSession, path: str) -> DataFrame:
+    """Saved posts and comments of a social export: id, permalink -> saved_id, permalink, kind (post or comment), post_id."""
+    raw = csv(spark, path, "id string, permalink string")
+    parts = lambda k: F.nullif(F.regexp_extract("permalink", r"/comments/([A-Za-z0-9]+)(?:/[^/]*/([A-Za-z0-9]+))?", k), F.lit(""))
+    return raw.select(F.col("id").alias("saved_id"), "permalink", F.when(parts(2).isNotNull(), "comment").otherwise("post").alias("kind"), parts(1).alias("post_id"))
+
+
+def photo_sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """JSON files beside exported photos -> original_filename, caption, occurred_at, latitude, longitude, altitude, media_type, source_url; a place of 0, 0 is none."""
+    raw = json_documents(spark, path, "title string, description string, url string, photoTakenTime struct<timestamp:string>, geoData struct<latitude:double,longitude:double,altitude:double>")
+    seconds = F.col("photoTakenTime.timestamp").try_cast("bigint")
+    there = (F.col("geoData.latitude") != 0) | (F.col("geoData.longitude") != 0)
+    place = [F.when(there, F.col(f"geoData.{c}")).alias(c) for c in ("latitude", "longitude", "altitude")]
+    at = F.timestamp_seconds(seconds)
+    return raw.where("title IS NOT NULL").select(F.col("title").alias("original_filename"), F.nullif("description", F.lit("")).alias("caption"), F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")).alias("occurred_at"), *place, texts.media_type(F.col("title")).alias("media_type"), F.col("url").alias("source_url"))
+
+
+def chat_export(spark: SparkSession, path: str) -> DataFrame:
+    """Chat exports {"messages": [{creator: {name, email}, created_date, text, topic_id, message_id}]} -> thread (file), message_id, topic_id, sender, sender_email, occurred_at, content, message_type."""
+    raw = json_documents(spark, path, "messages array<struct<creator:struct<name:string,email:string>,created_date:string,text:string,topic_id:string,message_id:string>>")
+    rows = raw.select(F.col("_metadata.file_path").alias("thread"), F.explode("messages").alias("m"))
+    stamp = F.regexp_replace(F.regexp_replace(F.col("m.created_date"), "[\u00a0\u202f]", " "), "^[A-Za-z]+day, ", "")
+    at = F.coalesce(F.try_to_timestamp(stamp, F.lit("d MMMM yyyy 'at' HH:mm:ss 'UTC'")), F.try_to_timestamp(stamp, F.lit("MMMM d, yyyy 'at' h:mm:ss a 'UTC'")))
+    return rows.select("thread", F.col("m.message_id").alias("message_id"), F.col("m.topic_id").alias("topic_id"), F.col("m.creator.name").alias("sender"), texts.alias(F.col("m.creator.email")).alias("sender_email"), F.coalesce(at.cast("timestamp_ntz"), times.parse_instant(stamp)).alias("occurred_at"), F.col("m.text").alias("content"), F.when(texts.has_text(F.col("m.text")), "text").otherwise("other").alias("message_type"))
+
+
+def chat_media(messages: DataFrame) -> DataFrame:
+    """The files that chat_log() messages carry: thread, position, occurred_at, sender, original_filename, media_type, caption (what else the message says)."""
+    one = F.regexp_extract("content", r"(?:<attached: ([^>]+)>|(\S+\.[A-Za-z0-9]{2,4}) \(file attached\))", 1)
+    two = F.regexp_extract("content", r"(?:<attached: ([^>]+)>|(\S+\.[A-Za-z0-9]{2,4}) \(file attached\))", 2)
+    name = F.nullif(F.trim(F.concat(one, two)), F.lit(""))
+    rest = F.nullif(F.regexp_replace(F.regexp_replace("content", r"<attached: [^>]+>|\S+\.[A-Za-z0-9]{2,4} \(file attached\)|\u200e", ""), r"^\s+|\s+$", ""), F.lit(""))
+    return messages.select("thread", "position", "occurred_at", "sender", name.alias("original_filename"), texts.media_type(name).alias("media_type"), rest.alias("caption")).where("original_filename IS NOT NULL")
+
+
 def browser_history(spark: SparkSession, path: str) -> DataFrame:
     """Browser export {"Browser History": [{title, url, time_usec}]} -> url, domain, title, occurred_at."""
     raw = json_documents(spark, path, "`Browser History` array<struct<title:string,url:string,time_usec:bigint,page_transition:string>>")
@@ -53,9 +120,7 @@ def location_history(spark: SparkSession, path: str) -> DataFrame:
     """Location export {"locations": [{latitudeE7, longitudeE7, timestamp, accuracy}]} -> latitude, longitude, accuracy_meters, timestamp."""
     raw = json_documents(spark, path, "locations array<struct<latitudeE7:bigint,longitudeE7:bigint,timestamp:string,accuracy:double>>")
     rows = raw.select(F.explode("locations").alias("r"))
-    from keepsake.functions.times import parse_instant
-
-    return rows.select((F.col("r.latitudeE7") / 1e7).alias("latitude"), (F.col("r.longitudeE7") / 1e7).alias("longitude"), F.col("r.accuracy").alias("accuracy_meters"), parse_instant(F.col("r.timestamp")).alias("timestamp"))
+    return rows.select((F.col("r.latitudeE7") / 1e7).alias("latitude"), (F.col("r.longitudeE7") / 1e7).alias("longitude"), F.col("r.accuracy").alias("accuracy_meters"), times.parse_instant(F.col("r.timestamp")).alias("timestamp"))
 
 
 def chat_log(spark: SparkSession, path: str, day_first: bool = True) -> DataFrame:
@@ -76,16 +141,23 @@ def chat_log(spark: SparkSession, path: str, day_first: bool = True) -> DataFram
 
 
 def calendar(spark: SparkSession, path: str) -> DataFrame:
-    """iCalendar files: a row for each VEVENT with ical_uid, title, location_name, start_time, end_time, rrule, status."""
+    """iCalendar files: a row for each VEVENT with ical_uid, title, location_name, start_time, end_time, is_all_day, timezone, rrule, status.
+
+    Times are in UTC: a local time of a named zone (TZID) is turned, one with a Z or without a zone is UTC already. timezone keeps the zone for display.
+    """
     whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r?\n[ \t]", "").alias("v"))
     events = whole.select(F.explode(F.regexp_extract_all("v", F.lit(r"(?s)BEGIN:VEVENT(.*?)END:VEVENT"), 1)).alias("e"))
-    value = lambda name: F.nullif(F.trim(F.regexp_extract("e", rf"(?m)^{name}(?:;[^:\n]*)?:(.*)$", 1)), F.lit(""))
+    value = lambda name: F.nullif(F.trim(F.regexp_extract("e", rf"(?m)^{name}(?:;(?:[^:\n\"]|\"[^\"]*\")*)?:(.*)$", 1)), F.lit(""))
+    zone = lambda name: F.nullif(F.regexp_extract("e", rf"(?m)^{name}(?:;[^:\n]*?)?;TZID=\"?/?([^;:\"\n]+)", 1), F.lit(""))
 
     def at(name: str) -> Column:
-        v = F.regexp_replace(value(name), "Z$", "")
-        return F.coalesce(F.try_to_timestamp(v, F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(v, F.lit("yyyyMMdd"))).cast("timestamp_ntz")
+        text = F.regexp_replace(value(name), "Z$", "")
+        local = F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz")
+        day = F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("timestamp_ntz")
+        return F.coalesce(F.when(value(name).endswith("Z"), local).otherwise(times.to_utc(local, zone(name))), day)
 
-    return events.select(value("UID").alias("ical_uid"), value("SUMMARY").alias("title"), value("LOCATION").alias("location_name"), at("DTSTART").alias("start_time"), at("DTEND").alias("end_time"), value("RRULE").alias("rrule"), F.lower(F.coalesce(value("STATUS"), F.lit("CONFIRMED"))).alias("status"))
+    columns = {"ical_uid": value("UID"), "title": value("SUMMARY"), "location_name": value("LOCATION"), "start_time": at("DTSTART"), "end_time": at("DTEND"), "is_all_day": F.coalesce(F.length(value("DTSTART")) == 8, F.lit(False)), "timezone": zone("DTSTART"), "rrule": value("RRULE"), "status": F.lower(F.coalesce(value("STATUS"), F.lit("CONFIRMED")))}
+    return events.select(*(c.alias(n) for n, c in columns.items()))
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -114,9 +186,16 @@ def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(schema.schema(table)).parquet(f"{folder}/{table}")
 
 
-def write_table(df: DataFrame, folder: str, table: str, mode: str = "append") -> None:
-    """Appends a table's rows as Parquet, with its declared columns, beside a file that names the model's fingerprint."""
-    df.select(*(F.col(c.name).cast(c.type) for c in schema.columns(table))).write.mode(mode).parquet(f"{folder}/{table}")
+def write_table(df: DataFrame, folder: str, table: str, mode: str = "append", by: str | None = None) -> None:
+    """Appends a table's rows as Parquet, with its declared columns, beside a file that names the model's fingerprint.
+
+    by names a time column: then rows lie in folders by its month, so that a range of time reads only its own; null times have a folder too.
+    """
+    rows = df.select(*(F.col(c.name).cast(c.type) for c in schema.columns(table)))
+    if by is None:
+        rows.write.mode(mode).parquet(f"{folder}/{table}")
+    else:
+        rows.withColumn("month_of", F.date_format(by, "yyyy-MM")).write.mode(mode).partitionBy("month_of").parquet(f"{folder}/{table}")
     spark = df.sparkSession
     spark.createDataFrame([(table, schema.fingerprint(table))], "table_name string, fingerprint string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_model/{table}")
 

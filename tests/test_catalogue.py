@@ -54,5 +54,5 @@ def test_range_filters_reach_the_scan_of_every_part(spark):
     from keepsake.operators import entities
     from keepsake.plans import queries_rollups
 
-    plan = entities.timeline(queries_rollups._view(spark, SF), "2024-01-05", "2024-01-07")._jdf.queryExecution().executedPlan().toString()
+    plan = entities.timeline(queries_rollups._view(spark, SF), ("2024-01-05", "2024-01-07"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("GreaterThanOrEqual(") >= 3

@@ -132,3 +132,23 @@ def test_model_boundary(spark):
     assert [r.text for r in rows] == ["ONE", None, "TWO"] and rows[0].p is not None and rows[1].p is None and rows[2].p is None
     found = models.faces(df, "id", "b", lambda raw: [([1, 2, 3, 0], [0.5] * 4)] * (2 if raw == b"one" else 0)).collect()
     assert [(r.id, r.bounding_box) for r in found] == [(1, [1, 2, 3, 0])] * 2
+
+
+def test_images(spark):
+    rng = np.random.default_rng(2)
+    pictures = {b"a": rng.random((60, 80)), b"flat": np.ones((5, 3))}
+    pictures[b"a2"] = np.kron(pictures[b"a"], np.ones((2, 2))) * 0.5 + 0.1  # larger and darker
+    pictures[b"b"] = rng.random((60, 80))
+    df = spark.createDataFrame([(k.decode(), bytearray(k)) for k in pictures] + [("none", None), ("bad", bytearray(b"?"))], "k string, c binary")
+    rows = {r.k: r for r in df.select("k", models.perceptual_hash(F.col("c"), pictures.get).alias("p"), models.difference_hash(F.col("c"), pictures.get).alias("d"), models.image_embedding(F.col("c"), lambda raw: np.array([[len(x)] for x in raw])).alias("v"), models.exif(F.col("c"), lambda raw: {"Make": " X ", "GPSLatitude": "48, 30, 0", "GPSLatitudeRef": "S", "DateTimeOriginal": "2024:01:02 03:04:05", "PixelXDimension": "10"} if raw == b"a" else None).alias("e")).collect()}
+    apart = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
+    assert apart(rows["a"].p, rows["a2"].p) <= 8 and apart(rows["a"].p, rows["b"].p) > 12 and apart(rows["a"].d, rows["a2"].d) <= 8
+    assert rows["none"].p is None and rows["bad"].d is None and rows["flat"].p is not None and rows["a2"].v == [2.0] and rows["none"].v is None and rows["b"].e is None
+    entries = spark.createDataFrame([(rows["a"].e,)], "e map<string,string>")
+    [r] = entries.select(*(c.alias(n) for n, c in models.exif_columns(F.col("e")).items())).collect()
+    assert (r.camera_make, r.camera_model, r.width, r.latitude, r.longitude, r.occurred_at) == ("X", None, 10, -48.5, None, datetime(2024, 1, 2, 3, 4, 5))
+
+
+def test_mime_types(spark):
+    r = one(spark, a=texts.mime_type(F.lit("x/Y.JPG")), b=texts.mime_type(F.lit("none")), c=texts.type_of_mime(F.lit("Text/plain")), d=texts.type_of_mime(F.lit("x")))
+    assert (r.a, r.b, r.c, r.d) == ("image/jpeg", None, "document", "other")
