@@ -22,7 +22,7 @@ def shards(spark, rows, weights, **k):
 
 
 def test_sharding_sizes_slots_and_edge_rows(spark):
-    rows = [(i, f"text {i} é", "en") for i in range(300)] + [(7, "text 7 é", "en")] * 40 + [(None, None, None), (None, "", None), (5000, "", "de")]
+    rows = [(i, f"text {i} é", "en") for i in range(300)] + [(7, "text 7 é", "en")] * 40 + [(None, None, None), (None, "", None), (5000, "", "de"), (6000, "long é " * 200_000, "en")]
     out = shards(spark, rows, [1.0] * 4, parts=8)
     assert len(out) == len(rows)
     for s in range(4):
@@ -30,6 +30,7 @@ def test_sharding_sizes_slots_and_edge_rows(spark):
         assert slots == list(range(len(slots)))
     by = {r.doc_id: r for r in out if r.doc_id is not None}
     assert by[3].size == len("text 3 é".encode()) + 1 and by[3].text_crc32 == zlib.crc32("text 3 é".encode())
+    assert by[6000].size == 8 * 200_000 + 1 and by[6000].text_crc32 == zlib.crc32(("long é " * 200_000).encode())
     assert by[5000].size == 1 and by[5000].text_crc32 == 0
     assert len({r.shard for r in out if r.doc_id is None}) == 1
 

@@ -311,6 +311,31 @@ def test_pipeline_matches_its_stages_in_plain_python(spark, tmp_path):
     assert {r.doc_id for r in out} == {i for i, _, _ in left} and 1002 not in known
     assert {1000, 1001} & {r.doc_id for r in out} == set() and len({r.doc_id for r in out} & toxic) <= 2
     assert all(r.length <= packing.LIMITS[0] for r in out)
+    nothing = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, nothing, str(tmp_path))
+        assert kept.count() == 0 and (name == "packing" or kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]), name
+
+
+def test_pipeline_stages_take_any_rows(spark, tmp_path):
+    rng = random.Random(11)
+    plain = [(i, f"{t} w{i}a w{i}b w{i}c w{i}d w{i}e w{i}f w{i}g w{i}h", lang) for i, t, lang in corpus(60, 7)]
+    long = (500, " ".join(rng.choices(EN.split(), k=60_000)), "en")
+    odd = [(501, None, "en"), (502, "", None), (None, plain[3][1] + " tail", None), (503, "x" * 100_000, "en"), long, plain[5], plain[5]]
+    rows = [(i, t, lang, "s", len(t or ""), "id", 1, "k", "m", 0.5, [1]) for i, t, lang in plain + odd]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id string, n int, key string, lang_pred string, score double, groups array<int>")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    ids = lambda df: sorted(-1 if r.doc_id is None else r.doc_id for r in df.select("doc_id").collect())
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0), str(tmp_path))
-        assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        found = ids(kept)
+        if name == "language_id":
+            assert found == sorted([*range(60), -1, 500, 503, 5, 5])
+        elif name == "toxicity":
+            assert found == sorted([*range(60), -1, 500, 501, 502, 503, 5, 5])  # labels of one kind teach nothing
+        else:
+            assert found == sorted([*range(60), -1, 500, 501, 502, 503])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert set(ids(packed)) == {*range(60), -1, 500, 501, 502, 503} and packed.where("doc_id = 500").agg({"length": "sum"}).first()[0] == packed.where("doc_id = 500").first().doc_tokens
+    assert packed.where("doc_id = 5 AND start = 0").count() == 3
