@@ -58,10 +58,20 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), F.asc("id")).limit(k).withColumn("rank", rank)
 
 
+#: Rows up to which one task puts a ranking in order.
+FEW = 200_000
+
+
 def ranked(scores: DataFrame) -> DataFrame:
-    """id, score, rank of all rows; ties go to the smaller id. Ranges of scores are sorted each in its task; how many rows stand before a range is added."""
+    """id, score, rank of all rows; ties go to the smaller id. Scores are computed once and counted.
+
+    A short ranking is sorted in one task. Of a long one ranges of scores are sorted, each in its task, and how many rows stand before a range is added.
+    """
+    rows = held(scores.select("id", "score"))
+    if rows.count() <= FEW:
+        return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("id"))).cast("bigint"))
     place = F.monotonically_increasing_id()  # the partition's number above bit 33, the row's below
-    rows = held(scores.repartitionByRange(F.desc("score"), F.asc("id")).sortWithinPartitions(F.desc("score"), F.asc("id")).select("id", "score", place.alias("_place")))
+    rows = held(rows.repartitionByRange(F.desc("score"), F.asc("id")).sortWithinPartitions(F.desc("score"), F.asc("id")).select("id", "score", place.alias("_place")))
     part = F.shiftright("_place", 33)
     sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
     before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -75,9 +75,12 @@ def test_merge_chains_of_any_length_end_at_the_last_person(spark):
 
 
 @tables
-def test_hybrid_rrf_fuses_whole_rankings(spark):
+@pytest.mark.parametrize("few", [0, search.FEW])
+def test_hybrid_rrf_fuses_whole_rankings(spark, monkeypatch, few):
     import numpy as np
 
+    monkeypatch.setattr(search, "FEW", few)
+
     docs, vectors = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "embeddings"))
     words = sorted((-r.score, r.id) for r in search.word_scores(docs, "doc_id", "text", queries_search.WORDS).collect())
     near = sorted((-r.score, r.id) for r in search.vector_scores(vectors, "vec_id", "embedding", queries_search.PROBE).collect())
