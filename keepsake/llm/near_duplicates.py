@@ -41,6 +41,8 @@ ROWS_A_PART = 20_000
 SMALL, BLOCK, ASKED = 16, 1 << 17, 1 << 18
 #: Nodes of a bucket that are compared at a time; one-bit minhashes, and differing ones of a pair at most.
 BUCKET_BLOCK, BITS, FAR = 2048, 512, 96
+#: Nodes whose numbers are broadcast at most, to leave out the sets of others.
+KNOWN = 500_000
 REMEMBERED, LONGEST = 400_000, 64
 #: Multipliers are drawn once from a fixed seed.
 _RNG = np.random.default_rng(20_260_101)
@@ -140,8 +142,17 @@ def full_sets(docs: DataFrame, nodes: DataFrame, key: str = "doc_id", text: str
     return made.join(nodes.select("node", F.col("print").alias("made")), ["node", "made"], "left_semi").dropDuplicates(["node", "made"]).select("node", "values")
 
 
+def of_nodes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of the given nodes, or all sets where those are too many to be broadcast (KNOWN, counted): the join that follows finds them then.
+
+    A set is thousands of times as large as its node's number, so sets that nobody asks for shouldn't be shuffled.
+    """
+    own = nodes.select("node").distinct()
+    return sets.join(F.broadcast(own), "node", "left_semi") if own.count() <= KNOWN else sets
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough. pairs are read several times: a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,7 +163,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
                 keep.append(100 * common >= percent * (len(s) + len(t) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first, second = (sets.select(F.col("node").alias(k), F.col("values").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    first, second = (of_nodes(sets, pairs.select(F.col(k).alias("node"))).select(F.col("node").alias(k), F.col("values").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -321,8 +332,8 @@ def answers(left: DataFrame, labels: DataFrame, sets: DataFrame, tested: DataFra
     shingles: one pass over a sorted index of the block's values counts what a questioner has in common with every member.
     """
     pairs = left.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    few = confirmed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sets)
-    large = left.where("b IS NULL").select("a", "label").distinct()
+    few = confirmed(written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), sets)
+    large = written(left.where("b IS NULL").select("a", "label").distinct(), "questions")
     sized = sets.select("node", F.expr("octet_length(values) DIV 8").alias("n"))
     many = large.join(sized, F.col("a") == F.col("node")).groupBy("label").agg(F.sum("n").alias("q"))
     whole = labels.join(large.select("label").distinct(), "label", "left_semi").join(sized, "node").groupBy("label").agg(F.sum("n").alias("c"))
@@ -331,7 +342,7 @@ def answers(left: DataFrame, labels: DataFrame, sets: DataFrame, tested: DataFra
     def spread(df: DataFrame, node: str, count: str, own: str, other_count: str, other: str) -> DataFrame:
         placed = df.join(shape, "label").withColumn(own, F.pmod(F.xxhash64(node), F.col(count)))
         placed = placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_count) - 1)))
-        held = sets.select(F.col("node").alias(node), F.col("values").alias(f"of_{own}"))
+        held = of_nodes(sets, df.select(F.col(node).alias("node"))).select(F.col("node").alias(node), F.col("values").alias(f"of_{own}"))
         return placed.join(held, node).select("label", "block", "part", F.col(node).alias("node"), F.col(f"of_{own}").alias("values"))
 
     asking = spread(large.select("label", "a"), "a", "parts", "part", "blocks", "block")

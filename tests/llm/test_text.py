@@ -261,6 +261,7 @@ def test_open_pairs_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 2000)
     monkeypatch.setattr(near_duplicates, "ASKED", 1000)
     monkeypatch.setattr(near_duplicates, "BUCKET_BLOCK", 5)
+    monkeypatch.setattr(near_duplicates, "KNOWN", 3)
     want = plain_components(rows)
     assert {r.doc_id: r.component_id for r in near_duplicates.components(frame(spark, rows)).collect()} == {i: c for i, (_, c) in want.items()}
 
