@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import bpe, divergence, filter_audit, language_id, near_duplicates, packing, quality_rules, sharding, token_counts, topk_search, toxicity, warc
+from keepsake.llm import bpe, divergence, filter_audit, language_id, near_duplicates, packing, quality_network, quality_rules, sharding, token_counts, topk_search, toxicity, warc
 from keepsake.llm._shared import table
 
 SHARDS = 8
@@ -64,9 +64,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_network.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_impact_topk, op2_rendezvous_sharding, op3_quality_rules, op4_warc_normaliser, op5_segment_tree_bpe, op6_subword_toxicity, op7_tensored_minhash, op8_prefix_token_counts, op9_vector_packing, op10_cross_parsing, op11_filter_audit, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_impact_topk, op2_rendezvous_sharding, op3_quality_rules, op4_warc_normaliser, op5_segment_tree_bpe, op6_subword_toxicity, op7_tensored_minhash, op8_prefix_token_counts, op9_vector_packing, op10_cross_parsing, op11_filter_audit, op12_byte_network, op13_source_divergence)}
 ORACLES = {"op1_impact_topk": topk_search.oracle(QUERY_DIVISOR, TOP_K), "op4_warc_normaliser": warc.oracle(), "op3_quality_rules": quality_rules.oracle(), "op2_rendezvous_sharding": sharding.oracle(SHARDS), "op11_filter_audit": filter_audit.oracle(), "op13_source_divergence": divergence.oracle()}
