@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from keepsake.functions import measures, texts
-from keepsake.operators import graph, search
+from keepsake.operators import graph, search, vectors
 from keepsake.plans import api
 from keepsake.plans.registry import Book, table
 from keepsake.streaming import windows
@@ -47,8 +47,8 @@ WITH f AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM {_FT
 SELECT coalesce(f.id, v.id) AS id, f.r AS word_rank, v.r AS vector_rank, round(coalesce(0.3::DOUBLE / (60.0::DOUBLE + f.r), 0) + coalesce(0.7::DOUBLE / (60.0::DOUBLE + v.r), 0), 9) AS score FROM f FULL JOIN v ON f.id = v.id""")
 def hybrid_rrf(spark, d):
     words = search.ranked(search.word_scores(table(spark, d, "documents"), "doc_id", "text", WORDS))
-    vectors = search.ranked(search.vector_scores(table(spark, d, "embeddings"), "vec_id", "embedding", PROBE))
-    return search.fuse(words, vectors)
+    near = search.ranked(search.vector_scores(table(spark, d, "embeddings"), "vec_id", "embedding", PROBE))
+    return search.fuse(words, near)
 
 
 @book.query(f"""
@@ -69,6 +69,32 @@ def fts_indexed(spark, d):
     return search.indexed_scores(spark.read.parquet(place), WORDS)
 
 
+@book.query(f"SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, score FROM {_COS} ORDER BY score DESC, id LIMIT 10)")
+def knn_indexed(spark, d):
+    """The same as knn_top10, from a stored index whose unread cells are proven to hold nothing as good."""
+    place = _place(spark)
+    vectors.write_index(table(spark, d, "embeddings"), place)
+    return vectors.Index(spark, place).nearest(PROBE, 10)
+
+
+@book.query()
+def knn_probed(spark, d):
+    """The ten nearest vectors of every vector whose number is divisible by 20, from as many cells as the index's own sample needs for a recall of 0.95."""
+    place, own = _place(spark), table(spark, d, "embeddings")
+    vectors.write_index(own, place)
+    index = vectors.Index(spark, place)
+    return index.search(own.where("vec_id % 20 = 0"), 10, index.calibrated(10, 0.95))
+
+
+@book.query("""
+WITH v AS (SELECT vec_id AS id, embedding AS e, list_transform(embedding, lambda x: x::DOUBLE) AS d FROM embeddings),
+u AS (SELECT id, e, d, sqrt(list_sum(list_transform(d, lambda x: x * x))) AS n FROM v)
+SELECT a.id, any_value(min_id) AS class_id, count(b.id) AS links
+FROM (SELECT *, min(id) OVER (PARTITION BY e) AS min_id FROM u) a LEFT JOIN u b ON a.id <> b.id AND list_inner_product(a.d, b.d) / (a.n * b.n) >= 0.4 GROUP BY a.id""")
+def vector_link_counts(spark, d):
+    return vectors.link_counts(table(spark, d, "embeddings"), 0.4)
+
+
 @book.query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS length FROM embeddings")
 def vector_lengths(spark, d):
     v = F.col("embedding")

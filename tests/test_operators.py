@@ -59,17 +59,6 @@ def test_as_of_takes_equal_times_and_keeps_unmatched_rows(spark):
     assert got == {1: (5, "a"), 2: (7, None), 3: (None, None)}
 
 
-def test_similar_pairs_match_a_plain_loop(spark):
-    import numpy as np
-
-    v = np.random.default_rng(1).normal(size=(60, 5))
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, [])], "vec_id long, embedding array<double>")
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if unit[i] @ unit[j] >= 0.7}
-    got = {(r.a, r.b) for r in joins.similar_pairs(df, 0.7, block=7).collect()}
-    assert got == want and want
-
-
 def test_optional_and_required_edges(spark):
     people = spark.createDataFrame([("p", "P")], "id string, name string")
     rows = spark.createDataFrame([(1, "p"), (2, None)], "n int, sender_id string")
