@@ -112,8 +112,7 @@ def _place(spark) -> str:
 
 
 def _stream(spark, d):
-    schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return windows.read_table_stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
 
 
 def _finished(spark, stream, mode):

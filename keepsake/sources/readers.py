@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from keepsake import schema
 from keepsake.functions import texts, times
 
-#: "[31/12/2023, 23:59:01] Name: text" and "31/12/2023, 23:59 - Name: text".
-CHAT_LINE = r"^‎?\[?(\d{1,2})[/.](\d{1,2})[/.](\d{2,4}),? (\d{1,2}:\d{2}(?::\d{2})?)\]?(?: -)? (?:([^:]+): )?(.*)$"
+#: "[31/12/2023, 23:59:01] Name: text", "31/12/2023, 23:59 - Name: text", and either with a 12-hour clock: "[12/31/23, 11:59:01 PM] Name: text".
+CHAT_LINE = r"^‎?\[?(\d{1,2})[/.](\d{1,2})[/.](\d{2,4}),? (\d{1,2}:\d{2}(?::\d{2})?)(?:[ \u00a0\u202f]?([AaPp])\.?[ \u00a0\u202f]?[Mm]\.?)?\]?(?: -)? (?:([^:]+): )?(.*)$"
 
 
 def csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -123,8 +123,12 @@ def location_history(spark: SparkSession, path: str) -> DataFrame:
     return rows.select((F.col("r.latitudeE7") / 1e7).alias("latitude"), (F.col("r.longitudeE7") / 1e7).alias("longitude"), F.col("r.accuracy").alias("accuracy_meters"), times.parse_instant(F.col("r.timestamp")).alias("timestamp"))
 
 
-def chat_log(spark: SparkSession, path: str, day_first: bool = True) -> DataFrame:
-    """Exported chats: thread (file), position, occurred_at, sender, content. A line without a date continues the message above."""
+def chat_log(spark: SparkSession, path: str, day_first: bool | None = None) -> DataFrame:
+    """Exported chats: thread (file), position, occurred_at, sender, content. A line without a date continues the message above.
+
+    Clocks of 24 and of 12 hours are read (12 AM is hour 0; an hour over 12 stands as it is). day_first: whether a date begins with its day; None leaves
+    that to the file, where a number over 12 tells, and a file without one begins with days. A date that there isn't gives a null time.
+    """
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("thread"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     head = F.regexp_extract("text", CHAT_LINE, 1) != ""
     run = Window.partitionBy("thread").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
@@ -132,11 +136,18 @@ def chat_log(spark: SparkSession, path: str, day_first: bool = True) -> DataFram
     joined = numbered.groupBy("thread", "position").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
     first = F.regexp_extract("text", "^[^\n]*", 0)
     part = lambda k: F.regexp_extract(first, CHAT_LINE, k)
-    day, month = (part(1), part(2)) if day_first else (part(2), part(1))
+    if day_first is None:
+        most = lambda k: F.max(part(k).cast("int")).over(Window.partitionBy("thread"))
+        joined = joined.withColumn("_days", (most(1) > 12) | (most(2) <= 12))
+    else:
+        joined = joined.withColumn("_days", F.lit(day_first))
+    day, month = (F.when(F.col("_days"), part(a)).otherwise(part(b)) for a, b in ((1, 2), (2, 1)))
     year = F.when(F.length(part(3)) == 2, F.concat(F.lit("20"), part(3))).otherwise(part(3))
-    at = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"), F.lit(" "), F.lpad(part(4), F.length(part(4)), "0"))
-    sender = F.when(part(5) != "", part(5))
-    content = F.concat(part(6), F.substring("text", F.length(first) + 1, F.length("text")))
+    said = F.split(part(4), ":", 2)[0].cast("int")
+    hour = F.when((part(5) == "") | (said > 12), said).otherwise(said % 12 + F.when(F.lower(part(5)) == "p", 12).otherwise(0))
+    at = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.split(part(4), ":", 2)[1])
+    sender = F.when(part(6) != "", part(6))
+    content = F.concat(part(7), F.substring("text", F.length(first) + 1, F.length("text")))
     return joined.select("thread", "position", at.try_cast("timestamp_ntz").alias("occurred_at"), sender.alias("sender"), content.alias("content"), F.when(sender.isNull(), "system").otherwise("text").alias("message_type"))
 
 

@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """A stream of the Parquet files that arrive in folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def read_table_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
+    """A stream of the Parquet files at path: of a folder those that are there and that arrive, of a file that one. A path where nothing is fails at once."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        raise FileNotFoundError(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if files.getFileStatus(place).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
 
 
 def tumbling(events: DataFrame, at: str, late: str, width: str, keys: list[str]) -> DataFrame:

@@ -56,3 +56,16 @@ def test_range_filters_reach_the_scan_of_every_part(spark):
 
     plan = entities.timeline(queries_rollups._view(spark, SF), ("2024-01-05", "2024-01-07"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("GreaterThanOrEqual(") >= 3
+
+
+def test_stream_queries_read_files_and_folders_alike(spark, tmp_path):
+    import shutil
+
+    for name in ("events", "documents"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("stream_tumbling", "stream_sliding", "stream_sessions", "stream_dedup"):
+        want = sorted(map(str, catalogue.QUERIES[name](spark, SF).collect()))
+        assert sorted(map(str, catalogue.QUERIES[name](spark, str(tmp_path)).collect())) == want and want
+    shutil.rmtree(tmp_path / "events.parquet")
+    with pytest.raises(Exception):  # noqa: B017  nothing is there
+        catalogue.QUERIES["stream_tumbling"](spark, str(tmp_path)).collect()

@@ -46,6 +46,16 @@ def test_chat_logs(spark, tmp_path):
     assert rows[0].occurred_at == datetime(2023, 12, 31, 23, 59, 1) and rows[2].occurred_at == datetime(2024, 1, 1, 0, 1)
 
 
+def test_chat_logs_with_a_clock_of_twelve_hours(spark, tmp_path):
+    put(tmp_path / "a.txt", "[12/31/23, 11:59:01 PM] Bob: hi\n[1/1/24, 12:00:05\u202fAM] Ann: new year\n1/1/24, 12:30 pm - Bob: lunch at 1: yes\n1/1/24, 1:05 p. m. - Bob joined\n")
+    put(tmp_path / "b.txt", "01/02/2024, 9:15 a.m. - Ann: day first\n13/02/2024, 13:05 PM - Ann: as it stands\n31/02/2024, 10:00 - Ann: no such day\n")
+    rows = readers.chat_log(spark, str(tmp_path)).orderBy("thread", "position").collect()
+    assert [(r.sender, r.content) for r in rows[:4]] == [("Bob", "hi"), ("Ann", "new year"), ("Bob", "lunch at 1: yes"), (None, "Bob joined")]
+    assert [r.occurred_at for r in rows[:4]] == [datetime(2023, 12, 31, 23, 59, 1), datetime(2024, 1, 1, 0, 0, 5), datetime(2024, 1, 1, 12, 30), datetime(2024, 1, 1, 13, 5)]
+    assert [r.occurred_at for r in rows[4:]] == [datetime(2024, 2, 1, 9, 15), datetime(2024, 2, 13, 13, 5), None]
+    assert readers.chat_log(spark, str(tmp_path / "b.txt"), day_first=False).orderBy("position").first().occurred_at == datetime(2024, 1, 2, 9, 15)
+
+
 def test_calendars(spark, tmp_path):
     p = put(tmp_path / "c.ics", "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:1@x\r\nSUMMARY:Team\r\n  Meeting\r\nDTSTART;TZID=Europe/Paris:20240615T120000\r\nDTEND:20240615T130000Z\r\nRRULE:FREQ=DAILY;COUNT=2\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:2@x\r\nDTSTART;VALUE=DATE:20240616\r\nSTATUS:CANCELLED\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n")
     a, b = readers.calendar(spark, p).orderBy("ical_uid").collect()
