@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """A stream of the Parquet files at path: of a folder those that are there and that arrive, of a file that one. A path where nothing is fails at once."""
+def read_table_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of the Parquet files at path: of a folder those that are there and that arrive, of a file that one. A path where nothing is fails at once.
+
+    Without files_per_trigger all that is there makes one batch, in which no row is late; with it files should come in order of time, as a
+    watermark then takes rows of later batches for late ones.
+    """
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(place):
         raise FileNotFoundError(path)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    stream = spark.readStream.schema(schema)
+    stream = stream.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else stream
     if files.getFileStatus(place).isDirectory():
         return stream.parquet(path)
     return stream.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
