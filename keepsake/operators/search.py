@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import zlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import measures, texts
+from keepsake.operators import fulltext
 from keepsake.operators.graph import held
 
 #: Of reciprocal rank fusion: the smoothing constant, and the weights of words and of vectors.
@@ -16,34 +16,19 @@ RRF_K, WORD_WEIGHT, VECTOR_WEIGHT = 60, 0.3, 0.7
 
 
 def word_scores(df: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
-    """key and score: how often words of the query occur, for rows with any. Words are counted where they stand, without a list of all words."""
-    wanted = "|".join(sorted({f"\\Q{q.lower()}\\E" for q in query if re.fullmatch(r"[^\W_]+", q)}))
-    if not wanted:
-        return df.select(F.col(key).alias("id"), F.lit(0).cast("bigint").alias("score")).limit(0)
-    found = F.regexp_count(F.lower(F.col(text)), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{wanted})(?![\p{{L}}\p{{N}}])"))
-    return df.select(F.col(key).alias("id"), found.cast("bigint").alias("score")).where("score > 0")
-
-
-def postings(df: DataFrame, key: str, text: str, buckets: int = 64) -> DataFrame:
-    """The index of full text: term, id, times, and bucket, a hash of the term by which the table is best partitioned. Null texts have no term."""
-    terms = df.select(F.col(key).alias("id"), F.explode(texts.tokens(F.col(text))).alias("term"))
-    return terms.groupBy("term", "id").agg(F.count(F.lit(1)).alias("times")).withColumn("bucket", bucket_of(F.col("term"), buckets))
-
-
-def bucket_of(term: Column, buckets: int = 64) -> Column:
-    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
+    """key and score: how often words of the query occur, for rows with any. Words are counted where they stand, without a list of all words.
 
-
-def write_postings(index: DataFrame, path: str) -> None:
-    """Stores postings() partitioned by bucket and sorted by term, so that a search reads the row groups of its words and no text."""
-    index.repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(path)
-
-
-def indexed_scores(index: DataFrame, query: list[str], buckets: int = 64) -> DataFrame:
-    """word_scores() from postings; the buckets prune folders, the terms reach the scan."""
-    words = sorted({q.lower() for q in query})
-    own = sorted({zlib.crc32(w.encode()) % buckets for w in words})
-    return index.where(F.col("bucket").isin(own) & F.col("term").isin(words)).groupBy("id").agg(F.sum("times").alias("score"))
+    A word with a sign inside (well-known) is met where its parts follow one another as words, whatever stands between them; one without a letter or digit is left out.
+    """
+    parts = sorted({w for w in map(fulltext.words_of, query) if w})
+    single, phrases = "|".join(w[0] for w in parts if len(w) == 1), [w for w in parts if len(w) > 1]
+    if not parts:
+        return df.select(F.col(key).alias("id"), F.lit(0).cast("bigint").alias("score")).limit(0)
+    end = r"(?![\p{L}\p{N}])"
+    # of a phrase only the first word is taken, so that phrases that overlap are all counted
+    asked = [f"(?:{single}){end}"] * bool(single) + [rf"{w[0]}(?=[^\p{{L}}\p{{N}}]+{(texts.TOKEN_GAP).join(w[1:])}{end})" for w in phrases]
+    found = [F.regexp_count(F.lower(F.col(text)), F.lit(rf"(?<![\p{{L}}\p{{N}}]){x}")) for x in asked]
+    return df.select(F.col(key).alias("id"), reduce(lambda a, b: a + b, found).cast("bigint").alias("score")).where("score > 0")
 
 
 def vector_scores(df: DataFrame, key: str, embedding: str, probe: list[float] | Column) -> DataFrame:

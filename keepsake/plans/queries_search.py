@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from keepsake.functions import measures, texts
-from keepsake.operators import graph, search, vectors
+from keepsake.operators import fulltext, graph, search, vectors
 from keepsake.plans import api
 from keepsake.plans.registry import Book, table
 from keepsake.streaming import windows
@@ -64,9 +64,41 @@ def search_knowledge(spark, d):
 @book.query(f"SELECT id, score FROM {_FTS}")
 def fts_indexed(spark, d):
     """The same as fts_term_frequency, from a stored index of postings."""
+    return fulltext.indexed_scores(_index(spark, d), WORDS)
+
+
+def _index(spark, d):
+    """The stored positions of all documents' words, as a search reads them."""
     place = _place(spark)
-    search.write_postings(search.postings(table(spark, d, "documents"), "doc_id", "text"), place)
-    return search.indexed_scores(spark.read.parquet(place), WORDS)
+    fulltext.write_postings(fulltext.postings(table(spark, d, "documents"), "doc_id", "text"), place)
+    return spark.read.parquet(place)
+
+
+_TOKENS = r"(SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)"
+_AT = "len(list_filter(range(1, len(w) + 1), lambda i: {}))"
+_OF_THE = _AT.format("w[i] = 'of' AND w[i + 1] = 'the'")
+_COUNT = _AT.format("w[i] = '{}'").format
+
+
+@book.query(f"SELECT id, {_OF_THE} + {_AT.format("w[i] = 'in' AND w[i + 1] = 'a' AND w[i + 2] = 'the'")} AS score FROM {_TOKENS} WHERE {_OF_THE} > 0 OR {_AT.format("w[i] = 'in' AND w[i + 1] = 'a' AND w[i + 2] = 'the'")} > 0")
+def fts_phrase(spark, d):
+    return fulltext.found(_index(spark, d), '"of the" OR in-a-the')
+
+
+@book.query(f"SELECT id, {_COUNT('er')} + {_COUNT('ing')} + {_COUNT('tion')} + {_OF_THE} AS score FROM {_TOKENS} WHERE {_COUNT('er')} > 0 AND ({_COUNT('ing')} > 0 OR {_COUNT('tion')} > 0 AND {_OF_THE} > 0) AND NOT ({_COUNT('moron')} > 0 OR {_COUNT('worthless')} > 0)")
+def fts_boolean(spark, d):
+    return fulltext.found(_index(spark, d), 'er (ing OR tion "of the") NOT (moron OR worthless)')
+
+
+@book.query(f"SELECT id, {_AT.format("starts_with(w[i], 'tion')")} + {_AT.format("starts_with(w[i], 'é')")} AS score FROM {_TOKENS} WHERE {_AT.format("starts_with(w[i], 'tion')")} + {_AT.format("starts_with(w[i], 'é')")} > 0 AND {_COUNT('the')} = 0")
+def fts_prefix(spark, d):
+    return fulltext.found(_index(spark, d), "(tion* OR é*) -the")
+
+
+@book.query(f"SELECT id, 0 AS score FROM {_TOKENS} WHERE coalesce({_COUNT('the')}, 0) = 0 AND coalesce({_COUNT('der')}, 0) = 0")
+def fts_absent(spark, d):
+    """Texts without two words: those that the index has no row for are known by the table."""
+    return fulltext.found(_index(spark, d), "NOT the NOT der", table(spark, d, "documents").select(F.col("doc_id").alias("id")))
 
 
 @book.query(f"SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, score FROM {_COS} ORDER BY score DESC, id LIMIT 10)")

@@ -121,15 +121,6 @@ def test_lookups_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(latitude" in plan(joins.around(t, 10.0, 20.0, 5000.0))
 
 
-def test_postings_give_the_scores_of_the_texts(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "The cat. the CAT, concat"), (2, None), (3, "a_cat x-the"), (4, "none")], "id int, text string")
-    search.write_postings(search.postings(docs, "id", "text", 8), str(tmp_path / "p"))
-    index = spark.read.parquet(str(tmp_path / "p"))
-    for words in (["the", "Cat"], ["nothing"], ["cat", "cat"], ["a b", "x"]):
-        assert sorted(map(tuple, search.indexed_scores(index, words, 8).collect())) == sorted(map(tuple, search.word_scores(docs, "id", "text", words).collect()))
-    assert "In(term" in search.indexed_scores(index, ["the", "cat"], 8)._jdf.queryExecution().executedPlan().toString()
-
-
 def test_sessions_begin_only_after_more_than_the_gap(spark):
     df = spark.createDataFrame([("u", 0), ("u", 30), ("u", 61), ("v", 5)], "u string, t int")
     got = sorted((r.u, r.started, r.ended, r.visits) for r in rollups.sessions(df, "u", F.col("t"), 30).collect())
