@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsake.operators import scan
+
 
 def thread_rollup(messages: DataFrame, thread: str, at: str, sender: str) -> DataFrame:
     """message_count, first_message_at, last_message_at and participant_count of each thread."""
@@ -28,7 +30,8 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
 
 
 def running_sum(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    """df with the sum of value up to each row of its group."""
+    return scan.scanned(df, group, order, sums={name: value})
 
 
 def spent_by_month(transactions: DataFrame, at: str, amount: str, kind: str, category: str) -> DataFrame:
@@ -51,16 +54,16 @@ def balances(transactions: DataFrame, account: str, amount: str) -> DataFrame:
 
 def sessions(df: DataFrame, user: str, at: Column, gap: int) -> DataFrame:
     """user, session, started, ended, visits: a new session begins when more than gap has passed since the last visit. at is a number."""
-    own = Window.partitionBy(user).orderBy("_at", "_tie")
-    rows = df.withColumn("_at", at).withColumn("_tie", F.monotonically_increasing_id())
-    starts = rows.withColumn("_new", F.coalesce(F.col("_at") - F.lag("_at").over(own) > gap, F.lit(True)).cast("int"))
-    numbered = starts.withColumn("session", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = scan.laid_out(df.select(F.col(user), at.alias("_at")), [user], [F.asc("_at")])
+    seen = scan.carried(rows, [user], [F.asc("_at")], before={"_last": F.col("_at")})
+    new = F.coalesce(F.col("_at") - F.col("_last") > gap, F.lit(True)).cast("int")
+    numbered = scan.carried(seen.withColumn("_new", new), [user], [F.asc("_at")], sums={"session": F.col("_new")})
     return numbered.groupBy(user, "session").agg(F.min("_at").alias("started"), F.max("_at").alias("ended"), F.count(F.lit(1)).alias("visits"))
 
 
 def since_previous(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
     """The value's growth since the row before in its group; null for the first."""
-    return df.withColumn(name, value - F.lag(value).over(Window.partitionBy(*group).orderBy(*order)))
+    return scan.scanned(df, group, order, before={name: value}).withColumn(name, value - F.col(name))
 
 
 def explode_json_map(df: DataFrame, column: str, keep: list[str], key: str, value: str, kind: str = "map<string,array<string>>") -> DataFrame:

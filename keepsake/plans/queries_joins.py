@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keepsake import schema
 from keepsake.functions import texts, times
-from keepsake.operators import entities, graph, joins, linkers
+from keepsake.operators import entities, graph, joins, linkers, scan
 from keepsake.plans import api
 from keepsake.plans.registry import Book, table
 
@@ -119,15 +119,36 @@ def link_order(spark, d):
     return pairs.select("a", "b", linkers.order_of(F.col("a_at"), F.col("b_at")).alias("link_type"))
 
 
-@book.query("WITH s AS (SELECT o_orderkey AS span, o_custkey % 50 AS person, epoch_us(o_orderdate) // 1000000 AS start, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE epoch_us(o_orderdate) // 1000000 + 86400 * (o_orderkey % 5 + 1) END AS finish FROM orders), p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 50 AS person, epoch_us(l_shipdate) // 1000000 AS sec FROM lineitem) SELECT span, l_orderkey, l_linenumber FROM s JOIN p ON s.person = p.person AND sec >= start AND (finish IS NULL OR sec < finish)")
+_SPANS = "(SELECT o_orderkey AS span, o_custkey{0} AS person, epoch_us(o_orderdate) // 1000000 AS start, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE epoch_us(o_orderdate) // 1000000 + 86400 * (o_orderkey % 5 + 1) END AS finish FROM orders)"
+_POINTS = "(SELECT row_number() OVER () AS point, l_orderkey, l_linenumber, l_suppkey{0} AS person, epoch_us(l_shipdate) // 1000000 AS sec FROM lineitem)"
+
+
+def _spans_and_points(spark, d, key):
+    at, k = times.epoch_seconds(F.col("o_orderdate")), F.col("o_orderkey")
+    spans = table(spark, d, "orders").select(k.alias("span"), key(F.col("o_custkey")).alias("person"), at.alias("start"), F.when(k % 10 != 0, at + 86400 * (k % 5 + 1)).alias("finish"))
+    return spans, table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", key(F.col("l_suppkey")).alias("person"), times.epoch_seconds(F.col("l_shipdate")).alias("at"))
+
+
+@book.query(f"SELECT span, l_orderkey, l_linenumber FROM {_SPANS.format('')} s JOIN {_POINTS.format('')} p ON s.person = p.person AND sec >= start AND (finish IS NULL OR sec < finish)")
 def during_span(spark, d):
-    at = times.epoch_seconds(F.col("o_orderdate"))
-    k = F.col("o_orderkey")
-    spans = table(spark, d, "orders").select(k.alias("span"), (F.col("o_custkey") % 50).alias("person"), at.alias("start"), F.when(k % 10 != 0, at + 86400 * (k % 5 + 1)).alias("finish"))
-    points = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 50).alias("person"), times.epoch_seconds(F.col("l_shipdate")).alias("at"))
+    """The pairs themselves, by a key with few rows."""
+    spans, points = _spans_and_points(spark, d, lambda c: c)
     return joins.during(points, spans, "at", "start", "finish", 30 * 86400, ["person"]).select("span", "l_orderkey", "l_linenumber")
 
 
+@book.query(f"SELECT any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber, count(span) AS spans_around FROM {_POINTS.format(' % 50')} p LEFT JOIN {_SPANS.format(' % 50')} s ON s.person = p.person AND sec >= start AND (finish IS NULL OR sec < finish) GROUP BY point")
+def spans_around(spark, d):
+    """How many spans lie around each point, by a key with many rows: a sweep, without the pairs."""
+    spans, points = _spans_and_points(spark, d, lambda c: c % 50)
+    return scan.span_counts(points, spans, "at", "start", "finish", ["person"])[0].select("l_orderkey", "l_linenumber", "spans_around")
+
+
+@book.query(f"SELECT span, count(l_orderkey) AS points_inside FROM {_SPANS.format(' % 50')} s LEFT JOIN {_POINTS.format(' % 50')} p ON s.person = p.person AND sec >= start AND (finish IS NULL OR sec < finish) GROUP BY ALL")
+def points_inside(spark, d):
+    spans, points = _spans_and_points(spark, d, lambda c: c % 50)
+    return scan.span_counts(points, spans, "at", "start", "finish", ["person"])[1].select("span", "points_inside")
+
+
 _GEO = "(SELECT c_custkey AS id, (c_custkey * 7919 % 18000) / 100.0 - 90 AS lat, (c_custkey * 104729 % 36000) / 100.0 - 180 AS lon FROM customer)"
 
 

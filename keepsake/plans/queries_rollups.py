@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import measures, texts, times
-from keepsake.operators import entities, graph, rollups
+from keepsake.operators import entities, graph, rollups, scan
 from keepsake.plans import api
 from keepsake.plans.registry import Book, table
 
@@ -212,7 +212,8 @@ def event_status(spark, d):
 
 @book.query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) - 1 AS position FROM part")
 def folder_positions(spark, d):
-    return table(spark, d, "part").select("p_partkey", (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")) - 1).alias("position"))
+    rows = rollups.running_sum(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), ["p_brand"], [F.asc("p_size"), F.asc("p_partkey")], F.lit(1), "position")
+    return rows.select("p_partkey", (F.col("position") - 1).alias("position"))
 
 
 @book.query("SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS latency FROM events")
@@ -225,9 +226,9 @@ WITH p AS (SELECT event_id, user_id, ts, epoch_us(ts) AS at_us, event_id * 37 %
 q AS (SELECT *, lag(at_us) OVER w AS at0, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0 FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT event_id, round(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2)))) / ((at_us - at0) / 1000000.0), 4) AS metres_per_second FROM q WHERE at_us > at0""")
 def ping_speed(spark, d):
-    k, order = F.col("event_id"), Window.partitionBy("user_id").orderBy("ts", "event_id")
+    k = F.col("event_id")
     p = table(spark, d, "events").select("event_id", "user_id", "ts", times.epoch_micros(F.col("ts")).alias("at"), (k * 37 % 180 - 90).cast("double").alias("lat"), (k * 91 % 360 - 180).cast("double").alias("lon"))
-    q = p.withColumns({f"{c}0": F.lag(c).over(order) for c in ("at", "lat", "lon")}).where("at > at0")
+    q = scan.scanned(p, ["user_id"], [F.asc("ts"), F.asc("event_id")], before={f"{c}0": F.col(c) for c in ("at", "lat", "lon")}).where("at > at0")
     metres = measures.haversine(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))
     return q.select("event_id", F.round(metres / ((F.col("at") - F.col("at0")) / 1e6), 4).alias("metres_per_second"))
 
