@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,7 +47,23 @@ def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     (df.coalesce(files) if files else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+#: Where the tables of written() lie, as long as someone holds them.
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def superseded(*tables: DataFrame | None) -> None:
+    """Deletes tables of written() that nothing reads any more: a loop then needs the disk of its last round, not of all. Other DataFrames are left alone."""
+    for df in tables:
+        path = _places.pop(df, None) if df is not None else None
+        if path:
+            spark = df.sparkSession
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.llm._shared import small_batches, take_over, text_slices, written
+from keepsake.llm._shared import small_batches, superseded, take_over, text_slices, written
 
 SHINGLE, PERCENT = 4, 80
 GROUPS, ROWS = 18, 3
@@ -171,20 +171,24 @@ def merged(labels: DataFrame, links: DataFrame, files: int) -> DataFrame:
     """labels (node, label) after the components that links (a, b) join have become one; a label is the least node of its component.
 
     Each step every label takes the least label next to it, pointers are followed a few times, and links between
-    equal labels go; the others are links between labels, fewer each time.
+    equal labels go; the others are links between labels, fewer each time. labels is given up for the table that is returned.
     """
     left, right = (labels.select(F.col("node").alias(k), F.col("label").alias(v)) for k, v in (("a", "u"), ("b", "v")))
     rest = written(links.join(left, "a").join(right, "b").where("u <> v").select("u", "v").distinct(), "links", files)
     while not rest.isEmpty():
         both = rest.union(rest.select("v", "u"))
-        to = written(both.groupBy(F.col("u").alias("old")).agg(F.min("v").alias("v")).select("old", F.least("old", "v").alias("new")), "pointers", files)
+        near = written(both.groupBy(F.col("u").alias("old")).agg(F.min("v").alias("v")).select("old", F.least("old", "v").alias("new")), "pointers", files)
+        to = near
         for _ in range(3):
             again = to.select(F.col("old").alias("new"), F.col("new").alias("far"))
             to = to.join(again, "new", "left").select("old", F.coalesce("far", "new").alias("new"))
         to = written(to, "pointers", files)
+        older, used = labels, rest
         labels = written(labels.join(to, labels["label"] == to["old"], "left").select("node", F.coalesce("new", "label").alias("label")), "labels", files)
         u, v = to.select(F.col("old").alias("u"), F.col("new").alias("x")), to.select(F.col("old").alias("v"), F.col("new").alias("y"))
         rest = written(rest.join(u, "u").join(v, "v").where("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "links", files)
+        superseded(older, used, near, to)
+    superseded(rest)
     return labels
 
 
@@ -394,9 +398,11 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         # the loops' tables are small beside the texts; files for their rows, whatever the shuffles are cut into
         files, row_files = (max(drawn.sparkSession.sparkContext.defaultParallelism, math.ceil(x * count / ROWS_A_FILE)) for x in (1, ROWS_A_NODE))
         sets = written(full_sets(docs, nodes.join(labels, "node", "left_semi").select("node", "print"), key, text), "sets")
-        tested = None
+        tested, held = None, rows
         for turn in range(MAX_ROUNDS):
             mixed_rows = written(mixed_buckets(rows, labels), "mixed", row_files)
+            superseded(held)
+            held, rows = mixed_rows, mixed_rows.select("key", "t", "node", "n")
             if mixed_rows.isEmpty():
                 break
             pairs = proposals(mixed_rows, turn, max(SALTS, math.ceil(count / ROWS_A_PART)))
@@ -406,14 +412,19 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             found = links.count()
             if found:
                 labels = merged(labels, links, files)
-            rows = mixed_rows.select("key", "t", "node", "n")
+            superseded(links)
             if turn and 100 * found < pairs.count() * ENOUGH_PERCENT:
                 break
         last = written(mixed_buckets(rows, labels), "mixed", row_files)
+        superseded(held)
         if not last.isEmpty():
             counts = written(labels.groupBy("label").agg(F.count(F.lit(1)).alias("c")), "counts", files)
             left = written(open_pairs(last, with_bits(sets, last), counts), "open")
-            labels = merged(labels, written(answers(left, labels, sets, tested), "confirmed"), files)
+            links = written(answers(left, labels, sets, tested), "confirmed")
+            superseded(counts, left)
+            labels = merged(labels, links, files)
+            superseded(links)
+        superseded(last, sets)
         moved = labels.where("node <> label")
     found = nodes.select("print", "node", "copies")
     found = found.join(moved, "node", "left") if moved is not None else found.withColumn("label", F.lit(None).cast("long"))
