@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm._shared import kept_rows, small_batches, take_over, text_slices, with_column
+from keepsake.llm._shared import give_back, kept_rows, small_batches, take_over, text_slices, with_column
 from keepsake.llm.language_id import fold
 
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST_GRAM = 1 << 16, 8, 3, 5
@@ -268,7 +268,10 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4) -> M
     if len({toxic[i] for i in check}) < 2:
         check = train
     slope, shift = curve(np.array([highest(part[words.docs[i]], base) for i in check]), labels[check])
-    return Model(table @ (soft[:, 1] - soft[:, 0]), base, slope, shift)
+    model = Model(table @ (soft[:, 1] - soft[:, 0]), base, slope, shift)
+    del words, rows, table
+    give_back()  # the driver stands beside a JVM that needs the room
+    return model
 
 
 def curve(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
