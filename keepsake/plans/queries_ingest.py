@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keepsake import schema
 from keepsake.functions import measures, recurrence, texts, times
-from keepsake.operators import entities, ingest, joins
+from keepsake.operators import entities, hashes, ingest
 from keepsake.plans import api
 from keepsake.plans.registry import Book, table
 
@@ -244,7 +244,20 @@ def box_area(spark, d):
 @book.query("SELECT a.p_partkey AS a, b.p_partkey AS b, bit_count(xor(a.p_partkey * 2654435761 % 1048576, b.p_partkey * 2654435761 % 1048576))::INT AS distance FROM part a JOIN part b ON a.p_partkey < b.p_partkey WHERE bit_count(xor(a.p_partkey * 2654435761 % 1048576, b.p_partkey * 2654435761 % 1048576)) <= 6")
 def hamming_pairs(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 2654435761 % 1048576).alias("h"))
-    return joins.hamming_pairs(p, 20, 6)
+    return hashes.hamming_pairs(p, 20, 6)
+
+
+_HASH64 = "xor(('0x' || substr(md5((p_partkey // 4)::VARCHAR), 2, 15))::BIGINT, xor(1::BIGINT << (p_partkey % 60), 1::BIGINT << (p_partkey * 7 % 60)))"
+
+
+@book.query(f"SELECT a.id, min(CASE WHEN a.h = b.h THEN b.id END) AS class_id, count(*) - 1 AS links FROM (SELECT p_partkey AS id, {_HASH64} AS h FROM part) a JOIN (SELECT p_partkey AS id, {_HASH64} AS h FROM part) b ON bit_count(xor(a.h, b.h)) <= 10 GROUP BY a.id")
+def near_hashes(spark, d):
+    """How many other parts have a hash of 64 bits that differs in at most 10, for every part; groups of parts have hashes that differ in a few bits."""
+    k = F.col("p_partkey")
+    digest = F.conv(F.substring(F.md5(F.floor(k / 4).cast("bigint").cast("string")), 2, 15), 16, 10).cast("bigint")
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} % 60 AS int))")
+    p = table(spark, d, "part").select(k.alias("id"), digest.bitwiseXOR(bit("p_partkey").bitwiseXOR(bit("p_partkey * 7"))).alias("h"))
+    return hashes.link_counts(p, 64, 10)
 
 
 @book.query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 3) AS metres FROM (SELECT n_nationkey, n_nationkey * 7.0 - 80 AS lat, n_nationkey * 13.0 - 170 AS lon FROM nation) a JOIN (SELECT n_nationkey, n_nationkey * 7.0 - 80 AS lat, n_nationkey * 13.0 - 170 AS lon FROM nation) b ON b.n_nationkey = (a.n_nationkey + 1) % 25")

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from keepsake.operators import graph, joins, search
+from keepsake.operators import graph, hashes, search
 from keepsake.plans import api, catalogue, queries_search
 
 SF = "/root/testdata/sf0.001"
@@ -32,8 +32,13 @@ def test_during_span_takes_all_orders_and_line_items(spark):
     want = rows_of_sql("""
     WITH s AS (SELECT o_orderkey AS span, o_custkey % 50 AS person, epoch_us(o_orderdate) // 1000000 AS start, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE epoch_us(o_orderdate) // 1000000 + 86400 * (o_orderkey % 5 + 1) END AS finish FROM orders),
     p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 50 AS person, epoch_us(l_shipdate) // 1000000 AS sec FROM lineitem)
-    SELECT span, l_orderkey, l_linenumber FROM s JOIN p ON s.person = p.person AND sec >= start AND (finish IS NULL OR sec < finish)""")
-    assert rows_of(catalogue.QUERIES["during_span"](spark, SF)) == want and want
+    SELECT l_orderkey, l_linenumber, coalesce(span, -1) AS span FROM p LEFT JOIN s ON s.person = p.person AND sec >= start AND (finish IS NULL OR sec < finish)""")
+    pairs = [r for r in want if r[2] >= 0]
+    around = catalogue.QUERIES["during_span"](spark, SF).collect()
+    assert sorted((r.l_orderkey, r.l_linenumber) for r in around) == rows_of_sql("SELECT l_orderkey AS a, l_linenumber AS b FROM lineitem")
+    assert sum(r.spans_around for r in around) == len(pairs) > 0
+    inside = catalogue.QUERIES["points_inside"](spark, SF).collect()
+    assert sorted(r.span for r in inside) == [r[0] for r in rows_of_sql("SELECT o_orderkey FROM orders")] and sum(r.points_inside for r in inside) == len(pairs)
 
 
 @tables
@@ -46,11 +51,46 @@ def test_hamming_pairs_match_a_plain_loop(spark):
     import random
 
     rng = random.Random(5)
-    hashes = [rng.randrange(1 << 9) for _ in range(120)] + [7, 7, 0, 511]
-    df = spark.createDataFrame(list(enumerate(hashes)), "id long, h long")
+    values = [rng.randrange(1 << 9) for _ in range(120)] + [7, 7, 0, 511]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, h long")
     for most in (0, 1, 3, 4):
-        want = sorted((a, b, (x ^ y).bit_count()) for a, x in enumerate(hashes) for b, y in enumerate(hashes) if a < b and (x ^ y).bit_count() <= most)
-        assert rows_of(joins.hamming_pairs(df, 9, most)) == want and want
+        want = sorted((a, b, (x ^ y).bit_count()) for a, x in enumerate(values) for b, y in enumerate(values) if a < b and (x ^ y).bit_count() <= most)
+        assert rows_of(hashes.hamming_pairs(df, 9, most)) == want and want
+
+
+def test_hashes_of_64_bits_match_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    near = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 12))) for b in base for _ in range(12)]
+    values = [x - (1 << 64) if x >> 63 else x for x in [*base, *near, 0, -1 & (1 << 64) - 1, *[base[0]] * 200]]
+    rows = [*enumerate(values), (None, 5), (9999, None)]
+    df = spark.createDataFrame([(i, h, "x") for i, h in rows], "id long, h long, class_id string")
+    apart = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    for most in (0, 3, 10):
+        got = {r.id: (r.class_id, r.links) for r in hashes.link_counts(df, 64, most).collect()}
+        assert got == {i: (values.index(h), sum(apart(h, x) <= most for x in values) - 1) for i, h in enumerate(values)}
+    for parts in (hashes.segments(64, 10, 10**3), hashes.segments(64, 10, 10**9), [(0, 32, 5), (32, 32, 4)]):
+        assert sum(r + 1 for _, _, r in parts) == 11 and sum(n for _, n, _ in parts) <= 64
+    assert len(hashes.segments(64, 10, 10**9)) < len(hashes.segments(64, 10, 10**3))
+    assert hashes.link_counts(df.limit(0), 64, 10).collect() == []
+
+
+def test_hashes_of_pictures(spark):
+    """Perceptual hashes of pictures and of the same ones a little brighter and with noise are links; others are not."""
+    import numpy as np
+
+    from keepsake.functions import models
+
+    rng = np.random.default_rng(3)
+    smooth = lambda: np.kron(rng.normal(size=(4, 4)), np.ones((16, 16))) * 40 + 128
+    pictures = [smooth() for _ in range(8)]
+    every = pictures + [p * 1.05 + rng.normal(size=p.shape) for p in pictures]
+    df = spark.createDataFrame([(i, bytearray(p.astype("float32").tobytes())) for i, p in enumerate(every)], "id long, content binary")
+    hashed = df.select("id", models.perceptual_hash(df["content"], lambda raw: np.frombuffer(raw, dtype="float32").reshape(64, 64)).alias("h"))
+    got = {r.id: r.links for r in hashes.link_counts(hashed, 64, 10).collect()}
+    assert got == dict.fromkeys(range(16), 1)
 
 
 def test_trees_of_any_depth_keep_all_nodes(spark):
