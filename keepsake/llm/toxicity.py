@@ -1,15 +1,15 @@
 """Toxicity by subword bags.
 
-A word is the average of the embeddings of its character n-grams (hashed to a table of buckets), a window of words the
-average of its words, and a linear softmax over that average tells toxic windows from others. Table and softmax are
+A word is the average of the embeddings of its character n-grams (hashed to a table of buckets), a text the average of its
+most telling words, and a linear softmax over that average tells toxic texts from others. Table and softmax are
 trained jointly in numpy by Adagrad, so that a misspelling or an inflection that was never seen lies where its n-grams
-put it. A document is as toxic as its most toxic window, wherever that is in the text. Long runs without white space are
-split into words and slices, all of which count.
+put it. The words that count may stand anywhere in a text, and several different ones say more than one that may be
+chance. Long runs without white space are split into words and slices, all of which count.
 
-Only documents are labelled. Training begins with windows under their document's label; then the windows that the
-model itself ranks highest stand for each document: the first of a toxic document, the first few of a clean one. The
-toxic documents whose first window looks least so are left out of a round.
-A logistic curve, fitted on documents set apart, turns the highest logit into a probability.
+Only documents are labelled. Training begins with single words under their document's label; then the TOP words that the
+model itself ranks highest stand for each document, and of a clean one also those behind them and a few at random. The
+toxic documents whose words look least so are left out of a round.
+A logistic curve turns a logit into a probability; it is fitted on logits of documents by models that haven't seen them.
 
 As everything is linear, a word's part in the logit is one number, which a worker computes once.
 """
@@ -31,9 +31,12 @@ from keepsake.llm._shared import give_back, kept_rows, small_batches, take_over,
 from keepsake.llm.language_id import fold
 
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST_GRAM = 1 << 16, 8, 3, 5
-WINDOW = 2
+#: Words of a text that are judged together; models that calibrate; rounds of training; random words of a text that training begins with, and of a clean text in later rounds.
+TOP, FITS, ROUNDS, RATE, FIRST_WORDS, CLEAN_WORDS = 3, 3, 4, 0.3, 12, 4
+#: What a toxic text weighs in the curve where a clean one weighs 1, the classes being of one size.
+TOXIC_WEIGHT = 1.5
 BATCH, LEAST_STEPS = 256, 60
-#: Share of the toxic documents that a round leaves out, those without a window that looks it: labels can be wrong.
+#: Share of the toxic documents that a round leaves out, those without words that look it: labels can be wrong.
 DOUBTFUL = 0.1
 #: Documents that must share an n-gram for it to be learned.
 LEAST_DOCUMENTS = 6
@@ -141,14 +144,11 @@ class Model:
 
 
 def highest(parts: np.ndarray, bias: float) -> float:
-    """The largest logit of all windows of a text, given its words' parts; a text without words has the bias alone."""
-    n = len(parts)
-    if not n:
+    """The logit of a text's TOP most toxic different words together (of all, where it has fewer), given its words' parts; a text without words has the bias alone."""
+    if not len(parts):
         return bias
-    if n <= WINDOW:
-        return bias + float(parts.sum()) / n
-    sums = np.cumsum(parts)
-    return bias + float(max(sums[WINDOW - 1], (sums[WINDOW:] - sums[:-WINDOW]).max())) / WINDOW
+    different = np.unique(parts)[-TOP:]
+    return bias + float(different.sum()) / len(different)
 
 
 class _Words:
@@ -166,13 +166,17 @@ class _Words:
         self.flat = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
         self.start = np.cumsum(self.length) - self.length
 
-    def shared(self, docs: list[int]) -> np.ndarray:
+    def shared(self, docs: np.ndarray) -> np.ndarray:
         """1 for each bucket that words of at least LEAST_DOCUMENTS of docs have, else 0."""
         count = np.zeros(BUCKETS, dtype=np.int64)
         for i in docs:
             count[np.unique(self.of(np.unique(self.docs[i]))[0])] += 1
         return (count >= LEAST_DOCUMENTS).astype(np.float64)
 
+    def parts(self, by_bucket: np.ndarray) -> np.ndarray:
+        """What each word adds to a logit, by what each bucket does."""
+        return np.add.reduceat(by_bucket[self.flat], self.start) / self.length if len(self.start) else np.zeros(0)
+
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of the given words, and for each the place of its word."""
         n = self.length[words]
@@ -181,104 +185,109 @@ class _Words:
         return self.flat[np.repeat(self.start[words], n) + inside], np.repeat(np.arange(len(words)), n)
 
 
-def fit(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 4) -> Model | None:
-    """A model, or None where one of the classes has no text. The same rows in the same order give the same model."""
+def fit(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = ROUNDS) -> Model | None:
+    """A model, or None where one of the classes has no text. The same rows in the same order give the same model.
+
+    The model learns from all texts. Its curve is that of logits which FITS models give that have not seen a text.
+    """
     labels = np.array(toxic)
-    kept = [i for i, t in enumerate(texts) if t.split()]
-    if len({toxic[i] for i in kept}) < 2:
+    kept = np.array([i for i, t in enumerate(texts) if t.split()], dtype=np.int64)
+    if len(set(labels[kept])) < 2:
         return None
-    rng = np.random.default_rng(seed)
     words = _Words(texts)
-    apart = np.zeros(len(texts), dtype=bool)
+    rng = np.random.default_rng(seed)
+    turn = np.zeros(len(texts), dtype=np.int64)
     for c in (0, 1):
-        own = np.array([i for i in kept if toxic[i] == c])
-        apart[rng.permutation(own)[: len(own) // 4]] = True
-    train = [i for i in kept if not apart[i]]
+        own = rng.permutation(kept[labels[kept] == c])
+        turn[own] = np.arange(len(own)) % FITS
+    logits = np.full(len(texts), np.nan)
+    for k in range(FITS):
+        train, rest = kept[turn[kept] != k], kept[turn[kept] == k]
+        if len(set(labels[train])) == 2:
+            part, bias = _parts(words, train, labels, rng, rounds)
+            by_word = words.parts(part)
+            logits[rest] = [highest(by_word[words.docs[i]], bias) for i in rest]
+    part, bias = _parts(words, kept, labels, rng, rounds)
+    check = kept[~np.isnan(logits[kept])]
+    if len(set(labels[check])) < 2:  # too few texts to leave any out
+        check, by_word = kept, words.parts(part)
+        logits[kept] = [highest(by_word[words.docs[i]], bias) for i in kept]
+    model = Model(part, bias, *curve(logits[check], labels[check]))
+    del words
+    give_back()  # the driver stands beside a JVM that needs the room
+    return model
+
+
+def _parts(words: _Words, train: np.ndarray, labels: np.ndarray, rng: np.random.Generator, rounds: int) -> tuple[np.ndarray, float]:
+    """What each bucket adds to a logit, and the bias, learned from some of the texts."""
     # what training never meets stays 0 and says nothing; so does what too few documents share, by which they could only be learned by heart
     table, soft, bias = np.zeros((BUCKETS, DIMENSIONS)), rng.normal(0, 1, (DIMENSIONS, 2)) / math.sqrt(DIMENSIONS), np.zeros(2)
-    shared = words.shared(train)[:, None]
+    shared = words.shared(train)
     seen = [np.full(table.shape, 1e-8), np.full(soft.shape, 1e-8), np.full(bias.shape, 1e-8)]
 
-    def windows(i: int, starts: np.ndarray) -> np.ndarray:
-        """Rows of WINDOW words; -1 where a short text has none."""
-        own = words.docs[i]
-        if len(own) <= WINDOW:
-            return np.pad(own, (0, WINDOW - len(own)), constant_values=-1)[None, :]
-        return own[starts[:, None] + np.arange(WINDOW)]
-
     def step(rows: np.ndarray, y: np.ndarray) -> None:
+        """One step of Adagrad on bags of words: rows of up to TOP words, -1 where a bag has fewer."""
         there = rows >= 0
-        used, where = np.unique(rows[there], return_inverse=True)
-        share = np.zeros((len(rows), len(used)))
-        np.add.at(share, (np.nonzero(there)[0], where.reshape(-1)), 1.0)
-        share /= there.sum(axis=1, keepdims=True)
-        buckets, word = words.of(used)
-        n = words.length[used][:, None]
-        vectors = np.add.reduceat(table[buckets], np.cumsum(words.length[used]) - words.length[used], axis=0) / n
-        hidden = share @ vectors
+        own, size = rows[there], there.sum(axis=1)
+        buckets, word = words.of(own)
+        n = words.length[own]
+        vectors = np.add.reduceat(table[buckets], np.cumsum(n) - n, axis=0) / n[:, None]
+        hidden = np.add.reduceat(vectors, np.cumsum(size) - size, axis=0) / size[:, None]
         z = hidden @ soft + bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         p /= len(y)
-        to_words = (share.T @ (p @ soft.T)) / n
-        to_table = shared * np.stack([np.bincount(buckets, to_words[word, d], BUCKETS) for d in range(DIMENSIONS)], axis=1)
-        for what, past, slope in zip((table, soft, bias), seen, (to_table, hidden.T @ p, p.sum(axis=0)), strict=True):
+        to_words = np.repeat((p @ soft.T) / size[:, None], size, axis=0) / n[:, None]
+        used, where = np.unique(buckets, return_inverse=True)
+        to_table = shared[used, None] * np.stack([np.bincount(where, to_words[word, d], len(used)) for d in range(DIMENSIONS)], axis=1)
+        seen[0][used] += to_table * to_table
+        table[used] -= RATE * to_table / np.sqrt(seen[0][used])
+        for what, past, slope in ((soft, seen[1], hidden.T @ p), (bias, seen[2], p.sum(axis=0))):
             past += slope * slope
-            what -= 0.3 * slope / np.sqrt(past)
+            what -= RATE * slope / np.sqrt(past)
 
-    def epochs(rows: np.ndarray, y: np.ndarray) -> None:
-        """Two, or as many as make LEAST_STEPS steps. Both classes weigh the same: the smaller one's windows come again."""
+    def epochs(rows: list[np.ndarray], y: np.ndarray) -> None:
+        """Two, or as many as make LEAST_STEPS steps. Both classes weigh the same: the smaller one's bags come again."""
+        bags = np.full((len(rows), TOP), -1, dtype=np.int64)
+        for k, r in enumerate(rows):
+            bags[k, : len(r)] = r
         order = [np.flatnonzero(y == c) for c in (0, 1)]
         most = max(map(len, order))
         for _ in range(max(2, math.ceil(LEAST_STEPS * BATCH / (2 * most)))):
             at = rng.permutation(np.concatenate([np.resize(rng.permutation(o), most) for o in order]))
             for k in range(0, len(at), BATCH):
-                step(rows[at[k : k + BATCH]], y[at[k : k + BATCH]])
-
-    def parts() -> np.ndarray:
-        return np.add.reduceat((table @ (soft[:, 1] - soft[:, 0]))[words.flat], words.start) / words.length
+                step(bags[at[k : k + BATCH]], y[at[k : k + BATCH]])
 
-    def starts_of(i: int, many: int) -> np.ndarray:
-        return rng.integers(0, max(1, len(words.docs[i]) - WINDOW + 1), many)
+    def some(i: int, many: int) -> list[np.ndarray]:
+        return [words.docs[i][k : k + 1] for k in rng.integers(0, len(words.docs[i]), many)]
 
-    rows = [windows(i, starts_of(i, 12)) for i in train]
-    y = np.repeat(labels[train], [len(x) for x in rows])
-    epochs(np.concatenate(rows), y)
+    rows, of = [], []
+    for i in train:
+        rows += (own := some(i, FIRST_WORDS))
+        of += [labels[i]] * len(own)
+    epochs(rows, np.array(of))
     for _ in range(rounds):
-        part, rows, used = parts(), [], []
+        part, rows, of = words.parts(table @ (soft[:, 1] - soft[:, 0])), [], []
         found = {i: highest(part[words.docs[i]], 0.0) for i in train if labels[i]}
         least = float(np.quantile(list(found.values()), DOUBTFUL))
         for i in train:
             if labels[i] and found[i] < least:
                 continue
-            used.append(i)
-            own = part[words.docs[i]]
-            if len(own) <= WINDOW:
-                rows.append(windows(i, np.zeros(1, dtype=np.int64)))
-                continue
-            sums = np.concatenate([[0.0], np.cumsum(own)])
-            sums = sums[WINDOW:] - sums[:-WINDOW]
-            top = np.argsort(-sums, kind="stable")[: 1 if labels[i] else 4]
-            rows.append(windows(i, top if labels[i] else np.concatenate([top, starts_of(i, 4)])))
-        y = np.repeat(labels[used], [len(x) for x in rows])
-        epochs(np.concatenate(rows), y)
-    part, base = parts(), float(bias[1] - bias[0])
-    check = [i for i in kept if apart[i]] or train
-    if len({toxic[i] for i in check}) < 2:
-        check = train
-    slope, shift = curve(np.array([highest(part[words.docs[i]], base) for i in check]), labels[check])
-    model = Model(table @ (soft[:, 1] - soft[:, 0]), base, slope, shift)
-    del words, rows, table
-    give_back()  # the driver stands beside a JVM that needs the room
-    return model
+            own = np.unique(words.docs[i])
+            own = own[np.argsort(-part[own], kind="stable")]
+            bags = [own[:TOP]] if labels[i] else [own[:TOP], *([own[TOP : 2 * TOP]] if len(own) > TOP else []), *some(i, CLEAN_WORDS)]
+            rows += bags
+            of += [labels[i]] * len(bags)
+        epochs(rows, np.array(of))
+    return table @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
 
 
 def curve(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (positive) and shift of a logistic curve with a little ridge, by Newton's method on scaled logits. A class weighs as the root of its size."""
+    """Slope (positive) and shift of a logistic curve with a little ridge, by Newton's method on scaled logits. The classes weigh 1 and TOXIC_WEIGHT, whatever their sizes."""
     mid, wide = float(logits.mean()), float(logits.std()) or 1.0
     x = np.stack([(logits - mid) / wide, np.ones(len(y))], axis=1)
-    weight = 1 / np.sqrt(np.where(y == 1, max(1, (y == 1).sum()), max(1, (y == 0).sum())))
+    weight = np.where(y == 1, TOXIC_WEIGHT / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum()))
     weight /= weight.sum()
     w = np.array([1.0, 0.0])
     for _ in range(50):
