@@ -2,12 +2,15 @@
 
 Components are turned into integers, floor(SCALE * x). For each dimension a block of vectors keeps its postings ordered by impact, in
 segments of equal quantised impact. A query processes segments by descending contribution, whichever dimension they
-belong to; a query's negative component reads its dimension from the other end. After each level, what a vector has
-gathered bounds its score from both sides: every dimension that it hasn't been met in yet adds at most what the next
-segment of that level could and at least what the last segment would. Processing stops only on proof, when few vectors'
-upper bound reaches the k-th largest lower bound; these possible members are then scored exactly.
+belong to; a query's negative component reads its dimension from the other end. After each level the vectors that have gathered
+most are scored exactly, which gives a score that the k-th best reaches at least; every other vector is bounded by what it has gathered and
+what its unmet dimensions could add at most, each no more than its next segment. Processing stops only on proof: all but the possible members lie
+below that score, and to score those costs less than to read on. They are then scored exactly.
 
-Vectors are cut into blocks. A block's index is made once, in one task, and all queries run through it in the order of the
+How early that is depends on the data: where few components are large, one posting in a hundred is read; where vectors lie in all directions
+alike, more than half are, and the more vectors a block has, the fewer.
+
+Vectors are cut into blocks. A block's index is made once in a task, and some thousands of queries run through it in the order of the
 shuffle; of each meeting only k rows a query remain.
 """
 
@@ -22,12 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 256
-#: Impacts in a segment differ by less than this; levels that a query's contributions are processed in.
-STEP, LEVELS = 8, 6
-#: Vectors of a block at most (about), and blocks of vectors at least.
-BLOCK, LEAST_BLOCKS = 16_384, 6
-#: A query stops when at most this share of a block (or k times 8 vectors) can still be members.
-FEW = 1 / 64
+#: Impacts in a segment differ by less than this; levels on either side of 0 that a query's contributions are processed in.
+STEP, LEVELS = 8, 8
+#: Vectors of a block (about), and queries that run through its index in one task (about).
+BLOCK, QUERIES = 16_384, 8_192
 
 
 class ImpactIndex:
@@ -37,7 +38,7 @@ class ImpactIndex:
         self.vectors = np.ascontiguousarray(vectors, dtype=np.int64)
         level = np.floor_divide(self.vectors, STEP)
         self.order, self.impact, self.tops, self.ends, self.bottoms = [], [], [], [], []
-        self.read = 0
+        self.read = self.rescored = 0
         for d in range(self.vectors.shape[1]):
             order = np.argsort(-self.vectors[:, d], kind="stable")
             impact, of = self.vectors[order, d], level[order, d]
@@ -49,26 +50,24 @@ class ImpactIndex:
             self.bottoms.append(impact[cut - 1] if len(impact) else impact)
 
     def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and exact scores of the k best vectors and of all that tie with the last of them. read becomes the postings that were processed."""
+        """Places and exact scores of the k best vectors and of all that tie with the last of them. read becomes the postings that were processed, rescored the vectors."""
         n, dims = self.vectors.shape
         query = query.astype(np.int64)
-        self.read = 0
-        if n <= 8 * k:
-            return self._best(np.arange(n), query, k)
+        self.read, self.rescored = 0, 0
         used = [d for d in range(dims) if query[d]]
+        if n <= 8 * k or not used:
+            return self._best(np.arange(n), query, k)
         # a segment's largest contribution; for a negative component the segments are read from the last to the first
         bound = {d: query[d] * (self.tops[d] if query[d] > 0 else self.bottoms[d][::-1]) for d in used}
-        least = sum(int(min(query[d] * self.impact[d][0], query[d] * self.impact[d][-1])) for d in used)
-        high = max((int(b[0]) for b in bound.values()), default=0)
-        low = min((int(b[-1]) for b in bound.values()), default=0)
         done = dict.fromkeys(used, 0)
         # the gathered score, and in its lowest bits in how many dimensions a vector is still unmet
         bits = len(used).bit_length()
-        packed, floor = np.full(n, len(used), dtype=np.int64), np.full(n, least, dtype=np.int64)
-        for threshold in self._levels(high, low):
+        packed = np.full(n, len(used), dtype=np.int64)
+        proof = None
+        levels = self._levels(max((int(b[0]) for b in bound.values()), default=0), min((int(b[-1]) for b in bound.values()), default=0))
+        for turn, threshold in enumerate(levels):
             for d in used:
-                b, at = bound[d], done[d]
-                to = int(np.searchsorted(-b, -threshold, side="right"))
+                at, to = done[d], int(np.searchsorted(-bound[d], -threshold, side="right"))
                 if to <= at:
                     continue
                 ends = self.ends[d]
@@ -77,24 +76,40 @@ class ImpactIndex:
                 else:
                     last = len(ends)
                     a, z = (int(ends[last - to - 1]) if to < last else 0), int(ends[last - at - 1])
-                places, adds = self.order[d][a:z], query[d] * self.impact[d][a:z]
                 self.read += z - a
-                packed[places] += (adds << bits) - 1
-                floor[places] += adds - int(min(query[d] * self.impact[d][0], query[d] * self.impact[d][-1]))
+                packed[self.order[d][a:z]] += (query[d] * self.impact[d][a:z] << bits) - 1
                 done[d] = to
-            # what is unmet contributes less than the threshold in each of its dimensions
-            ceiling = (packed >> bits) + (packed & ((1 << bits) - 1)) * threshold
-            proof = np.partition(floor, n - k)[n - k]
-            possible = np.flatnonzero(ceiling >= proof)
-            if len(possible) <= max(8 * k, int(n * FEW)):
-                return self._best(possible, query, k)
-        return self._best(np.flatnonzero(floor >= np.partition(floor, n - k)[n - k]), query, k)
+            # those that have gathered most are scored: a member's score is no less than the k-th best of them
+            gathered = packed >> bits
+            some = np.argpartition(gathered, n - 4 * k)[n - 4 * k :]
+            self.rescored += len(some)
+            best = int(np.partition(self.vectors[some] @ query, 3 * k)[3 * k])
+            proof = best if proof is None else max(proof, best)
+            # what is unmet adds no more than the next segment of its dimension
+            rest = [int(bound[d][done[d]]) for d in used if done[d] < len(bound[d])]
+            unmet, most, all_ = packed & ((1 << bits) - 1), max(rest, default=0), sum(x for x in rest if x > 0)
+            possible = np.flatnonzero(gathered + (np.minimum(unmet * most, all_) if most > 0 else unmet * most) >= proof)
+            if not rest or len(possible) * dims <= self._ahead(query, bound, done, levels[turn + 1]):
+                break
+        self.rescored += len(possible)
+        return self._best(possible, query, k)
+
+    def _ahead(self, query: np.ndarray, bound: dict[int, np.ndarray], done: dict[int, int], threshold: int) -> int:
+        """Postings that lie before the next level: where to score the possible members costs less than to read them, a search ends."""
+        out = 0
+        for d, at in done.items():
+            to, ends = int(np.searchsorted(-bound[d], -threshold, side="right")), self.ends[d]
+            if to > at:
+                last = len(ends)
+                a, z = (at, to) if query[d] > 0 else (last - to, last - at)
+                out += int(ends[z - 1]) - (int(ends[a - 1]) if a else 0)
+        return out
 
     @staticmethod
     def _levels(high: int, low: int) -> list[int]:
         """Descending thresholds from the largest contribution to the least; dense around 0, where most postings lie."""
-        share = np.linspace(1, 0, LEVELS // 2, endpoint=False)[1:] ** 2
-        return sorted({*(int(high * x) for x in share), 0, *(int(low * x) for x in np.linspace(0, 1, LEVELS) ** 2), low}, reverse=True)
+        share = np.linspace(1, 0, LEVELS, endpoint=False)[1:] ** 2
+        return sorted({*(int(high * x) for x in share), 0, *(int(low * x) for x in share[::-1]), low}, reverse=True)
 
     def _best(self, places: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         scores = self.vectors[places] @ query
@@ -110,34 +125,38 @@ def integers(embedding: Column) -> Column:
     return F.when((F.size(embedding) > 0) & finite, F.transform(embedding, lambda x: F.floor(x.cast("double") * SCALE)))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", embedding: str = "embedding", block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is_query holds for, the k rows with the largest inner product, but its own key; ties go to the smaller key.
 
     Vectors are compared with those of the same length. Null, ragged or non-finite vectors and null keys take no part;
     rows that repeat a key are each a candidate, and a repeated query is asked once for each of its different vectors
     (its rows are ranked together). Other columns are ignored. Fewer than k candidates give fewer rows, an empty table none.
-    A task holds the vectors of a block and some thousands of queries; each query goes to every block.
+    A task holds the vectors of a block and some thousands of queries; each query goes to every block, as an exact answer needs, and where there are
+    more queries a block is several tasks' work.
     """
     rows = vectors.select(vectors[key].cast("long").alias("id"), integers(vectors[embedding]).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     rows = rows.withColumn("dims", F.size("v"))
-    blocks = max(LEAST_BLOCKS, math.ceil(rows.count() / block))
-    asked = rows.where("asked").select("dims", "id", "v").distinct().select("dims", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "id", "v")
-    held = rows.select("dims", F.pmod(F.xxhash64("id", F.lit("vector")), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "v")
+    sizes = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("asked").alias("asked")).first()
+    blocks, parts = (max(1, math.ceil(x / most)) for x, most in ((sizes["rows"], block), (sizes["asked"], queries)))
+    turn = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    place = lambda many, of: F.pmod(F.xxhash64("id", F.lit(of)), F.lit(many)).cast("int")
+    asked = rows.where("asked").select("dims", "id", "v").distinct().select("dims", turn(blocks).alias("block"), place(parts, "query").alias("part"), F.lit(1).alias("asks"), "id", "v")
+    held = rows.select("dims", place(blocks, "vector").alias("block"), turn(parts).alias("part"), F.lit(0).alias("asks"), "id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, index, ids, order = None, [], None, None, None
+        now, held_parts, index, ids, order = None, [], None, None, None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("dims", "block", "asks")], axis=1)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("dims", "block", "part", "asks")], axis=1)
             cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True]) if len(keys) else []
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                part, place = batch.slice(a, z - a), tuple(keys[a, :2])
+                part, place = batch.slice(a, z - a), tuple(keys[a, :3])
                 if place != now:
-                    now, parts, index = place, [], None
-                if not keys[a, 2]:  # vectors come before the queries of their block
-                    parts.append((part.column("id").to_numpy(), matrix(part.column("v"))))
-                elif parts:
+                    now, held_parts, index = place, [], None
+                if not keys[a, 3]:  # vectors come before the queries of their block
+                    held_parts.append((part.column("id").to_numpy(), matrix(part.column("v"))))
+                elif held_parts:
                     if index is None:
-                        ids, index = np.concatenate([x for x, _ in parts]), ImpactIndex(np.concatenate([v for _, v in parts]))
+                        ids, index = np.concatenate([x for x, _ in held_parts]), ImpactIndex(np.concatenate([v for _, v in held_parts]))
                         order = np.argsort(ids, kind="stable")
                     yield found(index, ids, ids[order], part)
 
@@ -153,7 +172,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.concatenate(out, axis=1)], ["query_id", "vec_id", "score"])
 
     # a partition a block, whatever the shuffles of the session are cut into
-    dealt = held.union(asked).repartition(blocks, "dims", "block").sortWithinPartitions("dims", "block", "asks", "id")
+    dealt = held.union(asked).repartition(blocks * parts, "dims", "block", "part").sortWithinPartitions("dims", "block", "part", "asks", "id")
     near = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
