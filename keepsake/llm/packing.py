@@ -27,8 +27,8 @@ from keepsake.llm.bpe import REMEMBERED, word_bpe
 #: Tokens, segments and loss-bearing tokens of a sequence at most: of plain text, in which all tokens but a segment's first bear loss, and of
 #: instruction data.
 LIMITS, TALK_LIMITS = (2048, 256, 2048), (2048, 16, 1024)
-#: Roles whose turns bear loss, and turns of a conversation that are looked at together.
-ANSWERS, TURNS = ("assistant",), 64
+#: Roles whose turns bear loss; turns of a conversation that are looked at together, and rows where turns repeat.
+ANSWERS, TURNS, HELD = ("assistant",), 64, 4096
 END_ID = 1
 #: Examples that a task packs together: its memory is bounded, and less than one sequence in hundreds stays unfilled.
 WINDOW = 1 << 18
@@ -164,8 +164,9 @@ def pack_conversations(turns: DataFrame, path: str, limits: Sequence[int] = TALK
     A turn is its ids and end_id; it bears loss if its role is one of answers. Turns of a conversation that follow one another make an example as
     long as tokens and loss allow, and an example is one segment; its pieces lie one behind another in one sequence. A conversation is taken TURNS
     turns at a time, so that a very long one is spread over tasks; examples are numbered in each. Null texts are their end mark alone, null roles bear no
-    loss, rows with a null key or turn and rows that repeat one are turns like any other (a null key is a conversation by itself, its turns in
-    the order of their texts). An empty table gives no rows; other columns are left out. One shuffle, of the turns by conversation.
+    loss. A row without a key or a turn follows nothing: it is a conversation by itself, packed where it was read. Rows that repeat key and turn follow
+    one another in the order of their texts; an example ends after HELD rows, so that a task's memory doesn't grow with them. An empty
+    table gives no rows; other columns are left out. One shuffle, of the turns by conversation.
     """
     names = ["key", "turn", "start", "length", "loss", "ids_crc32", "example", "sequence_id", "offset"]
     small_batches(turns.sparkSession)
@@ -175,14 +176,17 @@ def pack_conversations(turns: DataFrame, path: str, limits: Sequence[int] = TALK
         first = TaskContext.get().partitionId() * PER_TASK
         rows, demands = [], []  # of the window: pieces with the number of their example, and the examples' demands
         held: list[tuple[tuple, int | None, bytes, bool]] = []  # turns of the conversation that is being read
+        made = 0  # examples that it has so far
 
         def close() -> None:
-            for number, parts in enumerate(pieces_of([(len(raw) // 4, bears) for _, _, raw, bears in held], limits)):
+            nonlocal made
+            for number, parts in enumerate(pieces_of([(len(raw) // 4, bears) for _, _, raw, bears in held], limits), made):
                 at = len(demands)
                 for k, start, n in parts:
                     (name, _), turn_of, raw, bears = held[k]
                     rows.append((name, turn_of, start, n, n * bears, zlib.crc32(raw[4 * start : 4 * (start + n)]), number, at))
                 demands.append((sum(n for _, _, n in parts), 1, sum(n for k, _, n in parts if held[k][3])))
+                made += 1
             held.clear()
 
         def packed() -> pa.RecordBatch:
@@ -206,9 +210,11 @@ def pack_conversations(turns: DataFrame, path: str, limits: Sequence[int] = TALK
             kind = some.schema.field("key").type
             columns = [some.column(k).to_pylist() for k in range(4)]
             for name, chunk, turn_of, bears, raw in zip(*columns, bpe.encode_batch(texts), strict=True):
-                if (name, chunk) != now and held:
+                loose = name is None or turn_of is None
+                if held and ((name, chunk) != now or loose or len(held) >= HELD):
                     close()
-                now = name, chunk
+                if (name, chunk) != now or loose:
+                    now, made = (name, chunk), 0
                 held.append((now, turn_of, raw + end, bears))
             if len(demands) >= WINDOW:
                 yield packed()
@@ -218,6 +224,7 @@ def pack_conversations(turns: DataFrame, path: str, limits: Sequence[int] = TALK
 
     chunk = F.floor(F.coalesce(turns[turn].cast("long"), F.lit(-1)) / TURNS)
     own = turns.select(turns[key].alias("key"), chunk.alias("chunk"), turns[turn].cast("long").alias("turn"), F.coalesce(turns[role].isin(*answers), F.lit(False)).alias("bears"), turns[text].alias("text"))
-    dealt = own.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "turn", "text")
+    named = F.col("key").isNotNull() & F.col("turn").isNotNull()
+    dealt = own.where(named).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "turn", "text").union(own.where(~named))
     kind = turns.schema[key].dataType.simpleString()
     return dealt.mapInArrow(run, f"key {kind}, turn long, start long, length long, loss long, ids_crc32 long, example long, sequence_id long, offset long").withColumnRenamed("key", key)

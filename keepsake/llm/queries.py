@@ -56,6 +56,11 @@ def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over instruction data: all turns of conversations, under limits of tokens, segments and loss-bearing tokens that can each bind."""
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"), tokenizer("word_bpe_49k.json"))
+
+
 def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -72,5 +77,5 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_impact_topk, op2_rendezvous_sharding, op3_quality_rules, op4_warc_normaliser, op5_segment_tree_bpe, op6_subword_toxicity, op7_tensored_minhash, op8_prefix_token_counts, op9_vector_packing, op10_cross_parsing, op11_filter_audit, op12_byte_network, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_impact_topk, op2_rendezvous_sharding, op3_quality_rules, op4_warc_normaliser, op5_segment_tree_bpe, op6_subword_toxicity, op7_tensored_minhash, op8_prefix_token_counts, op9_vector_packing, op10_cross_parsing, op11_filter_audit, op12_byte_network, op13_source_divergence, conversation_packing)}
 ORACLES = {"op1_impact_topk": topk_search.oracle(QUERY_DIVISOR, TOP_K), "op4_warc_normaliser": warc.oracle(), "op3_quality_rules": quality_rules.oracle(), "op2_rendezvous_sharding": sharding.oracle(SHARDS), "op11_filter_audit": filter_audit.oracle(), "op13_source_divergence": divergence.oracle()}

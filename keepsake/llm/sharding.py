@@ -18,6 +18,8 @@ from keepsake.llm._shared import written
 DIGITS = 13
 #: Parts of each shard that are numbered apart from each other.
 PARTS = 1024
+#: Slots of equal rows that are spelled out at a time.
+PIECE = 1 << 14
 
 
 def shard_scores(key: Column, weights: Sequence[float]) -> Column:
@@ -73,7 +75,10 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], key: str = "doc_id"
     inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = same.withColumn("at", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(F.broadcast(starts), ["shard", "part"])
     first = F.col("start") + F.col("at")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(first, first + F.col("copies") - 1)).alias("slot"), "grown_shard")
+    names = ["doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard"]
+    pieces = placed.select(*names, "grown_shard", first.alias("first"), (first + F.col("copies") - 1).alias("last"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / PIECE))).alias("piece"))
+    begin = F.col("first") + F.col("piece") * PIECE
+    return pieces.select("doc_id", "size", "text_crc32", "law", "shard", F.explode(F.sequence(begin, F.least(F.col("last"), begin + PIECE - 1))).alias("slot"), "grown_shard")
 
 
 def _score_sql(shard: int) -> str:

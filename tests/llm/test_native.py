@@ -35,6 +35,13 @@ def test_sharding_sizes_slots_and_edge_rows(spark):
     assert len({r.shard for r in out if r.doc_id is None}) == 1
 
 
+def test_a_row_repeated_a_million_times_has_a_slot_each(spark):
+    df = spark.range(1_000_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text").union(docs(spark, [(1, "a", "en")]).select("doc_id", "text"))
+    out = sharding.assign_shards(df, [1.0] * 2, parts=4)
+    r = out.where("doc_id IS NULL").selectExpr("count(*) AS n", "count(DISTINCT slot) AS d", "min(slot) AS low", "max(slot) AS high", "count(DISTINCT shard) AS s").first()
+    assert r.n == r.d == 1_000_000 and r.high - r.low == 999_999 and r.s == 1
+
+
 def test_growth_moves_rows_only_into_the_new_shard(spark):
     rows = [(i, "t", "en") for i in range(2000)]
     small = {r.doc_id: r for r in shards(spark, rows, [1.0] * 8)}

@@ -108,6 +108,19 @@ def test_op9_packs_every_id_once(spark, texts):
         assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
 
 
+def test_conversations_are_packed_whole(spark):
+    lib, turns = library("word_bpe_49k.json"), spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    want, got, sums = {}, {}, {}
+    for r in turns:
+        want[r.conv_id, r.turn] = want.get((r.conv_id, r.turn), 0) + len(lib.encode(r.text or "", add_special_tokens=False).ids) + 1
+    for r in QUERIES["conversation_packing"](spark, SF).collect():
+        got[r.conv_id, r.turn] = got.get((r.conv_id, r.turn), 0) + r.length
+        tokens, loss, examples = sums.setdefault(r.sequence_id, [0, 0, set()])
+        sums[r.sequence_id][:2] = tokens + r.length, loss + r.loss
+        examples.add((r.conv_id, r.turn // 64, r.example))
+    assert got == want and all(t <= 2048 and n <= 1024 and len(e) <= 16 for t, n, e in sums.values())
+
+
 def test_op10_is_right_on_held_out_documents(spark, texts):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = QUERIES["op10_cross_parsing"](spark, SF).collect()

@@ -144,6 +144,13 @@ def test_packed_documents_are_whole(spark, library):
     assert packing.pack_documents(df.limit(0), WORDS).count() == 0
 
 
+def test_rows_that_repeat_a_turn_are_held_in_bounded_number(spark, library, monkeypatch):
+    df = spark.createDataFrame([(i % 2 or None, 0, "user", "so it goes", "x") for i in range(30_000)], "conv_id long, turn int, role string, text string, extra string")
+    n = len(library[WORDS].encode("so it goes", add_special_tokens=False).ids) + 1
+    out = packing.pack_conversations(df, WORDS).groupBy("sequence_id").agg({"length": "sum", "*": "count"}).collect()
+    assert sum(r["sum(length)"] for r in out) == 30_000 * n and sum(r["count(1)"] for r in out) == 30_000 and max(r["sum(length)"] for r in out) <= 2048
+
+
 def test_each_limit_of_instruction_data_can_bind(spark, library):
     rng = random.Random(8)
     rows = [(c, t, ("user", "assistant")[t % 2], " ".join(rng.choices(["alpha", "beta", "Gamma!", "δ"], k=rng.randint(0, 60)))) for c in range(60) for t in range(rng.choice([1, 2, 5]))]
