@@ -271,9 +271,9 @@ class WordBPE:
         """The ids of each text (null: none), as little-endian unsigned 32-bit numbers."""
         cut = [self.parts(t or "") for t in texts]
         long = self.learn(p for ps in cut for p in ps if isinstance(p, list))
-        known = {**self.runs, **long} if long else self.runs
+        look = _Beside(self.runs, long).__getitem__ if long else self.runs.__getitem__
         for ps in cut:
-            yield b"".join(struct.pack("<I", p) if isinstance(p, int) else b"".join(map(known.__getitem__, p)) for p in ps)
+            yield b"".join(struct.pack("<I", p) if isinstance(p, int) else b"".join(map(look, p)) for p in ps)
 
     def encode(self, text: str | None) -> list[int]:
         return unpacked(next(self.encode_batch([text]))).tolist()
@@ -283,6 +283,17 @@ class WordBPE:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+class _Beside:
+    """Two dictionaries as one, without a copy of either: the second has what the first lacks."""
+
+    def __init__(self, first: dict[str, bytes], second: dict[str, bytes]):
+        self.first, self.second = first, second
+
+    def __getitem__(self, run: str) -> bytes:
+        found = self.first.get(run)
+        return self.second[run] if found is None else found
+
+
 def packed(ids: np.ndarray) -> bytes:
     return ids.astype("<u4").tobytes()
 

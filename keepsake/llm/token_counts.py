@@ -156,19 +156,19 @@ class PrefixCounter:
         text = text or ""
         if not any(x in text for x in self.added):
             return np.concatenate([[0], self.plain(text)]).astype(np.int64)
-        out, at, word = [np.zeros(1, dtype=np.int64)], 0, 0
+        out, at, word = np.zeros(len(text) + 1, dtype=np.int64), 0, 0
         for part in self.at_added.split(text):
-            base = int(out[-1][-1]) if part else 0
+            end = at + len(part)
             if part in self.added:
-                before = int(np.concatenate(out)[word])
-                cut = [before + int(self.counts(text[word : at + n])[-1]) for n in range(1, len(part))]
-                out.append(np.array([*cut, base + 1], dtype=np.int64))
-                word = at + len(part)
+                # cut inside, it goes on the word before: the counts of that stretch have those of all cuts
+                out[at + 1 : end] = out[word] + self.counts(text[word : end - 1])[at - word + 1 :]
+                out[end] = out[at] + 1
+                word = end
             elif part:
-                out.append(base + self.plain(part))
-                word = at + len(part) - len(self.words(part)[-1])
-            at += len(part)
-        return np.concatenate(out)
+                out[at + 1 : end + 1] = out[at] + self.plain(part)
+                word = end - len(self.words(part)[-1])
+            at = end
+        return out
 
 
 class PrefixCounts:

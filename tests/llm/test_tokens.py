@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -144,6 +145,16 @@ def test_packed_documents_are_whole(spark, library):
     assert packing.pack_documents(df.limit(0), WORDS).count() == 0
 
 
+def test_thousands_of_added_tokens_in_one_text(library):
+    counter, lib = token_counts.PrefixCounter(BYTES), library[BYTES]
+    added = sorted(counter.added)[0]
+    began = time.perf_counter()
+    assert int(counter.counts(f"ab {added}" * 20_000)[-1]) == len(lib.encode(f"ab {added}" * 20_000, add_special_tokens=False).ids)
+    assert time.perf_counter() - began < 20  # in proportion to the text
+    text = f"ab {added}it's{added[:5]}{added}{added} é{added}"
+    assert counter.counts(text).tolist() == [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+
+
 def test_rows_that_repeat_a_turn_are_held_in_bounded_number(spark, library, monkeypatch):
     df = spark.createDataFrame([(i % 2 or None, 0, "user", "so it goes", "x") for i in range(30_000)], "conv_id long, turn int, role string, text string, extra string")
     n = len(library[WORDS].encode("so it goes", add_special_tokens=False).ids) + 1
