@@ -1,6 +1,7 @@
 """Archives and mailboxes: members of ZIP and TAR files, and messages of mbox files, as rows.
 
-Files come through Spark's binaryFile source, so that any store that Spark reads will do. A file is one task's work.
+Files are read by ranges (see ranges.py), so that one file is many tasks' work. In a store that only Spark reads they come through its binaryFile source; a
+file is one task's work there, and smaller than 2 GB.
 """
 
 from __future__ import annotations
@@ -16,13 +17,29 @@ from email.utils import getaddresses, parsedate_to_datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keepsake.operators import scan
+from keepsake.sources import ranges
 
 MEMBERS = "archive string, member string, size long, content binary"
 MAIL = "mailbox string, position long, message_id string, in_reply_to string, references string, subject string, from_address string, from_name string, to_addresses array<string>, occurred_at timestamp_ntz, body_text string, body_html string, attachment_count int"
 
 
-def members(spark: SparkSession, path: str) -> DataFrame:
-    """archive, member, size, content of all files inside ZIP and TAR archives. A file that is neither gives no row."""
+def member_parts(spark: SparkSession, path: str, split_bytes: int = ranges.SPLIT_BYTES, part_bytes: int = ranges.PART_BYTES) -> DataFrame:
+    """archive, member, size, part, content, error: files inside ZIP and TAR archives of any size, in parts of at most part_bytes.
+
+    A file that is no archive gives no row, and a folder inside an archive none; an empty member is one empty part. A member that can't be read (damaged, encrypted)
+    has a last row with its error, the others go on.
+    """
+    ranges.register(spark)
+    return spark.read.format("keepsake_archive").option("splitBytes", split_bytes).option("partBytes", part_bytes).load(path)
+
+
+def members(spark: SparkSession, path: str, split_bytes: int = ranges.SPLIT_BYTES) -> DataFrame:
+    """archive, member, size, content of all files inside ZIP and TAR archives, each whole (1 GB at most: see member_parts()). A file that is neither gives no row."""
+    if ranges.reachable(path):
+        return member_parts(spark, path, split_bytes, 1 << 30).where("part = 0 AND error IS NULL AND size <= 1073741824").select("archive", "member", "size", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -51,10 +68,9 @@ def unpacked(raw: bytes) -> Iterator[tuple[str, bytes]]:
         return
 
 
-def messages(raw: bytes) -> Iterator[bytes]:
-    """Raw messages of an mbox file: each begins with a "From " line after an empty one; ">From " lines lose their mark."""
-    for part in re.split(rb"(?:\A|(?<=\n\n)|(?<=\n\r\n))From [^\n]*\n", raw)[1:]:
-        yield re.sub(rb"(?m)^>(>*From )", rb"\1", part)
+def unquoted(message: bytes) -> bytes:
+    """A message without its "From " line; ">From " lines lose a mark."""
+    return re.sub(rb"(?m)^>(>*From )", rb"\1", message.partition(b"\n")[2])
 
 
 def mail_fields(raw: bytes) -> dict:
@@ -83,15 +99,28 @@ def mail_fields(raw: bytes) -> dict:
     }
 
 
-def mailboxes(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each message of mbox files, times in UTC."""
-    schema = pa.schema([("mailbox", pa.string()), ("position", pa.int64()), *((n, pa.string()) for n in ("message_id", "in_reply_to", "references", "subject", "from_address", "from_name")), ("to_addresses", pa.list_(pa.string())), ("occurred_at", pa.timestamp("us")), ("body_text", pa.string()), ("body_html", pa.string()), ("attachment_count", pa.int32())])
+def mailboxes(spark: SparkSession, path: str, split_bytes: int = ranges.SPLIT_BYTES) -> DataFrame:
+    """A row for each message of mbox files, times in UTC; position numbers a mailbox's messages from 0, counted across its ranges."""
+    schema = pa.schema([("mailbox", pa.string()), ("offset", pa.int64()), *((n, pa.string()) for n in ("message_id", "in_reply_to", "references", "subject", "from_address", "from_name")), ("to_addresses", pa.list_(pa.string())), ("occurred_at", pa.timestamp("us")), ("body_text", pa.string()), ("body_html", pa.string()), ("attachment_count", pa.int32())])
+    if ranges.reachable(path):
+        ranges.register(spark)
+        raw = spark.read.format("keepsake_mailbox").option("splitBytes", split_bytes).load(path)
+    else:
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for name, whole in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                    for at, one in ranges.messages_in(io.BytesIO(whole), 0, len(whole)):
+                        yield pa.RecordBatch.from_pydict({"mailbox": [name], "offset": pa.array([at], pa.int64()), "raw": pa.array([one], pa.binary())})
+
+        raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, ranges.MESSAGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                rows = [{"mailbox": name, "position": i, **mail_fields(m)} for i, m in enumerate(messages(raw))]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+            rows = [{"mailbox": name, "offset": at, **mail_fields(unquoted(one))} for name, at, one in zip(*(b.column(c).to_pylist() for c in ("mailbox", "offset", "raw")), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, MAIL)
+    mails = raw.mapInArrow(run, MAIL.replace("position long", "offset long"))
+    numbered = scan.scanned(mails, ["mailbox"], [F.asc("offset")], sums={"_n": F.lit(1)})
+    return numbered.select("mailbox", (F.col("_n") - 1).alias("position"), *mails.columns[2:])
