@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from keepsake.plans import queries_ingest, queries_joins, queries_rollups, queries_search
+from keepsake.plans import queries_ingest, queries_joins, queries_rollups, queries_search, queries_sources
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (queries_ingest, queries_rollups, queries_joins, queries_search):
+for _part in (queries_ingest, queries_rollups, queries_joins, queries_search, queries_sources):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)

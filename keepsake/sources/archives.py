@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from email.utils import getaddresses, parsedate_to_datetime
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,24 @@ def member_parts(spark: SparkSession, path: str, split_bytes: int = ranges.SPLIT
     return spark.read.format("keepsake_archive").option("splitBytes", split_bytes).option("partBytes", part_bytes).load(path)
 
 
+def write_archives(df: DataFrame, folder: str, name: str, content: str) -> DataFrame:
+    """Stores rows as ZIP members of that name and content, an archive for each task, in a folder that all executors see: archive, members. Lazy: whoever reads the result twice must store it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = ranges.opened(folder)
+        fs.create_dir(base, recursive=True)
+        task = TaskContext.get()
+        tail, n = f"{task.partitionId():06d}-{task.taskAttemptId()}.zip", 0
+        with fs.open_output_stream(f"{base}/{tail}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for b in batches:
+                for member, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    z.writestr(member, body or b"")
+                    n += 1
+        yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{tail}"], "members": pa.array([n], pa.int64())})
+
+    return df.where(F.col(name).isNotNull()).select(F.col(name).cast("string"), F.col(content).cast("binary")).mapInArrow(run, "archive string, members long")
+
+
 def members(spark: SparkSession, path: str, split_bytes: int = ranges.SPLIT_BYTES) -> DataFrame:
     """archive, member, size, content of all files inside ZIP and TAR archives, each whole (1 GB at most: see member_parts()). A file that is neither gives no row."""
     if ranges.reachable(path):
