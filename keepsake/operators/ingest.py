@@ -11,6 +11,10 @@ from keepsake import schema
 from keepsake.functions import times
 
 
+#: Rows of a repeated key that are spelled out at a time.
+PIECE = 1 << 14
+
+
 def fill_defaults(df: DataFrame, table: str) -> DataFrame:
     """Declared defaults where a column is missing or null; missing columns without one become null."""
     out = df
@@ -102,8 +106,10 @@ def classify_upsert(batch: DataFrame, existing: DataFrame, keys: list[str], hash
     new = one_per_key(batch.where(known), keys, order or [F.col(hash_column)]).select(*keys, F.col(hash_column).alias("_new"), "_repeats")
     old = existing.select(*keys, F.col(hash_column).alias("_old"), F.lit(True).alias("_known"))
     action = F.when(F.col("_known").isNull(), "created").when(F.col("_new").eqNullSafe(F.col("_old")), "skipped").otherwise("updated")
-    rest = F.array_repeat(F.lit("skipped"), F.col("_repeats").cast("int"))
-    done = new.join(old, keys, "left").select(*keys, F.explode(F.concat(F.array(action), rest)).alias("action"))
+    every = F.col("_repeats") + 1
+    pieces = new.join(old, keys, "left").select(*keys, "_repeats", action.alias("_first"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((every - 1) / PIECE))).alias("_piece"))
+    rows = pieces.select(*keys, "_first", "_piece", F.posexplode(F.array_repeat(F.lit("skipped"), F.least(F.lit(PIECE), every - F.col("_piece") * PIECE).cast("int"))).alias("_at", "_rest"))
+    done = rows.select(*keys, F.when((F.col("_piece") == 0) & (F.col("_at") == 0), F.col("_first")).otherwise(F.col("_rest")).alias("action"))
     return done.unionByName(batch.where(~known).select(*keys, F.lit("failed").alias("action")))
 
 

@@ -104,3 +104,9 @@ def test_json_columns(spark):
     notes = spark.createDataFrame([('[{"entity_type": "person", "entity_id": "7"}]',)], "linked_entities string")
     [r] = ingest.parse_json(notes, "knowledge_notes").collect()
     assert (r.linked_entities[0].entity_type, r.linked_entities[0].entity_id) == ("person", "7")
+
+
+def test_a_key_repeated_a_million_times_is_counted(spark):
+    batch = spark.range(1_000_000).selectExpr("'k' AS id", "'h' AS content_hash").union(spark.createDataFrame([("new", "n")], "id string, content_hash string"))
+    actions = ingest.classify_upsert(batch, spark.createDataFrame([("k", "old")], "id string, content_hash string"), ["id"], "content_hash")
+    assert ingest.counters(actions).first().asDict() == {"found": 1_000_001, "created": 1, "updated": 1, "skipped": 999_999, "failed": 0}
