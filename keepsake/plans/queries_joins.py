@@ -204,6 +204,18 @@ def link_named(spark, d):
     return _links_of(found, "named_entity", "doc_id", "name", "knowledge_note", "bookmark", F.lit("mentions"))
 
 
+_NAMES = r"(SELECT DISTINCT array_to_string(w[1:n], ' ') AS name FROM (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark), (VALUES (1), (2), (3)) x(n) WHERE len(w) >= n)"
+
+
+@book.query(rf"SELECT doc_id, name FROM (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS t FROM documents) JOIN {_NAMES} ON contains(t, ' ' || name || ' ')")
+def named_phrases(spark, d):
+    """Names of one to three words, as far as documents name them."""
+    w = texts.tokens(F.col("text"))
+    first = table(spark, d, "benchmark").select(w.alias("w"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")).where("size(w) >= n")
+    names = first.select(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("name")).distinct()
+    return linkers.by_name(table(spark, d, "documents"), "doc_id", "text", names, "name")
+
+
 _ROLES = "SELECT o_orderkey AS s, o_custkey AS t, 'about' AS link_type FROM orders UNION ALL SELECT o_orderkey, o_custkey, 'received_by' FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_orderkey % 10, 'sent_by' FROM orders"
 
 

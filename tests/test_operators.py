@@ -79,6 +79,35 @@ def test_quotes_begin_inside_words_and_may_be_short(spark):
     assert {tuple(r) for r in linkers.by_quote(docs, "id", "text", passages, "p", "passage").collect()} == {(1, 10), (1, 11), (2, 11), (3, 12), (3, 14)}
 
 
+def test_names_of_several_words(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    words = ["new", "york", "city", "a", "b", "Ünal"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 14))).replace("york ", rng.choice(["York, ", "york-", "york "]))) for i in range(60)] + [(100, None), (101, ""), (102, "New-York's city"), (103, "new york new york city")]
+    names = ["New York", "York", "new york city", "a b a", "A  b", "ünal", "!!!", "", "city new", "absent name", None]
+    tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    runs = {n: tokens(n) for n in names if tokens(n)}
+    df, known = spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame([(n,) for n in names], "name string")
+    every, kept = set(), set()
+    for i, t in docs:
+        w, end = tokens(t), 0
+        hits = sorted((at, -len(r), n) for n, r in runs.items() for at in range(len(w)) if w[at : at + len(r)] == r)
+        every |= {(i, n, at, -m) for at, m, n in hits}
+        spans = []
+        for at, m, _ in hits:
+            if at >= end:
+                spans.append((at, m))
+                end = at - m
+        kept |= {(i, n, at, -m) for at, m, n in hits if (at, m) in spans}
+    assert {tuple(r) for r in linkers.name_mentions(df, "id", "text", known, "name", longest=False).collect()} == every
+    got = [tuple(r) for r in linkers.name_mentions(df, "id", "text", known, "name").collect()]
+    assert set(got) == kept and len(got) == len(kept) and (102, "New York", 0, 2) in every
+    assert {tuple(r) for r in linkers.by_name(df, "id", "text", known, "name").collect()} == {(i, n) for i, n, _, _ in every}
+    assert linkers.name_mentions(df, "id", "text", known.limit(0), "name").collect() == []
+
+
 def test_link_rows_keep_confidence_in_range(spark):
     pairs = spark.createDataFrame([(1, 2, 1.7), (3, 4, -1.0)], "a int, b int, c double")
     rows = linkers.link_rows(pairs, "x", F.col("a"), F.col("b"), F.lit("media"), F.lit("person"), F.lit("mentions"), F.col("c")).collect()
