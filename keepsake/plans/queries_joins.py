@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keepsake import schema
 from keepsake.functions import texts, times
-from keepsake.operators import entities, graph, joins, linkers, scan
+from keepsake.operators import entities, faces, graph, joins, linkers, scan
 from keepsake.plans import api
 from keepsake.plans.registry import Book, table
 
@@ -216,6 +216,28 @@ def named_phrases(spark, d):
     return linkers.by_name(table(spark, d, "documents"), "doc_id", "text", names, "name")
 
 
+@book.query("""
+WITH RECURSIVE u AS (SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'p' || label END AS said, 'm' || (vec_id % 100) AS media, list_transform(embedding, lambda x: x::DOUBLE) AS d FROM embeddings),
+n AS (SELECT *, sqrt(list_inner_product(d, d)) AS n FROM u),
+s AS (SELECT a.id AS a, b.id AS b, round(list_inner_product(a.d, b.d) / (a.n * b.n), 6) AS sim FROM n a JOIN n b ON a.id <> b.id AND list_inner_product(a.d, b.d) / (a.n * b.n) >= 0.35),
+c AS (SELECT a AS id FROM s GROUP BY a HAVING count(*) + 1 >= 3),
+e AS (SELECT a, b FROM s SEMI JOIN c ON a = c.id SEMI JOIN c AS c2 ON b = c2.id),
+r(id, root) AS (SELECT id, id FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+core AS (SELECT id, min(root) AS cluster FROM r GROUP BY id),
+border AS (SELECT id, cluster FROM (SELECT a AS id, cluster, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS k FROM s JOIN core ON b = core.id WHERE a NOT IN (SELECT id FROM core)) WHERE k = 1),
+k AS (SELECT * FROM core UNION ALL SELECT * FROM border),
+votes AS (SELECT cluster, said, count(*) AS n FROM k JOIN u USING (id) WHERE said IS NOT NULL GROUP BY ALL),
+who AS (SELECT cluster, said AS person, n / sum_n AS confidence FROM (SELECT *, sum(n) OVER (PARTITION BY cluster) AS sum_n, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, said) AS place FROM votes) WHERE place = 1)
+SELECT media, person, round(max(confidence), 6) AS confidence FROM (
+  SELECT media, coalesce(said, person) AS person, CASE WHEN said IS NOT NULL THEN 1.0 ELSE confidence END AS confidence FROM u LEFT JOIN k USING (id) LEFT JOIN who USING (cluster))
+WHERE person IS NOT NULL GROUP BY media, person""")
+def link_faces(spark, d):
+    """Media and people, with the given vectors in the place of face encodings, every second one labelled."""
+    k = F.col("vec_id")
+    own = table(spark, d, "embeddings").select(k.alias("id"), F.concat(F.lit("m"), (k % 100).cast("string")).alias("media_id"), F.when(k % 2 == 0, F.concat(F.lit("p"), F.col("label").cast("string"))).alias("person_id"), F.col("embedding").alias("encoding"))
+    return faces.by_faces(own, like=0.35, core=3).select("media", "person", F.round("confidence", 6).alias("confidence"))
+
+
 _ROLES = "SELECT o_orderkey AS s, o_custkey AS t, 'about' AS link_type FROM orders UNION ALL SELECT o_orderkey, o_custkey, 'received_by' FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_orderkey % 10, 'sent_by' FROM orders"
 
 
