@@ -46,28 +46,33 @@ def incremental_dedup(spark, d):
     return ingest.only_new(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0")).select("doc_id")
 
 
-@book.query("""
-WITH old AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE text END AS t FROM documents WHERE doc_id % 3 <> 0),
-new AS (SELECT CASE WHEN doc_id % 97 = 0 THEN NULL ELSE doc_id END AS doc_id, text AS t FROM documents WHERE doc_id % 2 = 0),
+# Every third stored document and every second new one has a key of its own, so that all kinds of rows occur and all documents are on both sides.
+_UPSERT = """
+WITH old AS (SELECT CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE text END AS t FROM documents),
+new AS (SELECT CASE WHEN doc_id % 97 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN doc_id ELSE 1000000000000 + doc_id END AS doc_id, text AS t FROM documents)"""
+
+
+def _upsert(spark, d):
+    docs, k = table(spark, d, "documents"), F.col("doc_id")
+    old = docs.select(F.when(k % 3 == 0, -1 - k).otherwise(k).alias("doc_id"), ingest.content_hash(F.when(k % 5 == 0, "old").otherwise(F.col("text"))).alias("content_hash"))
+    new = docs.select(F.when(k % 97 == 0, F.lit(None)).when(k % 2 == 0, k).otherwise(k + 1_000_000_000_000).cast("long").alias("doc_id"), ingest.content_hash(F.col("text")).alias("content_hash"))
+    return new, old
+
+
+@book.query(_UPSERT + """,
 j AS (SELECT CASE WHEN new.doc_id IS NULL THEN 'failed' WHEN old.doc_id IS NULL THEN 'created' WHEN old.t = new.t THEN 'skipped' ELSE 'updated' END AS action
       FROM new LEFT JOIN old ON new.doc_id = old.doc_id)
 SELECT count(*) AS found, count(*) FILTER (WHERE action = 'created') AS created, count(*) FILTER (WHERE action = 'updated') AS updated,
        count(*) FILTER (WHERE action = 'skipped') AS skipped, count(*) FILTER (WHERE action = 'failed') AS failed FROM j""")
 def upsert_counters(spark, d):
-    docs = table(spark, d, "documents")
-    old = docs.where("doc_id % 3 <> 0").select("doc_id", ingest.content_hash(F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("text"))).alias("h"))
-    new = docs.where("doc_id % 2 = 0").select(F.when(F.col("doc_id") % 97 != 0, F.col("doc_id")).alias("doc_id"), ingest.content_hash(F.col("text")).alias("h"))
-    return ingest.counters(ingest.classify_upsert(new, old, ["doc_id"], "h"))
+    new, old = _upsert(spark, d)
+    return ingest.counters(ingest.classify_upsert(new, old, ["doc_id"], "content_hash"))
 
 
-@book.query("""
-WITH old AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE text END AS t FROM documents WHERE doc_id % 3 <> 0),
-new AS (SELECT doc_id, text AS t FROM documents WHERE doc_id % 2 = 0)
-SELECT coalesce(new.doc_id, old.doc_id) AS doc_id, sha256(coalesce(new.t, old.t)) AS content_hash FROM old FULL JOIN new ON old.doc_id = new.doc_id""")
+@book.query(_UPSERT + """
+SELECT coalesce(new.doc_id, old.doc_id) AS doc_id, sha256(coalesce(new.t, old.t)) AS content_hash FROM old FULL JOIN (FROM new WHERE doc_id IS NOT NULL) new ON old.doc_id = new.doc_id""")
 def upsert_result(spark, d):
-    docs = table(spark, d, "documents")
-    old = docs.where("doc_id % 3 <> 0").select("doc_id", ingest.content_hash(F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("text"))).alias("content_hash"))
-    new = docs.where("doc_id % 2 = 0").select("doc_id", ingest.content_hash(F.col("text")).alias("content_hash"))
+    new, old = _upsert(spark, d)
     return ingest.upsert(new, old, ["doc_id"])
 
 
@@ -120,10 +125,12 @@ def has_text_content(spark, d):
     return table(spark, d, "documents").select("doc_id", texts.has_text(F.when(i % 3 == 0, F.col("text")), F.when(i % 2 == 0, F.lit("")), F.when(i % 5 == 0, F.lit("caption"))).alias("has_text"))
 
 
-@book.query("SELECT unnest(['same_time', 'before', 'after', 'during', 'same_location', 'near', 'related', 'similar', 'references', 'reply_to', 'quote', 'mentions', 'about', 'sent_by', 'received_by', 'custom']) AS link_type, unnest([true, false, false, false, true, true, true, true, false, false, false, false, false, false, false, false]) AS is_bidirectional")
+@book.query("SELECT ['same_time', 'before', 'after', 'during', 'same_location', 'near', 'related', 'similar', 'references', 'reply_to', 'quote', 'mentions', 'about', 'sent_by', 'received_by', 'custom'][event_id % 16 + 1] AS link_type, any_value([true, false, false, false, true, true, true, true, false, false, false, false, false, false, false, false][event_id % 16 + 1]) AS is_bidirectional, count(*) AS links FROM events GROUP BY 1")
 def link_directions(spark, d):
-    kinds = spark.createDataFrame([(x,) for x in schema.ENUMS["LinkType"]], "link_type string")
-    return kinds.select("link_type", F.col("link_type").isin(*schema.BIDIRECTIONAL).alias("is_bidirectional"))
+    """Events in the place of links, one kind after the other: what goes both ways, and how many there are."""
+    kind = F.element_at(F.array(*(F.lit(x) for x in schema.ENUMS["LinkType"])), (F.col("event_id") % 16 + 1).cast("int"))
+    links = table(spark, d, "events").select(kind.alias("link_type"))
+    return links.withColumn("is_bidirectional", F.col("link_type").isin(*schema.BIDIRECTIONAL)).groupBy("link_type", "is_bidirectional").agg(F.count(F.lit(1)).alias("links"))
 
 
 @book.query("SELECT event_type, event_id::VARCHAR AS entity_id, ts AS occurred_at FROM events WHERE event_id = 77")
@@ -348,25 +355,26 @@ def builtin_functions(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.upper("c_name").alias("big"), F.lpad(k.cast("string"), 4, "0").alias("padded"), F.regexp_replace("c_mktsegment", "[AEIOU]", "").alias("bare"), number.alias("number"), ordered.alias("sorted"), F.greatest(k, F.lit(5)).alias("most"))
 
 
-def _values(rows) -> str:
-    quoted = lambda x: "NULL" if x is None else str(x) if isinstance(x, bool | int) else "'" + str(x).replace("'", "''") + "'"
-    return ", ".join(f"({', '.join(map(quoted, r))})" for r in rows)
+#: The given tables, as a catalogue lists them.
+GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+_KEYS = (("nation", "n_regionkey", "region"), ("customer", "c_nationkey", "nation"), ("supplier", "s_nationkey", "nation"), ("lineitem", "l_partkey", "part"))
 
 
-@book.query(f"""
-WITH c(table_name, column_name, kind) AS (VALUES {_values((t, c.name, c.kind) for t in schema.TABLES for c in schema.columns(t))}), e(table_name, column_name, target) AS (VALUES {_values((e.table, e.column, e.target) for e in schema.EDGES)})
-SELECT c.table_name, c.column_name, c.kind, e.target, t.kind AS target_kind FROM c JOIN e USING (table_name, column_name) JOIN c t ON t.table_name = e.target AND t.column_name = 'id' ORDER BY 1, 2""")
+@book.query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{g}' AS target, '{g[0]}_{g}key' AS target_column, count(*) AS rows, count(DISTINCT {c}) AS different FROM {t}" for t, c, g in _KEYS))
 def catalogue_join(spark, d):
-    """What refers to what, from the registry: columns, edges and target columns."""
-    rows = spark.createDataFrame(schema.listing(), "table_name string, column_name string, kind string, required boolean, default_value string, target string")
-    ids = rows.where("column_name = 'id'").select(F.col("table_name").alias("target"), F.col("kind").alias("target_kind"))
-    return rows.where("target IS NOT NULL").join(ids, "target").select("table_name", "column_name", "kind", "target", "target_kind").orderBy("table_name", "column_name")
+    """What refers to what, from the columns that the stored tables have: a column whose name ends like another table's key refers to that; with what lies in it."""
+    listed = [(t, c) for t in GIVEN for c in table(spark, d, t).columns]
+    columns = spark.createDataFrame(listed, "table_name string, column_name string").withColumn("tail", F.regexp_extract("column_name", r"^[a-z]+_([a-z]+)key$", 1))
+    own = columns.where(F.col("tail") == F.col("table_name")).select(F.col("table_name").alias("target"), F.col("column_name").alias("target_column"), "tail")
+    edges = columns.where(F.col("tail") != F.col("table_name")).join(own, "tail").select("table_name", "column_name", "target", "target_column").collect()  # of the catalogue
+    parts = [table(spark, d, r["table_name"]).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(r["column_name"]).alias("different")).select(*(F.lit(r[c]).alias(c) for c in r.asDict()), "rows", "different") for r in edges]
+    return entities.union_all(parts)
 
 
-@book.query(f"SELECT table_name, count(*) AS columns, count(*) FILTER (WHERE required) AS required FROM (VALUES {_values((t, c.name, c.required) for t in schema.TABLES for c in schema.columns(t))}) v(table_name, column_name, required) GROUP BY 1 ORDER BY 1")
+@book.query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM (DESCRIBE {t})) AS columns, count(*) AS rows FROM {t}" for t in GIVEN))
 def catalogue_listing(spark, d):
-    rows = spark.createDataFrame(schema.listing(), "table_name string, column_name string, kind string, required boolean, default_value string, target string")
-    return rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("columns"), F.count_if("required").alias("required")).orderBy("table_name")
+    """The stored tables with their columns and rows."""
+    return entities.union_all([(t := table(spark, d, name)).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), F.lit(len(t.columns)).cast("long").alias("columns"), "rows") for name in GIVEN])
 
 
 @book.query("SELECT n_nationkey AS id, n_name AS name, n_regionkey::VARCHAR AS region FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 = 1")

@@ -33,7 +33,7 @@ def _edges_sql() -> str:
     parts = []
     for k, e in enumerate(schema.EDGES):
         ref = f"CASE WHEN o_orderkey % {k + 3} = 0 THEN NULL ELSE o_custkey END" if e.optional else "o_custkey"
-        parts.append(f"SELECT '{e.table}.{e.column}' AS edge, '{e.target}' AS target, count(*) AS rows, count(id) AS matched, coalesce(sum(id), 0)::BIGINT AS total FROM (SELECT o_orderkey, {ref} AS ref FROM orders) {'LEFT ' if e.optional else ''}JOIN (SELECT c_custkey AS id FROM customer WHERE c_custkey % {k + 2} <> 0) ON ref = id")
+        parts.append(f"SELECT '{e.table}.{e.column}' AS edge, '{e.target}' AS target, count(*) AS rows, count(id) AS matched, coalesce(sum(id), 0)::BIGINT AS total FROM (SELECT o_orderkey, {ref} AS ref FROM orders) {'LEFT ' if e.optional else ''}JOIN (SELECT c_custkey + CASE WHEN c_custkey % {k + 2} = 0 THEN 1000000000000 ELSE 0 END AS id FROM customer) ON ref = id")
     return " UNION ALL ".join(parts)
 
 
@@ -43,7 +43,7 @@ def all_edges(spark, d):
     parts = []
     for k, e in enumerate(schema.EDGES):
         ref = F.when(F.col("o_orderkey") % (k + 3) != 0, F.col("o_custkey")) if e.optional else F.col("o_custkey")
-        joined = joins.follow(orders.select("o_orderkey", ref.alias(e.column)), e.table, e.column, customers.where(F.col("id") % (k + 2) != 0))
+        joined = joins.follow(orders.select("o_orderkey", ref.alias(e.column)), e.table, e.column, customers.select((F.col("id") + F.when(F.col("id") % (k + 2) == 0, 1_000_000_000_000).otherwise(0)).alias("id")))
         parts.append(joined.agg(F.count(F.lit(1)).alias("rows"), F.count("to_id").alias("matched"), F.coalesce(F.sum("to_id"), F.lit(0)).alias("total")).select(F.lit(f"{e.table}.{e.column}").alias("edge"), F.lit(e.target).alias("target"), "rows", "matched", "total"))
     return entities.union_all(parts)
 
@@ -105,6 +105,7 @@ def _links_of(pairs, linker, source, target, source_type, target_type, link_type
 
 @book.query(_links_sql(f"SELECT a.event_id AS s, b.event_id AS t, CASE WHEN abs(a.at - b.at) <= 300 THEN 'same_time' WHEN a.at < b.at THEN 'before' ELSE 'after' END AS link_type, round(1 - abs(a.at - b.at) / 1200.0, 6) AS confidence, NULL AS custom_type, abs(a.at - b.at) || ' s' AS metadata FROM {_E} a JOIN {_E} b ON a.event_type = 'purchase' AND b.event_type = 'click' AND abs(a.at - b.at) <= 600", "temporal", "transaction", "browsing_history"))
 def link_temporal(spark, d):
+    """Links of two kinds of entities: what was bought, with what was looked at around that time."""
     e = table(spark, d, "events").select("event_id", "event_type", times.epoch_seconds(F.col("ts")).alias("at"))
     a, b = e.where("event_type = 'purchase'").select(F.col("event_id").alias("a"), F.col("at").alias("a_at")), e.where("event_type = 'click'").select(F.col("event_id").alias("b"), F.col("at").alias("b_at"))
     apart = F.concat(F.abs(F.col("a_at") - F.col("b_at")), F.lit(" s"))
@@ -288,20 +289,21 @@ def find_related_2hop(spark, d):
     return api.find_related(o.union(c), "c7", 2)
 
 
-@book.query("WITH x AS (SELECT 'payee' AS role, 'transaction' AS entity_type, o_orderkey::VARCHAR AS entity_id, o_orderdate AS occurred_at FROM orders WHERE o_custkey IN (7, 21, 63) UNION ALL SELECT 'visitor', 'browsing_history', event_id::VARCHAR, ts FROM events WHERE user_id IN (7, 21, 63)) SELECT entity_type, entity_id, occurred_at, string_agg(DISTINCT role, ',') AS roles FROM x GROUP BY ALL")
+@book.query("WITH p AS (SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT (7 * 3 ** k)::BIGINT FROM range(0, 30) t(k))), x AS (SELECT 'payee' AS role, 'transaction' AS entity_type, o_orderkey::VARCHAR AS entity_id, o_orderdate AS occurred_at FROM orders WHERE o_custkey IN (FROM p) UNION ALL SELECT 'visitor', 'browsing_history', event_id::VARCHAR, ts FROM events WHERE user_id IN (FROM p)) SELECT entity_type, entity_id, occurred_at, string_agg(DISTINCT role, ',') AS roles FROM x GROUP BY ALL")
 def person_timeline(spark, d):
     parts = [
         table(spark, d, "orders").select(F.col("o_custkey").alias("person_id"), F.lit("payee").alias("role"), F.lit("transaction").alias("entity_type"), F.col("o_orderkey").cast("string").alias("entity_id"), F.col("o_orderdate").alias("occurred_at")),
         table(spark, d, "events").select(F.col("user_id").alias("person_id"), F.lit("visitor").alias("role"), F.lit("browsing_history").alias("entity_type"), F.col("event_id").cast("string").alias("entity_id"), F.col("ts").alias("occurred_at")),
     ]
-    people = spark.createDataFrame([(7, None), (21, 7), (63, 21)], "node long, into long")
+    k = F.col("c_custkey")
+    people = table(spark, d, "customer").where("c_custkey > 0").select(k.alias("node"), F.when(k % 3 == 0, F.floor(k / 3).cast("long")).alias("into"))
     return api.search_by_person(entities.union_all(parts), graph.canonical(people, "node", "into"), 7)
 
 
-@book.query("SELECT coalesce(a.c_nationkey, b.s_nationkey) AS nation, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_nationkey < 18 GROUP BY 1) a FULL JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_nationkey > 4 GROUP BY 1) b ON a.c_nationkey = b.s_nationkey")
+@book.query("SELECT coalesce(a.nation, b.nation) AS nation, customers, suppliers FROM (SELECT c_nationkey AS nation, count(*) AS customers FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey + 7 AS nation, count(*) AS suppliers FROM supplier GROUP BY 1) b ON a.nation = b.nation")
 def full_outer(spark, d):
-    a = table(spark, d, "customer").where("c_nationkey < 18").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
-    b = table(spark, d, "supplier").where("s_nationkey > 4").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("suppliers"))
+    a = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
+    b = table(spark, d, "supplier").groupBy((F.col("s_nationkey") + 7).alias("nation")).agg(F.count(F.lit(1)).alias("suppliers"))
     return a.join(b, "nation", "full_outer")
 
 
@@ -321,11 +323,15 @@ def timeline_day(spark, d):
     return api.timeline_day(entities.entity_rows(table(spark, d, "events"), "browsing_history", "event_id", "ts"), "2024-01-10")
 
 
-@book.query("SELECT 'note' AS kind, sha256('Remember the milk') AS hash, 3 AS tags, 'manual' AS source_type")
+@book.query("SELECT doc_id, sha256(text) AS hash, (SELECT count(DISTINCT source) FROM documents) AS tags, 'manual' AS source_type FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE text IS NOT NULL)")
 def create_note(spark, d):
-    note, tags, pairs = api.create_note(spark, "Remember the milk", ["home", "todo", "home", "milk"], "2024-01-01 00:00:00", "n1")
-    counted = pairs.agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return note.crossJoin(counted).select(F.lit("note").alias("kind"), F.col("content_hash").alias("hash"), F.col("n").alias("tags"), F.lit("manual").alias("source_type"))
+    """The first document as a note entered by hand, with all sources as its tags."""
+    docs = table(spark, d, "documents")
+    first = docs.where("text IS NOT NULL").orderBy("doc_id").select("doc_id", "text").first()
+    sources = [r["source"] for r in docs.where("source IS NOT NULL").groupBy("source").count().collect()]  # of the registry
+    note, _, pairs = api.create_note(spark, first["text"], [*sources, sources[0]], "2024-01-01 00:00:00", "n1")
+    counted = pairs.agg(F.count(F.lit(1)).alias("n"))
+    return note.crossJoin(counted).select(F.lit(first["doc_id"]).cast("long").alias("doc_id"), F.col("content_hash").alias("hash"), F.col("n").alias("tags"), F.lit("manual").alias("source_type"))
 
 
 @book.query("SELECT domain, count(*) AS pages FROM (SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS domain FROM pages) GROUP BY domain HAVING count(*) > 1")
