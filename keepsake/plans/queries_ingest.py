@@ -242,6 +242,20 @@ def recurrences(spark, d):
     return recurrence.occurrences(n, "n_nationkey", "start", "rule")
 
 
+@book.query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderdate::TIMESTAMP AS start, i, o_orderdate::TIMESTAMP + to_days(i * 7) AS due FROM orders, range(3) r(i)),
+x AS (SELECT k, start, CASE WHEN i = 1 AND k % 3 = 1 THEN due + INTERVAL 2 HOUR ELSE due END AS occurs_at, CASE WHEN i = 1 AND k % 3 = 1 THEN due END AS moved_from FROM o WHERE NOT (i = 2 AND k % 2 = 0) AND NOT (i = 1 AND k % 3 = 2))
+SELECT k AS o_orderkey, occurs_at, moved_from FROM x UNION ALL SELECT o_orderkey, o_orderdate::TIMESTAMP + INTERVAL 3 DAY, NULL FROM orders WHERE o_orderkey % 5 = 0""")
+def calendar_exceptions(spark, d):
+    """Orders that come again every week, three times, with occurrences left out, added, moved and cancelled."""
+    k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
+    o = table(spark, d, "orders").select("o_orderkey", at.alias("start"), F.lit("FREQ=WEEKLY;COUNT=3").alias("rule"))
+    later = lambda text: F.col("start") + F.expr(f"INTERVAL {text}")
+    moved = o.where("o_orderkey % 3 > 0").select("o_orderkey", later("7 DAYS").alias("recurrence_id"), later("170 HOURS").alias("start"), F.when(k % 3 == 2, "cancelled").otherwise("confirmed").alias("status"))
+    found = recurrence.occurrences(o, "o_orderkey", "start", "rule")
+    return recurrence.with_exceptions(found, "o_orderkey", o.where("o_orderkey % 2 = 0").select("o_orderkey", later("14 DAYS").alias("at")), o.where("o_orderkey % 5 = 0").select("o_orderkey", later("3 DAYS").alias("at")), moved)
+
+
 @book.query("SELECT p_partkey, (p_size + 10) * (p_size + 5) AS area FROM part")
 def box_area(spark, d):
     box = F.from_json(F.concat(F.lit("[1, "), F.col("p_size") + 7, F.lit(", "), F.col("p_size") + 11, F.lit(", 2]")), "array<int>")

@@ -118,7 +118,7 @@ def test_recurrences_match_another_reader_of_the_standard(spark):
 
 
 def test_unreadable_rules_are_told_and_make_nothing_up(spark):
-    rules = ["FREQ=HOURLY;COUNT=2", "FREQ=DAILY;BYHOUR=9", "FREQ=WEEKLY;BYDAY=XX", "nonsense", "FREQ=DAILY;COUNT=0", "FREQ=DAILY;COUNT=1", None]
+    rules = ["FREQ=SECONDLY;COUNT=2", "FREQ=DAILY;BYHOUR=9", "FREQ=WEEKLY;BYDAY=XX", "nonsense", "FREQ=DAILY;COUNT=0", "FREQ=DAILY;COUNT=1", None]
     df = spark.createDataFrame(list(enumerate(rules)), "k int, rule string").withColumn("start", ntz("2024-01-01 09:00:00"))
     assert sorted(r.k for r in recurrence.unreadable(df, "rule").collect()) == [0, 1, 2, 3, 4]
     got = recurrence.occurrences(df, "k", "start", "rule").collect()
@@ -152,3 +152,26 @@ def test_images(spark):
 def test_mime_types(spark):
     r = one(spark, a=texts.mime_type(F.lit("x/Y.JPG")), b=texts.mime_type(F.lit("none")), c=texts.type_of_mime(F.lit("Text/plain")), d=texts.type_of_mime(F.lit("x")))
     assert (r.a, r.b, r.c, r.d) == ("image/jpeg", None, "document", "other")
+
+
+def test_rules_by_week_number_day_of_the_year_hour_and_minute():
+    from datetime import date, datetime, timedelta
+
+    from keepsake.functions.recurrence import Rule, UnreadableRuleError
+
+    start, horizon = datetime(2024, 1, 3, 9, 30), timedelta(4 * 366)
+    every = [date(2024, 1, 1) + timedelta(i) for i in range(5 * 366)]
+    last = lambda x: 366 if x.year % 4 == 0 else 365
+    inside = lambda days: [x for x in (datetime.combine(d, start.time()) for d in days) if start <= x <= start + horizon]
+    got = list(Rule("FREQ=YEARLY;BYYEARDAY=1,100,-1").occurrences(start, horizon))
+    assert got == inside(x for x in every if x.timetuple().tm_yday in (1, 100, last(x)))
+    got = list(Rule("FREQ=YEARLY;BYWEEKNO=1,20,-1;BYDAY=MO,SU").occurrences(start, horizon))
+    weeks = lambda x: date(x.isocalendar().year, 12, 28).isocalendar().week
+    assert got == inside(x for x in every if x.isocalendar().week in (1, 20, weeks(x)) and x.weekday() in (0, 6))
+    assert list(Rule("FREQ=HOURLY;INTERVAL=5;COUNT=4").occurrences(start, horizon)) == [start + timedelta(hours=5 * k) for k in range(4)]
+    got = list(Rule("FREQ=MINUTELY;INTERVAL=45;BYDAY=SA;UNTIL=20240115T000000").occurrences(start, horizon))
+    assert got == [x for x in (start + timedelta(minutes=45 * k) for k in range(1000)) if x.weekday() == 5 and x <= datetime(2024, 1, 15)] and got
+    assert list(Rule("FREQ=HOURLY;BYMONTH=2;BYMONTHDAY=31;COUNT=2").occurrences(start, horizon)) == []
+    for bad in ("FREQ=DAILY;BYYEARDAY=3", "FREQ=YEARLY;BYWEEKNO=60", "FREQ=HOURLY;BYSETPOS=1", "FREQ=SECONDLY"):
+        with pytest.raises(UnreadableRuleError):
+            Rule(bad)
