@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from keepsake import schema
 from keepsake.functions import measures, recurrence, texts, times
-from keepsake.operators import entities, hashes, ingest
+from keepsake.operators import entities, graph, hashes, ingest
 from keepsake.plans import api
 from keepsake.plans.registry import Book, table
+from keepsake.streaming import imports, windows
 
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
@@ -46,6 +49,16 @@ def incremental_dedup(spark, d):
     return ingest.only_new(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0")).select("doc_id")
 
 
+def _streamed(spark, d):
+    """The import of _upsert() as a stream of four files, one after the other."""
+    new, old = _upsert(spark, d)
+    place = f"{graph.shared_folder(spark)}/import-{uuid.uuid4().hex}"
+    new.repartition(4, F.xxhash64("content_hash")).write.parquet(f"{place}/arrived")
+    stream = windows.read_table_stream(spark, f"{place}/arrived", new.schema, 1)
+    rows, failed = imports.import_stream(stream, f"{place}/run", ["doc_id"], "content_hash")
+    return imports.merged(rows, failed, old, ["doc_id"], "content_hash")
+
+
 # Every third stored document and every second new one has a key of its own, so that all kinds of rows occur and all documents are on both sides.
 _UPSERT = """
 WITH old AS (SELECT CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE text END AS t FROM documents),
@@ -76,6 +89,17 @@ def upsert_result(spark, d):
     return ingest.upsert(new, old, ["doc_id"])
 
 
+@book.query(ORACLES["upsert_result"])
+def stream_upsert(spark, d):
+    """upsert_result from a stream."""
+    return _streamed(spark, d)[0]
+
+
+@book.query(ORACLES["upsert_counters"])
+def stream_counters(spark, d):
+    return _streamed(spark, d)[1]
+
+
 _RUNS = """(SELECT o_orderkey AS run, (o_orderkey * 7 % 100)::INT AS done, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE (o_orderkey % 13 * 10)::INT END AS total,
        ['pending', 'running', 'completed', 'failed', 'cancelled'][o_orderkey % 5 + 1] AS status FROM orders)"""
 
