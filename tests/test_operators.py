@@ -79,6 +79,15 @@ def test_quotes_begin_inside_words_and_may_be_short(spark):
     assert {tuple(r) for r in linkers.by_quote(docs, "id", "text", passages, "p", "passage").collect()} == {(1, 10), (1, 11), (2, 11), (3, 12), (3, 14)}
 
 
+def test_many_short_quotes_go_the_other_way(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} and x{i % 7}, so") for i in range(50)], "id int, text string")
+    passages = spark.createDataFrame([(100 + k, f"x{k}") for k in range(9)] + [(200, "and x3"), (201, "w7 and x0, so"), (202, "")], "p int, passage string")
+    want = {(i, 100 + i % 7) for i in range(50)} | {(i, 200) for i in range(50) if i % 7 == 3} | {(7, 201)}
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(linkers, "SHORT_BYTES", limit)
+        assert {tuple(r) for r in linkers.by_quote(docs, "id", "text", passages, "p", "passage").collect()} == want
+
+
 def test_names_of_several_words(spark):
     import random
     import re
