@@ -335,7 +335,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """encode() as digests: key, n_tokens, ids_sha256, decoded_sha256, made where the ids are, so that no list travels."""
+    """encode() as digests: key, n_tokens, ids_sha256, decoded_sha256, made where the ids are, so that no list travels.
+
+    A null text is empty and has the digests of no bytes. Texts are taken whole, a text over AT_ONCE bytes by itself. One row per row of docs, repeated rows and null
+    keys too; other columns are ignored, an empty table gives an empty one.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

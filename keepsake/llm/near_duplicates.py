@@ -383,7 +383,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     Texts without a word (null, empty) have no shingle and link with nothing. A row with a null doc_id can't be named by a link: it
     takes no part, with a null component, and is kept. Rows that repeat a doc_id are judged each by its own text. Other columns are
-    ignored; an empty table gives an empty one. Texts are read twice, the second time those of nodes that met another one.
+    ignored; an empty table gives an empty one. A text of any length is taken whole, one row at a time. Texts are read twice, the second time those of nodes that met another one.
     """
     small_batches(docs.sparkSession)
     drawn = written(sketches(docs, key, text), "sketches")

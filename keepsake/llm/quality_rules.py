@@ -101,6 +101,7 @@ def cutoffs(labelled: DataFrame, stratum: str = "lang", alpha: float = ALPHA, de
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per row of docs: doc_id, the figures, base_failed, kept.
 
+    Texts of any length are judged whole; a row's arrays of words and windows grow with its text. Columns other than doc_id, text and the stratum are ignored.
     labels: doc_id, quality (1: good); a doc_id labelled twice counts once, as good if all its labels say so; null
     labels don't count. Null strata form one stratum. A null doc_id has no label. Repeated rows are judged each by
     itself. No labels or an empty table: the base rules alone decide. The texts are read once: their figures, a few

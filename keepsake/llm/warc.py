@@ -276,7 +276,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes all pages as archives and reads them back: one row per row of pages.
 
-    A null html is an empty payload, a null url is left out, a null page_id is a response that none refers to.
+    A page is a record whatever its length; a task holds one page at a time. A null html is an empty payload, a null url is left out, a null page_id is a response that none refers to.
     Of rows that repeat the largest page_id with one payload each is a response. Other columns are ignored; an empty
     table writes no archive.
     """

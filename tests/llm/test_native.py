@@ -74,9 +74,10 @@ TEXTS = [None, "", " \t\n", "a", "a b", "a b c a b c", "a a a a a", "x\nx\n\nx\n
 
 
 def test_figures_match_plain_python(spark):
-    rows = [(i, t, "en") for i, t in enumerate(TEXTS)]
+    texts = [*TEXTS, "so it goes # on\n" * 90_000]  # over a megabyte
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
     out = {r.doc_id: r for r in quality_rules.figures(docs(spark, rows)).collect()}
-    for i, t in enumerate(TEXTS):
+    for i, t in enumerate(texts):
         r = out[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_figures(t), t
 
