@@ -271,9 +271,18 @@ class WordBPE:
         """The ids of each text (null: none), as little-endian unsigned 32-bit numbers."""
         cut = [self.parts(t or "") for t in texts]
         long = self.learn(p for ps in cut for p in ps if isinstance(p, list))
-        look = _Beside(self.runs, long).__getitem__ if long else self.runs.__getitem__
+        short, either = self.runs.__getitem__, _Beside(self.runs, long).__getitem__
+
+        def ids(part: list[str] | int) -> bytes:
+            if isinstance(part, int):
+                return struct.pack("<I", part)
+            try:
+                return b"".join(map(short, part))
+            except KeyError:  # one of its runs is too long to be remembered
+                return b"".join(map(either, part))
+
         for ps in cut:
-            yield b"".join(struct.pack("<I", p) if isinstance(p, int) else b"".join(map(look, p)) for p in ps)
+            yield b"".join(map(ids, ps))
 
     def encode(self, text: str | None) -> list[int]:
         return unpacked(next(self.encode_batch([text]))).tolist()
