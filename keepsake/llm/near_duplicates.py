@@ -114,10 +114,13 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def in_several(rows: DataFrame, key: str, by: str) -> DataFrame:
-    """Rows whose key occurs in several rows. Keys are counted with partial sums; what is joined is salted, so that a frequent key spreads."""
+    """Rows whose key occurs in several rows. Keys are counted with partial sums; what is joined is salted, so that a frequent key spreads.
+
+    Spark takes the salted keys for as few as they were before and would broadcast SALTS times as many: they are merged, here and below.
+    """
     salt = F.pmod(F.xxhash64(by), F.lit(SALTS))
     often = rows.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_s"))
-    return rows.join(often, (F.col(key) == F.col("_k")) & (salt == F.col("_s")), "left_semi")
+    return rows.join(often.hint("merge"), (F.col(key) == F.col("_k")) & (salt == F.col("_s")), "left_semi")
 
 
 def table_rows(nodes: DataFrame) -> DataFrame:
@@ -219,7 +222,7 @@ def mixed_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows (key, t, node, n) with their labels, of buckets that hold several components."""
     own = rows.select("key", "t", "node", "n").join(labels, "node")
     several = own.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l <> _m").select(F.col("key").alias("_k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_s"))
-    return own.join(several, (F.col("key") == F.col("_k")) & (F.pmod(F.xxhash64("node"), F.lit(SALTS)) == F.col("_s")), "left_semi")
+    return own.join(several.hint("merge"), (F.col("key") == F.col("_k")) & (F.pmod(F.xxhash64("node"), F.lit(SALTS)) == F.col("_s")), "left_semi")
 
 
 def with_bits(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -429,7 +432,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     found = nodes.select("print", "node", "copies")
     found = found.join(moved, "node", "left") if moved is not None else found.withColumn("label", F.lit(None).cast("long"))
     found = found.where("copies > 1 OR label IS NOT NULL").select(F.col("print").alias("of"), F.coalesce("label", "node").alias("component"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("part"))
-    whole = drawn.join(found, (drawn["print"] == found["of"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) == found["part"]), "left")
+    whole = drawn.join(found.hint("merge"), (drawn["print"] == found["of"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) == found["part"]), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
