@@ -1,7 +1,8 @@
 """Full text by positions: a stored index of where each word stands, and queries of words, phrases, prefixes, AND, OR and NOT over it.
 
 The index has a row for each occurrence: term, id, position, and bucket, a hash of the term's first two characters, by which it is stored
-in folders. A query reads the folders and row groups of its words. A phrase is met where its words' positions, each less its place in the
+in folders. Stored and moved are runs: a term with the ids and positions of some texts, so that the word itself is there once for all of them.
+A query reads the folders and row groups of its words. A phrase is met where its words' positions, each less its place in the
 phrase, agree: one grouping by text and start, however long the phrase and however frequent its words. All parts of a query are found
 together and their counts are set side by side for each text, so that booleans cost no join.
 """
@@ -10,15 +11,20 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepsake.functions import texts
 
 BUCKETS, LEADING = 64, 2
+#: Occurrences that a task makes runs of at a time, and of a run at most.
+GATHERED, RUN = 1 << 20, 1 << 14
 _PIECE = re.compile(r"\s*(\(|\)|-(?=[\w\"(])|\"[^\"]*\"|[^\s()\"]+)")
 
 
@@ -40,16 +46,88 @@ def postings(df: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> Data
     return terms.select("term", "id", "position", bucket_of(F.col("term"), buckets).alias("bucket"))
 
 
+def runs(index: DataFrame) -> DataFrame:
+    """postings() as runs: a row for each term of GATHERED occurrences of a task, and one more for each RUN of them: bucket, term, ids, positions.
+
+    Where ids are whole numbers, most runs have base, near and at instead: the least id, how far behind it each one is, and positions, in two bytes each.
+    """
+    kind = index.schema["id"].dataType
+    whole = isinstance(kind, (T.ShortType, T.IntegerType, T.LongType))
+    own = T.StructType().add("bucket", T.IntegerType()).add("term", T.StringType()).add("ids", T.ArrayType(kind)).add("positions", T.ArrayType(T.IntegerType()))
+    out = own.add("base", kind).add("near", T.ArrayType(T.ShortType())).add("at", T.ArrayType(T.ShortType())) if whole else own
+
+    def packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        words = rows.column("term").combine_chunks().dictionary_encode()
+        code = words.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        size = np.diff(np.r_[first, len(code)])
+        many = -(-size // RUN)
+        first = np.repeat(first, many) + RUN * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+        size = np.diff(np.r_[first, len(code)])
+        ids, places, buckets = (rows.column(c).take(pa.array(order)).combine_chunks() for c in ("id", "position", "bucket"))
+        small = np.zeros(len(first), dtype=bool)
+        if whole and not ids.null_count:
+            value, place = ids.to_numpy(), places.to_numpy()
+            base = np.minimum.reduceat(value, first)
+            small = (np.maximum.reduceat(value, first).astype(float) - base.astype(float) < 30_000) & (np.maximum.reduceat(place, first) < 1 << 15)
+        for near in (True, False):
+            some = np.flatnonzero(small == near)
+            if not len(some):
+                continue
+            inside = np.flatnonzero(np.repeat(small == near, size))
+            ends = pa.array(np.r_[0, np.cumsum(size[some])], pa.int32())
+            listed = lambda x: pa.ListArray.from_arrays(ends, x)  # noqa: B023, E731
+            columns = {"bucket": buckets.take(pa.array(first[some])), "term": words.dictionary.take(pa.array(code[first[some]]))}
+            if near:
+                far = value[inside] - np.repeat(base[some], size[some])
+                columns |= {"base": pa.array(base[some]), "near": listed(pa.array(far.astype(np.int16))), "at": listed(pa.array(place[inside].astype(np.int16)))}
+            else:
+                columns |= {"ids": listed(ids.take(pa.array(inside))), "positions": listed(places.take(pa.array(inside)))}
+            kinds = {"ids": pa.list_(ids.type), "positions": pa.list_(pa.int32()), "base": ids.type, "near": pa.list_(pa.int16()), "at": pa.list_(pa.int16())}
+            yield pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(len(some), kinds[c]) for c in out.names], out.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                count += b.num_rows
+            if count >= GATHERED:
+                yield from packed(pa.Table.from_batches(held))
+                held, count = [], 0
+        if held:
+            yield from packed(pa.Table.from_batches(held))
+
+    return index.select("bucket", "term", "id", "position").mapInArrow(run, out)
+
+
+def spelled_out(rows: DataFrame) -> DataFrame:
+    """term, id, position of runs(), or of postings() as they are."""
+    if "ids" not in rows.columns:
+        return rows.select("term", "id", "position")
+    pairs = F.arrays_zip(F.col("ids").alias("id"), F.col("positions").alias("position"))
+    if "near" in rows.columns:
+        kind = rows.schema["base"].dataType
+        ids = F.transform("near", lambda x: (F.col("base") + x).cast(kind))
+        pairs = F.when(F.col("near").isNotNull(), F.arrays_zip(ids.alias("id"), F.col("at").cast("array<int>").alias("position"))).otherwise(pairs)
+    return rows.select("term", F.explode(pairs).alias("_p")).select("term", "_p.*")
+
+
 def write_postings(index: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Stores postings() by bucket, sorted by term, id and position, so that a search reads the row groups of its words and no text.
+    """Stores postings() as runs by bucket, sorted by term, so that a search reads the row groups of its words and no text.
 
-    As many tasks write as the session has shuffle partitions (a bucket at least): a bucket's rows are dealt by id, so that a frequent word is many
+    As many tasks write as the session has shuffle partitions (a bucket at least): a bucket's runs are dealt by their first id, so that a frequent word is many
     tasks' work.
     """
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salts = -(-parts // buckets)
-    dealt = index.repartition(buckets * salts, "bucket", F.pmod(F.xxhash64("id"), F.lit(salts))) if salts > 1 else index.repartition("bucket")
-    dealt.sortWithinPartitions("bucket", "term", "id", "position").write.partitionBy("bucket").parquet(path)
+    made = runs(index)
+    seed = F.xxhash64(F.get("ids", F.lit(0)), *(["base"] if "base" in made.columns else []))
+    dealt = made.repartition(buckets * salts, "bucket", F.pmod(seed, F.lit(salts))) if salts > 1 else made.repartition("bucket")
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
 
 
 # --- queries ---
@@ -162,7 +240,10 @@ def parse(text: str) -> Query:
 
 
 def part_counts(index: DataFrame, parts: list[tuple[str, ...]], buckets: int = BUCKETS) -> DataFrame:
-    """part (its number), id, times: how often each part stands in each text that has it. Only folders and row groups of the parts' words are read."""
+    """part (its number), id, times: how often each part stands in each text that has it. Only folders and row groups of the parts' words are read.
+
+    index is what write_postings() has stored, or postings().
+    """
     of = lambda w: zlib.crc32(w[:LEADING].encode()) % buckets
     terms = sorted({w for kind, *words in parts for w in words if kind != "prefix"})
     starts = [w for kind, w, *_ in parts if kind == "prefix"]
@@ -173,6 +254,7 @@ def part_counts(index: DataFrame, parts: list[tuple[str, ...]], buckets: int = B
     rows = index.where(wanted)
     if all(len(w) >= LEADING for w in starts):
         rows = rows.where(F.col("bucket").isin(sorted(folders)))
+    rows = spelled_out(rows)
     uses = [F.when(F.col("term").startswith(words[0]) if kind == "prefix" else F.col("term") == w, F.struct(F.lit(n).alias("part"), F.lit(k).alias("k"))) for n, (kind, *words) in enumerate(parts) for k, w in enumerate(words)]
     used = rows.select("id", "position", F.explode(F.array_compact(F.array(*uses))).alias("use"))
     sizes = F.array(*(F.lit(len(words)) for _, *words in parts))
@@ -211,6 +293,7 @@ def indexed_scores(index: DataFrame, query: list[str], buckets: int = BUCKETS) -
     """search.word_scores() from the index: how often words of the query occur, for texts with any; a word with a sign inside is a phrase."""
     parts = sorted({w for w in map(words_of, query) if w})
     if not parts:
-        return index.select("id", F.lit(0).cast("bigint").alias("score")).limit(0)
+        own = index.select(F.explode("ids").alias("id")) if "ids" in index.columns else index.select("id")
+        return own.select("id", F.lit(0).cast("bigint").alias("score")).limit(0)
     counts = part_counts(index, [("phrase" if len(w) > 1 else "word", *w) for w in parts], buckets)
     return counts.groupBy("id").agg(F.sum("times").alias("score"))

@@ -85,3 +85,20 @@ def test_rows_that_repeat_and_an_empty_table(spark, tmp_path):
     assert {r.id: r.score for r in fulltext.found(spark.read.parquet(str(tmp_path / "i")), '"a b"').collect()} == {1: 2, None: 1}
     empty = fulltext.postings(docs.limit(0), "id", "text")
     assert fulltext.found(empty, "a b").collect() == [] and fulltext.indexed_scores(empty, ["a"]).collect() == []
+
+
+def test_what_is_stored_has_no_row_for_each_occurrence(spark, tmp_path):
+    """Runs of ids near each other take two bytes an id and a position; ids far apart, negative ones, texts as ids and positions over 32,767 lose nothing."""
+    far = [-(1 << 63), -5, 0, 1, 40_000, 1 << 40, (1 << 63) - 1]
+    for kind, ids in (("long", far), ("string", ["a", "b", None])):
+        docs = spark.createDataFrame([(i, "x y x " * 3) for i in ids] + [(ids[1], "y " * 33_000 + "x y")], f"id {kind}, text string").coalesce(1)
+        plain, place = fulltext.postings(docs, "id", "text"), str(tmp_path / kind)
+        fulltext.write_postings(plain, place)
+        stored = spark.read.parquet(place)
+        assert stored.count() < 20 < plain.count()
+        of = lambda df: sorted((r.term, str(r.id), r.position) for r in fulltext.spelled_out(df).collect())
+        assert of(stored) == of(plain)
+    near = spark.createDataFrame([(1000 + i, "x y x") for i in range(50)], "id int, text string").coalesce(1)
+    made = fulltext.runs(fulltext.postings(near, "id", "text"))
+    assert sorted((r.term, r.base, len(r.near), r.ids) for r in made.collect()) == [("x", 1000, 100, None), ("y", 1000, 50, None)]
+    assert fulltext.found(made, '"x y x"').count() == 50
