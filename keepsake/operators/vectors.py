@@ -23,8 +23,10 @@ from keepsake.operators.graph import held
 
 #: Bounds of the sample: rows, and components of all together. Bounds of the pivots.
 SAMPLE_ROWS, SAMPLE_VALUES, MAX_CELLS = 16_384, 4_000_000, 1024
-#: Vectors of a cell that meet at a time, and those that visit them.
+#: Vectors that meet at a time in the stored index, and those that ask them.
 MEMBERS, VISITORS = 2048, 8192
+#: In the threshold join vectors go to a group of cells at once. Groups that all vectors would make (about), vectors of a group at least, and their components at most.
+GROUPS, GROUP_ROWS, GROUP_VALUES = 8, 8192, 4_000_000
 #: What rounding may take from an angle.
 SLACK = 1e-6
 
@@ -100,86 +102,126 @@ def radii(placed: DataFrame) -> dict[tuple[int, int], tuple[float, int]]:
     return {(r["n"], r["cell"]): (r["radius"], r["members"]) for r in own.toLocalIterator()}
 
 
-def visits(placed: DataFrame, of: dict[int, np.ndarray], reach: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """placed with the cells that each vector has to meet: its own, and of those behind it (cell > its own) the ones that may hold a vector at or above threshold."""
+def group_size(count: int, n: int) -> int:
+    """Vectors of n components that a group holds at most, and visitors of it that meet them at a time: a share of all, so that a vector goes to no more groups where there are more of them, within what a worker holds."""
+    return max(1, min(max(GROUP_ROWS, math.ceil(count / GROUPS)), GROUP_VALUES // n))
+
+
+def grouped(known: dict[tuple[int, int], tuple[float, int]], count: int) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(n, cell) -> (group, its blocks, visitors of a part): cells one behind another, as many as a group holds; a cell that is larger is a group of several blocks."""
+    out, held_n, group, size = {}, None, -1, 0
+    for (n, cell), (_, members) in sorted(known.items()):
+        most = group_size(count, n)
+        if n != held_n or size + members > most:
+            held_n, group, size = n, group + 1, 0
+        size += members
+        out[n, cell] = group, math.ceil(members / most), most
+    return out
+
+
+def visits(placed: DataFrame, of: dict[int, np.ndarray], reach: dict[int, np.ndarray], groups: dict[tuple[int, int], tuple[int, int, int]], threshold: float) -> DataFrame:
+    """placed with the cells that each vector has to meet, by group: its own, and of those behind it (cell > its own) the ones that may hold a vector at or above threshold."""
     limit = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
     chord = 2 * math.sin(limit / 2) if limit < math.pi else 2.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart = {n: np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) for n, c in of.items()}
+        places = {n: np.array([groups.get((n, c), (-1, 0, 0))[0] for c in range(len(centres))]) for n, centres in of.items()}
         for b in batches:
             if not b.num_rows:
                 continue
             sizes, cells, raw = b.column("n").to_numpy(), b.column("cell").to_numpy(), b.column("unit")
-            meet: list[list[int]] = [[int(c)] for c in cells]
+            meet: list[list[dict]] = [[] for _ in cells]
             for n in np.unique(sizes):
+                rows = np.flatnonzero(sizes == n)
                 if n not in of:
+                    for r in rows:
+                        meet[r] = [{"group": groups[int(n), int(cells[r])][0], "cells": [int(cells[r])]}]
                     continue
-                rows = np.flatnonzero(sizes == n)
                 near = np.frombuffer(b"".join(raw.take(pa.array(rows)).to_pylist())).reshape(len(rows), n) @ of[n].T
                 own = cells[rows]
                 behind = near[np.arange(len(rows)), own][:, None] - near
                 possible = (_angle(near) <= limit + reach[n][None, :] + SLACK) & (behind <= (chord + SLACK) * np.maximum(apart[n][own], 1e-12))
-                possible &= np.arange(near.shape[1])[None, :] > own[:, None]
-                for i, j in zip(*np.nonzero(possible), strict=True):
-                    meet[rows[i]].append(int(j))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(meet, pa.list_(pa.int32()))], [*b.schema.names, "meets"])
+                possible &= (np.arange(near.shape[1])[None, :] > own[:, None]) & (places[n] >= 0)[None, :]
+                possible[np.arange(len(rows)), own] = True
+                for r, some in zip(rows, possible, strict=True):
+                    found = np.flatnonzero(some)
+                    where = places[n][found]
+                    cuts = np.flatnonzero(where[1:] != where[:-1]) + 1  # groups are in the order of cells
+                    meet[r] = [{"group": int(groups[int(n), int(part[0])][0]), "cells": part.tolist()} for part in np.split(found, cuts)]
+            kind = pa.list_(pa.struct([("group", pa.int32()), ("cells", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(meet, kind)], [*b.schema.names, "meets"])
 
-    return placed.select("id", "n", "cell", "unit").mapInArrow(run, "id long, n int, cell int, unit binary, meets array<int>")
+    return placed.select("id", "n", "cell", "unit").mapInArrow(run, "id long, n int, cell int, unit binary, meets array<struct<group: int, cells: array<int>>>")
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, id_column: str = "vec_id", embedding: str = "embedding", cells: int | None = None) -> DataFrame:
     """a < b and similarity (cosine, rounded to 6 places) of all pairs at or above threshold, by cells (see above for what takes no part).
 
-    A vector is sent to the cells that may hold a partner; a cell's vectors and its visitors meet in blocks of bounded size, so that a cell with a
+    A vector is sent to the groups of cells that may hold a partner and meets there those cells alone; groups and their visitors meet in blocks of bounded size, so that a cell with a
     third of all rows is many tasks' work. Where vectors lie in all directions alike and the threshold is low, no cell can be ruled out, and every
     two blocks meet once. Of a group of copies every pair is a row: see similar_classes() for groups of many.
     """
     left, right = meetings(vectors, threshold, id_column, embedding, cells)
+    least = threshold if threshold > -1 else -math.inf  # opposite vectors, whose product rounding may carry beyond -1
 
     def meet(one: pa.Table, two: pa.Table) -> pa.Table:
         found = [pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})]
         if one.num_rows and two.num_rows:
             ids, home = [x.column("id").to_numpy() for x in (one, two)], one.column("home").to_numpy()
-            here = two.column("cell")[0].as_py()
             sides = [np.frombuffer(b"".join(x.column("unit").to_pylist())).reshape(x.num_rows, -1) for x in (one, two)]
-            for k in range(0, len(ids[0]), 512):
-                scores = sides[0][k : k + 512] @ sides[1].T
-                p, q = np.nonzero(scores >= threshold)
-                a, b = ids[0][k : k + 512][p], ids[1][q]
-                keep = np.where(home[k : k + 512][p] == here, a < b, a != b)
-                found.append(pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": np.round(scores[p, q][keep], 6)}))
+            lists = one.column("cells").combine_chunks()
+            asked = lists.flatten().to_numpy()
+            asking = np.repeat(np.arange(one.num_rows), lists.value_lengths().to_numpy())
+            order = np.argsort(asked, kind="stable")
+            asked, asking = asked[order], asking[order]
+            cell = two.column("cell").to_numpy()
+            for here in np.unique(cell):
+                members = np.flatnonzero(cell == here)
+                visitors = asking[np.searchsorted(asked, here) : np.searchsorted(asked, here, side="right")]
+                unit, names = sides[1][members].T, ids[1][members]
+                for k in range(0, len(visitors), 512):
+                    some = visitors[k : k + 512]
+                    scores = sides[0][some] @ unit
+                    p, q = np.nonzero(scores >= least)
+                    a, b = ids[0][some][p], names[q]
+                    keep = np.where(home[some][p] == here, a < b, a != b)
+                    found.append(pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": np.round(scores[p, q][keep], 6)}))
         return pa.concat_tables(found)
 
-    keys = ["n", "cell", "block", "part"]
+    keys = ["group", "block", "part"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "a long, b long, similarity double")
 
 
 def meetings(vectors: DataFrame, threshold: float, id_column: str = "vec_id", embedding: str = "embedding", cells: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(visitors, members) with n, cell, block, part: who meets whom. Visitors have home, the cell that they are members of."""
+    """(visitors, members) with group, block, part: who meets whom. Visitors have home, the cell that they are members of, and cells, those of the group that they meet."""
     rows = vectors.where(usable(F.col(embedding))).select(F.col(id_column).alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     count = rows.count()
     of = pivots(rows, max(1, min(MAX_CELLS, cells or math.ceil(count / MEMBERS))))
     placed = held(in_cells(rows, of))
     known = radii(placed)
     reach = {n: np.array([known.get((n, c), (-math.pi, 0))[0] for c in range(len(centres))]) for n, centres in of.items()}
-    met = held(visits(placed, of, reach, threshold))
-    visitors = met.select("id", "n", F.col("cell").alias("home"), "unit", F.explode("meets").alias("cell"))
-    parts = visitors.groupBy("n", "cell").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("parts"))
-    blocks = met.groupBy("n", "cell").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
-    shape = held(parts.join(blocks, ["n", "cell"]))
+    groups = grouped(known, count)
+    met = held(visits(placed, of, reach, groups, threshold))
+    visitors = met.select("id", F.col("cell").alias("home"), "unit", F.explode("meets").alias("_m")).select("id", "home", "unit", F.col("_m.group").alias("group"), F.col("_m.cells").alias("cells"))
+    sizes = {group: (blocks, most) for group, blocks, most in groups.values()}
+    spark = vectors.sparkSession
+    limits = spark.createDataFrame([(g, b, m) for g, (b, m) in sizes.items()], "group int, blocks int, most int")
+    homes = spark.createDataFrame([(n, c, g) for (n, c), (g, _, _) in groups.items()], "n int, cell int, group int")
+    parts = visitors.groupBy("group").agg(F.count(F.lit(1)).alias("_c"))
+    shape = held(parts.join(limits, "group").select("group", "blocks", F.ceil(F.col("_c") / F.col("most")).cast("int").alias("parts")))
     turn = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
     place = lambda many: F.pmod(F.xxhash64("id"), F.col(many)).cast("int")
-    left = visitors.join(shape, ["n", "cell"]).withColumn("part", place("parts")).withColumn("block", turn("blocks")).select("n", "cell", "block", "part", "id", "home", "unit")
-    right = met.select("id", "n", "cell", "unit").join(shape, ["n", "cell"]).withColumn("block", place("blocks")).withColumn("part", turn("parts")).select("n", "cell", "block", "part", "id", "unit")
+    left = visitors.join(shape, "group").withColumn("part", place("parts")).withColumn("block", turn("blocks")).select("group", "block", "part", "id", "home", "cells", "unit")
+    right = met.select("id", "n", "cell", "unit").join(homes, ["n", "cell"]).join(shape, "group").withColumn("block", place("blocks")).withColumn("part", turn("parts")).select("group", "block", "part", "id", "cell", "unit")
     return left.toDF(*left.columns), right.toDF(*right.columns)  # columns of their own: both come from one table
 
 
 def comparisons(vectors: DataFrame, threshold: float, id_column: str = "vec_id", embedding: str = "embedding", cells: int | None = None) -> int:
     """How many scores similar_pairs() computes; without any cell ruled out that is about half the square of the number of vectors, and a cell's own square."""
     left, right = meetings(vectors, threshold, id_column, embedding, cells)
-    keys = ["n", "cell", "block", "part"]
-    sizes = [x.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)) for x, name in ((left, "l"), (right, "r"))]
+    keys = ["group", "block", "part", "cell"]
+    sizes = [x.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)) for x, name in ((left.withColumn("cell", F.explode("cells")), "l"), (right, "r"))]
     return sizes[0].join(sizes[1], keys).agg(F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0)).alias("n")).first()["n"]
 
 

@@ -118,3 +118,14 @@ def test_recall_of_the_registered_query(spark):
     found = {(r.query_id, r.id) for r in catalogue.QUERIES["knn_probed"](spark, d).collect()}
     want = {(i, j) for i, v in own if i % 20 == 0 for _, j in truth(own, v, 10, i)}
     assert len(found & want) >= 0.9 * len(want) > 0
+
+
+def test_a_vector_goes_to_groups_of_cells_not_to_each(spark):
+    """Where no cell is ruled out, what moves follows the vectors and the bounded number of groups, not the cells."""
+    rows = list(enumerate(np.random.default_rng(9).normal(size=(600, 8))))
+    left, right = vectors.meetings(table(spark, rows), -1.0, cells=20)
+    assert left.count() == right.count() == 600
+    assert vectors.comparisons(table(spark, rows), -1.0, cells=20) < 0.6 * 600**2
+    many = {(64, c): (1.0, 2048) for c in range(1000)}
+    assert max(g for g, _, _ in vectors.grouped(many, 2_048_000).values()) < 1000 / 30
+    assert vectors.grouped({(8, 0): (1.0, 50_000), (8, 1): (1.0, 10)}, 50_010) == {(8, 0): (0, 6, 8192), (8, 1): (1, 1, 8192)}
