@@ -6,7 +6,8 @@ import os
 
 import pytest
 
-from keepsake.operators import graph, hashes, search
+from keepsake import schema
+from keepsake.operators import graph, hashes, joins, search
 from keepsake.plans import api, catalogue, queries_search
 
 SF = "/root/testdata/sf0.001"
@@ -77,6 +78,27 @@ def test_hashes_of_64_bits_match_a_plain_loop(spark):
     assert hashes.link_counts(df.limit(0), 64, 10).collect() == []
 
 
+def test_values_are_spelled_out_inside_blocks(spark, monkeypatch):
+    """What moves has a few rows for each hash, not one for each value within a segment's radius; blocks of any size find the same."""
+    import random
+
+    rng = random.Random(8)
+    values = [rng.getrandbits(24) for _ in range(600)]
+    values += [v ^ (1 << rng.randrange(24)) ^ (1 << rng.randrange(24)) for v in values]
+    df = spark.createDataFrame([(f"{i:04d}", h) for i, h in enumerate(values)], "id string, h long")
+    want = {i: sum((h ^ x).bit_count() <= 5 for x in values) - 1 for i, h in enumerate(values)}
+    for block, parts in ((1 << 20, None), (50, None), (300, [(0, 24, 5)]), (50, [(0, 12, 2), (12, 12, 2)])):
+        monkeypatch.setattr(hashes, "BLOCK", block)
+        monkeypatch.setattr(hashes, "TABLE_BITS", 12)
+        members, pairs = hashes.near_classes(df, 24, 5, parts=parts)
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert "CoGroup" in plan and "Join" not in plan
+        of = {r.id: r.class_id for r in members.collect()}
+        got = {(r.a, r.b) for r in pairs.collect()}
+        links = {i: sum((min(of[f"{i:04d}"], of[f"{j:04d}"]), max(of[f"{i:04d}"], of[f"{j:04d}"])) in got or of[f"{i:04d}"] == of[f"{j:04d}"] for j in range(len(values)) if j != i) for i in range(0, len(values), 40)}
+        assert links == {i: want[i] for i in links}
+
+
 def test_hashes_of_pictures(spark):
     """Perceptual hashes of pictures and of the same ones a little brighter and with noise are links; others are not."""
     import numpy as np
@@ -144,3 +166,18 @@ def test_search_knowledge_counts_ranks_beyond_a_hundred(spark):
 def test_conversation_returns_whole_texts(spark):
     want = rows_of_sql("SELECT conv_id, turn, role, text FROM conversations WHERE conv_id = 5")
     assert rows_of(catalogue.QUERIES["conversation"](spark, SF)) == want and max(len(r[2]) for r in want) > 40
+
+
+def test_many_edges_at_once_are_those_of_each_alone(spark):
+    """Null and unknown references, repeated targets and edges without a row; one join, however many edges."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, 7), (2, 7), (3, None), (4, 9), (5, 8), (6, 7)], "k int, r int")
+    targets = spark.createDataFrame([(7,), (8,), (8,), (10,), (None,)], "id int")
+    edges = [(f"{e.table}.{e.column}", F.when(F.col("k") > n % 7, F.col("r")), F.col("id") + n % 2) for n, e in enumerate(schema.EDGES)]
+    got = joins.edge_totals(rows, edges, targets)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
+    found = {r.edge: (r.rows, r.matched, r.total) for r in got.collect()}
+    for (name, ref, own), e in zip(edges, schema.EDGES, strict=True):
+        alone = joins.follow(rows.select("k", ref.alias(e.column)), e.table, e.column, targets.select(own.alias("id")))
+        assert found[name] == tuple(alone.agg(F.count(F.lit(1)), F.count("to_id"), F.coalesce(F.sum("to_id"), F.lit(0))).first())
