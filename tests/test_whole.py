@@ -35,7 +35,8 @@ def test_during_span_takes_all_orders_and_line_items(spark):
     p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 50 AS person, epoch_us(l_shipdate) // 1000000 AS sec FROM lineitem)
     SELECT l_orderkey, l_linenumber, coalesce(span, -1) AS span FROM p LEFT JOIN s ON s.person = p.person AND sec >= start AND (finish IS NULL OR sec < finish)""")
     pairs = [r for r in want if r[2] >= 0]
-    around = catalogue.QUERIES["during_span"](spark, SF).collect()
+    assert sorted((r.l_linenumber, r.l_orderkey, r.span) for r in catalogue.QUERIES["during_span"](spark, SF).collect()) == sorted(pairs)
+    around = catalogue.QUERIES["spans_around"](spark, SF).collect()
     assert sorted((r.l_orderkey, r.l_linenumber) for r in around) == rows_of_sql("SELECT l_orderkey AS a, l_linenumber AS b FROM lineitem")
     assert sum(r.spans_around for r in around) == len(pairs) > 0
     inside = catalogue.QUERIES["points_inside"](spark, SF).collect()
