@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +153,19 @@ def test_places_match_a_plain_loop(spark):
             assert {r.a for r in joins.around(p, *spots[i], radius, ("alat", "alon")).collect()} == {j for a, j in want if a == i}
 
 
+def test_pairs_of_one_place_are_many_tasks_work(spark, monkeypatch):
+    """One place with nearly all rows, at the pole, in tables of one file, which Spark would broadcast."""
+    monkeypatch.setattr(joins, "TILE", 16)
+    monkeypatch.setattr(joins, "STACK", 8)
+    spots = [(90.0, 0.0)] * 60 + [(89.9999, 170.0)] * 30 + [(0.0, 0.0), (None, 0.0), (10.0, 20.0)]
+    p, q = (spark.createDataFrame([(i, *x) for i, x in enumerate(spots)], f"{n} int, {n}lat double, {n}lon double").coalesce(1) for n in "ab")
+    near = joins.near(p, q, 200.0, ("alat", "alon"), ("blat", "blon"))
+    assert near.columns == ["a", "alat", "alon", "b", "blat", "blon", "distance_m"]
+    got = near.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted([(i, j) for i in range(90) for j in range(90)] + [(90, 90), (92, 92)])
+    assert Counter(r.task for r in got).most_common(1)[0][1] < len(got) * 2 / 3
+
+
 def test_lookups_reach_the_scan(spark, tmp_path):
     spark.range(1000).selectExpr("id", "id % 180 - 90.0D AS latitude", "id % 360 - 180.0D AS longitude").write.parquet(str(tmp_path / "t"))
     t = spark.read.parquet(str(tmp_path / "t"))
