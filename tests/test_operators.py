@@ -166,6 +166,16 @@ def test_pairs_of_one_place_are_many_tasks_work(spark, monkeypatch):
     assert Counter(r.task for r in got).most_common(1)[0][1] < len(got) * 2 / 3
 
 
+def test_pairs_of_one_time_are_many_tasks_work(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TILE", 16)
+    a, b = (spark.createDataFrame([(i, None if i == 200 else 1000 if i < 150 else i * 50, i % 2) for i in range(201)], f"{n} int, {n}_at int, k int").coalesce(1) for n in "ab")
+    for on in (None, ["k"]):
+        got = joins.within_window(a.drop(*([] if on else ["k"])), b.drop(*([] if on else ["k"])), "a_at", "b_at", 60, on).withColumn("task", F.spark_partition_id()).collect()
+        at = lambda i: 1000 if i < 150 else i * 50
+        assert sorted((r.a, r.b) for r in got) == [(i, j) for i in range(200) for j in range(200) if abs(at(i) - at(j)) <= 60 and (not on or i % 2 == j % 2)]
+        assert Counter(r.task for r in got).most_common(1)[0][1] < len(got) * 2 / 3
+
+
 def test_lookups_reach_the_scan(spark, tmp_path):
     spark.range(1000).selectExpr("id", "id % 180 - 90.0D AS latitude", "id % 360 - 180.0D AS longitude").write.parquet(str(tmp_path / "t"))
     t = spark.read.parquet(str(tmp_path / "t"))
