@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import email
 import email.policy
+import functools
 import io
 import re
 import tarfile
@@ -17,10 +18,10 @@ from email.utils import getaddresses, parsedate_to_datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keepsake.operators import scan
+from keepsake.operators import graph
 from keepsake.sources import ranges
 
 MEMBERS = "archive string, member string, size long, content binary"
@@ -92,8 +93,19 @@ def unquoted(message: bytes) -> bytes:
     return re.sub(rb"(?m)^>(>*From )", rb"\1", message.partition(b"\n")[2])
 
 
+_parsed = functools.lru_cache(1024)(email.policy.default.header_factory)
+
+
+def _header(name: str, value: str):
+    """A header as it is parsed; mails share most of their short ones, and each is asked for several times."""
+    return _parsed(name, value) if len(value) <= 256 else email.policy.default.header_factory(name, value)
+
+
+POLICY = email.policy.default.clone(header_factory=_header)
+
+
 def mail_fields(raw: bytes) -> dict:
-    m = email.message_from_bytes(raw, policy=email.policy.default)
+    m = email.message_from_bytes(raw, policy=POLICY)
     sender = getaddresses([str(m.get("From", ""))])
     try:
         at = parsedate_to_datetime(str(m["Date"])) if m["Date"] else None
@@ -119,27 +131,37 @@ def mail_fields(raw: bytes) -> dict:
 
 
 def mailboxes(spark: SparkSession, path: str, split_bytes: int = ranges.SPLIT_BYTES) -> DataFrame:
-    """A row for each message of mbox files, times in UTC; position numbers a mailbox's messages from 0, counted across its ranges."""
-    schema = pa.schema([("mailbox", pa.string()), ("offset", pa.int64()), *((n, pa.string()) for n in ("message_id", "in_reply_to", "references", "subject", "from_address", "from_name")), ("to_addresses", pa.list_(pa.string())), ("occurred_at", pa.timestamp("us")), ("body_text", pa.string()), ("body_html", pa.string()), ("attachment_count", pa.int32())])
+    """A row for each message of mbox files, times in UTC; position numbers a mailbox's messages from 0.
+
+    A message's number in its range is known where it is read; how many the ranges before have comes from a reading that only counts, so that no message moves.
+    """
+    schema = pa.schema([("mailbox", pa.string()), ("begin", pa.int64()), ("nth", pa.int64()), *((n, pa.string()) for n in ("message_id", "in_reply_to", "references", "subject", "from_address", "from_name")), ("to_addresses", pa.list_(pa.string())), ("occurred_at", pa.timestamp("us")), ("body_text", pa.string()), ("body_html", pa.string()), ("attachment_count", pa.int32())])
     if ranges.reachable(path):
         ranges.register(spark)
-        raw = spark.read.format("keepsake_mailbox").option("splitBytes", split_bytes).load(path)
+        source = spark.read.format("keepsake_mailbox").option("splitBytes", split_bytes)
+        raw = source.load(path)
+        counted = source.option("content", "false").load(path).groupBy("mailbox", "begin").agg(F.count(F.lit(1)).alias("_n"))
+        past = Window.partitionBy("mailbox").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+        before = graph.held(counted.select("mailbox", "begin", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before")))  # no more rows than ranges; written, so that Spark knows how few
     else:
+        before = None  # a file is one range
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for name, whole in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                    for at, one in ranges.messages_in(io.BytesIO(whole), 0, len(whole)):
-                        yield pa.RecordBatch.from_pydict({"mailbox": [name], "offset": pa.array([at], pa.int64()), "raw": pa.array([one], pa.binary())})
+                    for n, (at, one) in enumerate(ranges.messages_in(io.BytesIO(whole), 0, len(whole))):
+                        yield pa.RecordBatch.from_pydict({"mailbox": [name], "offset": pa.array([at], pa.int64()), "begin": pa.array([0], pa.int64()), "nth": pa.array([n], pa.int64()), "raw": pa.array([one], pa.binary())})
 
         raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, ranges.MESSAGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [{"mailbox": name, "offset": at, **mail_fields(unquoted(one))} for name, at, one in zip(*(b.column(c).to_pylist() for c in ("mailbox", "offset", "raw")), strict=True)]
+            rows = [{"mailbox": name, "begin": begin, "nth": n, **mail_fields(unquoted(one))} for name, begin, n, one in zip(*(b.column(c).to_pylist() for c in ("mailbox", "begin", "nth", "raw")), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    mails = raw.mapInArrow(run, MAIL.replace("position long", "offset long"))
-    numbered = scan.scanned(mails, ["mailbox"], [F.asc("offset")], sums={"_n": F.lit(1)})
-    return numbered.select("mailbox", (F.col("_n") - 1).alias("position"), *mails.columns[2:])
+    mails = raw.mapInArrow(run, MAIL.replace("position long", "begin long, nth long"))
+    position = F.col("nth")
+    if before is not None:
+        mails, position = mails.join(before, ["mailbox", "begin"]), F.col("nth") + F.col("_before")
+    return mails.select("mailbox", position.alias("position"), *(f.name for f in schema if f.name not in ("mailbox", "begin", "nth")))

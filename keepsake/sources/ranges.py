@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import gzip
 import io
-import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -23,10 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SPLIT_BYTES, PART_BYTES, BLOCK = 64 << 20, 8 << 20, 1 << 20
 #: Bytes of an Arrow batch at most (about).
 BATCH_BYTES = 2 << 20
-MESSAGES = "mailbox string, offset long, raw binary"
+MESSAGES = "mailbox string, offset long, begin long, nth long, raw binary"
 PARTS = "archive string, member string, size long, part int, content binary, error string"
-#: A message begins at a "From " line that opens the file or stands behind an empty line.
-BEGIN = re.compile(rb"(?:(?<=\n\n)|(?<=\n\r\n))From ")
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -70,15 +67,22 @@ class Range(InputPartition):
     end: int
 
 
+def _beginning(data: bytearray, start: int) -> int:
+    """Where a message begins at or behind start, -1 if nowhere: at a "From " line behind an empty line (or one that opens the file, which the caller sees)."""
+    at = data.find(b"From ", start)
+    while at >= 0 and data[max(0, at - 2) : at] != b"\n\n" and data[max(0, at - 3) : at] != b"\n\r\n":
+        at = data.find(b"From ", at + 1)
+    return at
+
+
 def messages_in(file: io.BufferedIOBase, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, bytes) of the messages that begin in [start, end), whole, each from its "From " line on. Of what it reads it holds one message."""
     base = max(0, start - 4)  # what stands before a line says whether it begins a message
     file.seek(base)
     data, searched, current = bytearray(), 0, None
     while True:
-        m = BEGIN.search(data, searched)
-        at = 0 if base == searched == 0 and data[:5] == b"From " else m.start() if m else None
-        if at is None:
+        at = 0 if base == searched == 0 and data[:5] == b"From " else _beginning(data, searched)
+        if at < 0:
             block = file.read(BLOCK)
             if not block:
                 break
@@ -113,8 +117,8 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, sized: int) -> Iterator[p
 
 
 class MailboxReader(DataSourceReader):
-    def __init__(self, path: str, split: int):
-        self.path, self.split = path, split
+    def __init__(self, path: str, split: int, content: bool):
+        self.path, self.split, self.content = path, split, content
 
     def partitions(self) -> list[Range]:
         return [Range(p, a, min(n, a + self.split)) for p, n in files_of(self.path) for a in range(0, n, self.split)] or [Range("", 0, 0)]
@@ -124,12 +128,14 @@ class MailboxReader(DataSourceReader):
             return
         fs, place = opened(part.path)
         with fs.open_input_file(place) as file:
-            schema = pa.schema([("mailbox", pa.string()), ("offset", pa.int64()), ("raw", pa.binary())])
-            yield from _batches(((part.path, at, raw) for at, raw in messages_in(file, part.start, part.end)), schema, 2)
+            schema = pa.schema([("mailbox", pa.string()), ("offset", pa.int64()), ("begin", pa.int64()), ("nth", pa.int64()), ("raw", pa.binary())])
+            found = enumerate(messages_in(file, part.start, part.end))
+            yield from _batches(((part.path, at, part.start, n, raw if self.content else None) for n, (at, raw) in found), schema, 4)
 
 
 class MailboxSource(DataSource):
-    """format("keepsake_mailbox").load(path), option splitBytes: a row for each message of mbox files: mailbox, offset (its first byte), raw (from its "From " line on)."""
+    """format("keepsake_mailbox").load(path), options splitBytes and content: a row for each message of mbox files: mailbox, offset (its first byte), begin (its range's
+    first byte), nth (its number in the range, from 0), raw (from its "From " line on; null where content is false)."""
 
     @classmethod
     def name(cls) -> str:
@@ -139,7 +145,7 @@ class MailboxSource(DataSource):
         return MESSAGES
 
     def reader(self, schema) -> MailboxReader:
-        return MailboxReader(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)))
+        return MailboxReader(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)), self.options.get("content", "true").lower() == "true")
 
 
 @dataclass

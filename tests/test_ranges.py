@@ -54,6 +54,16 @@ def test_a_mailbox_is_many_tasks_and_its_messages_are_numbered(spark, tmp_path):
         assert own == [(k, str(k)) for k in range(60)]
 
 
+def test_messages_are_numbered_without_being_moved(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.mbox").write_bytes(mailbox(5))
+    mails = archives.mailboxes(spark, str(tmp_path), 500)
+    plan = mails._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    assert sorted((r.position, r.subject) for r in mails.collect()) == [(k, str(k)) for k in range(60)]
+    monkeypatch.setattr(ranges, "reachable", lambda path: False)  # a store that only Spark reads
+    assert sorted((r.position, r.subject) for r in archives.mailboxes(spark, str(tmp_path), 500).collect()) == [(k, str(k)) for k in range(60)]
+
+
 def test_archives_by_groups_of_members(spark, tmp_path):
     rng = np.random.default_rng(5)
     files = {f"d/f{k}.txt": rng.bytes(int(n)) for k, n in enumerate([0, 1, 5000, 20_000, 100_000, 3])}
