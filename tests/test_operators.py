@@ -176,6 +176,21 @@ def test_pairs_of_one_time_are_many_tasks_work(spark, monkeypatch):
         assert Counter(r.task for r in got).most_common(1)[0][1] < len(got) * 2 / 3
 
 
+def test_words_of_texts_stay_where_they_are_if_names_are_few(spark):
+    names = spark.range(20_000).select(F.element_at(F.array(F.lit("York"), F.lit("New York"), F.lit("!"), F.lit("york")), (F.col("id") % 4 + 1).cast("int")).alias("name"))
+    docs = spark.createDataFrame([(1, "new york, York; new York"), (2, "York"), (3, ""), (4, None), (1, "york")], "id int, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")
+    try:
+        got = linkers.by_name(docs, "id", "text", names, "name")
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in got.collect()) == [(1, "New York"), (1, "York"), (1, "york"), (2, "York"), (2, "york")]
+        assert {tuple(r) for r in linkers.by_name(docs, "id", "text", names, "name", True).collect()} == {(1, "New York"), (1, "York"), (1, "york"), (2, "York"), (2, "york")}
+        assert linkers.by_name(docs, "id", "text", names.limit(0), "name").collect() == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_lookups_reach_the_scan(spark, tmp_path):
     spark.range(1000).selectExpr("id", "id % 180 - 90.0D AS latitude", "id % 360 - 180.0D AS longitude").write.parquet(str(tmp_path / "t"))
     t = spark.read.parquet(str(tmp_path / "t"))
