@@ -60,6 +60,27 @@ def test_hamming_pairs_match_a_plain_loop(spark):
         assert rows_of(hashes.hamming_pairs(df, 9, most)) == want and want
 
 
+def test_pairs_of_hashes_with_many_near_ones_are_spelled_out_where_they_are_written(spark, monkeypatch):
+    """No pair is gathered, written or joined again; copies, tiles, turns of a frequent hash, null ids and ids of text."""
+    import random
+
+    rng = random.Random(9)
+    values = [rng.randrange(1 << 9) for _ in range(150)] + [3] * 40 + [3 + (1 << 9)]
+    rows = [*((f"{k:04d}", h) for k, h in enumerate(values)), (None, 3), ("x", None)]
+    df = spark.createDataFrame(rows, "id string, h long")
+    near = lambda most: sorted((a, b, d) for k, (a, x) in enumerate(rows[:-2]) for b, y in rows[k + 1 : -2] if (d := ((x ^ y) & 511).bit_count()) <= most)
+    for most, least, asking in ((2, 1 << 22, hashes.ASKING), (3, 1, hashes.ASKING), (2, 1, (4, 16))):
+        monkeypatch.setattr(hashes, "LEAST", least)
+        monkeypatch.setattr(hashes, "ASKING", asking)
+        pairs = hashes.hamming_pairs(df, 9, most)
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
+        assert rows_of(pairs) == near(most)
+    assert hashes.hamming_pairs(df.limit(0), 9, 3).collect() == []
+    for most in (2, 9):
+        assert rows_of(hashes.hamming_pairs(spark.createDataFrame([(5, 1), (4, 1), (6, 0)], "id long, h long"), 1, most)) == [(4, 5, 0), (4, 6, 1), (5, 6, 1)]
+
+
 def test_hashes_of_64_bits_match_a_plain_loop(spark):
     import random
 
