@@ -176,6 +176,23 @@ def test_pairs_of_one_time_are_many_tasks_work(spark, monkeypatch):
         assert Counter(r.task for r in got).most_common(1)[0][1] < len(got) * 2 / 3
 
 
+def test_pairs_of_one_key_and_spans_are_many_tasks_work(spark, monkeypatch):
+    """One key with nearly all rows, open and closed spans, nulls, and times that are no number; a point's spans stand together."""
+    monkeypatch.setattr(joins, "SPAN_TILE", 16, raising=False)
+    monkeypatch.setattr(joins, "STACK", 8)
+    nan = float("nan")
+    points = [(i, None if i == 7 else 5 if i % 40 == 3 else 1, None if i == 9 else nan if i == 11 else float(i * 7 % 100)) for i in range(120)]
+    spans = [(j, None if j == 4 else 5 if j % 30 == 2 else 1, None if j == 6 else float(j % 90), None if j % 3 else float(j % 90 + j % 5)) for j in range(90)]
+    a, s = spark.createDataFrame(points, "i int, k int, at double").coalesce(1), spark.createDataFrame(spans, "j int, k int, start double, finish double").coalesce(1)
+    found = joins.during(a, s, "at", "start", "finish", 10, ["k"])
+    assert sorted(found.columns) == ["at", "finish", "i", "j", "k", "start"]
+    got = found.withColumn("task", F.spark_partition_id()).collect()
+    late = lambda x, y: x != x or x >= y  # noqa: E731  Spark has NaN behind all numbers
+    want = [(i, j, k) for i, k, at in points for j, key, start, end in spans if k == key and None not in (k, at, start) and late(at, start) and (end is None or not late(at, end))]
+    assert sorted((r.i, r.j, r.k) for r in got) == sorted(want)
+    assert Counter(r.task for r in got).most_common(1)[0][1] < len(got) * 2 / 3
+
+
 def test_words_of_texts_stay_where_they_are_if_names_are_few(spark):
     names = spark.range(20_000).select(F.element_at(F.array(F.lit("York"), F.lit("New York"), F.lit("!"), F.lit("york")), (F.col("id") % 4 + 1).cast("int")).alias("name"))
     docs = spark.createDataFrame([(1, "new york, York; new York"), (2, "York"), (3, ""), (4, None), (1, "york")], "id int, text string")
